@@ -16,14 +16,14 @@ Detection works in three steps, all evaluated by Spark's codegen on the first
    verdict; anything specialises ``application/octet-stream``.
 
 The signatures come from the public format specifications of each format.
-``sql_case`` renders the same tables as a DuckDB expression for the oracle.
+``sql_magic_type`` and ``sql_refine`` render the same tables as a DuckDB expression for the oracle.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from casefile.functions.columns import extension
 
@@ -31,45 +31,55 @@ HEAD_BYTES = 512
 OCTET_STREAM = "application/octet-stream"
 TEXT_PLAIN = "text/plain"
 
-# Byte signatures (offset, hex bytes) from public format specs.
-# Order matters: the first matching rule wins.
-MAGIC_RULES: list[tuple[str, list[tuple[int, str]]]] = [
-    ("image/png", [(0, "89504E470D0A1A0A")]),
-    ("image/jpeg", [(0, "FFD8FF")]),
-    ("image/gif", [(0, "474946383761")]),
-    ("image/gif", [(0, "474946383961")]),
-    ("image/tiff", [(0, "49492A00")]),
-    ("image/tiff", [(0, "4D4D002A")]),
+# Byte signatures from public format specs.
+# SIGNATURES are leading bytes (offset 0).  They are prefix-free (checked
+# below), so at most one can match and their order does not matter.
+SIGNATURES: list[tuple[str, str]] = [
+    ("image/png", "89504E470D0A1A0A"),
+    ("image/jpeg", "FFD8FF"),
+    ("image/gif", "474946383761"),
+    ("image/gif", "474946383961"),
+    ("image/tiff", "49492A00"),
+    ("image/tiff", "4D4D002A"),
+    ("application/pdf", "255044462D"),
+    ("application/postscript", "252150532D"),
+    ("application/rtf", "7B5C72746631"),
+    ("application/x-tika-msoffice", "D0CF11E0A1B11AE1"),
+    ("application/zip", "504B0304"),
+    ("application/zip", "504B0506"),
+    ("application/zip", "504B0708"),
+    ("application/gzip", "1F8B"),
+    ("application/x-bzip2", "425A68"),
+    ("application/x-xz", "FD377A585A00"),
+    ("application/zstd", "28B52FFD"),
+    ("application/x-7z-compressed", "377ABCAF271C"),
+    ("application/x-rar-compressed", "526172211A07"),
+    ("application/x-executable", "7F454C46"),
+    ("application/x-msdownload", "4D5A"),
+    ("application/java-vm", "CAFEBABE"),
+    ("application/x-sqlite3", "53514C69746520666F726D6174203300"),
+    ("application/ogg", "4F676753"),
+    ("audio/x-flac", "664C6143"),
+    ("audio/mpeg", "494433"),
+    ("video/mpeg", "000001BA"),
+    ("video/mpeg", "000001B3"),
+]
+
+# Signatures made of several (offset, hex bytes) conditions,
+# tested in this order after SIGNATURES.
+COMPOUND_SIGNATURES: list[tuple[str, list[tuple[int, str]]]] = [
     ("image/bmp", [(0, "424D"), (6, "00000000")]),
     ("image/webp", [(0, "52494646"), (8, "57454250")]),
     ("audio/vnd.wave", [(0, "52494646"), (8, "57415645")]),
     ("video/x-msvideo", [(0, "52494646"), (8, "41564920")]),
-    ("application/pdf", [(0, "255044462D")]),
-    ("application/postscript", [(0, "252150532D")]),
-    ("application/rtf", [(0, "7B5C72746631")]),
-    ("application/x-tika-msoffice", [(0, "D0CF11E0A1B11AE1")]),
-    ("application/zip", [(0, "504B0304")]),
-    ("application/zip", [(0, "504B0506")]),
-    ("application/zip", [(0, "504B0708")]),
-    ("application/gzip", [(0, "1F8B")]),
-    ("application/x-bzip2", [(0, "425A68")]),
-    ("application/x-xz", [(0, "FD377A585A00")]),
-    ("application/zstd", [(0, "28B52FFD")]),
-    ("application/x-7z-compressed", [(0, "377ABCAF271C")]),
-    ("application/x-rar-compressed", [(0, "526172211A07")]),
-    ("application/x-tar", [(257, "7573746172")]),
-    ("application/x-executable", [(0, "7F454C46")]),
-    ("application/x-msdownload", [(0, "4D5A")]),
-    ("application/java-vm", [(0, "CAFEBABE")]),
-    ("application/x-sqlite3", [(0, "53514C69746520666F726D6174203300")]),
-    ("application/ogg", [(0, "4F676753")]),
-    ("audio/x-flac", [(0, "664C6143")]),
-    ("audio/mpeg", [(0, "494433")]),
     ("video/mp4", [(4, "66747970")]),
-    ("video/mpeg", [(0, "000001BA")]),
-    ("video/mpeg", [(0, "000001B3")]),
+    ("application/x-tar", [(257, "7573746172")]),
 ]
 
+# Every rule as (type, conditions), in evaluation order (used by the oracle).
+MAGIC_RULES: list[tuple[str, list[tuple[int, str]]]] = (
+    [(t, [(0, h)]) for t, h in SIGNATURES] + COMPOUND_SIGNATURES)
+
 # Markup recognised by a leading tag (case-insensitive, after
 # optional whitespace), checked after the byte signatures.
 TEXT_MAGIC_RULES: list[tuple[str, str]] = [
@@ -149,6 +159,21 @@ PARENT_TYPES: dict[str, str] = {
     "video/x-m4v": "video/mp4", "application/x-sharedlib": "application/x-executable",
 }
 
+def _check_prefix_free() -> None:
+    sigs = [h.upper() for _, h in SIGNATURES]
+    for i, x in enumerate(sigs):
+        for j, y in enumerate(sigs):
+            if i != j and y.startswith(x):
+                raise ValueError(f"signature {x} is a prefix of {y}")
+    tags = [t for _, t in TEXT_MAGIC_RULES]
+    for i, x in enumerate(tags):
+        for j, y in enumerate(tags):
+            if i != j and y.startswith(x):
+                raise ValueError(f"tag {x} is a prefix of {y}")
+
+
+_check_prefix_free()
+
 # Bytes counted as "control" by the text fallback.
 CONTROL_BYTES = [(0x00, 0x08), (0x0B, 0x0B), (0x0E, 0x1A), (0x1C, 0x1F)]
 WHITESPACE = "\t\n\r\f "
@@ -181,9 +206,15 @@ def _control_class() -> str:
                          for lo, hi in CONTROL_BYTES) + "]"
 
 
-def _text_pattern(tag: str) -> str:
-    ws = "".join({"\t": "\\t", "\n": "\\n", "\r": "\\r", "\f": "\\f", " ": " "}[c] for c in WHITESPACE)
-    return f"(?i)^[{ws}]*" + _java_regex_literal(tag)
+def _ws_class() -> str:
+    return "[" + "".join({"\t": "\\t", "\n": "\\n", "\r": "\\r", "\f": "\\f", " ": " "}[c]
+                         for c in WHITESPACE) + "]"
+
+
+def _tag_pattern() -> str:
+    """One anchored, case-insensitive alternation over all markup tags."""
+    alts = "|".join(_java_regex_literal(tag[1:]) for _, tag in TEXT_MAGIC_RULES)
+    return f"(?i)^{_ws_class()}*<({alts})"
 
 
 def _bytes_at(head: Column, offset: int, hex_bytes: str) -> Column:
@@ -193,20 +224,56 @@ def _bytes_at(head: Column, offset: int, hex_bytes: str) -> Column:
     return F.substring(head, offset + 1, len(raw)) == F.lit(raw)
 
 
-def magic_type(content: Column) -> Column:
-    """Content-only verdict (steps 1 and 2) from a binary column."""
-    head = F.substring(content, 1, HEAD_BYTES)
-    text = F.decode(head, "ISO-8859-1")
+SIGNATURE_HEX_CHARS = 2 * max(len(h) // 2 for _, h in SIGNATURES)
+
+
+def head_of(content: Column) -> Column:
+    """The bytes the rules look at."""
+    return F.substring(content, 1, HEAD_BYTES)
+
+
+def _signature_type(head_hex: Column) -> Column:
+    """Leading-signature verdict: one literal-map lookup per signature length."""
+    by_length: dict[int, list[tuple[str, str]]] = {}
+    for media_type, hex_bytes in SIGNATURES:
+        by_length.setdefault(len(hex_bytes), []).append((hex_bytes.upper(), media_type))
+    lookups = []
+    for n_chars, entries in sorted(by_length.items()):
+        table = F.create_map(*[F.lit(x) for kv in sorted(entries) for x in kv])
+        lookups.append(F.element_at(table, F.substring(head_hex, 1, n_chars)))
+    return F.coalesce(*lookups)
+
+
+def _compound_type(head: Column) -> Column:
     verdict = None
-    for media_type, conds in MAGIC_RULES:
+    for media_type, conds in COMPOUND_SIGNATURES:
         cond = reduce(lambda a, b: a & b, [_bytes_at(head, o, h) for o, h in conds])
         verdict = F.when(cond, F.lit(media_type)) if verdict is None else verdict.when(cond, F.lit(media_type))
-    for media_type, tag in TEXT_MAGIC_RULES:
-        verdict = verdict.when(text.rlike(_text_pattern(tag)), F.lit(media_type))
-    verdict = (verdict.when(F.octet_length(head) == 0, F.lit(OCTET_STREAM))
-               .when(text.rlike(_control_class()), F.lit(OCTET_STREAM))
-               .otherwise(F.lit(TEXT_PLAIN)))
-    return F.when(content.isNotNull(), verdict)
+    return verdict
+
+
+def _tag_type(head_text: Column) -> Column:
+    table = F.create_map(*[F.lit(x) for t, tag in sorted(TEXT_MAGIC_RULES, key=lambda r: r[1])
+                           for x in (tag[1:], t)])
+    return F.element_at(table, F.lower(F.regexp_extract(head_text, _tag_pattern(), 1)))
+
+
+def type_of_head(head: Column, head_text: Column, head_hex: Column | None = None) -> Column:
+    """Content verdict (steps 1, 2) from the projected head, its ISO-8859-1 text
+    and (optionally) its upper-case hex."""
+    if head_hex is None:
+        head_hex = F.hex(F.substring(head, 1, SIGNATURE_HEX_CHARS // 2))
+    fallback = (F.when(F.octet_length(head) == 0, F.lit(OCTET_STREAM))
+                .when(head_text.rlike(_control_class()), F.lit(OCTET_STREAM))
+                .otherwise(F.lit(TEXT_PLAIN)))
+    return F.when(head.isNotNull(), F.coalesce(
+        _signature_type(head_hex), _compound_type(head), _tag_type(head_text), fallback))
+
+
+def magic_type(content: Column) -> Column:
+    """Content-only verdict as one expression (see ``with_content_type``)."""
+    head = head_of(content)
+    return type_of_head(head, F.decode(head, "ISO-8859-1"))
 
 
 def name_type(path: Column) -> Column:
@@ -215,26 +282,59 @@ def name_type(path: Column) -> Column:
     return F.element_at(table, extension(path))
 
 
+def _lineage_map() -> Column:
+    return F.create_map(*[F.lit(x) for t in sorted(set(EXTENSION_TYPES.values()))
+                          for x in (t, _ancestor_text(t))])
+
+
 def refine(content_type: Column, candidate: Column) -> Column:
     """Accept ``candidate`` only if it equals or specialises ``content_type``."""
-    lineage = F.create_map(*[F.lit(x) for t in sorted(set(EXTENSION_TYPES.values()))
-                             for x in (t, _ancestor_text(t))])
-    accepted = F.instr(F.element_at(lineage, candidate),
+    accepted = F.instr(F.element_at(_lineage_map(), candidate),
                        F.concat(F.lit("|"), content_type, F.lit("|"))) > 0
-    return F.when(candidate.isNotNull() & accepted, candidate).otherwise(content_type)
+    return F.when(content_type.isNotNull(),
+                  F.when(candidate.isNotNull() & accepted, candidate).otherwise(content_type))
 
 
 def detect(content: Column, path: Column | None = None) -> Column:
-    """Media type of ``content``, refined by the file name in ``path`` if given."""
+    """Media type of ``content``, refined by the file name in ``path`` if given.
+
+    Single-expression form; operators use the staged ``with_content_type`` /
+    ``with_media_type``, which keep the generated code small.
+    """
     verdict = magic_type(content)
-    if path is None:
-        return verdict
-    return F.when(content.isNotNull(), refine(verdict, name_type(path)))
+    return verdict if path is None else refine(verdict, name_type(path))
 
 
 def refine_by_name(content_type: Column, path: Column) -> Column:
     """Refine an already computed content verdict with a file name."""
-    return F.when(content_type.isNotNull(), refine(content_type, name_type(path)))
+    return refine(content_type, name_type(path))
+
+
+_TMP = "__casefile_"
+
+
+def with_content_type(df: DataFrame, content: str, out: str = "content_type") -> DataFrame:
+    """Add the content-only verdict of binary column ``content`` as ``out``.
+
+    The head and its text are projected first; the rule CASE then reads
+    those columns once each instead of re-slicing the content per rule.
+    """
+    head, text, hexed = _TMP + "head", _TMP + "text", _TMP + "hex"
+    return (df.withColumn(head, head_of(F.col(content)))
+            .withColumn(text, F.decode(F.col(head), "ISO-8859-1"))
+            .withColumn(hexed, F.hex(F.substring(F.col(head), 1, SIGNATURE_HEX_CHARS // 2)))
+            .withColumn(out, type_of_head(F.col(head), F.col(text), F.col(hexed)))
+            .drop(head, text, hexed))
+
+
+def with_media_type(df: DataFrame, content_type: str, path: Column | str,
+                    out: str = "media_type") -> DataFrame:
+    """Add ``out`` = ``content_type`` refined by the file name in ``path``."""
+    cand = _TMP + "candidate"
+    path_col = F.col(path) if isinstance(path, str) else path
+    return (df.withColumn(cand, name_type(path_col))
+            .withColumn(out, refine(F.col(content_type), F.col(cand)))
+            .drop(cand))
 
 
 # --- the same tables as DuckDB SQL (oracle side) ---------------------------

@@ -11,15 +11,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from casefile.functions.columns import base_name
-from casefile.functions.mediatype import detect, magic_type, refine_by_name
+from casefile.functions.mediatype import with_content_type, with_media_type
 from casefile.sources.evidence import external_original_paths, inline_content_with_path
 
 
 def inline_media_types(evidence: DataFrame) -> DataFrame:
     """``(id, media_type)`` of non-empty inline content, refined by the path."""
-    return (inline_content_with_path(evidence)
-            .select("id", detect(F.col("file_content"), F.col("file_path")).alias("media_type"))
-            .where(F.col("media_type").isNotNull()))
+    # non-empty content always gets a verdict, so no NULL filter is needed
+    typed = with_content_type(inline_content_with_path(evidence), "file_content")
+    return with_media_type(typed, "content_type", "file_path").select("id", "media_type")
 
 
 def external_content_types(summaries: DataFrame) -> DataFrame:
@@ -28,8 +28,7 @@ def external_content_types(summaries: DataFrame) -> DataFrame:
     A name listed twice keeps the verdict of the largest path, matching the
     choice made for hashes; the aggregation leaves the frame partitioned by id.
     """
-    typed = summaries.select(base_name("path").alias("id"), "path",
-                             magic_type(F.col("head")).alias("content_type"))
+    typed = with_content_type(summaries.select(base_name("path").alias("id"), "path", "head"), "head")
     return typed.groupBy("id").agg(F.max_by("content_type", F.col("path")).alias("content_type"))
 
 
@@ -40,9 +39,8 @@ def _external_pairs(evidence: DataFrame, summaries: DataFrame) -> DataFrame:
 
 def external_media_types(evidence: DataFrame, summaries: DataFrame) -> DataFrame:
     """``(id, media_type)`` of external files that have an evidence row."""
-    return (_external_pairs(evidence, summaries)
-            .select("id", refine_by_name(F.col("content_type"), F.col("file_path")).alias("media_type"))
-            .where(F.col("media_type").isNotNull()))
+    return (with_media_type(_external_pairs(evidence, summaries), "content_type", "file_path")
+            .select("id", "media_type").where(F.col("media_type").isNotNull()))
 
 
 def file_media_types(evidence: DataFrame, summaries: DataFrame | None = None) -> DataFrame:
@@ -62,21 +60,17 @@ def media_type_counts(typed: DataFrame) -> DataFrame:
             .orderBy(F.desc("n"), F.asc("media_type")))
 
 
-def _mismatch(rows: DataFrame, content_type, with_name) -> DataFrame:
-    out = rows.select("id", "file_path", content_type.alias("type_by_content"),
-                      with_name.alias("type_with_name"))
-    return out.where(~F.col("type_by_content").eqNullSafe(F.col("type_with_name")))
+def _mismatch(typed: DataFrame, name_path) -> DataFrame:
+    out = with_media_type(typed, "content_type", name_path, out="type_with_name")
+    return (out.select("id", "file_path", F.col("content_type").alias("type_by_content"), "type_with_name")
+            .where(~F.col("type_by_content").eqNullSafe(F.col("type_with_name"))))
 
 
 def inline_media_type_mismatch(evidence: DataFrame) -> DataFrame:
     """Inline files whose verdict changes when the file name is considered."""
-    rows = inline_content_with_path(evidence)
-    content_type = magic_type(F.col("file_content"))
-    return _mismatch(rows, content_type, refine_by_name(content_type, F.col("file_path")))
+    return _mismatch(with_content_type(inline_content_with_path(evidence), "file_content"), "file_path")
 
 
 def external_media_type_mismatch(evidence: DataFrame, summaries: DataFrame) -> DataFrame:
     """External files whose verdict changes when their base name is considered."""
-    rows = _external_pairs(evidence, summaries)
-    return _mismatch(rows, F.col("content_type"),
-                     refine_by_name(F.col("content_type"), base_name("file_path")))
+    return _mismatch(_external_pairs(evidence, summaries), base_name("file_path"))
