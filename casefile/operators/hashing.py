@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from casefile.functions.columns import base_name, nonempty
 from casefile.functions.digest import DEFAULT_BITS, check_bits, digest, empty_digest
 from casefile.functions.mediatype import HEAD_BYTES
-from casefile.sources.files import max_binary_length, split_by_length
+from casefile.sources.files import binary_files, max_binary_length, split_by_length
+from casefile.sources.inventory import zero_length_files
 
 SUMMARY_SCHEMA = T.StructType([
     T.StructField("path", T.StringType()),
@@ -144,3 +145,16 @@ def external_id_collisions(external: DataFrame) -> DataFrame:
     named = external.select(base_name("path").alias("id"), "path")
     counts = named.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     return named.join(counts, "id")
+
+
+def summarize_directory(spark, directory: str, bits: int = DEFAULT_BITS,
+                        include_empty: bool = True, max_length: int | None = None) -> DataFrame:
+    """Summaries of every file below ``directory``.
+
+    Zero-length files, which the binary reader skips, are added from the file
+    inventory when ``include_empty`` is set, so every listed file is covered.
+    """
+    out = summarize_files(binary_files(spark, directory), bits, max_length)
+    if include_empty:
+        out = out.unionByName(empty_file_summaries(zero_length_files(spark, directory), bits))
+    return out

@@ -9,10 +9,11 @@ heads stand in for them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from casefile.functions.columns import content_size, hex_head
 from casefile.operators import annotate, duplicates, hashing, mediatypes, reports
+from casefile.plans import jobs
 from casefile.sources import evidence as ev
 from casefile.sources import files, inventory, testdata
 
@@ -190,15 +191,11 @@ def q_directory_files(spark, sf_dir):
 
 
 def q_directory_hashes(spark, sf_dir):
-    summaries = hashing.summarize_files(files.binary_files(spark, sf_dir))
-    return summaries.select("path", "length", "file_hash")
+    return hashing.summarize_directory(spark, sf_dir).select("path", "length", "file_hash")
 
 
 def q_directory_duplicates(spark, sf_dir):
-    summaries = hashing.summarize_files(files.binary_files(spark, sf_dir))
-    members = summaries.select("file_hash", F.col("path").alias("label"))
-    dups = duplicates.duplicate_files(members, key="file_hash", label="label")
-    return reports.duplicate_report(dups)
+    return reports.duplicate_report(jobs.directory_duplicates(spark, sf_dir))
 
 
 def q_file_inventory(spark, sf_dir):
