@@ -7,12 +7,21 @@ Scale design
 ------------
 * Counting per key is a partial + final hash aggregate (map-side combine),
   so a key held by a third of all files costs one small row per map task.
+* Group sizes are joined back onto the members without a hot partition:
+  keys held by more than ``hot_rows`` files are at most ``N / hot_rows``
+  (N = member count), a proven bound, so they are broadcast and joined
+  map-side; all other keys take a shuffle join in which no key exceeds
+  ``hot_rows`` rows, with the hot members removed map-side beforehand.
 * Groups are never materialised in one row or task.  ``duplicate_members``
   is the long form (one row per file).  ``duplicate_files`` is the list form:
   a group of ``n`` files is split into ``ceil(n / max_files_per_row)`` parts
   by an md5 bucket of the label, and the parts are shuffled on
   ``(key, part)`` so a hot key spreads over many tasks.  Every file appears
   in exactly one part; nothing is dropped.
+* Statistics and the member join both read the member list, so it is
+  materialised once (reliable ``checkpoint`` into the shared
+  ``spark.checkpoint.dir``): only the narrow ``(key, label, ...)`` rows are
+  written, and upstream work such as hashing file content runs once.
 * The md5 bucket is a plain SQL expression, so the split is reproducible in
   any engine that has md5 (the DuckDB oracle uses the same formula).
 """
@@ -22,8 +31,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from casefile.functions.columns import file_label
+from casefile.session import checkpoint_dir
 
 DEFAULT_MAX_FILES_PER_ROW = 1000
+HOT_GROUP_ROWS = 1_000_000
 
 
 def label_members(hashes: DataFrame, key: str = "file_hash") -> DataFrame:
@@ -44,14 +55,42 @@ def duplicate_counts(members: DataFrame, key: str = "file_hash", label: str = "l
     return hash_counts(members, key, label).where(F.col("n") > 1)
 
 
-def duplicate_members(members: DataFrame, key: str = "file_hash", label: str = "label") -> DataFrame:
-    """Long form: every member of a duplicate group with its group size.
+def attach_group_stats(members: DataFrame, stats: DataFrame, key: str,
+                       hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+    """Inner-join per-key ``stats`` (one row per key, with ``n``) onto members.
 
-    The join back on ``key`` is where a hot key lands; AQE's skew-join
-    handling splits that partition on the member side (the count side has
-    one row per key).
+    Hot keys (``n > hot_rows``) go through a broadcast join: there are at
+    most ``N / hot_rows`` of them, so the broadcast side is bounded.  The
+    rest shuffle on ``key`` after the hot members were dropped map-side.
     """
-    return members.join(duplicate_counts(members, key, label), on=key, how="inner")
+    hot = stats.where(F.col("n") > hot_rows)
+    cold = stats.where(F.col("n") <= hot_rows)
+    hot_members = members.join(F.broadcast(hot), on=key, how="inner")
+    cold_members = (members.join(F.broadcast(hot.select(key)), on=key, how="left_anti")
+                    .join(cold, on=key, how="inner"))
+    return hot_members.unionByName(cold_members)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder and read it back.
+
+    A reliable checkpoint: files on shared storage, so losing an executor
+    afterwards costs no recomputation of the upstream plan.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def duplicate_members(members: DataFrame, key: str = "file_hash", label: str = "label",
+                      hot_rows: int = HOT_GROUP_ROWS, materialized: bool = False) -> DataFrame:
+    """Long form: every member of a duplicate group with ``n`` and ``first_file``.
+
+    ``materialized=True`` declares that ``members`` is already cheap to read
+    twice (e.g. a Parquet table); otherwise it is checkpointed first.
+    """
+    if not materialized:
+        members = materialize(members)
+    return attach_group_stats(members, duplicate_counts(members, key, label), key, hot_rows)
 
 
 def part_of(label: Column, n: Column, max_files_per_row: int) -> Column:
@@ -62,14 +101,15 @@ def part_of(label: Column, n: Column, max_files_per_row: int) -> Column:
 
 
 def duplicate_files(members: DataFrame, key: str = "file_hash", label: str = "label",
-                    max_files_per_row: int = DEFAULT_MAX_FILES_PER_ROW) -> DataFrame:
+                    max_files_per_row: int = DEFAULT_MAX_FILES_PER_ROW,
+                    hot_rows: int = HOT_GROUP_ROWS, materialized: bool = False) -> DataFrame:
     """List form ``(key, n, first_file, part, files)``; ``files`` sorted labels.
 
     Groups larger than ``max_files_per_row`` come as several parts.
     """
     if max_files_per_row < 1:
         raise ValueError("max_files_per_row must be positive")
-    long = duplicate_members(members.select(key, label), key, label)
+    long = duplicate_members(members.select(key, label), key, label, hot_rows, materialized)
     long = long.withColumn("part", part_of(F.col(label), F.col("n"), max_files_per_row))
     return (long.repartition(key, "part")
             .groupBy(key, "n", "first_file", "part")

@@ -62,7 +62,11 @@ def media_type_counts(typed: DataFrame) -> DataFrame:
 
 def _mismatch(typed: DataFrame, name_path) -> DataFrame:
     out = with_media_type(typed, "content_type", name_path, out="type_with_name")
-    return (out.select("id", "file_path", F.col("content_type").alias("type_by_content"), "type_with_name")
+    # Emit both verdicts through a one-row generator: a filter on generated
+    # columns is not pushed below it, so the rule expressions are evaluated
+    # once per row instead of being inlined again into the pushed filter.
+    pair = F.struct(F.col("content_type").alias("type_by_content"), F.col("type_with_name"))
+    return (out.select("id", "file_path", F.inline(F.array(pair)))
             .where(~F.col("type_by_content").eqNullSafe(F.col("type_with_name"))))
 
 

@@ -69,7 +69,7 @@ def evidence_from_testdata(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_bytes").cast("string").alias("file_size"),
         "owner", "group",
         F.when(F.col("n_bytes") > INLINE_LIMIT, F.concat(F.lit(EXTERNAL_DIR), "id")).alias("external_path"),
-        F.when(F.col("n_bytes") <= INLINE_LIMIT, F.encode("t", "UTF-8")).alias("file_content"),
+        F.when(F.col("n_bytes") <= INLINE_LIMIT, F.col("t").cast("binary")).alias("file_content"),
     ))
 
 
@@ -79,4 +79,4 @@ def external_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (f.where(F.col("n_bytes") > INLINE_LIMIT)
             .select(F.concat(F.lit(EXTERNAL_DIR), "id").alias("path"),
                     F.col("n_bytes").alias("length"),
-                    F.encode("t", "UTF-8").alias("content")))
+                    F.col("t").cast("binary").alias("content")))

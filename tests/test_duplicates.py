@@ -47,3 +47,18 @@ def test_preview_is_top_k(spark):
     rows = [(f"a{i}", "p", "h1") for i in range(3)] + [(f"b{i}", "p", "h2") for i in range(2)]
     prev = duplicates.duplicate_preview(duplicates.duplicate_files(_members(spark, rows)), n=1).collect()
     assert len(prev) == 1 and prev[0].n == 3
+
+
+def test_hot_keys_take_the_broadcast_branch(spark):
+    from casefile.plans import inspect
+
+    rows = [(f"id{i}", "p", "hot") for i in range(300)] + [(f"c{i}", "p", f"k{i // 2}") for i in range(200)]
+    m = _members(spark, rows)
+    long = duplicates.duplicate_members(m, hot_rows=50)
+    assert long.count() == 500
+    got = {r.file_hash: r.n for r in long.select("file_hash", "n").distinct().collect()}
+    assert got["hot"] == 300 and all(v == 2 for k, v in got.items() if k != "hot")
+    # the hot key never crosses the member shuffle: it only meets a broadcast
+    assert inspect.broadcasts(long)
+    parts = duplicates.duplicate_files(m, max_files_per_row=100, hot_rows=50).collect()
+    assert sum(len(p.files) for p in parts) == 500
