@@ -158,3 +158,35 @@ def summarize_directory(spark, directory: str, bits: int = DEFAULT_BITS,
     if include_empty:
         out = out.unionByName(empty_file_summaries(zero_length_files(spark, directory), bits))
     return out
+
+
+def _head_reader(head_bytes: int):
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            heads = []
+            for path in pdf["path"]:
+                with _open_path(path) as fh:
+                    heads.append(fh.read(head_bytes))
+            yield pd.DataFrame({"path": pdf["path"], "length": pdf["length"].astype("int64"), "head": heads})
+    return run
+
+
+HEAD_SCHEMA = T.StructType([f for f in SUMMARY_SCHEMA.fields if f.name != "file_hash"])
+
+
+def read_heads(spark, directory: str, include_empty: bool = True) -> DataFrame:
+    """``(path, length, head)`` of every file below ``directory``, reading only
+    the first ``HEAD_BYTES`` bytes of each file.
+
+    Media-type detection needs nothing more, so this never reads whole files:
+    the listing comes from Spark's file index (content column pruned) and
+    each task opens its files and reads their heads.
+    """
+    listing = binary_files(spark, directory).select("path", "length")
+    heads = listing.mapInPandas(_head_reader(HEAD_BYTES), HEAD_SCHEMA)
+    if include_empty:
+        heads = heads.unionByName(zero_length_files(spark, directory).select(
+            "path", F.lit(0).cast("bigint").alias("length"), F.lit(b"").cast("binary").alias("head")))
+    return heads

@@ -23,7 +23,8 @@ def inline_media_types(evidence: DataFrame) -> DataFrame:
 
 
 def external_content_types(summaries: DataFrame) -> DataFrame:
-    """``(id, content_type)`` per external file name from the summary head.
+    """``(id, content_type)`` per external file name from a ``(path, head)`` frame
+    (``summarize_files`` or ``read_heads`` output).
 
     A name listed twice keeps the verdict of the largest path, matching the
     choice made for hashes; the aggregation leaves the frame partitioned by id.

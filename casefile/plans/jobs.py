@@ -37,10 +37,34 @@ def hash_job(spark: SparkSession, evidence_path: str, external_dir: str | None,
 
 def media_type_job(spark: SparkSession, evidence_path: str, external_dir: str | None, out_path: str,
                    mode: str = "errorifexists") -> None:
-    """Detect media types of inline and external content; write ``(id, media_type)``."""
+    """Detect media types of inline and external content; write ``(id, media_type)``.
+
+    External files are read only up to their first bytes (``read_heads``).
+    """
+    table = ev.read_evidence(spark, evidence_path)
+    heads = hashing.read_heads(spark, external_dir) if external_dir else None
+    annotate.write_annotation(mediatypes.file_media_types(table, heads), out_path, "media_type", mode)
+
+
+def annotate_job(spark: SparkSession, evidence_path: str, external_dir: str | None, out_dir: str,
+                 bits: int = DEFAULT_BITS, mode: str = "errorifexists") -> None:
+    """Hash and classify in one read of every file's bytes.
+
+    The external files' summaries ``(path, length, file_hash, head)`` are
+    written once under ``out_dir/external_summary``; both annotation tables
+    (``out_dir/file_hash``, ``out_dir/media_type``) are derived from that
+    table and from one scan of the inline content.
+    """
     table = ev.read_evidence(spark, evidence_path)
-    summaries = hashing.summarize_directory(spark, external_dir) if external_dir else None
-    annotate.write_annotation(mediatypes.file_media_types(table, summaries), out_path, "media_type", mode)
+    summaries = None
+    if external_dir:
+        summary_path = f"{out_dir}/external_summary"
+        hashing.summarize_directory(spark, external_dir, bits).write.mode(mode).parquet(summary_path)
+        summaries = spark.read.parquet(summary_path)
+    annotate.write_annotation(hashing.file_hashes(table, summaries, bits), f"{out_dir}/file_hash", "file_hash",
+                              mode)
+    annotate.write_annotation(mediatypes.file_media_types(table, summaries), f"{out_dir}/media_type",
+                              "media_type", mode)
 
 
 def duplicate_report_job(spark: SparkSession, evidence_path: str, hash_path: str, out_dir: str,

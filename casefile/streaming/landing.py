@@ -1,0 +1,63 @@
+"""Incremental summaries of files arriving in a landing directory.
+
+The batch jobs hash and classify a directory that is complete.  When
+evidence files keep arriving, the same summary ``(path, length, file_hash,
+head)`` is computed by a Structured Streaming query over the binary-file
+source: each micro-batch covers only files not seen before (tracked in the
+query's checkpoint), and is written to ``<out>/epoch=<id>`` with overwrite,
+so a retried epoch replaces its own output instead of duplicating it.
+
+The resulting table is a regular summary frame: ``file_hashes`` and
+``file_media_types`` accept it directly.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql.streaming import StreamingQuery
+
+from casefile.functions.digest import DEFAULT_BITS
+from casefile.operators.hashing import summarize_files
+
+BINARY_FILE_SCHEMA = T.StructType([
+    T.StructField("path", T.StringType(), False),
+    T.StructField("modificationTime", T.TimestampType(), False),
+    T.StructField("length", T.LongType(), False),
+    T.StructField("content", T.BinaryType(), True),
+])
+
+
+def landing_stream(spark: SparkSession, landing_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Streaming frame of new files below ``landing_dir`` (binary-file schema)."""
+    reader = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
+              .option("recursiveFileLookup", "true"))
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    return reader.load(landing_dir)
+
+
+def start_summary_stream(spark: SparkSession, landing_dir: str, out_dir: str, checkpoint_location: str,
+                         bits: int = DEFAULT_BITS, available_now: bool = True,
+                         processing_time: str | None = None) -> StreamingQuery:
+    """Start the query that appends summaries of newly landed files to ``out_dir``.
+
+    ``checkpoint_location`` must be on shared storage.  ``available_now``
+    processes everything present and stops; otherwise the query keeps
+    running with ``processing_time`` triggers.
+    """
+    summaries = summarize_files(landing_stream(spark, landing_dir), bits)
+
+    def write_epoch(batch: DataFrame, epoch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out_dir}/epoch={epoch_id}")
+
+    writer = summaries.writeStream.foreachBatch(write_epoch).option("checkpointLocation", checkpoint_location)
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    elif processing_time:
+        writer = writer.trigger(processingTime=processing_time)
+    return writer.start()
+
+
+def read_summaries(spark: SparkSession, out_dir: str) -> DataFrame:
+    """All summaries written so far (``epoch`` column from the folder layout)."""
+    return spark.read.parquet(out_dir)

@@ -74,3 +74,30 @@ def test_scans_on_edge_rows(spark):
     assert [(r.id, r.file_path) for r in ev.external_original_paths(table).collect()] == [("d1", "o")]
     msg = ev.content_messages(table).first().message
     assert msg == "Entry = d1 with relativePath = o and hdfsPath = /ext/d1 and hbase content size =-1."
+
+
+def test_annotate_job_single_pass_and_heads(spark, tmp_path):
+    from casefile.operators import hashing, mediatypes
+
+    table = make_evidence(spark, [
+        {"id": "e1", "file_path": "a.txt", "file_type": "DATA_FILE", "file_content": b"hello"},
+        {"id": "x1", "file_path": "x.pdf", "file_type": "DATA_FILE", "external_path": "/ext/x1"},
+        {"id": "x2", "file_path": "z.bin", "file_type": "DATA_FILE", "external_path": "/ext/x2"},
+    ])
+    table.write.parquet(str(tmp_path / "evidence"))
+    ext = tmp_path / "ext"
+    ext.mkdir()
+    (ext / "x1").write_bytes(b"%PDF-1.5" + b"\x00" * 5000)
+    (ext / "x2").write_bytes(b"")
+    heads = {r.path.rsplit("/", 1)[-1]: r for r in hashing.read_heads(spark, str(ext)).collect()}
+    assert bytes(heads["x1"].head) == (b"%PDF-1.5" + b"\x00" * 5000)[:512] and bytes(heads["x2"].head) == b""
+    jobs.annotate_job(spark, str(tmp_path / "evidence"), str(ext), str(tmp_path / "out"))
+    merged = {r.id: r for r in jobs.load_evidence(spark, str(tmp_path / "evidence"), str(tmp_path / "out/file_hash"),
+                                                   str(tmp_path / "out/media_type")).collect()}
+    assert merged["x1"].media_type == "application/pdf"
+    assert merged["x2"].file_hash == hashlib.sha512(b"").hexdigest()
+    assert merged["x2"].media_type == "application/octet-stream"
+    assert merged["e1"].media_type == "text/plain"
+    typed = {r.id: r.media_type for r in mediatypes.file_media_types(
+        ev.read_evidence(spark, str(tmp_path / "evidence")), hashing.read_heads(spark, str(ext))).collect()}
+    assert typed == {"e1": "text/plain", "x1": "application/pdf", "x2": "application/octet-stream"}
