@@ -21,12 +21,28 @@ INLINE_LIMIT = 4096
 EXTERNAL_DIR = "/external/"
 
 
+_TABLES: dict[tuple[int, str, str], DataFrame] = {}
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """``spark.read.parquet`` of one generated table, reused per session.
+
+    Reading a Parquet path infers its schema with a small Spark job; the
+    generated tables are read-only, so the frame (schema and file listing)
+    is built once per session and folder.
+    """
+    key = (id(spark), sf_dir, name)
+    if key not in _TABLES:
+        _TABLES[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return _TABLES[key]
+
+
 def _s(name: str):
     return F.col(name).cast("string")
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    read = lambda t: read_table(spark, sf_dir, t)
     docs = read("documents").select(
         F.concat(F.lit("doc-"), _s("doc_id")).alias("id"),
         F.concat("source", F.lit("/"), "lang", F.lit("/"), _s("doc_id"), F.lit(".txt")).alias("file_path"),
