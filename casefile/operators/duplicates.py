@@ -42,17 +42,21 @@ def label_members(hashes: DataFrame, key: str = "file_hash") -> DataFrame:
     return hashes.select(key, "id", "file_path", file_label("id", "file_path").alias("label"))
 
 
-def hash_counts(members: DataFrame, key: str = "file_hash", label: str = "label") -> DataFrame:
-    """``(key, n, first_file)`` for every key; ``first_file`` = smallest label."""
-    return members.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min(label).alias("first_file"),
-    )
+def hash_counts(members: DataFrame, key: str = "file_hash", label: str | None = None) -> DataFrame:
+    """``(key, n)`` for every key, plus ``first_file`` (smallest label) if ``label`` is given.
+
+    Counting alone is a hash aggregate with a fixed-width buffer; the string
+    minimum needs a sort-based aggregate, so it is only computed on request.
+    """
+    aggs = [F.count(F.lit(1)).alias("n")]
+    if label:
+        aggs.append(F.min(label).alias("first_file"))
+    return members.groupBy(key).agg(*aggs)
 
 
-def duplicate_counts(members: DataFrame, key: str = "file_hash", label: str = "label") -> DataFrame:
-    """Keys held by more than one file."""
-    return hash_counts(members, key, label).where(F.col("n") > 1)
+def duplicate_counts(members: DataFrame, key: str = "file_hash") -> DataFrame:
+    """``(key, n)`` of keys held by more than one file."""
+    return hash_counts(members, key).where(F.col("n") > 1)
 
 
 def attach_group_stats(members: DataFrame, stats: DataFrame, key: str,
@@ -63,11 +67,10 @@ def attach_group_stats(members: DataFrame, stats: DataFrame, key: str,
     most ``N / hot_rows`` of them, so the broadcast side is bounded.  The
     rest shuffle on ``key`` after the hot members were dropped map-side.
     """
-    hot = stats.where(F.col("n") > hot_rows)
+    hot = F.broadcast(stats.where(F.col("n") > hot_rows))
     cold = stats.where(F.col("n") <= hot_rows)
-    hot_members = members.join(F.broadcast(hot), on=key, how="inner")
-    cold_members = (members.join(F.broadcast(hot.select(key)), on=key, how="left_anti")
-                    .join(cold, on=key, how="inner"))
+    hot_members = members.join(hot, on=key, how="inner")
+    cold_members = members.join(hot, on=key, how="left_anti").join(cold, on=key, how="inner")
     return hot_members.unionByName(cold_members)
 
 
@@ -83,14 +86,14 @@ def materialize(df: DataFrame) -> DataFrame:
 
 def duplicate_members(members: DataFrame, key: str = "file_hash", label: str = "label",
                       hot_rows: int = HOT_GROUP_ROWS, materialized: bool = False) -> DataFrame:
-    """Long form: every member of a duplicate group with ``n`` and ``first_file``.
+    """Long form: every member of a duplicate group with its group size ``n``.
 
     ``materialized=True`` declares that ``members`` is already cheap to read
     twice (e.g. a Parquet table); otherwise it is checkpointed first.
     """
     if not materialized:
         members = materialize(members)
-    return attach_group_stats(members, duplicate_counts(members, key, label), key, hot_rows)
+    return attach_group_stats(members, duplicate_counts(members, key), key, hot_rows)
 
 
 def part_of(label: Column, n: Column, max_files_per_row: int) -> Column:
@@ -103,7 +106,7 @@ def part_of(label: Column, n: Column, max_files_per_row: int) -> Column:
 def duplicate_files(members: DataFrame, key: str = "file_hash", label: str = "label",
                     max_files_per_row: int = DEFAULT_MAX_FILES_PER_ROW,
                     hot_rows: int = HOT_GROUP_ROWS, materialized: bool = False) -> DataFrame:
-    """List form ``(key, n, first_file, part, files)``; ``files`` sorted labels.
+    """List form ``(key, n, part, files)``; ``files`` are sorted labels.
 
     Groups larger than ``max_files_per_row`` come as several parts.
     """
@@ -112,7 +115,7 @@ def duplicate_files(members: DataFrame, key: str = "file_hash", label: str = "la
     long = duplicate_members(members.select(key, label), key, label, hot_rows, materialized)
     long = long.withColumn("part", part_of(F.col(label), F.col("n"), max_files_per_row))
     return (long.repartition(key, "part")
-            .groupBy(key, "n", "first_file", "part")
+            .groupBy(key, "n", "part")
             .agg(F.array_sort(F.collect_list(label)).alias("files")))
 
 
@@ -123,5 +126,8 @@ def render_files(files: Column | str, sep: str = ";") -> Column:
 
 
 def duplicate_preview(dups: DataFrame, n: int = 20) -> DataFrame:
-    """Top ``n`` rows of the list form, largest groups first (a top-k report)."""
-    return dups.orderBy(F.desc("n"), F.asc("first_file"), F.asc("part")).limit(n)
+    """Top ``n`` rows of the list form, largest groups first (a top-k report).
+
+    Ties are broken by the part's first label, which is unique to the part.
+    """
+    return dups.orderBy(F.desc("n"), F.asc(F.element_at("files", 1))).limit(n)

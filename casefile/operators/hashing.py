@@ -140,11 +140,14 @@ def external_id_collisions(external: DataFrame) -> DataFrame:
     """External files whose name is listed more than once: ``(id, path, n)``.
 
     Long form (one row per colliding file), so a name shared by very many
-    files never becomes one row.
+    files never becomes one row; such a hot name is joined back through the
+    bounded broadcast branch of ``attach_group_stats``.
     """
+    from casefile.operators.duplicates import attach_group_stats
+
     named = external.select(base_name("path").alias("id"), "path")
     counts = named.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    return named.join(counts, "id")
+    return attach_group_stats(named, counts, "id").select("id", "path", "n")
 
 
 def summarize_directory(spark, directory: str, bits: int = DEFAULT_BITS,

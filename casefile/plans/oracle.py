@@ -108,12 +108,12 @@ _FILE_SIZE = ("CASE WHEN file_size IS NOT NULL AND strlen(file_size) > 0 "
 _MAX_FILES_PER_ROW = 1000
 
 _DUP_CTES = f"""
-, g AS (SELECT t, count(*) AS n, min(label) AS first_file FROM files GROUP BY t HAVING count(*) > 1),
-m AS (SELECT files.t, g.first_file, g.n, files.id, files.file_path, files.label,
+, g AS (SELECT t, count(*) AS n FROM files GROUP BY t HAVING count(*) > 1),
+m AS (SELECT files.t, g.n, files.id, files.file_path, files.label,
              {part_sql('files.label', 'g.n', _MAX_FILES_PER_ROW)} AS part
       FROM files JOIN g ON files.t = g.t),
-d AS (SELECT first_file, n, part, string_agg(label, ';' ORDER BY label) AS file_list
-      FROM m GROUP BY first_file, n, part)
+d AS (SELECT n, part, min(label) AS first_label, string_agg(label, ';' ORDER BY label) AS file_list
+      FROM m GROUP BY t, n, part)
 """
 
 
@@ -183,12 +183,10 @@ ORACLE_SQL: dict[str, str] = {
         "SELECT named.id, named.path, c.n FROM named JOIN c ON named.id = c.id"),
     "hash_counts": with_evidence(
         "SELECT min(label) AS first_file, count(*) AS n FROM files GROUP BY t"),
-    "duplicate_files": with_evidence(_DUP_CTES + "SELECT first_file, n, part, file_list FROM d"),
-    "duplicate_members": with_evidence(
-        _DUP_CTES + "SELECT first_file, n, id, file_path, label FROM m"),
+    "duplicate_files": with_evidence(_DUP_CTES + "SELECT n, part, file_list FROM d"),
+    "duplicate_members": with_evidence(_DUP_CTES + "SELECT n, id, file_path, label FROM m"),
     "duplicate_preview": with_evidence(
-        _DUP_CTES + "SELECT first_file, n, part, file_list FROM d "
-        "ORDER BY n DESC, first_file ASC, part ASC LIMIT 20"),
+        _DUP_CTES + "SELECT n, part, file_list FROM d ORDER BY n DESC, first_label ASC LIMIT 20"),
     "duplicate_report_sha256": with_evidence(
         _DUP_CTES + "SELECT 'SHA256-Hash: ' || sha256(t) || ' ' || chr(10) "
         "|| string_agg(label, chr(10) ORDER BY label) || chr(10) || chr(10) AS value "

@@ -122,22 +122,21 @@ def q_external_id_collisions(spark, sf_dir):
 # --- duplicates (SHA-512; digest column left out so DuckDB can check) ---------
 
 def q_hash_counts(spark, sf_dir):
-    return duplicates.hash_counts(_members(spark, sf_dir)).select("first_file", "n")
+    return duplicates.hash_counts(_members(spark, sf_dir), label="label").select("first_file", "n")
 
 
 def q_duplicate_files(spark, sf_dir):
     return duplicates.duplicate_files(_members(spark, sf_dir)).select(
-        "first_file", "n", "part", duplicates.render_files("files").alias("file_list"))
+        "n", "part", duplicates.render_files("files").alias("file_list"))
 
 
 def q_duplicate_members(spark, sf_dir):
-    return duplicates.duplicate_members(_members(spark, sf_dir)).select(
-        "first_file", "n", "id", "file_path", "label")
+    return duplicates.duplicate_members(_members(spark, sf_dir)).select("n", "id", "file_path", "label")
 
 
 def q_duplicate_preview(spark, sf_dir):
     return duplicates.duplicate_preview(duplicates.duplicate_files(_members(spark, sf_dir))).select(
-        "first_file", "n", "part", duplicates.render_files("files").alias("file_list"))
+        "n", "part", duplicates.render_files("files").alias("file_list"))
 
 
 def q_duplicate_report(spark, sf_dir):

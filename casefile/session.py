@@ -64,6 +64,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     local = tempfile.mkdtemp(prefix="casefile-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.conf.set("spark.checkpoint.dir", local)
+    try:
+        spark.conf.set("spark.checkpoint.dir", local)
+    except Exception:  # noqa: BLE001 - some deployments reject runtime core settings
+        pass
     spark.sparkContext.setCheckpointDir(local)
     return local

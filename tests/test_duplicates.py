@@ -16,10 +16,10 @@ def test_groups_labels_null_path_and_semicolon(spark):
                          ("e7", "solo", "c" * 128)])
     got = {r.file_hash: r for r in duplicates.duplicate_files(m).collect()}
     assert set(got) == {h1, h2}
-    assert got[h1].files == ["e3_p/x", "e4_null"] and got[h1].n == 2 and got[h1].first_file == "e3_p/x"
+    assert got[h1].files == ["e3_p/x", "e4_null"] and got[h1].n == 2
     assert got[h2].files == ["e5_p;q", "e6_r"]
-    counts = {r.file_hash: r.n for r in duplicates.hash_counts(m).collect()}
-    assert counts == {h1: 2, h2: 2, "c" * 128: 1}
+    counts = {r.file_hash: (r.n, r.first_file) for r in duplicates.hash_counts(m, label="label").collect()}
+    assert counts == {h1: (2, "e3_p/x"), h2: (2, "e5_p;q"), "c" * 128: (1, "e7_solo")}
 
 
 def test_hot_group_is_split_but_whole(spark):

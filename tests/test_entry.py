@@ -13,7 +13,7 @@ def test_entry_runs(spark):
     df = entry.entry(spark)
     rows = df.collect()
     assert len(rows) == 110  # duplicate groups at sf0.001
-    assert df.columns == ["first_file", "n", "part", "file_list"]
+    assert df.columns == ["n", "part", "file_list"]
 
 
 def test_every_oracle_has_a_query():
