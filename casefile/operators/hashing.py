@@ -46,6 +46,8 @@ def _open_path(path: str):
         while local.startswith("//"):
             local = local[1:]
         return open(local, "rb")
+    if path.startswith(("s3a://", "s3n://")):
+        path = "s3://" + path[6:]
     from pyarrow import fs as pafs
     filesystem, inner = pafs.FileSystem.from_uri(path)
     return filesystem.open_input_stream(inner)
@@ -77,14 +79,19 @@ def _chunked_digest(bits: int, head_bytes: int, chunk_bytes: int):
     return run
 
 
-def summarize_large_files(listing: DataFrame, bits: int = DEFAULT_BITS,
-                          chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Chunked digest + head for ``(path, length)`` rows of files too big to load."""
+def summarize_paths(listing: DataFrame, bits: int = DEFAULT_BITS,
+                    chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Chunked digest + head for ``(path, length)`` rows, reading each file in
+    constant memory inside the task that holds its row."""
     check_bits(bits)
     return listing.select("path", F.col("length").cast("bigint").alias("length")).mapInPandas(
         _chunked_digest(bits, HEAD_BYTES, chunk_bytes), SUMMARY_SCHEMA)
 
 
+# files too big for the binary reader take the chunked path
+summarize_large_files = summarize_paths
+
+
 def summarize_files(files: DataFrame, bits: int = DEFAULT_BITS,
                     max_length: int | None = None) -> DataFrame:
     """Summaries for a binary-file frame ``(path, length, content)``.
@@ -151,12 +158,22 @@ def external_id_collisions(external: DataFrame) -> DataFrame:
 
 
 def summarize_directory(spark, directory: str, bits: int = DEFAULT_BITS,
-                        include_empty: bool = True, max_length: int | None = None) -> DataFrame:
+                        include_empty: bool = True, max_length: int | None = None,
+                        listing: str = "index") -> DataFrame:
     """Summaries of every file below ``directory``.
 
-    Zero-length files, which the binary reader skips, are added from the file
-    inventory when ``include_empty`` is set, so every listed file is covered.
+    ``listing="index"`` lists with Spark's file index and hashes in the JVM;
+    zero-length files, which that reader skips, are added from the file
+    inventory when ``include_empty`` is set.  ``listing="inventory"`` lists
+    with the executor-side inventory source (no file list on the driver, for
+    very large trees) and hashes every file with the chunked reader.
     """
+    if listing == "inventory":
+        from casefile.sources.inventory import file_inventory
+
+        return summarize_paths(file_inventory(spark, directory).select("path", "length"), bits)
+    if listing != "index":
+        raise ValueError("listing must be 'index' or 'inventory'")
     out = summarize_files(binary_files(spark, directory), bits, max_length)
     if include_empty:
         out = out.unionByName(empty_file_summaries(zero_length_files(spark, directory), bits))
@@ -179,16 +196,24 @@ def _head_reader(head_bytes: int):
 HEAD_SCHEMA = T.StructType([f for f in SUMMARY_SCHEMA.fields if f.name != "file_hash"])
 
 
-def read_heads(spark, directory: str, include_empty: bool = True) -> DataFrame:
-    """``(path, length, head)`` of every file below ``directory``, reading only
-    the first ``HEAD_BYTES`` bytes of each file.
+SMALL_FILE_BYTES = 64 * 1024
+
+
+def read_heads(spark, directory: str, include_empty: bool = True,
+               small_file_bytes: int = SMALL_FILE_BYTES) -> DataFrame:
+    """``(path, length, head)`` of every file below ``directory``.
 
-    Media-type detection needs nothing more, so this never reads whole files:
-    the listing comes from Spark's file index (content column pruned) and
-    each task opens its files and reads their heads.
+    Media-type detection needs only the first ``HEAD_BYTES`` bytes.  Small
+    files (one read either way) are loaded by the JVM binary reader; larger
+    files are opened by their task, which reads just the head, so big files
+    are never read whole.  Both branches filter the same listing on
+    ``length``, which the reader applies before loading any bytes.
     """
-    listing = binary_files(spark, directory).select("path", "length")
-    heads = listing.mapInPandas(_head_reader(HEAD_BYTES), HEAD_SCHEMA)
+    files = binary_files(spark, directory)
+    small = files.where(F.col("length") <= small_file_bytes).select(
+        "path", F.col("length").cast("bigint").alias("length"), F.substring("content", 1, HEAD_BYTES).alias("head"))
+    large = files.where(F.col("length") > small_file_bytes).select("path", "length")
+    heads = small.unionByName(large.mapInPandas(_head_reader(HEAD_BYTES), HEAD_SCHEMA))
     if include_empty:
         heads = heads.unionByName(zero_length_files(spark, directory).select(
             "path", F.lit(0).cast("bigint").alias("length"), F.lit(b"").cast("binary").alias("head")))

@@ -6,10 +6,13 @@ Names starting with ``.`` or ``_`` are skipped (files and directories) unless
 ``includeHidden`` is set, the same rule the binary-file reader applies.
 
 Partitioning: the driver expands the tree breadth-first only until it has
-``targetPartitions`` directories (or the tree ends); each remaining subtree is
-walked by an executor task, and files met during the expansion are handed out
-in chunks.  The attribute lookups (``stat``, extended attributes) all run in
-executor tasks.  The storage must be mounted at the same path on every
+``targetPartitions`` directories (or the tree ends), counting the files of
+each expanded directory without keeping their names.  A directory with many
+files becomes several work units, each taking the names whose CRC32 falls in
+its slice, so no file list passes through the driver and a huge flat
+directory is spread over many tasks.  Each remaining subtree is walked by an
+executor task.  The attribute lookups (``stat``, extended attributes) all run
+in executor tasks.  The storage must be mounted at the same path on every
 worker.  HDFS-only fields (block size, replication, checksum) are NULL.
 """
 
@@ -27,7 +30,7 @@ INVENTORY_DDL = (
     "checksum string, checksum_algorithm string, xattrs map<string,string>"
 )
 
-FILES_PER_CHUNK = 2000
+FILES_PER_SLICE = 20000
 
 
 def _hidden(name: str) -> bool:
@@ -46,13 +49,59 @@ def _uri(path: str) -> str:
     return "file:" + os.path.abspath(path)
 
 
-def _partition(files=(), trees=()) -> InputPartition:
-    """A work unit: explicit files plus subtrees to walk."""
-    return InputPartition((list(files), list(trees)))
+def _slice_unit(directory: str, k: int, n_slices: int) -> InputPartition:
+    """Files of ``directory`` (not below it) whose name hashes to slice ``k``."""
+    return InputPartition(("slice", directory, k, n_slices))
+
+
+def _tree_unit(directories: list[str]) -> InputPartition:
+    """Whole subtrees, walked by the task."""
+    return InputPartition(("trees", list(directories), 0, 1))
+
+
+def _in_slice(name: str, k: int, n_slices: int) -> bool:
+    import zlib
+
+    return n_slices == 1 or zlib.crc32(name.encode("utf-8", "surrogateescape")) % n_slices == k
+
+
+def _count_and_dirs(directory: str, include_hidden: bool):
+    """Number of files in ``directory`` and its subdirectories (names not kept)."""
+    n_files, dirs = 0, []
+    try:
+        with os.scandir(directory) as it:
+            for entry in it:
+                if not include_hidden and _hidden(entry.name):
+                    continue
+                try:
+                    if entry.is_dir(follow_symlinks=False):
+                        dirs.append(entry.path)
+                    elif entry.is_file():
+                        n_files += 1
+                except OSError:
+                    continue
+    except (FileNotFoundError, NotADirectoryError, PermissionError):
+        pass
+    return n_files, dirs
+
+
+def _iter_slice(directory: str, k: int, n_slices: int, include_hidden: bool):
+    """Stream the files of one directory that fall in slice ``k`` (no full listing kept)."""
+    try:
+        with os.scandir(directory) as it:
+            for entry in it:
+                if (include_hidden or not _hidden(entry.name)) and _in_slice(entry.name, k, n_slices):
+                    try:
+                        if entry.is_file() and not entry.is_dir(follow_symlinks=False):
+                            yield entry.path
+                    except OSError:
+                        continue
+    except (FileNotFoundError, NotADirectoryError, PermissionError):
+        return
 
 
 def _scan(directory: str, include_hidden: bool):
-    """Yield ``(files, subdirectories)`` entries of one directory."""
+    """``(files, subdirectories)`` of one directory."""
     files, dirs = [], []
     try:
         with os.scandir(directory) as it:
@@ -109,43 +158,45 @@ class FileInventoryReader(DataSourceReader):
         self.recursive = str(options.get("recursive", "true")).lower() == "true"
         self.include_hidden = str(options.get("includeHidden", "false")).lower() == "true"
         self.target = max(1, int(options.get("targetPartitions", "64")))
+        self.files_per_slice = max(1, int(options.get("filesPerSlice", str(FILES_PER_SLICE))))
 
     def partitions(self):
         if os.path.isfile(self.root):
-            return [_partition(files=[self.root])]
-        loose, frontier = [], [self.root]
+            return [InputPartition(("file", self.root, 0, 1))]
+        units, frontier = [], [self.root]
         while frontier and len(frontier) < self.target:
-            files, next_frontier = [], []
+            next_frontier = []
             for directory in frontier:
-                f, d = _scan(directory, self.include_hidden)
-                files.extend(f)
-                next_frontier.extend(d)
-            loose.extend(files)
+                n_files, dirs = _count_and_dirs(directory, self.include_hidden)
+                n_slices = max(1, -(-n_files // self.files_per_slice))
+                if n_files:
+                    units.extend(_slice_unit(directory, k, n_slices) for k in range(n_slices))
+                next_frontier.extend(dirs)
             frontier = next_frontier if self.recursive else []
-        parts = [_partition(files=loose[i:i + FILES_PER_CHUNK])
-                 for i in range(0, len(loose), FILES_PER_CHUNK)]
-        n_tree_parts = min(len(frontier), self.target)
-        for k in range(n_tree_parts):
-            parts.append(_partition(trees=frontier[k::n_tree_parts]))
-        return parts or [_partition()]
+        n_tree_units = min(len(frontier), self.target)
+        units.extend(_tree_unit(frontier[k::n_tree_units]) for k in range(n_tree_units))
+        return units or [_tree_unit([])]
+
+    def _files_of(self, unit):
+        kind, where, k, n_slices = unit
+        if kind == "file":
+            yield where
+        elif kind == "slice":
+            yield from _iter_slice(where, k, n_slices, self.include_hidden)
+        else:
+            for top in where:
+                stack = [top]
+                while stack:
+                    files, dirs = _scan(stack.pop(), self.include_hidden)
+                    yield from sorted(files)
+                    stack.extend(dirs)
 
     def read(self, partition):
-        files, trees = partition.value
-        for path in sorted(files):
+        for path in self._files_of(partition.value):
             try:
                 yield _attributes(path)
             except OSError:
                 continue
-        for top in trees:
-            stack = [top]
-            while stack:
-                files, dirs = _scan(stack.pop(), self.include_hidden)
-                for path in sorted(files):
-                    try:
-                        yield _attributes(path)
-                    except OSError:
-                        continue
-                stack.extend(dirs)
 
 
 class FileInventoryDataSource(DataSource):
@@ -165,7 +216,8 @@ def register(spark: SparkSession) -> None:
 
 
 def file_inventory(spark: SparkSession, directory: str, recursive: bool = True,
-                   include_hidden: bool = False, target_partitions: int | None = None) -> DataFrame:
+                   include_hidden: bool = False, target_partitions: int | None = None,
+                   files_per_slice: int = FILES_PER_SLICE) -> DataFrame:
     """Attributes of every file below ``directory`` (zero-length files included)."""
     register(spark)
     target = target_partitions or spark.sparkContext.defaultParallelism * 4
@@ -173,6 +225,7 @@ def file_inventory(spark: SparkSession, directory: str, recursive: bool = True,
             .option("recursive", str(recursive).lower())
             .option("includeHidden", str(include_hidden).lower())
             .option("targetPartitions", str(target))
+            .option("filesPerSlice", str(files_per_slice))
             .load(directory))
 
 

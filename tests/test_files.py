@@ -87,3 +87,14 @@ def test_directory_reports_written(spark, tree, tmp_path):
     meta = "".join(open(os.path.join(out, "meta", f)).read()
                    for f in sorted(os.listdir(out + "/meta")) if f.startswith("part-"))
     assert meta.count("File Path =file:/") == 8 and "Permissions =" in meta
+
+
+def test_flat_directory_is_sliced_without_losing_files(spark, tmp_path):
+    flat = tmp_path / "flat"
+    flat.mkdir()
+    for i in range(230):
+        (flat / f"f{i:03d}").write_bytes(b"x" * (i % 7))
+    df = inventory.file_inventory(spark, str(flat), files_per_slice=50)
+    assert df.rdd.getNumPartitions() == 5
+    names = [r.path.rsplit("/", 1)[-1] for r in df.collect()]
+    assert sorted(names) == [f"f{i:03d}" for i in range(230)]

@@ -70,3 +70,17 @@ def test_summary_never_reads_content_for_large(spark, tmp_path):
     _, large = split_by_length(binary_files(spark, str(tmp_path)), 10)
     assert "content" not in large.columns
     assert large.select(F.col("length")).first()[0] == 100
+
+
+def test_inventory_listing_route_and_heads(spark, tmp_path):
+    big = b"%PDF-" + bytes(range(256)) * 400
+    (tmp_path / "big").write_bytes(big)
+    (tmp_path / "small").write_bytes(b"tiny")
+    (tmp_path / "empty").write_bytes(b"")
+    via_index = {r.path: r.file_hash for r in hashing.summarize_directory(spark, str(tmp_path)).collect()}
+    via_inv = {r.path: r.file_hash for r in
+               hashing.summarize_directory(spark, str(tmp_path), listing="inventory").collect()}
+    assert via_index == via_inv and len(via_inv) == 3
+    heads = {r.path.rsplit("/", 1)[-1]: bytes(r.head) for r in
+             hashing.read_heads(spark, str(tmp_path), small_file_bytes=100).collect()}
+    assert heads == {"big": big[:512], "small": b"tiny", "empty": b""}
