@@ -61,7 +61,11 @@ def scans(df: DataFrame) -> list[dict]:
     found = []
     for node in plan_nodes(df):
         if node.nodeName().startswith("Scan"):
-            meta = node.metadata()
+            try:
+                meta = node.metadata()
+            except Exception:  # noqa: BLE001 - scans without file metadata (RDD, Python source)
+                found.append({"node": node.nodeName(), "read_schema": None, "pushed_filters": None})
+                continue
             found.append({
                 "node": node.nodeName(),
                 "read_schema": meta.get("ReadSchema").getOrElse(None) if meta.contains("ReadSchema") else None,

@@ -43,6 +43,7 @@ def get_session(master: str | None = None, app_name: str = "casefile",
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
@@ -70,3 +71,32 @@ def checkpoint_dir(spark: SparkSession) -> str:
         pass
     spark.sparkContext.setCheckpointDir(local)
     return local
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``casefile`` importable in Python workers (``addPyFile`` of a zip).
+
+    Python data sources and ``mapInPandas`` functions are unpickled in the
+    workers, which then import this package.  On a cluster one would pass
+    ``--py-files``; this does the same at runtime, once per SparkContext.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    package_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(package_dir)
+    target = os.path.join(tempfile.mkdtemp(prefix="casefile-pkg-"), "casefile.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as zf:
+        for folder, _, names in os.walk(package_dir):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    zf.write(full, os.path.relpath(full, root))
+    sc.addPyFile(target)
+    _SHIPPED.add(key)
