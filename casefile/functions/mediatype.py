@@ -159,6 +159,7 @@ PARENT_TYPES: dict[str, str] = {
     "video/x-m4v": "video/mp4", "application/x-sharedlib": "application/x-executable",
 }
 
+
 def _check_prefix_free() -> None:
     sigs = [h.upper() for _, h in SIGNATURES]
     for i, x in enumerate(sigs):

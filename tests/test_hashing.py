@@ -84,3 +84,13 @@ def test_inventory_listing_route_and_heads(spark, tmp_path):
     heads = {r.path.rsplit("/", 1)[-1]: bytes(r.head) for r in
              hashing.read_heads(spark, str(tmp_path), small_file_bytes=100).collect()}
     assert heads == {"big": big[:512], "small": b"tiny", "empty": b""}
+
+
+def test_chunked_route_opens_names_with_spaces_and_percent(spark, tmp_path):
+    from casefile.sources.files import binary_files
+
+    (tmp_path / "a b%20.bin").write_bytes(b"odd name")
+    out = hashing.summarize_files(binary_files(spark, str(tmp_path)), max_length=1).collect()
+    assert [r.file_hash for r in out] == [hashlib.sha512(b"odd name").hexdigest()]
+    heads = hashing.read_heads(spark, str(tmp_path), small_file_bytes=1).collect()
+    assert [bytes(r.head) for r in heads] == [b"odd name"]
