@@ -28,6 +28,9 @@ SUMMARY_SCHEMA = T.StructType([
 ])
 
 CHUNK_BYTES = 1 << 20
+# Files above this size are streamed in chunks instead of loaded as one value,
+# so no task holds a large file in memory (the binary reader's own limit is 2 GiB).
+STREAM_ABOVE_BYTES = 64 << 20
 
 
 def summarize_content(files: DataFrame, bits: int = DEFAULT_BITS) -> DataFrame:
@@ -96,10 +99,12 @@ def summarize_files(files: DataFrame, bits: int = DEFAULT_BITS,
                     max_length: int | None = None) -> DataFrame:
     """Summaries for a binary-file frame ``(path, length, content)``.
 
-    Files longer than ``max_length`` (default: the session's binary reader
-    limit) take the chunked route; their content column is never read.
+    Files longer than ``max_length`` (default: 64 MiB, never above the
+    session's binary reader limit) take the chunked route; their content
+    column is never read, so task memory does not grow with file size.
     """
-    limit = max_binary_length(files.sparkSession) if max_length is None else max_length
+    reader_limit = max_binary_length(files.sparkSession)
+    limit = min(STREAM_ABOVE_BYTES if max_length is None else max_length, reader_limit)
     small, large = split_by_length(files, limit)
     return summarize_content(small, bits).unionByName(summarize_large_files(large, bits))
 
