@@ -197,6 +197,19 @@ def q_directory_duplicates(spark, sf_dir):
     return reports.duplicate_report(jobs.directory_duplicates(spark, sf_dir))
 
 
+def q_landing_summaries(spark, sf_dir):
+    """Structured Streaming over ``sf_dir`` as a landing folder (availableNow)."""
+    import uuid
+
+    from casefile.session import checkpoint_dir
+    from casefile.streaming import landing
+
+    work = f"{checkpoint_dir(spark).rstrip('/')}/landing-{uuid.uuid4().hex}"
+    query = landing.start_summary_stream(spark, sf_dir, f"{work}/out", f"{work}/state")
+    query.awaitTermination()
+    return landing.read_summaries(spark, f"{work}/out").select("path", "length", "file_hash")
+
+
 def q_file_inventory(spark, sf_dir):
     return inventory.file_inventory(spark, sf_dir).select("path", "length", "permissions", "owner", "group")
 

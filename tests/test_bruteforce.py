@@ -58,3 +58,12 @@ def test_directory_hashes_and_listing(spark):
     inv = {r.path.rsplit("/", 1)[-1]: r.length for r in entry.queries()["file_inventory"](spark, SF).collect()}
     assert inv == {n: os.path.getsize(os.path.join(SF, n)) for n in want}
     assert entry.queries()["directory_duplicates"](spark, SF).count() == 0
+
+
+def test_landing_summaries_match_hashlib(spark):
+    got = {r.path.rsplit("/", 1)[-1]: r.file_hash for r in entry.queries()["landing_summaries"](spark, SF).collect()}
+    want = {}
+    for name in os.listdir(SF):
+        with open(os.path.join(SF, name), "rb") as fh:
+            want[name] = hashlib.sha512(fh.read()).hexdigest()
+    assert got == want
