@@ -97,7 +97,8 @@ summarize_large_files = summarize_paths
 
 def summarize_files(files: DataFrame, bits: int = DEFAULT_BITS,
                     max_length: int | None = None) -> DataFrame:
-    """Summaries for a binary-file frame ``(path, length, content)``.
+    """Summaries for a binary-file frame ``(path, length, content)`` read from
+    storage (``binary_files``), whose paths the chunked route can open.
 
     Files longer than ``max_length`` (default: 64 MiB, never above the
     session's binary reader limit) take the chunked route; their content

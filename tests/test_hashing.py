@@ -31,7 +31,7 @@ def test_inline_hashes_skip_missing_and_empty(spark):
 
 def _summaries(spark, rows):
     df = spark.createDataFrame(rows, "path string, length bigint, content binary")
-    return hashing.summarize_files(df)
+    return hashing.summarize_content(df)
 
 
 def test_external_wins_and_orphans(spark):

@@ -81,11 +81,11 @@ def test_inline_mismatch_and_counts(spark):
 
 
 def test_external_join_uses_name_and_drops_orphans(spark):
-    from casefile.operators.hashing import summarize_files
+    from casefile.operators.hashing import summarize_content
 
     ev = make_evidence(spark, [{"id": "r3", "file_path": "docs/a.docx", "external_path": "/ext/r3"},
                                {"id": "r4", "file_path": "x.png", "external_path": "/ext/r4"}])
-    ext = summarize_files(spark.createDataFrame(
+    ext = summarize_content(spark.createDataFrame(
         [("/ext/r3", 8, b"PK\x03\x04abcd"), ("/ext/r4", 4, b"\xff\xd8\xff\xe0"), ("/ext/orphan", 1, b"a")],
         "path string, length bigint, content binary"))
     got = {r.id: r.media_type for r in mediatypes.external_media_types(ev, ext).collect()}

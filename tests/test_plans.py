@@ -43,6 +43,6 @@ def test_duplicate_list_form_shuffles_on_key_and_part(spark):
 def test_external_summary_drops_content_before_join(spark):
     from casefile.sources import testdata
 
-    summaries = hashing.summarize_files(testdata.external_store(spark, SF))
+    summaries = hashing.summarize_content(testdata.external_store(spark, SF))
     df = mediatypes.external_media_types(testdata.evidence_from_testdata(spark, SF), summaries)
     assert inspect.binary_in_shuffles(df) == []
