@@ -61,8 +61,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this folder is provided by the deployment and must be on
-    shared storage.  Only when it is unset (local tests) a fresh folder is
-    created and registered.
+    shared storage; if it is missing there, this fails rather than fall back
+    to a machine-local folder.  Only a local-mode session without the setting
+    (tests) gets a fresh scratch folder.
     """
     configured = (spark.conf.get("spark.checkpoint.dir", None)
                   or spark.sparkContext.getConf().get("spark.checkpoint.dir", None))
@@ -74,6 +75,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder on shared storage "
+                           "(casefile materialises intermediate results there)")
     local = tempfile.mkdtemp(prefix="casefile-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     try:
         spark.conf.set("spark.checkpoint.dir", local)
