@@ -63,6 +63,9 @@ SIGNATURES: list[tuple[str, str]] = [
     ("audio/mpeg", "494433"),
     ("video/mpeg", "000001BA"),
     ("video/mpeg", "000001B3"),
+    ("text/plain", "EFBBBF"),
+    ("text/plain", "FEFF"),
+    ("text/plain", "FFFE"),
 ]
 
 # Signatures made of several (offset, hex bytes) conditions,

@@ -33,6 +33,8 @@ CASES = [
     (b"tab\tok\r\n", None, "text/plain", "text/plain"),
     (b"bell\x07", "a.txt", OCTET_STREAM, "text/plain"),
     (b"", "a.txt", OCTET_STREAM, "text/plain"),
+    ("hi there".encode("utf-16-le").join([b"\xff\xfe", b""]), "u.csv", "text/plain", "text/csv"),
+    (b"\xef\xbb\xbfplain", None, "text/plain", "text/plain"),
 ]
 
 
