@@ -18,6 +18,7 @@ worker.  HDFS-only fields (block size, replication, checksum) are NULL.
 
 from __future__ import annotations
 
+import functools
 import os
 import stat as pystat
 
@@ -120,17 +121,27 @@ def _scan(directory: str, include_hidden: bool):
     return files, dirs
 
 
-def _name_of(lookup, key):
+@functools.lru_cache(maxsize=4096)
+def _user_name(uid: int) -> str:
+    import pwd
+
     try:
-        return lookup(key)
+        return pwd.getpwuid(uid).pw_name
     except (KeyError, OverflowError):
-        return str(key)
+        return str(uid)
 
 
-def _attributes(path: str):
+@functools.lru_cache(maxsize=4096)
+def _group_name(gid: int) -> str:
     import grp
-    import pwd
 
+    try:
+        return grp.getgrgid(gid).gr_name
+    except (KeyError, OverflowError):
+        return str(gid)
+
+
+def _attributes(path: str):
     st = os.stat(path)
     xattrs = {}
     try:
@@ -143,8 +154,8 @@ def _attributes(path: str):
         xattrs = {}
     return (
         _uri(path),
-        _name_of(lambda u: pwd.getpwuid(u).pw_name, st.st_uid),
-        _name_of(lambda g: grp.getgrgid(g).gr_name, st.st_gid),
+        _user_name(st.st_uid),
+        _group_name(st.st_gid),
         pystat.filemode(st.st_mode)[1:],
         int(st.st_size), None, None,
         int(st.st_atime_ns // 1_000_000), int(st.st_mtime_ns // 1_000_000),
