@@ -231,6 +231,25 @@ def _bytes_at(head: Column, offset: int, hex_bytes: str) -> Column:
 SIGNATURE_HEX_CHARS = 2 * max(len(h) // 2 for _, h in SIGNATURES)
 
 
+_LITERALS: dict[tuple[int, str], Column] = {}
+
+
+def _literal(name: str, build) -> Column:
+    """A literal lookup table as a Column, built once per SparkContext.
+
+    The tables hold a few hundred literals; building them costs one py4j
+    call per literal, so they are reused across queries (Columns are
+    immutable expressions).
+    """
+    from pyspark import SparkContext
+
+    sc = SparkContext._active_spark_context
+    key = (id(sc._jsc) if sc is not None else 0, name)
+    if key not in _LITERALS:
+        _LITERALS[key] = build()
+    return _LITERALS[key]
+
+
 def head_of(content: Column) -> Column:
     """The bytes the rules look at."""
     return F.substring(content, 1, HEAD_BYTES)
@@ -243,7 +262,8 @@ def _signature_type(head_hex: Column) -> Column:
         by_length.setdefault(len(hex_bytes), []).append((hex_bytes.upper(), media_type))
     lookups = []
     for n_chars, entries in sorted(by_length.items()):
-        table = F.create_map(*[F.lit(x) for kv in sorted(entries) for x in kv])
+        table = _literal(f"signatures{n_chars}",
+                         lambda e=entries: F.create_map(*[F.lit(x) for kv in sorted(e) for x in kv]))
         lookups.append(F.element_at(table, F.substring(head_hex, 1, n_chars)))
     return F.coalesce(*lookups)
 
@@ -257,8 +277,8 @@ def _compound_type(head: Column) -> Column:
 
 
 def _tag_type(head_text: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for t, tag in sorted(TEXT_MAGIC_RULES, key=lambda r: r[1])
-                           for x in (tag[1:], t)])
+    table = _literal("tags", lambda: F.create_map(
+        *[F.lit(x) for t, tag in sorted(TEXT_MAGIC_RULES, key=lambda r: r[1]) for x in (tag[1:], t)]))
     return F.element_at(table, F.lower(F.regexp_extract(head_text, _tag_pattern(), 1)))
 
 
@@ -282,13 +302,14 @@ def magic_type(content: Column) -> Column:
 
 def name_type(path: Column) -> Column:
     """Media type named by the extension of the last path segment, or NULL."""
-    table = F.create_map(*[F.lit(x) for kv in sorted(EXTENSION_TYPES.items()) for x in kv])
+    table = _literal("extensions", lambda: F.create_map(
+        *[F.lit(x) for kv in sorted(EXTENSION_TYPES.items()) for x in kv]))
     return F.element_at(table, extension(path))
 
 
 def _lineage_map() -> Column:
-    return F.create_map(*[F.lit(x) for t in sorted(set(EXTENSION_TYPES.values()))
-                          for x in (t, _ancestor_text(t))])
+    return _literal("lineage", lambda: F.create_map(
+        *[F.lit(x) for t in sorted(set(EXTENSION_TYPES.values())) for x in (t, _ancestor_text(t))]))
 
 
 def refine(content_type: Column, candidate: Column) -> Column:
@@ -317,6 +338,10 @@ def refine_by_name(content_type: Column, path: Column) -> Column:
 _TMP = "__casefile_"
 
 
+def _columns_except(df: DataFrame, name: str) -> list[Column]:
+    return [F.col(f"`{c}`") for c in df.columns if c != name]
+
+
 def with_content_type(df: DataFrame, content: str, out: str = "content_type") -> DataFrame:
     """Add the content-only verdict of binary column ``content`` as ``out``.
 
@@ -324,11 +349,11 @@ def with_content_type(df: DataFrame, content: str, out: str = "content_type") ->
     those columns once each instead of re-slicing the content per rule.
     """
     head, text, hexed = _TMP + "head", _TMP + "text", _TMP + "hex"
-    return (df.withColumn(head, head_of(F.col(content)))
-            .withColumn(text, F.decode(F.col(head), "ISO-8859-1"))
-            .withColumn(hexed, F.hex(F.substring(F.col(head), 1, SIGNATURE_HEX_CHARS // 2)))
-            .withColumn(out, type_of_head(F.col(head), F.col(text), F.col(hexed)))
-            .drop(head, text, hexed))
+    keep = _columns_except(df, out)
+    staged = df.select(*keep, head_of(F.col(content)).alias(head))
+    staged = staged.select(*keep, head, F.decode(F.col(head), "ISO-8859-1").alias(text),
+                           F.hex(F.substring(F.col(head), 1, SIGNATURE_HEX_CHARS // 2)).alias(hexed))
+    return staged.select(*keep, type_of_head(F.col(head), F.col(text), F.col(hexed)).alias(out))
 
 
 def with_media_type(df: DataFrame, content_type: str, path: Column | str,
@@ -336,9 +361,9 @@ def with_media_type(df: DataFrame, content_type: str, path: Column | str,
     """Add ``out`` = ``content_type`` refined by the file name in ``path``."""
     cand = _TMP + "candidate"
     path_col = F.col(path) if isinstance(path, str) else path
-    return (df.withColumn(cand, name_type(path_col))
-            .withColumn(out, refine(F.col(content_type), F.col(cand)))
-            .drop(cand))
+    keep = _columns_except(df, out)
+    staged = df.select(*keep, name_type(path_col).alias(cand))
+    return staged.select(*keep, refine(F.col(content_type), F.col(cand)).alias(out))
 
 
 # --- the same tables as DuckDB SQL (oracle side) ---------------------------
