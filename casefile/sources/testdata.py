@@ -82,8 +82,26 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("n_bytes", F.octet_length("t").cast("bigint")))
 
 
+def _memo(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """Reuse a derived frame per session and folder (immutable plan; every
+    action still scans and computes from the tables)."""
+    key = (id(spark), sf_dir, name)
+    if key not in _TABLES:
+        _TABLES[key] = build()
+    return _TABLES[key]
+
+
 def evidence_from_testdata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence table (canonical schema) derived from the generated tables."""
+    return _memo(spark, sf_dir, "#evidence", lambda: _evidence(spark, sf_dir))
+
+
+def external_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """External large-file store as ``(path, length, content)``; file name = row id."""
+    return _memo(spark, sf_dir, "#external", lambda: _external(spark, sf_dir))
+
+
+def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _files(spark, sf_dir)
     return conform(f.select(
         "id", "file_path", "file_type",
@@ -94,8 +112,7 @@ def evidence_from_testdata(spark: SparkSession, sf_dir: str) -> DataFrame:
     ))
 
 
-def external_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """External large-file store as ``(path, length, content)``; file name = row id."""
+def _external(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _files(spark, sf_dir)
     return (f.where(F.col("n_bytes") > INLINE_LIMIT)
             .select(F.concat(F.lit(EXTERNAL_DIR), "id").alias("path"),
