@@ -38,14 +38,16 @@ def landing_stream(spark: SparkSession, landing_dir: str, max_files_per_trigger:
 
 def start_summary_stream(spark: SparkSession, landing_dir: str, out_dir: str, checkpoint_location: str,
                          bits: int = DEFAULT_BITS, available_now: bool = True,
-                         processing_time: str | None = None) -> StreamingQuery:
+                         processing_time: str | None = None,
+                         max_files_per_trigger: int | None = None) -> StreamingQuery:
     """Start the query that appends summaries of newly landed files to ``out_dir``.
 
     ``checkpoint_location`` must be on shared storage.  ``available_now``
     processes everything present and stops; otherwise the query keeps
-    running with ``processing_time`` triggers.
+    running with ``processing_time`` triggers.  ``max_files_per_trigger``
+    bounds each micro-batch when a large backlog lands at once.
     """
-    summaries = summarize_files(landing_stream(spark, landing_dir), bits)
+    summaries = summarize_files(landing_stream(spark, landing_dir, max_files_per_trigger), bits)
 
     def write_epoch(batch: DataFrame, epoch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out_dir}/epoch={epoch_id}")

@@ -17,11 +17,12 @@ def test_landing_stream_is_incremental(spark, tmp_path):
     assert set(first) == {"f1", "f2"}
     assert first["f2"].file_hash == hashlib.sha512(b"two").hexdigest()
     (land / "f3").write_bytes(b"three")
-    q = landing.start_summary_stream(spark, str(land), out, ckpt)
+    (land / "f4").write_bytes(b"four")
+    q = landing.start_summary_stream(spark, str(land), out, ckpt, max_files_per_trigger=1)
     q.awaitTermination(120)
     rows = landing.read_summaries(spark, out).collect()
-    assert sorted(r.path.rsplit("/", 1)[-1] for r in rows) == ["f1", "f2", "f3"]
-    assert len({r.epoch for r in rows}) == 2
+    assert sorted(r.path.rsplit("/", 1)[-1] for r in rows) == ["f1", "f2", "f3", "f4"]
+    assert len({r.epoch for r in rows}) == 3
     ev = make_evidence(spark, [{"id": "f1", "file_path": "doc.pdf", "external_path": "/landing/a/f1"}])
     hashes = {r.id: r.file_hash for r in
               hashing.file_hashes(ev, landing.read_summaries(spark, out)).collect()}
