@@ -46,3 +46,14 @@ def test_external_summary_drops_content_before_join(spark):
     summaries = hashing.summarize_content(testdata.external_store(spark, SF))
     df = mediatypes.external_media_types(testdata.evidence_from_testdata(spark, SF), summaries)
     assert inspect.binary_in_shuffles(df) == []
+
+
+def test_media_type_stages_compile(spark):
+    """Generated code must compile (no silent fallback to interpreted evaluation)."""
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        for name in ["inline_media_type_mismatch", "file_media_types", "external_media_type_mismatch",
+                     "media_type_counts", "merged_media_types"]:
+            QUERIES[name](spark, SF).write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
