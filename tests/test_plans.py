@@ -18,6 +18,11 @@ def test_metadata_scan_prunes_content(spark, tmp_path):
     s = inspect.scans(ev.external_original_paths(table))
     assert "IsNotNull(external_path)" in s[0]["pushed_filters"]
     assert "file_content" not in s[0]["read_schema"]
+    s = inspect.scans(hashing.file_hashes(table))
+    assert s[0]["read_schema"] == "struct<id:string,file_content:binary>"
+    assert "IsNotNull(file_content)" in s[0]["pushed_filters"]
+    s = inspect.scans(mediatypes.inline_media_types(table))
+    assert s[0]["read_schema"] == "struct<id:string,file_path:string,file_content:binary>"
 
 
 def test_no_binary_crosses_a_shuffle(spark):
