@@ -7,11 +7,12 @@ Scale design
 ------------
 * Counting per key is a partial + final hash aggregate (map-side combine),
   so a key held by a third of all files costs one small row per map task.
-* Group sizes are joined back onto the members without a hot partition:
-  keys held by more than ``hot_rows`` files are at most ``N / hot_rows``
-  (N = member count), a proven bound, so they are broadcast and joined
-  map-side; all other keys take a shuffle join in which no key exceeds
-  ``hot_rows`` rows, with the hot members removed map-side beforehand.
+* Group sizes are joined back onto the members without a hot partition.
+  The hot threshold is ``max(1,000,000, ceil(N / 10,000))`` for N members,
+  so at most 10,000 keys can exceed it: a constant bound on the broadcast
+  side.  Hot keys are broadcast and joined map-side; all other keys take a
+  shuffle join in which no key exceeds the threshold, with the hot members
+  removed map-side beforehand.
 * Groups are never materialised in one row or task.  ``duplicate_members``
   is the long form (one row per file).  ``duplicate_files`` is the list form:
   a group of ``n`` files is split into ``ceil(n / max_files_per_row)`` parts
@@ -35,6 +36,7 @@ from casefile.session import checkpoint_dir
 
 DEFAULT_MAX_FILES_PER_ROW = 1000
 HOT_GROUP_ROWS = 1_000_000
+MAX_HOT_KEYS = 10_000
 
 
 def label_members(hashes: DataFrame, key: str = "file_hash") -> DataFrame:
@@ -59,14 +61,23 @@ def duplicate_counts(members: DataFrame, key: str = "file_hash") -> DataFrame:
     return hash_counts(members, key).where(F.col("n") > 1)
 
 
+def hot_threshold(members: DataFrame) -> int:
+    """Group size above which a key counts as hot: at most ``MAX_HOT_KEYS``
+    keys can exceed it, because their sizes add up to at most N."""
+    total = members.count()
+    return max(HOT_GROUP_ROWS, -(-total // MAX_HOT_KEYS))
+
+
 def attach_group_stats(members: DataFrame, stats: DataFrame, key: str,
-                       hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+                       hot_rows: int | None = None) -> DataFrame:
     """Inner-join per-key ``stats`` (one row per key, with ``n``) onto members.
 
-    Hot keys (``n > hot_rows``) go through a broadcast join: there are at
-    most ``N / hot_rows`` of them, so the broadcast side is bounded.  The
-    rest shuffle on ``key`` after the hot members were dropped map-side.
+    Hot keys (``n > hot_rows``) go through a broadcast join; with the default
+    threshold (``hot_threshold``) there are at most ``MAX_HOT_KEYS`` of them.
+    The rest shuffle on ``key`` after the hot members were dropped map-side.
     """
+    if hot_rows is None:
+        hot_rows = hot_threshold(members)
     hot = F.broadcast(stats.where(F.col("n") > hot_rows))
     cold = stats.where(F.col("n") <= hot_rows)
     hot_members = members.join(hot, on=key, how="inner")
@@ -85,7 +96,7 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def duplicate_members(members: DataFrame, key: str = "file_hash", label: str = "label",
-                      hot_rows: int = HOT_GROUP_ROWS, materialized: bool = False) -> DataFrame:
+                      hot_rows: int | None = None, materialized: bool = False) -> DataFrame:
     """Long form: every member of a duplicate group with its group size ``n``.
 
     ``materialized=True`` declares that ``members`` is already cheap to read
@@ -105,7 +116,7 @@ def part_of(label: Column, n: Column, max_files_per_row: int) -> Column:
 
 def duplicate_files(members: DataFrame, key: str = "file_hash", label: str = "label",
                     max_files_per_row: int = DEFAULT_MAX_FILES_PER_ROW,
-                    hot_rows: int = HOT_GROUP_ROWS, materialized: bool = False) -> DataFrame:
+                    hot_rows: int | None = None, materialized: bool = False) -> DataFrame:
     """List form ``(key, n, part, files)``; ``files`` are sorted labels.
 
     Groups larger than ``max_files_per_row`` come as several parts.
