@@ -129,6 +129,13 @@ def external_hashes(summaries: DataFrame) -> DataFrame:
     return summaries.select(base_name("path").alias("id"), "file_hash", "path")
 
 
+def inline_summaries(evidence: DataFrame, bits: int = DEFAULT_BITS) -> DataFrame:
+    """``(id, file_path, file_hash, head)`` of non-empty inline content, one read of the bytes."""
+    return evidence.where(nonempty("file_content")).select(
+        "id", "file_path", digest("file_content", bits).alias("file_hash"),
+        F.substring("file_content", 1, HEAD_BYTES).alias("head"))
+
+
 def file_hashes(evidence: DataFrame, external: DataFrame | None = None,
                 bits: int = DEFAULT_BITS) -> DataFrame:
     """Digest of every inline and external file: ``(id, file_hash)``.
@@ -138,7 +145,12 @@ def file_hashes(evidence: DataFrame, external: DataFrame | None = None,
     with the same name the largest ``(path)`` wins; that aggregation leaves
     the result hash-partitioned by ``id``, ready for the merge join.
     """
-    inline = inline_hashes(evidence, bits)
+    return combine_hashes(inline_hashes(evidence, bits), external)
+
+
+def combine_hashes(inline: DataFrame, external: DataFrame | None = None) -> DataFrame:
+    """Merge inline ``(id, file_hash)`` with external summaries (see ``file_hashes``)."""
+    inline = inline.select("id", "file_hash")
     if external is None:
         return inline
     ranked = inline.select("id", "file_hash", F.lit(0).alias("_src"),

@@ -17,8 +17,15 @@ from casefile.sources.evidence import external_original_paths, inline_content_wi
 
 def inline_media_types(evidence: DataFrame) -> DataFrame:
     """``(id, media_type)`` of non-empty inline content, refined by the path."""
-    # non-empty content always gets a verdict, so no NULL filter is needed
-    typed = with_content_type(inline_content_with_path(evidence), "file_content")
+    return media_types_of(inline_content_with_path(evidence), "file_content")
+
+
+def media_types_of(rows: DataFrame, content: str = "head") -> DataFrame:
+    """``(id, media_type)`` for rows ``(id, file_path, <content>)``; a head is enough.
+
+    Non-empty content always gets a verdict, so no NULL filter is needed.
+    """
+    typed = with_content_type(rows.select("id", "file_path", content), content)
     return with_media_type(typed, "content_type", "file_path").select("id", "media_type")
 
 
@@ -46,7 +53,11 @@ def external_media_types(evidence: DataFrame, summaries: DataFrame) -> DataFrame
 
 def file_media_types(evidence: DataFrame, summaries: DataFrame | None = None) -> DataFrame:
     """``(id, media_type)`` of every classified file; external verdict wins."""
-    inline = inline_media_types(evidence)
+    return combine_media_types(inline_media_types(evidence), evidence, summaries)
+
+
+def combine_media_types(inline: DataFrame, evidence: DataFrame, summaries: DataFrame | None = None) -> DataFrame:
+    """Merge inline ``(id, media_type)`` with the external verdicts (external wins)."""
     if summaries is None:
         return inline
     ranked = (inline.withColumn("_src", F.lit(0))

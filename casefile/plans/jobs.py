@@ -48,23 +48,25 @@ def media_type_job(spark: SparkSession, evidence_path: str, external_dir: str |
 
 def annotate_job(spark: SparkSession, evidence_path: str, external_dir: str | None, out_dir: str,
                  bits: int = DEFAULT_BITS, mode: str = "errorifexists") -> None:
-    """Hash and classify in one read of every file's bytes.
+    """Hash and classify with one read of every file's bytes.
 
-    The external files' summaries ``(path, length, file_hash, head)`` are
-    written once under ``out_dir/external_summary``; both annotation tables
-    (``out_dir/file_hash``, ``out_dir/media_type``) are derived from that
-    table and from one scan of the inline content.
+    Inline content and external files are each reduced once to summaries
+    ``(.., file_hash, head)``, written under ``out_dir/inline_summary`` and
+    ``out_dir/external_summary``.  Both annotation tables (``out_dir/file_hash``,
+    ``out_dir/media_type``) are derived from those narrow tables.
     """
     table = ev.read_evidence(spark, evidence_path)
+    inline_path = f"{out_dir}/inline_summary"
+    hashing.inline_summaries(table, bits).write.mode(mode).parquet(inline_path)
+    inline = spark.read.parquet(inline_path)
     summaries = None
     if external_dir:
         summary_path = f"{out_dir}/external_summary"
         hashing.summarize_directory(spark, external_dir, bits).write.mode(mode).parquet(summary_path)
         summaries = spark.read.parquet(summary_path)
-    annotate.write_annotation(hashing.file_hashes(table, summaries, bits), f"{out_dir}/file_hash", "file_hash",
-                              mode)
-    annotate.write_annotation(mediatypes.file_media_types(table, summaries), f"{out_dir}/media_type",
-                              "media_type", mode)
+    annotate.write_annotation(hashing.combine_hashes(inline, summaries), f"{out_dir}/file_hash", "file_hash", mode)
+    types = mediatypes.combine_media_types(mediatypes.media_types_of(inline), table, summaries)
+    annotate.write_annotation(types, f"{out_dir}/media_type", "media_type", mode)
 
 
 def duplicate_report_job(spark: SparkSession, evidence_path: str, hash_path: str, out_dir: str,
