@@ -16,6 +16,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from casefile.functions.columns import nonempty
 from casefile.sources.evidence import EVIDENCE_SCHEMA
 
 ANNOTATION_COLUMNS = ("file_hash", "media_type")
@@ -51,3 +52,18 @@ def merge_annotations(evidence: DataFrame, **annotations: DataFrame) -> DataFram
         else:
             cols.append(F.col(field.name))
     return merged.select(*cols)
+
+
+def merged_values(evidence: DataFrame, column: str, values: DataFrame) -> DataFrame:
+    """``(id, <column>)`` rows of the merged view that hold a non-empty value.
+
+    Equal to scanning ``merge_annotations(evidence, <column>=values)`` for
+    non-empty values, without joining the whole evidence table: new values
+    (non-empty ones) plus stored values whose id received no new value.  The
+    stored branch is pre-filtered at the scan, so when the evidence carries
+    no stored values it is empty and the job reads only the annotation.
+    """
+    new = annotation(values, column)
+    stored = evidence.where(nonempty(column)).select("id", column)
+    return (new.where(nonempty(column))
+            .unionByName(stored.join(new.select("id"), "id", "left_anti")))

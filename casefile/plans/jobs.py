@@ -80,7 +80,9 @@ def duplicate_report_job(spark: SparkSession, evidence_path: str, hash_path: str
 
 def media_type_histogram(spark: SparkSession, evidence_path: str, media_type_path: str) -> DataFrame:
     """``(media_type, n)`` over the evidence with its media-type annotation."""
-    return mediatypes.media_type_counts(ev.media_types(load_evidence(spark, evidence_path, media_type_path)))
+    values = annotate.merged_values(ev.read_evidence(spark, evidence_path), "media_type",
+                                    spark.read.parquet(media_type_path))
+    return mediatypes.media_type_counts(values)
 
 
 def directory_duplicates(spark: SparkSession, directory: str, bits: int = DEFAULT_BITS,

@@ -156,12 +156,19 @@ def q_file_media_types(spark, sf_dir):
     return mediatypes.file_media_types(evidence, _summaries(spark, sf_dir))
 
 
+def _media_type_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S10 over the evidence merged with fresh media types (no full evidence join)."""
+    evidence = _evidence(spark, sf_dir)
+    types = mediatypes.file_media_types(evidence, _summaries(spark, sf_dir))
+    return annotate.merged_values(evidence, "media_type", types)
+
+
 def q_media_types(spark, sf_dir):
-    return ev.media_types(_typed_evidence(spark, sf_dir))
+    return _media_type_values(spark, sf_dir)
 
 
 def q_media_type_counts(spark, sf_dir):
-    return mediatypes.media_type_counts(ev.media_types(_typed_evidence(spark, sf_dir)))
+    return mediatypes.media_type_counts(_media_type_values(spark, sf_dir))
 
 
 def q_inline_media_type_mismatch(spark, sf_dir):

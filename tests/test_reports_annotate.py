@@ -101,3 +101,14 @@ def test_annotate_job_single_pass_and_heads(spark, tmp_path):
     typed = {r.id: r.media_type for r in mediatypes.file_media_types(
         ev.read_evidence(spark, str(tmp_path / "evidence")), hashing.read_heads(spark, str(ext))).collect()}
     assert typed == {"e1": "text/plain", "x1": "application/pdf", "x2": "application/octet-stream"}
+
+
+def test_merged_values_equals_scan_of_merged_view(spark):
+    table = make_evidence(spark, [{"id": "a", "media_type": "old/a"}, {"id": "b", "media_type": "old/b"},
+                                  {"id": "c"}, {"id": "d", "media_type": "old/d"}])
+    fresh = spark.createDataFrame([("a", "new/a"), ("c", "new/c"), ("d", ""), ("z", "new/z"), ("b", None)],
+                                  "id string, media_type string")
+    want = sorted((r.id, r.media_type) for r in
+                  ev.media_types(annotate.merge_annotations(table, media_type=fresh)).collect())
+    got = sorted((r.id, r.media_type) for r in annotate.merged_values(table, "media_type", fresh).collect())
+    assert got == want == [("a", "new/a"), ("b", "old/b"), ("c", "new/c"), ("z", "new/z")]
