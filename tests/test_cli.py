@@ -25,6 +25,12 @@ def test_cli_jobs_end_to_end(spark, tmp_path):
     assert "application/pdf,1" in hist and "application/json,1" in hist
     assert main(["mismatch", "--evidence", ev, "--external", ext, "--out", out + "/mism"]) == 0
     assert "a,x/a.json,text/plain,application/json" in _text(out + "/mism")
+    assert main(["hash", "--evidence", ev, "--external", ext, "--out", out + "/h", "--bits", "256"]) == 0
+    assert main(["media-types", "--evidence", ev, "--external", ext, "--out", out + "/t"]) == 0
+    hashes = {r.id: r.file_hash for r in spark.read.parquet(out + "/h").collect()}
+    assert hashes["big"] == __import__("hashlib").sha256(b"%PDF-1.4 data").hexdigest()
+    types = {r.id: r.media_type for r in spark.read.parquet(out + "/t").collect()}
+    assert types == {"a": "application/json", "b": "text/plain", "big": "application/pdf"}
     assert main(["directory", "--input", ext, "--out", out + "/dir"]) == 0
     assert "File Path =file:" in _text(out + "/dir/metadata")
     assert os.path.isdir(out + "/dir/duplicatefiles")
