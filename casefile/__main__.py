@@ -57,6 +57,8 @@ def _parser() -> argparse.ArgumentParser:
     s.add_argument("--input", required=True, help="folder of files")
     s.add_argument("--out", required=True)
     s.add_argument("--bits", type=int, default=DEFAULT_BITS, choices=DIGEST_BITS)
+    s.add_argument("--listing", default="index", choices=["index", "inventory"],
+                   help="list with Spark's file index, or on executors for very large trees")
     return p
 
 
@@ -89,7 +91,8 @@ def main(argv: list[str] | None = None) -> int:
         out.write.mode(mode).option("header", "true").csv(args.out)
     elif args.job == "directory":
         jobs.inventory_report_job(spark, args.input, f"{args.out}/metadata", mode)
-        jobs.directory_duplicate_report_job(spark, args.input, f"{args.out}/duplicatefiles", args.bits, mode)
+        jobs.directory_duplicate_report_job(spark, args.input, f"{args.out}/duplicatefiles", args.bits, mode,
+                                            listing=args.listing)
     return 0
 
 

@@ -86,18 +86,22 @@ def media_type_histogram(spark: SparkSession, evidence_path: str, media_type_pat
 
 
 def directory_duplicates(spark: SparkSession, directory: str, bits: int = DEFAULT_BITS,
-                         include_empty: bool = True) -> DataFrame:
-    """Duplicate groups of a raw directory, keyed by digest, labelled by path."""
-    summaries = hashing.summarize_directory(spark, directory, bits, include_empty)
+                         include_empty: bool = True, listing: str = "index") -> DataFrame:
+    """Duplicate groups of a raw directory, keyed by digest, labelled by path.
+
+    ``listing="inventory"`` lists on executors (for trees too big to list on the driver).
+    """
+    summaries = hashing.summarize_directory(spark, directory, bits, include_empty, listing=listing)
     members = summaries.select("file_hash", summaries["path"].alias("label"))
     return duplicates.duplicate_files(members, key="file_hash", label="label")
 
 
 def directory_duplicate_report_job(spark: SparkSession, directory: str, out_dir: str,
-                                   bits: int = DEFAULT_BITS, mode: str = "errorifexists") -> None:
+                                   bits: int = DEFAULT_BITS, mode: str = "errorifexists",
+                                   listing: str = "index") -> None:
     """Raw-directory mode: write the duplicate report of ``directory``."""
-    reports.write_text_report(reports.duplicate_report(directory_duplicates(spark, directory, bits), bits=bits),
-                              out_dir, mode)
+    dups = directory_duplicates(spark, directory, bits, listing=listing)
+    reports.write_text_report(reports.duplicate_report(dups, bits=bits), out_dir, mode)
 
 
 def inventory_report_job(spark: SparkSession, directory: str, out_dir: str, mode: str = "errorifexists") -> None:

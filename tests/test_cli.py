@@ -32,5 +32,6 @@ def test_cli_jobs_end_to_end(spark, tmp_path):
     types = {r.id: r.media_type for r in spark.read.parquet(out + "/t").collect()}
     assert types == {"a": "application/json", "b": "text/plain", "big": "application/pdf"}
     assert main(["directory", "--input", ext, "--out", out + "/dir"]) == 0
+    assert main(["directory", "--input", ext, "--out", out + "/dir2", "--listing", "inventory"]) == 0
     assert "File Path =file:" in _text(out + "/dir/metadata")
     assert os.path.isdir(out + "/dir/duplicatefiles")
