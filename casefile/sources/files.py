@@ -5,8 +5,9 @@ trees), and loads bytes only when the ``content`` column is selected:
 a projection of ``path, length`` reads no file data.  Predicates on
 ``length`` / ``modificationTime`` are pushed into the listing.
 
-Files above ``spark.sql.sources.binaryFile.maxLength`` cannot be loaded as a
-single value; ``split_by_length`` routes them to the chunked reader in
+Large files are not loaded as one value: ``split_by_length`` routes files
+above a size threshold (64 MiB by default, never above the reader's own
+``spark.sql.sources.binaryFile.maxLength``) to the chunked reader in
 ``casefile.operators.hashing``.  Zero-length files and names starting with
 ``.`` or ``_`` are skipped by the reader; ``casefile.sources.inventory``
 lists zero-length files when they must be included.
