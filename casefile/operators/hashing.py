@@ -91,9 +91,6 @@ def summarize_paths(listing: DataFrame, bits: int = DEFAULT_BITS,
         _chunked_digest(bits, HEAD_BYTES, chunk_bytes), SUMMARY_SCHEMA)
 
 
-# files too big for the binary reader take the chunked path
-summarize_large_files = summarize_paths
-
 
 def summarize_files(files: DataFrame, bits: int = DEFAULT_BITS,
                     max_length: int | None = None) -> DataFrame:
@@ -107,7 +104,7 @@ def summarize_files(files: DataFrame, bits: int = DEFAULT_BITS,
     reader_limit = max_binary_length(files.sparkSession)
     limit = min(STREAM_ABOVE_BYTES if max_length is None else max_length, reader_limit)
     small, large = split_by_length(files, limit)
-    return summarize_content(small, bits).unionByName(summarize_large_files(large, bits))
+    return summarize_content(small, bits).unionByName(summarize_paths(large, bits))
 
 
 def empty_file_summaries(zero_length: DataFrame, bits: int = DEFAULT_BITS) -> DataFrame:
