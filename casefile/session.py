@@ -21,6 +21,9 @@ _DEFAULTS = {
     "spark.sql.ansi.enabled": "true",
     # checkpoint files of collected DataFrames are removed from the shared folder
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    # evidence folders hold many small files: opening one costs about as much
+    # as reading 1 MB, so pack ~128 of them into a 128 MB split (default 4 MB: ~32)
+    "spark.sql.files.openCostInBytes": "1m",
     # the evidence table carries inline file bytes (up to several MB per row);
     # smaller vectorized batches bound the memory one scan task decodes at once
     "spark.sql.parquet.columnarReaderBatchSize": "1024",
