@@ -1,0 +1,102 @@
+"""The column helpers and media-type rules as Spark SQL functions.
+
+``register_sql_functions(spark)`` creates temporary SQL functions whose
+bodies are plain SQL expressions built from the same tables as
+``casefile.functions.mediatype``.  Spark inlines them into the plan, so they
+run inside whole-stage codegen like the DataFrame versions::
+
+    SELECT id, cf_media_type(file_content, file_path) AS media_type
+    FROM {evidence} WHERE cf_nonempty(file_content)
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+from casefile.functions.mediatype import (
+    COMPOUND_SIGNATURES, CONTROL_BYTES, EXTENSION_TYPES, HEAD_BYTES, OCTET_STREAM, SIGNATURE_HEX_CHARS, SIGNATURES,
+    TEXT_MAGIC_RULES, TEXT_PLAIN, WHITESPACE, _ancestor_text, _java_regex_literal,
+)
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _raw(s: str) -> str:
+    if "'" in s:
+        raise ValueError("raw SQL literal cannot hold a quote")
+    return "r'" + s + "'"
+
+
+def _map(pairs) -> str:
+    return "map(" + ", ".join(f"{_q(k)}, {_q(v)}" for k, v in pairs) + ")"
+
+
+def _content_type_body(c: str) -> str:
+    head = f"substring({c}, 1, {HEAD_BYTES})"
+    text = f"decode({head}, 'ISO-8859-1')"
+    head_hex = f"hex(substring({c}, 1, {SIGNATURE_HEX_CHARS // 2}))"
+    by_length: dict[int, list[tuple[str, str]]] = {}
+    for media_type, hex_bytes in SIGNATURES:
+        by_length.setdefault(len(hex_bytes), []).append((hex_bytes.upper(), media_type))
+    lookups = [f"element_at({_map(sorted(e))}, substring({head_hex}, 1, {n}))" for n, e in sorted(by_length.items())]
+    whens = []
+    for media_type, conds in COMPOUND_SIGNATURES:
+        parts = []
+        for offset, hex_bytes in conds:
+            n = len(bytes.fromhex(hex_bytes))
+            parts.append(f"substring({c}, {offset + 1}, {n}) = X'{hex_bytes.upper()}'")
+        whens.append(f"WHEN {' AND '.join(parts)} THEN {_q(media_type)}")
+    compound = "CASE " + " ".join(whens) + " END"
+    ws = "".join({"\t": "\\t", "\n": "\\n", "\r": "\\r", "\f": "\\f", " ": " "}[ch] for ch in WHITESPACE)
+    alts = "|".join(_java_regex_literal(tag[1:]) for _, tag in TEXT_MAGIC_RULES)
+    tags = _map(sorted((tag[1:], t) for t, tag in TEXT_MAGIC_RULES))
+    tag = f"element_at({tags}, lower(regexp_extract({text}, {_raw(f'(?i)^[{ws}]*<({alts})')}, 1)))"
+    control = "[" + "".join(f"\\x{lo:02X}-\\x{hi:02X}" if lo != hi else f"\\x{lo:02X}" for lo, hi in CONTROL_BYTES) + "]"
+    fallback = (f"CASE WHEN octet_length({head}) = 0 THEN {_q(OCTET_STREAM)} "
+                f"WHEN {text} RLIKE {_raw(control)} THEN {_q(OCTET_STREAM)} ELSE {_q(TEXT_PLAIN)} END")
+    return f"CASE WHEN {c} IS NULL THEN NULL ELSE coalesce({', '.join(lookups)}, {compound}, {tag}, {fallback}) END"
+
+
+def _name_type_body(p: str) -> str:
+    ext = f"regexp_extract(element_at(split({p}, '/'), -1), {_raw(r'\.([^./]+)$')}, 1)"
+    return f"element_at({_map(sorted(EXTENSION_TYPES.items()))}, CASE WHEN {ext} <> '' THEN lower({ext}) END)"
+
+
+def _refine_body(ct: str, cand: str) -> str:
+    lineage = _map((t, _ancestor_text(t)) for t in sorted(set(EXTENSION_TYPES.values())))
+    return (f"CASE WHEN {ct} IS NULL THEN NULL "
+            f"WHEN {cand} IS NOT NULL AND instr(element_at({lineage}, {cand}), concat('|', {ct}, '|')) > 0 "
+            f"THEN {cand} ELSE {ct} END")
+
+
+def sql_functions() -> dict[str, str]:
+    """``CREATE TEMPORARY FUNCTION`` statements by function name."""
+    return {
+        "cf_nonempty": "CREATE OR REPLACE TEMPORARY FUNCTION cf_nonempty(c BINARY) RETURNS BOOLEAN "
+                       "RETURN c IS NOT NULL AND octet_length(c) > 0",
+        "cf_nonempty_text": "CREATE OR REPLACE TEMPORARY FUNCTION cf_nonempty_text(s STRING) RETURNS BOOLEAN "
+                            "RETURN s IS NOT NULL AND octet_length(s) > 0",
+        "cf_base_name": "CREATE OR REPLACE TEMPORARY FUNCTION cf_base_name(p STRING) RETURNS STRING "
+                        "RETURN element_at(split(p, '/'), -1)",
+        "cf_file_label": "CREATE OR REPLACE TEMPORARY FUNCTION cf_file_label(id STRING, p STRING) RETURNS STRING "
+                         "RETURN concat(id, '_', coalesce(p, 'null'))",
+        "cf_file_size": "CREATE OR REPLACE TEMPORARY FUNCTION cf_file_size(s STRING) RETURNS BIGINT "
+                        "RETURN CASE WHEN s IS NOT NULL AND octet_length(s) > 0 THEN CAST(s AS BIGINT) ELSE 0L END",
+        "cf_content_type": "CREATE OR REPLACE TEMPORARY FUNCTION cf_content_type(c BINARY) RETURNS STRING "
+                           f"RETURN {_content_type_body('c')}",
+        "cf_name_type": "CREATE OR REPLACE TEMPORARY FUNCTION cf_name_type(p STRING) RETURNS STRING "
+                        f"RETURN {_name_type_body('p')}",
+        "cf_refine": "CREATE OR REPLACE TEMPORARY FUNCTION cf_refine(ct STRING, p STRING) RETURNS STRING "
+                     f"RETURN {_refine_body('ct', 'cf_name_type(p)')}",
+        "cf_media_type": "CREATE OR REPLACE TEMPORARY FUNCTION cf_media_type(c BINARY, p STRING) RETURNS STRING "
+                         "RETURN cf_refine(cf_content_type(c), p)",
+    }
+
+
+def register_sql_functions(spark: SparkSession) -> list[str]:
+    """Create the temporary SQL functions in ``spark``; returns their names."""
+    for statement in sql_functions().values():
+        spark.sql(statement)
+    return list(sql_functions())

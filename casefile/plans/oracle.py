@@ -201,6 +201,8 @@ ORACLE_SQL: dict[str, str] = {
         _TYPE_CTES + ", r AS (SELECT id, file_path, content_type AS type_by_content, "
         f"{refine_sql('content_type', 'file_path')} AS type_with_name FROM it) "
         "SELECT * FROM r WHERE type_by_content IS DISTINCT FROM type_with_name"),
+    "inline_media_types_sql": with_evidence(
+        _TYPE_CTES + f"SELECT id, {refine_sql('content_type', 'file_path')} AS media_type FROM it"),
     "external_media_types": with_evidence(
         _TYPE_CTES + f"SELECT id, {refine_sql('content_type', 'file_path')} AS media_type FROM xt"),
     "external_media_type_mismatch": with_evidence(

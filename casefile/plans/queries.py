@@ -175,6 +175,15 @@ def q_inline_media_type_mismatch(spark, sf_dir):
     return mediatypes.inline_media_type_mismatch(_evidence(spark, sf_dir))
 
 
+def q_inline_media_types_sql(spark, sf_dir):
+    """The inline detection written in Spark SQL with the registered functions."""
+    from casefile.functions.sql import register_sql_functions
+
+    register_sql_functions(spark)
+    return spark.sql("SELECT id, cf_media_type(file_content, file_path) AS media_type "
+                     "FROM {evidence} WHERE cf_nonempty(file_content)", evidence=_evidence(spark, sf_dir))
+
+
 def q_external_media_types(spark, sf_dir):
     return mediatypes.external_media_types(_evidence(spark, sf_dir), _summaries(spark, sf_dir))
 

@@ -58,7 +58,7 @@ def test_media_type_stages_compile(spark):
     spark.conf.set("spark.sql.codegen.fallback", "false")
     try:
         for name in ["inline_media_type_mismatch", "file_media_types", "external_media_type_mismatch",
-                     "media_type_counts", "merged_media_types"]:
+                     "media_type_counts", "merged_media_types", "inline_media_types_sql"]:
             QUERIES[name](spark, SF).write.format("noop").mode("overwrite").save()
     finally:
         spark.conf.unset("spark.sql.codegen.fallback")

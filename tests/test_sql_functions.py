@@ -1,0 +1,30 @@
+from pyspark.sql import functions as F
+
+from casefile.functions.mediatype import detect, magic_type
+from casefile.functions.sql import register_sql_functions
+from casefile.sources import testdata
+from tests.test_mediatype import CASES
+
+
+def test_sql_functions_match_column_rules(spark):
+    register_sql_functions(spark)
+    rows = [(i, c, p) for i, (c, p, _, _) in enumerate(CASES)] + [(len(CASES), None, "a.txt")]
+    df = spark.createDataFrame(rows, "i int, content binary, path string")
+    got = spark.sql("SELECT i, cf_content_type(content) AS a, cf_media_type(content, path) AS b FROM {df}", df=df)
+    want = df.select("i", magic_type(F.col("content")).alias("a"), detect(F.col("content"), F.col("path")).alias("b"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_sql_over_evidence(spark):
+    register_sql_functions(spark)
+    ev = testdata.evidence_from_testdata(spark, "/root/testdata/sf0.001")
+    sql = spark.sql(
+        "SELECT id, cf_media_type(file_content, file_path) AS media_type, cf_file_size(file_size) AS n, "
+        "cf_base_name(file_path) AS base, cf_file_label(id, file_path) AS label "
+        "FROM {ev} WHERE cf_nonempty(file_content)", ev=ev)
+    api = ev.where("file_content IS NOT NULL AND octet_length(file_content) > 0").select(
+        "id", detect(F.col("file_content"), F.col("file_path")).alias("media_type"),
+        F.when(F.length("file_size") > 0, F.col("file_size").cast("bigint")).otherwise(0).alias("n"),
+        F.element_at(F.split("file_path", "/"), -1).alias("base"),
+        F.concat("id", F.lit("_"), F.coalesce("file_path", F.lit("null"))).alias("label"))
+    assert sorted(map(tuple, sql.collect())) == sorted(map(tuple, api.collect()))
