@@ -107,3 +107,16 @@ def directory_duplicate_report_job(spark: SparkSession, directory: str, out_dir:
 def inventory_report_job(spark: SparkSession, directory: str, out_dir: str, mode: str = "errorifexists") -> None:
     """Raw-directory mode: write the file-attribute report of ``directory``."""
     reports.write_text_report(reports.inventory_report(file_inventory(spark, directory)), out_dir, mode)
+
+
+def register_evidence_views(spark: SparkSession, evidence_path: str, *annotation_paths: str,
+                            prefix: str = "") -> list[str]:
+    """Temporary views for SQL users: ``<prefix>evidence`` (as stored) and
+    ``<prefix>evidence_merged`` (with the given annotation tables laid over it),
+    plus the ``cf_*`` SQL functions."""
+    from casefile.functions.sql import register_sql_functions
+
+    register_sql_functions(spark)
+    ev.read_evidence(spark, evidence_path).createOrReplaceTempView(f"{prefix}evidence")
+    load_evidence(spark, evidence_path, *annotation_paths).createOrReplaceTempView(f"{prefix}evidence_merged")
+    return [f"{prefix}evidence", f"{prefix}evidence_merged"]

@@ -28,3 +28,22 @@ def test_sql_over_evidence(spark):
         F.element_at(F.split("file_path", "/"), -1).alias("base"),
         F.concat("id", F.lit("_"), F.coalesce("file_path", F.lit("null"))).alias("label"))
     assert sorted(map(tuple, sql.collect())) == sorted(map(tuple, api.collect()))
+
+
+def test_evidence_views(spark, tmp_path):
+    from casefile.plans import jobs
+    from tests.conftest import make_evidence
+
+    make_evidence(spark, [{"id": "a", "file_path": "x/a.json", "file_content": b'{"k": 1}'},
+                          {"id": "b", "file_path": "y/b.txt", "file_content": b'{"k": 1}'}]).write.parquet(
+        str(tmp_path / "ev"))
+    jobs.hash_job(spark, str(tmp_path / "ev"), None, str(tmp_path / "h"))
+    views = jobs.register_evidence_views(spark, str(tmp_path / "ev"), str(tmp_path / "h"), prefix="t_")
+    assert views == ["t_evidence", "t_evidence_merged"]
+    rows = spark.sql("SELECT file_hash, count(*) AS n, array_join(array_sort(collect_list(cf_file_label(id, file_path))), ';') "
+                     "AS files FROM t_evidence_merged WHERE cf_nonempty_text(file_hash) GROUP BY file_hash "
+                     "HAVING count(*) > 1").collect()
+    assert [(r.n, r.files) for r in rows] == [(2, "a_x/a.json;b_y/b.txt")]
+    types = {r.id: r.t for r in spark.sql("SELECT id, cf_media_type(file_content, file_path) AS t FROM t_evidence")
+             .collect()}
+    assert types == {"a": "application/json", "b": "text/plain"}
