@@ -201,6 +201,9 @@ ORACLE_SQL: dict[str, str] = {
         _TYPE_CTES + ", r AS (SELECT id, file_path, content_type AS type_by_content, "
         f"{refine_sql('content_type', 'file_path')} AS type_with_name FROM it) "
         "SELECT * FROM r WHERE type_by_content IS DISTINCT FROM type_with_name"),
+    "external_summaries_sha256": with_evidence(
+        "SELECT path, length, sha256(t) AS file_hash, lower(hex(content[1:8])) AS head_hex FROM ext"),
+    "inline_content_types": with_evidence(_TYPE_CTES + "SELECT id, content_type FROM it"),
     "inline_media_types_sql": with_evidence(
         _TYPE_CTES + f"SELECT id, {refine_sql('content_type', 'file_path')} AS media_type FROM it"),
     "external_media_types": with_evidence(

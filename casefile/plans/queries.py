@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from casefile.functions.columns import content_size, hex_head
+from casefile.functions.mediatype import with_content_type
 from casefile.operators import annotate, duplicates, hashing, mediatypes, reports
 from casefile.plans import jobs
 from casefile.sources import evidence as ev
@@ -116,6 +117,12 @@ def q_merged_hashes(spark, sf_dir):
     return _hashed_evidence(spark, sf_dir, ORACLE_BITS).select("id", "file_path", "file_type", "file_hash")
 
 
+def q_external_summaries_sha256(spark, sf_dir):
+    """One read of each external file: digest and head (shown as hex)."""
+    return _summaries(spark, sf_dir, ORACLE_BITS).select(
+        "path", "length", "file_hash", hex_head("head").alias("head_hex"))
+
+
 def q_external_id_collisions(spark, sf_dir):
     return hashing.external_id_collisions(testdata.external_store(spark, sf_dir))
 
@@ -175,6 +182,12 @@ def q_inline_media_type_mismatch(spark, sf_dir):
     return mediatypes.inline_media_type_mismatch(_evidence(spark, sf_dir))
 
 
+def q_inline_content_types(spark, sf_dir):
+    """Content-only verdict of every inline file (no file name)."""
+    rows = ev.inline_content(_evidence(spark, sf_dir))
+    return with_content_type(rows, "file_content").select("id", "content_type")
+
+
 def q_inline_media_types_sql(spark, sf_dir):
     """The inline detection written in Spark SQL with the registered functions."""
     from casefile.functions.sql import register_sql_functions
