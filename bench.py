@@ -43,7 +43,11 @@ def main() -> None:
             _run(QUERIES[name](spark, sf_dir))
             runs.append(time.perf_counter() - t0)
         times[name] = round(min(runs), 3)
-    sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
+    sf_label = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
+    try:
+        sf = float(sf_label)
+    except ValueError:
+        sf = sf_label
     print(json.dumps({"metric": "total_query_time", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": sf, "cpus": cpus, "repeat": repeat}))
     spark.stop()
