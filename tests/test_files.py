@@ -98,3 +98,18 @@ def test_flat_directory_is_sliced_without_losing_files(spark, tmp_path):
     assert df.rdd.getNumPartitions() == 5
     names = [r.path.rsplit("/", 1)[-1] for r in df.collect()]
     assert sorted(names) == [f"f{i:03d}" for i in range(230)]
+
+
+def test_inventory_reads_extended_attributes(spark, tmp_path):
+    target = tmp_path / "x" / "tagged"
+    target.parent.mkdir()
+    target.write_bytes(b"data")
+    try:
+        os.setxattr(target, "user.case", b"A-17")
+    except (OSError, AttributeError):
+        pytest.skip("file system without user extended attributes")
+    row = inventory.file_inventory(spark, str(target.parent)).first()
+    assert row.xattrs == {"user.case": "A-17"}
+    from casefile.operators import reports
+
+    assert "XAttr user.case =A-17\n" in reports.inventory_report(inventory.file_inventory(spark, str(target.parent))).first().value
