@@ -49,71 +49,86 @@ def _typed_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- scans and predicates ---------------------------------------------------
 
 def q_file_metadata(spark, sf_dir):
+    """All rows with the metadata fields."""
     return ev.file_metadata(_evidence(spark, sf_dir))
 
 
 def q_data_file_content(spark, sf_dir):
+    """Data files with their inline content size (-1 when absent)."""
     return ev.data_file_content(_evidence(spark, sf_dir)).select(
         "id", "file_path", "external_path", content_size("file_content", missing=-1).alias("content_size"))
 
 
 def q_inline_content(spark, sf_dir):
+    """Non-empty inline content (size and hex head)."""
     return ev.inline_content(_evidence(spark, sf_dir)).select(
         "id", content_size("file_content").alias("content_size"),
         hex_head("file_content").alias("content_head"))
 
 
 def q_inline_content_with_path(spark, sf_dir):
+    """Inline content with its path."""
     return ev.inline_content_with_path(_evidence(spark, sf_dir)).select(
         "id", "file_path", content_size("file_content").alias("content_size"),
         hex_head("file_content").alias("content_head"))
 
 
 def q_external_paths(spark, sf_dir):
+    """Where external content lives."""
     return ev.external_paths(_evidence(spark, sf_dir))
 
 
 def q_external_original_paths(spark, sf_dir):
+    """Original paths of externally stored files."""
     return ev.external_original_paths(_evidence(spark, sf_dir))
 
 
 def q_external_data_files(spark, sf_dir):
+    """Data files stored externally."""
     return ev.external_data_files(_evidence(spark, sf_dir)).select("id", "file_path", "external_path")
 
 
 def q_content_sizes(spark, sf_dir):
+    """Inline content sizes."""
     return ev.content_sizes(_evidence(spark, sf_dir))
 
 
 def q_metadata_preview(spark, sf_dir):
+    """O3: first ten metadata rows by id."""
     return ev.metadata_preview(_evidence(spark, sf_dir))
 
 
 def q_content_messages(spark, sf_dir):
+    """P10: formatted line per external data file."""
     return ev.content_messages(_evidence(spark, sf_dir))
 
 
 def q_evidence_counts(spark, sf_dir):
+    """A4: row counts."""
     return ev.evidence_counts(_evidence(spark, sf_dir))
 
 
 # --- hashing ----------------------------------------------------------------
 
 def q_file_hashes(spark, sf_dir):
+    """SHA-512 of every inline and external file."""
     evidence = _evidence(spark, sf_dir)
     return hashing.file_hashes(evidence, _summaries(spark, sf_dir, 512), 512)
 
 
 def q_file_hashes_sha256(spark, sf_dir):
+    """T1 with SHA-256 (oracle-checkable twin)."""
     evidence = _evidence(spark, sf_dir)
     return hashing.file_hashes(evidence, _summaries(spark, sf_dir, ORACLE_BITS), ORACLE_BITS)
 
 
 def q_hash_and_path(spark, sf_dir):
+    """S9 over the evidence merged with fresh hashes."""
     return ev.hash_and_path(_hashed_evidence(spark, sf_dir, ORACLE_BITS))
 
 
 def q_merged_hashes(spark, sf_dir):
+    """Merged view with hashes."""
     return _hashed_evidence(spark, sf_dir, ORACLE_BITS).select("id", "file_path", "file_type", "file_hash")
 
 
@@ -124,34 +139,41 @@ def q_external_summaries_sha256(spark, sf_dir):
 
 
 def q_external_id_collisions(spark, sf_dir):
+    """External file names listed more than once."""
     return hashing.external_id_collisions(testdata.external_store(spark, sf_dir))
 
 
 # --- duplicates (SHA-512; digest column left out so DuckDB can check) ---------
 
 def q_hash_counts(spark, sf_dir):
+    """A1: files per digest (digest itself left out for the oracle)."""
     return duplicates.hash_counts(_members(spark, sf_dir), label="label").select("first_file", "n")
 
 
 def q_duplicate_files(spark, sf_dir):
+    """Duplicate groups, list form."""
     return duplicates.duplicate_files(_members(spark, sf_dir)).select(
         "n", "part", duplicates.render_files("files").alias("file_list"))
 
 
 def q_duplicate_members(spark, sf_dir):
+    """Duplicate groups, long form (one row per file)."""
     return duplicates.duplicate_members(_members(spark, sf_dir)).select("n", "id", "file_path", "label")
 
 
 def q_duplicate_preview(spark, sf_dir):
+    """O2: the 20 largest duplicate groups."""
     return duplicates.duplicate_preview(duplicates.duplicate_files(_members(spark, sf_dir))).select(
         "n", "part", duplicates.render_files("files").alias("file_list"))
 
 
 def q_duplicate_report(spark, sf_dir):
+    """Duplicate report records (SHA-512)."""
     return reports.duplicate_report(duplicates.duplicate_files(_members(spark, sf_dir, 512)), bits=512)
 
 
 def q_duplicate_report_sha256(spark, sf_dir):
+    """W3 with SHA-256 (oracle-checkable twin)."""
     return reports.duplicate_report(
         duplicates.duplicate_files(_members(spark, sf_dir, ORACLE_BITS)), bits=ORACLE_BITS)
 
@@ -159,6 +181,7 @@ def q_duplicate_report_sha256(spark, sf_dir):
 # --- media types --------------------------------------------------------------
 
 def q_file_media_types(spark, sf_dir):
+    """Media type of every inline and external file."""
     evidence = _evidence(spark, sf_dir)
     return mediatypes.file_media_types(evidence, _summaries(spark, sf_dir))
 
@@ -171,14 +194,17 @@ def _media_type_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_media_types(spark, sf_dir):
+    """S10 over the evidence merged with fresh media types."""
     return _media_type_values(spark, sf_dir)
 
 
 def q_media_type_counts(spark, sf_dir):
+    """T4, A3, O1: media-type histogram."""
     return mediatypes.media_type_counts(_media_type_values(spark, sf_dir))
 
 
 def q_inline_media_type_mismatch(spark, sf_dir):
+    """Inline files whose type changes with the name."""
     return mediatypes.inline_media_type_mismatch(_evidence(spark, sf_dir))
 
 
@@ -198,32 +224,39 @@ def q_inline_media_types_sql(spark, sf_dir):
 
 
 def q_external_media_types(spark, sf_dir):
+    """External files typed by content, refined by the original name."""
     return mediatypes.external_media_types(_evidence(spark, sf_dir), _summaries(spark, sf_dir))
 
 
 def q_external_media_type_mismatch(spark, sf_dir):
+    """External files whose type changes with the name."""
     return mediatypes.external_media_type_mismatch(_evidence(spark, sf_dir), _summaries(spark, sf_dir))
 
 
 def q_merged_media_types(spark, sf_dir):
+    """Merged view with media types."""
     return _typed_evidence(spark, sf_dir).select("id", "file_path", "media_type")
 
 
 # --- directories of opaque files (sf_dir itself) -----------------------------
 
 def q_external_content(spark, sf_dir):
+    """External store keyed by file name (sf_dir as the folder)."""
     return files.external_content(spark, sf_dir)
 
 
 def q_directory_files(spark, sf_dir):
+    """Raw directory listing (recursive)."""
     return files.directory_files(spark, sf_dir).select("path", "length")
 
 
 def q_directory_hashes(spark, sf_dir):
+    """T6 input: digest of every file of a raw directory."""
     return hashing.summarize_directory(spark, sf_dir).select("path", "length", "file_hash")
 
 
 def q_directory_duplicates(spark, sf_dir):
+    """T6, T8, B1 fixed: duplicate report of a raw directory."""
     return reports.duplicate_report(jobs.directory_duplicates(spark, sf_dir))
 
 
@@ -241,10 +274,12 @@ def q_landing_summaries(spark, sf_dir):
 
 
 def q_file_inventory(spark, sf_dir):
+    """File attributes."""
     return inventory.file_inventory(spark, sf_dir).select("path", "length", "permissions", "owner", "group")
 
 
 def q_file_inventory_report(spark, sf_dir):
+    """Attribute report."""
     return reports.inventory_report(inventory.file_inventory(spark, sf_dir))
 
 
