@@ -102,6 +102,8 @@ def ship_package(spark: SparkSession) -> None:
     Python data sources and ``mapInPandas`` functions are unpickled in the
     workers, which then import this package.  On a cluster one would pass
     ``--py-files``; this does the same at runtime, once per SparkContext.
+    The zip is built on the driver and served to executors by Spark's file
+    server, so no shared folder is involved.
     """
     import zipfile
 
