@@ -59,8 +59,12 @@ def _content_type_body(c: str) -> str:
     return f"CASE WHEN {c} IS NULL THEN NULL ELSE coalesce({', '.join(lookups)}, {compound}, {tag}, {fallback}) END"
 
 
+_EXTENSION_PATTERN = r"\.([^./]+)$"
+
+
 def _name_type_body(p: str) -> str:
-    ext = f"regexp_extract(element_at(split({p}, '/'), -1), {_raw(r'\.([^./]+)$')}, 1)"
+    pattern = _raw(_EXTENSION_PATTERN)
+    ext = f"regexp_extract(element_at(split({p}, '/'), -1), {pattern}, 1)"
     return f"element_at({_map(sorted(EXTENSION_TYPES.items()))}, CASE WHEN {ext} <> '' THEN lower({ext}) END)"
 
 
