@@ -48,6 +48,8 @@ def _parser() -> argparse.ArgumentParser:
     s.add_argument("--hashes", required=True, help="hash annotation table")
     s.add_argument("--out", required=True)
     s.add_argument("--bits", type=int, default=DEFAULT_BITS, choices=DIGEST_BITS)
+    s.add_argument("--max-files-per-row", type=int, default=1000, help="files per report record")
+    s.add_argument("--members", help="also write the long form (one row per duplicate file) as Parquet")
     s = job("histogram", "media-type counts")
     s.add_argument("--media-types", required=True, help="media-type annotation table")
     s.add_argument("--out", required=True)
@@ -78,7 +80,8 @@ def main(argv: list[str] | None = None) -> int:
     elif args.job == "annotate":
         jobs.annotate_job(spark, args.evidence, args.external, args.out, args.bits, mode)
     elif args.job == "duplicates":
-        jobs.duplicate_report_job(spark, args.evidence, args.hashes, args.out, args.bits, mode)
+        jobs.duplicate_report_job(spark, args.evidence, args.hashes, args.out, args.bits, mode,
+                                  max_files_per_row=args.max_files_per_row, members_out=args.members)
     elif args.job == "histogram":
         (jobs.media_type_histogram(spark, args.evidence, args.media_types)
          .write.mode(mode).option("header", "true").csv(args.out))

@@ -70,12 +70,20 @@ def annotate_job(spark: SparkSession, evidence_path: str, external_dir: str | No
 
 
 def duplicate_report_job(spark: SparkSession, evidence_path: str, hash_path: str, out_dir: str,
-                         bits: int = DEFAULT_BITS, mode: str = "errorifexists") -> None:
-    """Group hashed evidence by digest and write the duplicate report."""
+                         bits: int = DEFAULT_BITS, mode: str = "errorifexists",
+                         max_files_per_row: int = duplicates.DEFAULT_MAX_FILES_PER_ROW,
+                         members_out: str | None = None) -> None:
+    """Group hashed evidence by digest and write the duplicate report.
+
+    ``members_out`` also writes the long form ``(file_hash, id, file_path,
+    label, n)`` as Parquet, from the same materialised member list.
+    """
     table = load_evidence(spark, evidence_path, hash_path)
-    members = duplicates.label_members(ev.hash_and_path(table))
-    reports.write_text_report(reports.duplicate_report(duplicates.duplicate_files(members), bits=bits),
-                              out_dir, mode)
+    members = duplicates.materialize(duplicates.label_members(ev.hash_and_path(table)))
+    dups = duplicates.duplicate_files(members, max_files_per_row=max_files_per_row, materialized=True)
+    reports.write_text_report(reports.duplicate_report(dups, bits=bits), out_dir, mode)
+    if members_out:
+        duplicates.duplicate_members(members, materialized=True).write.mode(mode).parquet(members_out)
 
 
 def media_type_histogram(spark: SparkSession, evidence_path: str, media_type_path: str) -> DataFrame:

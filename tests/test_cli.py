@@ -18,7 +18,10 @@ def test_cli_jobs_end_to_end(spark, tmp_path):
     (tmp_path / "ext" / "big").write_bytes(b"%PDF-1.4 data")
     ev, ext, out = str(tmp_path / "ev"), str(tmp_path / "ext"), str(tmp_path / "out")
     assert main(["annotate", "--evidence", ev, "--external", ext, "--out", out + "/ann"]) == 0
-    assert main(["duplicates", "--evidence", ev, "--hashes", out + "/ann/file_hash", "--out", out + "/dups"]) == 0
+    assert main(["duplicates", "--evidence", ev, "--hashes", out + "/ann/file_hash", "--out", out + "/dups",
+                 "--members", out + "/members"]) == 0
+    members = sorted((r.id, r.n) for r in spark.read.parquet(out + "/members").collect())
+    assert members == [("a", 2), ("b", 2)]
     assert "a_x/a.json\nb_y/b.txt" in _text(out + "/dups")
     assert main(["histogram", "--evidence", ev, "--media-types", out + "/ann/media_type", "--out", out + "/hist"]) == 0
     hist = _text(out + "/hist")
