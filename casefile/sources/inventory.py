@@ -32,6 +32,19 @@ INVENTORY_DDL = (
 )
 
 FILES_PER_SLICE = 20000
+ROWS_PER_BATCH = 8192
+_FIELDS = ["path", "owner", "group", "permissions", "length", "block_size", "replication",
+           "access_time", "modification_time", "checksum", "checksum_algorithm", "xattrs"]
+
+
+def _arrow_schema():
+    import pyarrow as pa
+
+    s, i64 = pa.string(), pa.int64()
+    return pa.schema([("path", s), ("owner", s), ("group", s), ("permissions", s), ("length", i64),
+                      ("block_size", i64), ("replication", pa.int32()), ("access_time", i64),
+                      ("modification_time", i64), ("checksum", s), ("checksum_algorithm", s),
+                      ("xattrs", pa.map_(s, s))])
 
 
 def _hidden(name: str) -> bool:
@@ -159,7 +172,7 @@ def _attributes(path: str):
         pystat.filemode(st.st_mode)[1:],
         int(st.st_size), None, None,
         int(st.st_atime_ns // 1_000_000), int(st.st_mtime_ns // 1_000_000),
-        None, None, xattrs,
+        None, None, list(xattrs.items()),
     )
 
 
@@ -203,11 +216,24 @@ class FileInventoryReader(DataSourceReader):
                     stack.extend(dirs)
 
     def read(self, partition):
+        """Yield Arrow record batches of ``ROWS_PER_BATCH`` files (no per-row conversion)."""
+        import pyarrow as pa
+
+        schema = _arrow_schema()
+        columns = [[] for _ in _FIELDS]
         for path in self._files_of(partition.value):
             try:
-                yield _attributes(path)
+                row = _attributes(path)
             except OSError:
                 continue
+            for col, value in zip(columns, row):
+                col.append(value)
+            if len(columns[0]) >= ROWS_PER_BATCH:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
+                columns = [[] for _ in _FIELDS]
+        if columns[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
 class FileInventoryDataSource(DataSource):
