@@ -67,3 +67,14 @@ def merged_values(evidence: DataFrame, column: str, values: DataFrame) -> DataFr
     stored = evidence.where(nonempty(column)).select("id", column)
     return (new.where(nonempty(column))
             .unionByName(stored.join(new.select("id"), "id", "left_anti")))
+
+
+def write_bucketed(df: DataFrame, table: str, path: str, buckets: int, mode: str = "errorifexists") -> None:
+    """Write ``df`` as a table bucketed and sorted by ``id`` at ``path``.
+
+    Tables bucketed alike (same ``buckets``) join on ``id`` without a
+    shuffle and without a sort, so repeated merges of the evidence metadata
+    with its annotation tables stay map-side.
+    """
+    (df.write.mode(mode).bucketBy(buckets, "id").sortBy("id")
+     .option("path", path).saveAsTable(table))

@@ -128,3 +128,31 @@ def register_evidence_views(spark: SparkSession, evidence_path: str, *annotation
     ev.read_evidence(spark, evidence_path).createOrReplaceTempView(f"{prefix}evidence")
     load_evidence(spark, evidence_path, *annotation_paths).createOrReplaceTempView(f"{prefix}evidence_merged")
     return [f"{prefix}evidence", f"{prefix}evidence_merged"]
+
+
+def bucket_tables(spark: SparkSession, evidence_path: str, out_dir: str, buckets: int,
+                  annotation_paths: tuple[str, ...] = (), prefix: str = "cf_",
+                  mode: str = "errorifexists") -> dict[str, str]:
+    """Write the evidence metadata (no content bytes) and the annotation tables
+    bucketed by ``id`` into ``buckets`` buckets; returns column/role -> table name.
+
+    Merging these tables (``merged_tables``) then needs no shuffle.
+    """
+    names = {"evidence": f"{prefix}evidence_meta"}
+    meta = ev.read_evidence(spark, evidence_path).drop("file_content")
+    annotate.write_bucketed(meta, names["evidence"], f"{out_dir}/evidence_meta", buckets, mode)
+    for path in annotation_paths:
+        df = spark.read.parquet(path)
+        column = [c for c in df.columns if c != "id"][0]
+        names[column] = f"{prefix}{column}"
+        annotate.write_bucketed(annotate.annotation(df, column), names[column], f"{out_dir}/{column}", buckets, mode)
+    return names
+
+
+def merged_tables(spark: SparkSession, names: dict[str, str]) -> DataFrame:
+    """Merged view over tables written by ``bucket_tables`` (content column absent)."""
+    from casefile.sources.evidence import conform
+
+    meta = conform(spark.table(names["evidence"]))
+    anns = {col: spark.table(name) for col, name in names.items() if col != "evidence"}
+    return annotate.merge_annotations(meta, **anns)

@@ -112,3 +112,26 @@ def test_merged_values_equals_scan_of_merged_view(spark):
                   ev.media_types(annotate.merge_annotations(table, media_type=fresh)).collect())
     got = sorted((r.id, r.media_type) for r in annotate.merged_values(table, "media_type", fresh).collect())
     assert got == want == [("a", "new/a"), ("b", "old/b"), ("c", "new/c"), ("z", "new/z")]
+
+
+def test_bucketed_tables_merge_without_shuffle(spark, tmp_path):
+    from casefile.plans import inspect
+
+    table = make_evidence(spark, [{"id": f"e{i}", "file_path": f"p{i}", "file_content": b"x" * (i % 3)}
+                                  for i in range(50)])
+    table.write.parquet(str(tmp_path / "ev"))
+    jobs.hash_job(spark, str(tmp_path / "ev"), None, str(tmp_path / "h"))
+    jobs.media_type_job(spark, str(tmp_path / "ev"), None, str(tmp_path / "t"))
+    names = jobs.bucket_tables(spark, str(tmp_path / "ev"), str(tmp_path / "b"), 4,
+                               (str(tmp_path / "h"), str(tmp_path / "t")), prefix="bt_")
+    merged = jobs.merged_tables(spark, names).select("id", "file_path", "file_hash", "media_type")
+    # the bucketed evidence metadata is never shuffled; only the narrow combined annotations
+    # (a full outer join's output loses the id partitioning) are
+    shuffled = [c for e in inspect.exchanges(merged) for c, _ in e["columns"]]
+    assert "file_path" not in shuffled
+    one = jobs.merged_tables(spark, {k: v for k, v in names.items() if k != "media_type"}).select(
+        "id", "file_path", "file_hash")
+    assert inspect.exchanges(one) == []
+    plain = jobs.load_evidence(spark, str(tmp_path / "ev"), str(tmp_path / "h"), str(tmp_path / "t")).select(
+        "id", "file_path", "file_hash", "media_type")
+    assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, plain.collect()))
