@@ -12,7 +12,7 @@ work by file length like any other scan.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from casefile.functions.columns import base_name, nonempty
 from casefile.functions.digest import DEFAULT_BITS, check_bits, digest, empty_digest
@@ -172,7 +172,7 @@ def external_id_collisions(external: DataFrame) -> DataFrame:
     return attach_group_stats(named, counts, "id").select("id", "path", "n")
 
 
-def summarize_directory(spark, directory: str, bits: int = DEFAULT_BITS,
+def summarize_directory(spark: SparkSession, directory: str, bits: int = DEFAULT_BITS,
                         include_empty: bool = True, max_length: int | None = None,
                         listing: str = "index") -> DataFrame:
     """Summaries of every file below ``directory``.
@@ -214,7 +214,7 @@ HEAD_SCHEMA = T.StructType([f for f in SUMMARY_SCHEMA.fields if f.name != "file_
 SMALL_FILE_BYTES = 64 * 1024
 
 
-def read_heads(spark, directory: str, include_empty: bool = True,
+def read_heads(spark: SparkSession, directory: str, include_empty: bool = True,
                small_file_bytes: int = SMALL_FILE_BYTES) -> DataFrame:
     """``(path, length, head)`` of every file below ``directory``.
 
