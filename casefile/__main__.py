@@ -10,6 +10,7 @@ histogram    media-type counts from evidence + media-type annotation -> CSV
 mismatch     inline and external files whose type changes with the name -> CSV
 directory    raw-directory mode: <out>/metadata (attribute report) and
              <out>/duplicatefiles (duplicate report) for a folder of files
+bucket       evidence metadata + annotation tables bucketed by id (catalog tables)
 
 Every job writes its result; nothing is collected to the driver.
 """
@@ -61,6 +62,11 @@ def _parser() -> argparse.ArgumentParser:
     s.add_argument("--bits", type=int, default=DEFAULT_BITS, choices=DIGEST_BITS)
     s.add_argument("--listing", default="index", choices=["index", "inventory"],
                    help="list with Spark's file index, or on executors for very large trees")
+    s = job("bucket", "bucketed evidence metadata and annotation tables")
+    s.add_argument("--annotations", nargs="*", default=[], help="annotation tables to bucket alongside")
+    s.add_argument("--buckets", type=int, required=True)
+    s.add_argument("--out", required=True)
+    s.add_argument("--prefix", default="cf_", help="catalog table name prefix")
     return p
 
 
@@ -92,6 +98,10 @@ def main(argv: list[str] | None = None) -> int:
             out = out.unionByName(mediatypes.external_media_type_mismatch(
                 table, hashing.read_heads(spark, args.external)))
         out.write.mode(mode).option("header", "true").csv(args.out)
+    elif args.job == "bucket":
+        names = jobs.bucket_tables(spark, args.evidence, args.out, args.buckets, tuple(args.annotations),
+                                   args.prefix, mode)
+        print(" ".join(f"{k}={v}" for k, v in sorted(names.items())))
     elif args.job == "directory":
         jobs.inventory_report_job(spark, args.input, f"{args.out}/metadata", mode)
         jobs.directory_duplicate_report_job(spark, args.input, f"{args.out}/duplicatefiles", args.bits, mode,

@@ -34,6 +34,9 @@ def test_cli_jobs_end_to_end(spark, tmp_path):
     assert hashes["big"] == __import__("hashlib").sha256(b"%PDF-1.4 data").hexdigest()
     types = {r.id: r.media_type for r in spark.read.parquet(out + "/t").collect()}
     assert types == {"a": "application/json", "b": "text/plain", "big": "application/pdf"}
+    assert main(["bucket", "--evidence", ev, "--annotations", out + "/h", out + "/t", "--buckets", "2",
+                 "--out", out + "/bucketed", "--prefix", "cli_"]) == 0
+    assert spark.table("cli_file_hash").count() == 3
     assert main(["directory", "--input", ext, "--out", out + "/dir"]) == 0
     assert main(["directory", "--input", ext, "--out", out + "/dir2", "--listing", "inventory"]) == 0
     assert "File Path =file:" in _text(out + "/dir/metadata")
