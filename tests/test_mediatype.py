@@ -96,3 +96,15 @@ def test_external_join_uses_name_and_drops_orphans(spark):
     assert mism == {"r3": DOCX}
     both = {r.id: r.media_type for r in mediatypes.file_media_types(ev, ext).collect()}
     assert both == got
+
+
+def test_external_verdict_wins_over_inline(spark):
+    from casefile.operators.hashing import summarize_content
+
+    ev = make_evidence(spark, [{"id": "e10", "file_path": "doc.pdf", "file_content": b"plain words",
+                                "external_path": "/ext/e10"}])
+    ext = summarize_content(spark.createDataFrame([("/ext/e10", 8, b"%PDF-1.7")],
+                                                  "path string, length bigint, content binary"))
+    got = {r.id: r.media_type for r in mediatypes.file_media_types(ev, ext).collect()}
+    assert got == {"e10": "application/pdf"}
+    assert {r.id: r.media_type for r in mediatypes.file_media_types(ev).collect()} == {"e10": "text/plain"}
