@@ -78,3 +78,38 @@ def write_bucketed(df: DataFrame, table: str, path: str, buckets: int, mode: str
     """
     (df.write.mode(mode).bucketBy(buckets, "id").sortBy("id")
      .option("path", path).saveAsTable(table))
+
+
+def merge_annotations_copartitioned(evidence: DataFrame, **annotations: DataFrame) -> DataFrame:
+    """Same result as ``merge_annotations``, built only from joins that keep
+    the ``id`` partitioning of their inputs.
+
+    Evidence rows take their new values through left joins; ids known only
+    to annotations (B7) come from anti joins and are combined among
+    themselves.  When every input is bucketed alike by ``id``
+    (``write_bucketed``), no step shuffles.
+    """
+    if not annotations:
+        return evidence
+    anns = {col: annotation(df, col).withColumnRenamed(col, f"_new_{col}") for col, df in annotations.items()}
+    with_values = evidence
+    for df in anns.values():
+        with_values = with_values.join(df, "id", "left")
+    ids = evidence.select("id")
+    orphans = reduce(lambda a, b: a.join(b, "id", "full_outer"),
+                     [df.join(ids, "id", "left_anti") for df in anns.values()])
+
+    def shaped(df: DataFrame, from_evidence: bool) -> DataFrame:
+        cols = []
+        for field in EVIDENCE_SCHEMA.fields:
+            new = f"_new_{field.name}"
+            if field.name in anns:
+                old = F.col(field.name) if from_evidence else F.lit(None).cast(field.dataType)
+                cols.append(F.coalesce(F.col(new), old).alias(field.name))
+            elif from_evidence or field.name == "id":
+                cols.append(F.col(field.name))
+            else:
+                cols.append(F.lit(None).cast(field.dataType).alias(field.name))
+        return df.select(*cols)
+
+    return shaped(with_values, True).unionByName(shaped(orphans, False))

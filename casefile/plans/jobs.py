@@ -155,4 +155,4 @@ def merged_tables(spark: SparkSession, names: dict[str, str]) -> DataFrame:
 
     meta = conform(spark.table(names["evidence"]))
     anns = {col: spark.table(name) for col, name in names.items() if col != "evidence"}
-    return annotate.merge_annotations(meta, **anns)
+    return annotate.merge_annotations_copartitioned(meta, **anns)

@@ -30,9 +30,15 @@ def test_inventory_report_layout(spark):
 def test_merge_upserts_and_orphans(spark):
     table = make_evidence(spark, [{"id": "a", "file_path": "p", "file_hash": "old"},
                                   {"id": "b", "file_path": "q"}])
-    hashes = spark.createDataFrame([("a", "new"), ("z", "orph"), ("b", None)], "id string, file_hash string")
-    types = spark.createDataFrame([("b", "text/plain")], "id string, media_type string")
+    hashes = spark.createDataFrame([("a", "new"), ("z", "orph"), ("y", "h-y"), ("b", None)],
+                                   "id string, file_hash string")
+    types = spark.createDataFrame([("b", "text/plain"), ("y", "t-y"), ("x", "t-x")], "id string, media_type string")
+    full = sorted(map(tuple, annotate.merge_annotations(table, file_hash=hashes, media_type=types).collect()))
+    copart = sorted(map(tuple, annotate.merge_annotations_copartitioned(
+        table, file_hash=hashes, media_type=types).collect()))
+    assert full == copart and len(full) == 5  # a, b from the evidence; orphans z, y, x
     merged = {r.id: r for r in annotate.merge_annotations(table, file_hash=hashes, media_type=types).collect()}
+    assert merged["y"].file_hash == "h-y" and merged["y"].media_type == "t-y" and merged["x"].file_hash is None
     assert merged["a"].file_hash == "new" and merged["a"].file_path == "p"
     assert merged["b"].file_hash is None and merged["b"].media_type == "text/plain"
     assert merged["z"].file_hash == "orph" and merged["z"].file_path is None
@@ -125,10 +131,7 @@ def test_bucketed_tables_merge_without_shuffle(spark, tmp_path):
     names = jobs.bucket_tables(spark, str(tmp_path / "ev"), str(tmp_path / "b"), 4,
                                (str(tmp_path / "h"), str(tmp_path / "t")), prefix="bt_")
     merged = jobs.merged_tables(spark, names).select("id", "file_path", "file_hash", "media_type")
-    # the bucketed evidence metadata is never shuffled; only the narrow combined annotations
-    # (a full outer join's output loses the id partitioning) are
-    shuffled = [c for e in inspect.exchanges(merged) for c, _ in e["columns"]]
-    assert "file_path" not in shuffled
+    assert inspect.exchanges(merged) == []
     one = jobs.merged_tables(spark, {k: v for k, v in names.items() if k != "media_type"}).select(
         "id", "file_path", "file_hash")
     assert inspect.exchanges(one) == []
