@@ -18,6 +18,8 @@ WORD_PATTERN = f"[^{SPACE_CLASS}]+"
 
 #: Rows handed to a Python worker at once; texts can be long, so batches are short.
 ARROW_ROWS = 256
+#: Bytes of text a Python function works on at once (a longer text is worked on alone).
+BATCH_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casefile.llm import pareto_mix, rule_ledger, url_automaton
+from casefile.llm import pareto_mix, pattern_packing, rule_ledger, url_automaton, wavelet
 from casefile.llm.common import short_batches, table
+from casefile.llm.tokens import public_tokenizer
 
 #: The URL rules of the contract.
 URL_RULES = (
@@ -39,4 +40,19 @@ def op9_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "kept", "failures")
 
 
-QUERIES = {f.__name__: f for f in (op4_pareto_mix, op7_url_rules, op9_rule_ledger)}
+def op6_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """6: pack all documents into sequences of at most 2048 tokens."""
+    short_batches(spark)
+    return pattern_packing.pack(table(spark, sf_dir, "documents"), public_tokenizer(), 2048, 0) \
+        .withColumnRenamed("id", "doc_id")
+
+
+def op10_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """10: write all token ids as wavelet matrix files and read the documents back."""
+    short_batches(spark)
+    return wavelet.save_and_read(table(spark, sf_dir, "documents"), public_tokenizer(), 1) \
+        .withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op4_pareto_mix, op6_pattern_packing, op7_url_rules, op9_rule_ledger,
+                                   op10_wavelet_shards)}
