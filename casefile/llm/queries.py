@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casefile.llm import pareto_mix, pattern_packing, rule_ledger, url_automaton, wavelet
+from casefile.llm import pareto_mix, pattern_packing, rule_ledger, simhash, url_automaton, wavelet
 from casefile.llm.common import short_batches, table
 from casefile.llm.tokens import public_tokenizer
 
@@ -19,6 +19,14 @@ URL_RULES = (
 )
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """2: link documents whose 4-word SimHash differs in at most 4 bits."""
+    short_batches(spark)
+    found = simhash.near_groups(table(spark, sf_dir, "documents"), 4, 4)
+    return found.select(F.col("id").alias("doc_id"), simhash.hex_digits(F.col("fp")).alias("fingerprint"),
+                        "component_id")
+
+
 def op4_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """4: mix all sources to weights 1, 2, 3, at most three copies of a document."""
     return pareto_mix.mix(table(spark, sf_dir, "documents")).select(
@@ -54,5 +62,5 @@ def op10_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op4_pareto_mix, op6_pattern_packing, op7_url_rules, op9_rule_ledger,
+QUERIES = {f.__name__: f for f in (op2_simhash, op4_pareto_mix, op6_pattern_packing, op7_url_rules, op9_rule_ledger,
                                    op10_wavelet_shards)}
