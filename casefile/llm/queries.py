@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casefile.llm import pareto_mix, pattern_packing, rule_ledger, simhash, url_automaton, wavelet
+from casefile.llm import pareto_mix, parsing, pattern_packing, rule_ledger, simhash, url_automaton, wavelet
 from casefile.llm.common import short_batches, table
 from casefile.llm.tokens import public_tokenizer
 
@@ -19,6 +19,12 @@ URL_RULES = (
 )
 
 
+def op1_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """1: fingerprints of every text and of its edited text, and their likeness."""
+    short_batches(spark)
+    return parsing.compare_with_next(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """2: link documents whose 4-word SimHash differs in at most 4 bits."""
     short_batches(spark)
@@ -62,5 +68,5 @@ def op10_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op4_pareto_mix, op6_pattern_packing, op7_url_rules, op9_rule_ledger,
+QUERIES = {f.__name__: f for f in (op1_parsing, op2_simhash, op4_pareto_mix, op6_pattern_packing, op7_url_rules, op9_rule_ledger,
                                    op10_wavelet_shards)}
