@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casefile.llm import pareto_mix, parsing, pattern_packing, rule_ledger, simhash, url_automaton, wavelet
+from casefile.llm import language_id, pareto_mix, parsing, pattern_packing, rule_ledger, simhash, url_automaton, wavelet
 from casefile.llm.common import short_batches, table
 from casefile.llm.tokens import public_tokenizer
 
@@ -45,6 +45,16 @@ def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_automaton.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """8: predict every document's language; a third of the ids is held out from the fit."""
+    short_batches(spark)
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    model = language_id.fit(docs, may_train=~held_out)
+    found = language_id.predict(docs, model).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op9_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """9: measurements, failure bits and the verdict of the policy in force."""
     rows = rule_ledger.verdicts(rule_ledger.ledger(table(spark, sf_dir, "documents")), "clean-1")
@@ -68,5 +78,5 @@ def op10_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_parsing, op2_simhash, op4_pareto_mix, op6_pattern_packing, op7_url_rules, op9_rule_ledger,
+QUERIES = {f.__name__: f for f in (op1_parsing, op2_simhash, op4_pareto_mix, op6_pattern_packing, op7_url_rules, op8_language_id, op9_rule_ledger,
                                    op10_wavelet_shards)}
