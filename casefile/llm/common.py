@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from casefile.session import checkpoint_dir
 
@@ -19,7 +19,7 @@ WORD_PATTERN = f"[^{SPACE_CLASS}]+"
 #: Rows handed to a Python worker at once; texts can be long, so batches are short.
 ARROW_ROWS = 256
 #: Bytes of text a Python function works on at once (a longer text is worked on alone).
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,8 +43,10 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, label)
     df.write.parquet(path)
-    schema = StructType([f for f in df.schema.fields])
-    return spark.read.schema(schema).parquet(path)
+    # shuffle files of what is now written are dropped when the driver's garbage is
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
 
 
 #: Rows up to which a written side table is broadcast; beyond it Spark joins by a shuffle.

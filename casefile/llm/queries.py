@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casefile.llm import language_id, pareto_mix, parsing, pattern_packing, rule_ledger, simhash, url_automaton, wavelet
+from casefile.llm import language_id, pareto_mix, parsing, pattern_packing, rule_ledger, simhash, suffix_dedup, url_automaton, wavelet
 from casefile.llm.common import short_batches, table
 from casefile.llm.tokens import public_tokenizer
 
@@ -64,6 +64,14 @@ def op9_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "kept", "failures")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """5: remove all bytes covered by 200-byte strings that start elsewhere, too."""
+    short_batches(spark)
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), 200)
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed",
+                        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """6: pack all documents into sequences of at most 2048 tokens."""
     short_batches(spark)
@@ -78,5 +86,5 @@ def op10_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_parsing, op2_simhash, op4_pareto_mix, op6_pattern_packing, op7_url_rules, op8_language_id, op9_rule_ledger,
+QUERIES = {f.__name__: f for f in (op1_parsing, op2_simhash, op4_pareto_mix, op5_suffix_dedup, op6_pattern_packing, op7_url_rules, op8_language_id, op9_rule_ledger,
                                    op10_wavelet_shards)}
