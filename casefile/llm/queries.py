@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casefile.llm import language_id, pareto_mix, parsing, pattern_packing, rule_ledger, simhash, suffix_dedup, url_automaton, wavelet
+from casefile.llm import html_lstm, language_id, pareto_mix, parsing, pattern_packing, rule_ledger, simhash, suffix_dedup, url_automaton, wavelet
 from casefile.llm.common import short_batches, table
 from casefile.llm.tokens import public_tokenizer
 
@@ -33,6 +33,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "component_id")
 
 
+def op3_html_lstm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """3: the main text of every page, by the recurrent block labeller."""
+    short_batches(spark)
+    return html_lstm.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """4: mix all sources to weights 1, 2, 3, at most three copies of a document."""
     return pareto_mix.mix(table(spark, sf_dir, "documents")).select(
@@ -86,5 +92,5 @@ def op10_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_parsing, op2_simhash, op4_pareto_mix, op5_suffix_dedup, op6_pattern_packing, op7_url_rules, op8_language_id, op9_rule_ledger,
+QUERIES = {f.__name__: f for f in (op1_parsing, op2_simhash, op3_html_lstm, op4_pareto_mix, op5_suffix_dedup, op6_pattern_packing, op7_url_rules, op8_language_id, op9_rule_ledger,
                                    op10_wavelet_shards)}
