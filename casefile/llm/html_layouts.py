@@ -251,11 +251,15 @@ class _Maker:
                 parts.append(f'<figure><img src="x.png"><figcaption>{self.keep(self.sentences(3, 15))}</figcaption></figure>')
             if self.chance(0.05):
                 parts.append(self.pick([self.ad, self.side, self.share, self.form, self.notice, self.more])())
+        if self.chance(0.06):  # one short line, again and again
+            parts += [f"<p>{self.keep(self.sentences(1, 4))}</p>"] * self.some(2, 12)
         if self.chance(0.08):
             parts.append(self.comments())
         return self.wrapped("".join(parts))
 
     def wrapped(self, body: str) -> str:
+        if self.chance(0.1):
+            return body
         body = self.box("article article article div div main section", "main", body)
         for _ in range(self.some(0, 2)):
             body = self.box("div div main section", self.pick(["main", "wrap"]), body)
