@@ -135,3 +135,23 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_copies: int = 3
             .withColumn("copies", F.col("whole") + F.col("extra"))
             .select("id", "size", "source", "source_size", "target", "copies",
                     (F.col("size") * F.col("copies")).cast("long").alias("taken")))
+
+
+def mixed(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_copies: int = 3, seed: str = "mix",
+          id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as the mix takes it."""
+    size = word_count(F.col(text_col))
+    found = materialize(mix(docs, weights, max_copies, seed, id_col, text_col, source_col), "mix")
+    # rows of one id, size and source differ by one copy at most
+    taken = found.groupBy(F.col("id").alias("__id"), F.col("size").alias("__size"), F.col("source").alias("__source")) \
+        .agg(F.min("copies").alias("__least"), F.sum("copies").alias("__all"), F.count("*").alias("__rows"))
+    rows = docs.withColumn("__n", size).join(
+        taken, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__n") == F.col("__size"))
+        & F.col(source_col).cast("string").eqNullSafe(F.col("__source")))
+    copies = F.col("__least")
+    if taken.where("__rows > 1").head(1):
+        turn = F.row_number().over(Window.partitionBy("__id", "__size", "__source").orderBy(text_col))
+        rows = rows.withColumn("__turn", turn)
+        copies = copies + (F.col("__turn") <= F.col("__all") - F.col("__least") * F.col("__rows")).cast("int")
+    return (rows.withColumn("__copies", F.array_repeat(F.lit(1), copies.cast("int")))
+            .withColumn("__copy", F.explode("__copies")).select(*docs.columns))

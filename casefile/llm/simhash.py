@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -231,18 +231,51 @@ def near_links(points: DataFrame, radius: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _classes(marks: DataFrame, radius: int) -> DataFrame:
+    """(id, fp) -> (fp, first_id, root): per distinct fingerprint its smallest id and its component."""
+    distinct = materialize(marks.groupBy("fp").agg(F.min("id").alias("first_id")), "simhash-distinct")
+    roots = components(near_links(distinct.select("fp"), radius), "a", "b")
+    return distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
+        "fp", "first_id", F.coalesce("root", "fp").alias("root"))
+
+
 def near_groups(docs: DataFrame, shingle_words: int = 4, radius: int = 4, id_col: str = "doc_id",
                 text_col: str = "text") -> DataFrame:
     """Return (id, fp, component_id): the smallest id reachable by links of at most ``radius`` bits."""
     marks = materialize(fingerprints(docs, shingle_words, id_col, text_col), "simhash")
-    distinct = materialize(marks.groupBy("fp").agg(F.min("id").alias("first_id")), "simhash-distinct")
-    roots = components(near_links(distinct.select("fp"), radius), "a", "b")
-    joined = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    joined = _classes(marks, radius)
     named = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = joined.join(named, "root").select("fp", "component_id")
     return marks.join(classes, "fp").select("id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, shingle_words: int = 4, radius: int = 4, id_col: str = "doc_id",
+             text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that stay: of each component the one with the smallest id.
+
+    Of rows that share that id and fingerprint one stays.
+    """
+    marks = materialize(fingerprints(docs, shingle_words, id_col, text_col), "simhash")
+    classes = _classes(marks, radius)
+    # a null id is the smallest, as in the order of structs
+    first = marks.groupBy("fp").agg(F.min(F.struct(F.col("id"), F.col("fp").alias("mark"))).alias("one"))
+    stay = classes.select("fp", "root").join(first, "fp").groupBy("root").agg(F.min("one").alias("one"))
+    stay = materialize(stay.select(F.col("one.id").alias("__stay_id"), F.col("one.mark").alias("__stay_fp")), "stay")
+    if not marks.groupBy("id").count().where("count > 1").head(1):
+        return docs.join(stay, F.col(id_col).eqNullSafe(F.col("__stay_id")), "left_semi")
+    # ids are shared: rows are told apart by their fingerprint, too
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches_by_bytes(batches, text_col, BATCH_BYTES):
+            texts = batch.column(text_col).cast(pa.binary()).to_pylist()
+            found = np.array([fingerprint(t or b"", shingle_words) for t in texts], np.uint64).view(np.int64)
+            yield batch.append_column("__fp", pa.array(found))
+
+    marked = docs.mapInArrow(mark, StructType([*docs.schema.fields, StructField("__fp", LongType())]))
+    kept = marked.join(stay, F.col(id_col).eqNullSafe(F.col("__stay_id")) & (F.col("__fp") == F.col("__stay_fp")),
+                       "left_semi")
+    one = Window.partitionBy(id_col, "__fp").orderBy(F.col(text_col))
+    return kept.withColumn("__nth", F.row_number().over(one)).where("__nth = 1").drop("__nth", "__fp")
+
+
 def hex_digits(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

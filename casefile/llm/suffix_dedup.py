@@ -29,7 +29,7 @@ empty result; extra columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -52,11 +52,12 @@ _NO_ID = -(1 << 63)
 _SEGMENT = "id long, mark int, lo long, hi long, at long, gram long, whole long"
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, mark, text): rows that share an id are told apart by a hash of their text."""
+def _keyed(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str]) -> DataFrame:
+    """(id, text, carried, mark): rows that share an id are told apart by a hash of their text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), text.alias("text")) \
-        .withColumn("mark", F.hash("text"))
+    carried = F.struct(*carry) if carry else F.lit(None).cast("struct<none: int>")
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), text.alias("text"),
+                       carried.alias("carried")).withColumn("mark", F.hash("text"))
 
 
 def _segments(docs: DataFrame, length: int) -> DataFrame:
@@ -192,7 +193,7 @@ def _taken(docs: DataFrame, picked: DataFrame, length: int) -> DataFrame:
 
     arrow = pa.schema([("gram", pa.int64()), ("whole", pa.int64()), ("many", pa.bool_()), ("data", pa.binary()),
                        ("at", pa.int64()), ("code", pa.binary())])
-    return docs.join(lists, ["id", "mark"]).select("text", "rows").mapInArrow(
+    return docs.select("id", "mark", "text").join(lists, ["id", "mark"]).select("text", "rows").mapInArrow(
         run, "gram long, whole long, many boolean, data binary, at long, code binary")
 
 
@@ -253,9 +254,13 @@ def cut(text: bytes, removed: list[tuple[int, int]], whole_characters: bool) ->
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, whole_characters: bool = False, id_col: str = "doc_id",
-                   text_col: str = "text") -> DataFrame:
-    """Return (id, n_bytes, n_removed, spans, kept) for every document; ``kept``: the remaining bytes."""
-    keyed = _keyed(docs, id_col, text_col)
+                   text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """Return (id, n_bytes, n_removed, spans, kept, carried) for every document.
+
+    ``kept``: the remaining bytes; with ``whole_characters`` a character that is only partly repeated stays.
+    ``carried``: a struct of the columns named in ``carry``.
+    """
+    keyed = _keyed(docs, id_col, text_col, carry)
     lists = repeats(keyed, length).groupBy("id", "mark").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,12 +276,13 @@ def remove_repeats(docs: DataFrame, length: int = 200, whole_characters: bool =
             removed = [sum(s["end"] - s["start"] for s in f) for f in found]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(size, pa.int64()), pa.array(removed, pa.int64()),
-                 pa.array(found, kind), pa.array(kept, pa.binary())], names=schema.names)
+                 pa.array(found, kind), pa.array(kept, pa.binary()), batch.column("carried")], names=schema.names)
 
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     span = StructType([StructField("start", LongType()), StructField("end", LongType())])
     schema = StructType([StructField("id", LongType()), StructField("n_bytes", LongType()),
                          StructField("n_removed", LongType()), StructField("spans", ArrayType(span)),
-                         StructField("kept", BinaryType())])
-    cut_up = keyed.join(lists, ["id", "mark"], "left").select("id", "text", "runs").mapInArrow(run, schema)
+                         StructField("kept", BinaryType()), keyed.schema["carried"]])
+    cut_up = keyed.join(lists, ["id", "mark"], "left").select("id", "text", "runs", "carried") \
+        .mapInArrow(run, schema)
     return cut_up.withColumn("id", F.when(F.col("id") != _NO_ID, F.col("id")))
