@@ -36,6 +36,8 @@ def _parser() -> argparse.ArgumentParser:
             s.add_argument("--evidence", required=True, help="evidence table (Parquet)")
         if external:
             s.add_argument("--external", help="folder of externally stored files (file name = row id)")
+            s.add_argument("--listing", default="index", choices=["index", "inventory"],
+                           help="list with Spark's file index, or on executors for very large folders")
         return s
 
     for name, text in [("hash", "hash inline and external content"),
@@ -49,7 +51,6 @@ def _parser() -> argparse.ArgumentParser:
     s.add_argument("--hashes", required=True, help="hash annotation table")
     s.add_argument("--out", required=True)
     s.add_argument("--bits", type=int, default=DEFAULT_BITS, choices=DIGEST_BITS)
-    s.add_argument("--max-files-per-row", type=int, default=1000, help="files per report record")
     s.add_argument("--members", help="also write the long form (one row per duplicate file) as Parquet")
     s = job("histogram", "media-type counts")
     s.add_argument("--media-types", required=True, help="media-type annotation table")
@@ -80,14 +81,14 @@ def main(argv: list[str] | None = None) -> int:
     spark = get_session(args.master, app_name=f"casefile-{args.job}")
     mode = args.mode
     if args.job == "hash":
-        jobs.hash_job(spark, args.evidence, args.external, args.out, args.bits, mode)
+        jobs.hash_job(spark, args.evidence, args.external, args.out, args.bits, mode, args.listing)
     elif args.job == "media-types":
-        jobs.media_type_job(spark, args.evidence, args.external, args.out, mode)
+        jobs.media_type_job(spark, args.evidence, args.external, args.out, mode, args.listing)
     elif args.job == "annotate":
-        jobs.annotate_job(spark, args.evidence, args.external, args.out, args.bits, mode)
+        jobs.annotate_job(spark, args.evidence, args.external, args.out, args.bits, mode, args.listing)
     elif args.job == "duplicates":
         jobs.duplicate_report_job(spark, args.evidence, args.hashes, args.out, args.bits, mode,
-                                  max_files_per_row=args.max_files_per_row, members_out=args.members)
+                                  members_out=args.members)
     elif args.job == "histogram":
         (jobs.media_type_histogram(spark, args.evidence, args.media_types)
          .write.mode(mode).option("header", "true").csv(args.out))
@@ -96,7 +97,7 @@ def main(argv: list[str] | None = None) -> int:
         out = mediatypes.inline_media_type_mismatch(table)
         if args.external:
             out = out.unionByName(mediatypes.external_media_type_mismatch(
-                table, hashing.read_heads(spark, args.external)))
+                table, hashing.read_types(spark, args.external, listing=args.listing)))
         out.write.mode(mode).option("header", "true").csv(args.out)
     elif args.job == "bucket":
         names = jobs.bucket_tables(spark, args.evidence, args.out, args.buckets, tuple(args.annotations),

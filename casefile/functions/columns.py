@@ -50,10 +50,6 @@ def content_size(c: Column | str, missing: int | None = None) -> Column:
     return size if missing is None else F.coalesce(size, F.lit(missing).cast("bigint"))
 
 
-def hex_head(c: Column | str, n: int = 8) -> Column:
-    """Lower-case hex of the first ``n`` bytes of a binary column."""
-    return F.lower(F.hex(F.substring(_c(c), 1, n)))
-
 
 def path_from_uri(c: Column | str) -> Column:
     """Strip a ``file:`` scheme so listed paths compare with plain paths."""

@@ -1,14 +1,16 @@
 """Media-type detection compiled to native column expressions.
 
-Detection works in three steps, all evaluated by Spark's codegen on the first
-``HEAD_BYTES`` bytes of the content (no per-row Python):
-
-1. *Magic*: ordered signature rules; a rule is a list of ``(offset, bytes)``
-   conditions that must all hold, or a case-insensitive text pattern anchored
-   at the start (after optional whitespace) for markup formats.
-2. *Text fallback*: no magic hit -> ``text/plain`` if the head holds no
-   control byte (0x00-0x08, 0x0B, 0x0E-0x1A, 0x1C-0x1F), else
-   ``application/octet-stream``.  Empty content -> octet-stream.
+Detection works in three steps, all evaluated by Spark's codegen (no per-row
+Python):
+
+1. *Magic*: ordered signature rules at fixed offsets in the first
+   ``HEAD_BYTES`` bytes; a rule is a list of ``(offset, bytes)`` conditions
+   that must all hold, or a case-insensitive text pattern anchored at the
+   start (after an optional UTF-8 byte-order mark and whitespace) for markup.
+2. *Text fallback*: no magic hit -> ``text/plain`` if the whole content holds
+   no control byte (0x00-0x08, 0x0B, 0x0E-0x1A, 0x1C-0x1F), else
+   ``application/octet-stream``.  Empty content -> octet-stream.  The content
+   is only searched where no rule of step 1 holds.
 3. *Name refinement*: the extension of the last path segment names a
    candidate type; it replaces the content verdict only when it is the same
    type or a declared specialisation of it (``.docx`` refines a zip,
@@ -16,13 +18,10 @@ Detection works in three steps, all evaluated by Spark's codegen on the first
    verdict; anything specialises ``application/octet-stream``.
 
 The signatures come from the public format specifications of each format.
-``sql_magic_type`` and ``sql_refine`` render the same tables as a DuckDB expression for the oracle.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from casefile.functions.columns import extension
@@ -63,25 +62,22 @@ SIGNATURES: list[tuple[str, str]] = [
     ("audio/mpeg", "494433"),
     ("video/mpeg", "000001BA"),
     ("video/mpeg", "000001B3"),
-    ("text/plain", "EFBBBF"),
     ("text/plain", "FEFF"),
     ("text/plain", "FFFE"),
 ]
 
-# Signatures made of several (offset, hex bytes) conditions,
-# tested in this order after SIGNATURES.
-COMPOUND_SIGNATURES: list[tuple[str, list[tuple[int, str]]]] = [
-    ("image/bmp", [(0, "424D"), (6, "00000000")]),
-    ("image/webp", [(0, "52494646"), (8, "57454250")]),
-    ("audio/vnd.wave", [(0, "52494646"), (8, "57415645")]),
-    ("video/x-msvideo", [(0, "52494646"), (8, "41564920")]),
-    ("video/mp4", [(4, "66747970")]),
-    ("application/x-tar", [(257, "7573746172")]),
+# Containers, tested after SIGNATURES: a signature at an offset, and the brand in four bytes
+# at another, which names the type (or else the container's own type, if it has one).
+CONTAINERS: list[tuple[int, str, int, dict[str, str], str | None]] = [
+    (4, "66747970", 8, {"71742020": "video/quicktime", "68656963": "image/heic", "68656978": "image/heic",
+                        "6D696631": "image/heif", "4D344120": "audio/mp4"}, "video/mp4"),
+    (0, "52494646", 8, {"57454250": "image/webp", "57415645": "audio/vnd.wave", "41564920": "video/x-msvideo"}, None),
+    (0, "424D", 6, {"00000000": "image/bmp"}, None),
+    (257, "7573746172", 0, {}, "application/x-tar"),
 ]
 
-# Every rule as (type, conditions), in evaluation order (used by the oracle).
-MAGIC_RULES: list[tuple[str, list[tuple[int, str]]]] = (
-    [(t, [(0, h)]) for t, h in SIGNATURES] + COMPOUND_SIGNATURES)
+# Fixed value: a UTF-8 byte-order mark makes text, unless a tag follows it.
+BYTE_ORDER_MARK = "EFBBBF"
 
 # Markup recognised by a leading tag (case-insensitive, after
 # optional whitespace), checked after the byte signatures.
@@ -218,7 +214,8 @@ def _ws_class() -> str:
 def _tag_pattern() -> str:
     """One anchored, case-insensitive alternation over all markup tags."""
     alts = "|".join(_java_regex_literal(tag[1:]) for _, tag in TEXT_MAGIC_RULES)
-    return f"(?i)^{_ws_class()}*<({alts})"
+    mark = "".join(f"\\x{b:02X}" for b in bytes.fromhex(BYTE_ORDER_MARK))
+    return f"(?i)^(?:{mark})?{_ws_class()}*<({alts})"
 
 
 def _bytes_at(head: Column, offset: int, hex_bytes: str) -> Column:
@@ -231,7 +228,7 @@ def _bytes_at(head: Column, offset: int, hex_bytes: str) -> Column:
 SIGNATURE_HEX_CHARS = 2 * max(len(h) // 2 for _, h in SIGNATURES)
 
 
-_LITERALS: dict[tuple[int, str], Column] = {}
+_LITERALS: dict[tuple[str, str], Column] = {}
 
 
 def _literal(name: str, build) -> Column:
@@ -244,7 +241,7 @@ def _literal(name: str, build) -> Column:
     from pyspark import SparkContext
 
     sc = SparkContext._active_spark_context
-    key = (id(sc._jsc) if sc is not None else 0, name)
+    key = (sc.applicationId if sc is not None else "", name)
     if key not in _LITERALS:
         _LITERALS[key] = build()
     return _LITERALS[key]
@@ -268,12 +265,17 @@ def _signature_type(head_hex: Column) -> Column:
     return F.coalesce(*lookups)
 
 
-def _compound_type(head: Column) -> Column:
-    verdict = None
-    for media_type, conds in COMPOUND_SIGNATURES:
-        cond = reduce(lambda a, b: a & b, [_bytes_at(head, o, h) for o, h in conds])
-        verdict = F.when(cond, F.lit(media_type)) if verdict is None else verdict.when(cond, F.lit(media_type))
-    return verdict
+def _container_type(head: Column) -> Column:
+    """Container verdict: one test per container, one literal-map lookup for its brands."""
+    verdicts = []
+    for offset, signature, brand_at, brands, otherwise in CONTAINERS:
+        found = F.lit(otherwise).cast("string")
+        if brands:
+            table = _literal(f"brands{offset}{signature}",
+                             lambda e=brands: F.create_map(*[F.lit(x) for kv in sorted(e.items()) for x in kv]))
+            found = F.coalesce(F.element_at(table, F.hex(F.substring(head, brand_at + 1, 4))), found)
+        verdicts.append(F.when(_bytes_at(head, offset, signature), found))
+    return F.coalesce(*verdicts)
 
 
 def _tag_type(head_text: Column) -> Column:
@@ -282,22 +284,29 @@ def _tag_type(head_text: Column) -> Column:
     return F.element_at(table, F.lower(F.regexp_extract(head_text, _tag_pattern(), 1)))
 
 
-def type_of_head(head: Column, head_text: Column, head_hex: Column | None = None) -> Column:
-    """Content verdict (steps 1, 2) from the projected head, its ISO-8859-1 text
-    and (optionally) its upper-case hex."""
+def holds_control(content: Column) -> Column:
+    """Whether any byte of the whole content is a control byte."""
+    return F.decode(content, "ISO-8859-1").rlike(_control_class())
+
+
+def type_of_head(head: Column, head_text: Column, is_binary: Column, head_hex: Column | None = None) -> Column:
+    """Content verdict (steps 1, 2) from the projected head, its ISO-8859-1 text,
+    whether the whole content holds a control byte (evaluated only where no
+    rule holds) and (optionally) the head's upper-case hex."""
     if head_hex is None:
         head_hex = F.hex(F.substring(head, 1, SIGNATURE_HEX_CHARS // 2))
+    mark = F.when(_bytes_at(head, 0, BYTE_ORDER_MARK), F.lit(TEXT_PLAIN))
     fallback = (F.when(F.octet_length(head) == 0, F.lit(OCTET_STREAM))
-                .when(head_text.rlike(_control_class()), F.lit(OCTET_STREAM))
+                .when(is_binary, F.lit(OCTET_STREAM))
                 .otherwise(F.lit(TEXT_PLAIN)))
     return F.when(head.isNotNull(), F.coalesce(
-        _signature_type(head_hex), _compound_type(head), _tag_type(head_text), fallback))
+        _signature_type(head_hex), _container_type(head), _tag_type(head_text), mark, fallback))
 
 
 def magic_type(content: Column) -> Column:
     """Content-only verdict as one expression (see ``with_content_type``)."""
     head = head_of(content)
-    return type_of_head(head, F.decode(head, "ISO-8859-1"))
+    return type_of_head(head, F.decode(head, "ISO-8859-1"), holds_control(content))
 
 
 def name_type(path: Column) -> Column:
@@ -348,12 +357,21 @@ def with_content_type(df: DataFrame, content: str, out: str = "content_type") ->
     The head and its text are projected first; the rule CASE then reads
     those columns once each instead of re-slicing the content per rule.
     """
-    head, text, hexed = _TMP + "head", _TMP + "text", _TMP + "hex"
+    whole = _TMP + "whole"
     keep = _columns_except(df, out)
-    staged = df.select(*keep, head_of(F.col(content)).alias(head))
-    staged = staged.select(*keep, head, F.decode(F.col(head), "ISO-8859-1").alias(text),
-                           F.hex(F.substring(F.col(head), 1, SIGNATURE_HEX_CHARS // 2)).alias(hexed))
-    return staged.select(*keep, type_of_head(F.col(head), F.col(text), F.col(hexed)).alias(out))
+    staged = df.select(*keep, F.col(content).alias(whole))
+    return with_head_type(staged.withColumn(_TMP + "head", head_of(F.col(whole))), _TMP + "head",
+                          holds_control(F.col(whole)), out).drop(whole, _TMP + "head")
+
+
+def with_head_type(df: DataFrame, head: str, is_binary: Column, out: str = "content_type") -> DataFrame:
+    """Add ``out``: the verdict from a column with the first ``HEAD_BYTES`` bytes, and from whether the
+    whole content holds a control byte."""
+    text, hexed = _TMP + "text", _TMP + "hex"
+    keep = _columns_except(df, out)
+    staged = df.select(*keep, F.decode(F.col(head), "ISO-8859-1").alias(text),
+                       F.hex(F.substring(F.col(head), 1, SIGNATURE_HEX_CHARS // 2)).alias(hexed))
+    return staged.select(*keep, type_of_head(F.col(head), F.col(text), is_binary, F.col(hexed)).alias(out))
 
 
 def with_media_type(df: DataFrame, content_type: str, path: Column | str,
@@ -364,55 +382,3 @@ def with_media_type(df: DataFrame, content_type: str, path: Column | str,
     keep = _columns_except(df, out)
     staged = df.select(*keep, name_type(path_col).alias(cand))
     return staged.select(*keep, refine(F.col(content_type), F.col(cand)).alias(out))
-
-
-# --- the same tables as DuckDB SQL (oracle side) ---------------------------
-
-def _sql_str(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
-
-def sql_magic_type(blob: str, text: str) -> str:
-    """DuckDB expression for ``magic_type``.
-
-    ``blob`` is a BLOB expression of the content, ``text`` the same content
-    as VARCHAR (the oracle's content is text, so both are available).  Text
-    patterns are pure ASCII, so matching on characters equals matching on
-    bytes.
-    """
-    head_hex = f"hex(({blob})[1:{HEAD_BYTES}])"
-    parts = ["CASE"]
-    for media_type, conds in MAGIC_RULES:
-        cond = " AND ".join(
-            f"hex(({blob})[{o + 1}:{o + len(bytes.fromhex(h))}]) = {_sql_str(h.upper())}" for o, h in conds)
-        parts.append(f"WHEN {cond} THEN {_sql_str(media_type)}")
-    for media_type, tag in TEXT_MAGIC_RULES:
-        ws = "\\t\\n\\r\\f "
-        pattern = f"^[{ws}]*" + "".join("\\" + c if not c.isalnum() and c not in " -" else c for c in tag)
-        parts.append(f"WHEN regexp_matches(lower(left({text}, {HEAD_BYTES})), {_sql_str(pattern)}) "
-                     f"THEN {_sql_str(media_type)}")
-    hex_pairs = []
-    for lo, hi in CONTROL_BYTES:
-        hex_pairs.extend(f"{b:02X}" for b in range(lo, hi + 1))
-    parts.append(f"WHEN octet_length({blob}) = 0 THEN {_sql_str(OCTET_STREAM)}")
-    parts.append(f"WHEN regexp_matches({head_hex}, '^(..)*?({'|'.join(hex_pairs)})') "
-                 f"THEN {_sql_str(OCTET_STREAM)}")
-    parts.append(f"ELSE {_sql_str(TEXT_PLAIN)} END")
-    return f"(CASE WHEN ({blob}) IS NULL THEN NULL ELSE {' '.join(parts)} END)"
-
-
-def sql_name_type(path: str) -> str:
-    """DuckDB expression for ``name_type``."""
-    ext = f"lower(regexp_extract(regexp_extract({path}, '[^/]*$', 0), '\\.([^./]+)$', 1))"
-    whens = " ".join(f"WHEN {_sql_str(k)} THEN {_sql_str(v)}" for k, v in sorted(EXTENSION_TYPES.items()))
-    return f"(CASE {ext} {whens} ELSE NULL END)"
-
-
-def sql_refine(content_type: str, path: str) -> str:
-    """DuckDB expression for ``refine_by_name``."""
-    cand = sql_name_type(path)
-    lineage = " ".join(f"WHEN {_sql_str(t)} THEN {_sql_str(_ancestor_text(t))}"
-                       for t in sorted(set(EXTENSION_TYPES.values())))
-    accepted = f"(position('|' || {content_type} || '|' IN (CASE {cand} {lineage} END)) > 0)"
-    return (f"(CASE WHEN {content_type} IS NULL THEN NULL "
-            f"WHEN {cand} IS NOT NULL AND {accepted} THEN {cand} ELSE {content_type} END)")

@@ -2,39 +2,31 @@
 
 Input is a "members" DataFrame with a key column (the digest) and a label
 column (``<id>_<path>`` for evidence rows, the path for raw directories).
-
-Scale design
-------------
+Every result is in long form, one row per file, so a group of any size is
+never one row, one array or one task's work.
+
+* Members are written once, as Parquet in the shared checkpoint folder: only
+  the narrow ``(key, label, ...)`` rows, so counting reads the key column
+  alone and upstream work such as hashing runs once.  The group sizes (one
+  small row per duplicate digest) are written, too, and used by every step.
+  These two writes run when an operator is called; the rest is lazy.
 * Counting per key is a partial + final hash aggregate (map-side combine),
   so a key held by a third of all files costs one small row per map task.
-* Group sizes are joined back onto the members without a hot partition.
-  The hot threshold is ``max(1,000,000, ceil(N / 10,000))`` for N members,
-  so at most 10,000 keys can exceed it: a constant bound on the broadcast
-  side.  Hot keys are broadcast and joined map-side; all other keys take a
-  shuffle join in which no key exceeds the threshold, with the hot members
-  removed map-side beforehand.
-* Groups are never materialised in one row or task.  ``duplicate_members``
-  is the long form (one row per file).  ``duplicate_files`` is the list form:
-  a group of ``n`` files is split into ``ceil(n / max_files_per_row)`` parts
-  by an md5 bucket of the label, and the parts are shuffled on
-  ``(key, part)`` so a hot key spreads over many tasks.  Every file appears
-  in exactly one part; nothing is dropped.
-* Statistics and the member join both read the member list, so it is
-  materialised once (reliable ``checkpoint`` into the shared
-  ``spark.checkpoint.dir``): only the narrow ``(key, label, ...)`` rows are
-  written, and upstream work such as hashing file content runs once.
-* The md5 bucket is a plain SQL expression, so the split is reproducible in
-  any engine that has md5 (the DuckDB oracle uses the same formula).
+* Group sizes are joined back without a hot partition.  Keys with more than
+  ``HOT_GROUP_ROWS`` files, at most ``MAX_HOT_KEYS`` of them (counted before
+  the broadcast; the threshold rises until it holds), are broadcast and
+  joined map-side; the others take a shuffle join in which no key is larger.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import uuid
+
+from pyspark.sql import DataFrame, functions as F
 
 from casefile.functions.columns import file_label
 from casefile.session import checkpoint_dir
 
-DEFAULT_MAX_FILES_PER_ROW = 1000
 HOT_GROUP_ROWS = 1_000_000
 MAX_HOT_KEYS = 10_000
 
@@ -61,84 +53,67 @@ def duplicate_counts(members: DataFrame, key: str = "file_hash") -> DataFrame:
     return hash_counts(members, key).where(F.col("n") > 1)
 
 
-def hot_threshold(members: DataFrame) -> int:
-    """Group size above which a key counts as hot: at most ``MAX_HOT_KEYS``
-    keys can exceed it, because their sizes add up to at most N."""
-    total = members.count()
-    return max(HOT_GROUP_ROWS, -(-total // MAX_HOT_KEYS))
-
-
-def attach_group_stats(members: DataFrame, stats: DataFrame, key: str,
-                       hot_rows: int | None = None) -> DataFrame:
-    """Inner-join per-key ``stats`` (one row per key, with ``n``) onto members.
+def materialize(df: DataFrame, label: str = "members") -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder as Parquet and read it back.
 
-    Hot keys (``n > hot_rows``) go through a broadcast join; with the default
-    threshold (``hot_threshold``) there are at most ``MAX_HOT_KEYS`` of them.
-    The rest shuffle on ``key`` after the hot members were dropped map-side.
+    Files on shared storage, so losing an executor afterwards costs no
+    recomputation, and readers prune columns.
     """
-    if hot_rows is None:
-        hot_rows = hot_threshold(members)
-    hot = F.broadcast(stats.where(F.col("n") > hot_rows))
-    cold = stats.where(F.col("n") <= hot_rows)
-    hot_members = members.join(hot, on=key, how="inner")
-    cold_members = members.join(hot, on=key, how="left_anti").join(cold, on=key, how="inner")
-    return hot_members.unionByName(cold_members)
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/casefile/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and read it back.
+def attach_group_stats(members: DataFrame, stats: DataFrame, key: str,
+                       hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+    """Inner-join per-key ``stats`` (one row per key, with ``n``; cheap to read twice) onto members.
 
-    A reliable checkpoint: files on shared storage, so losing an executor
-    afterwards costs no recomputation of the upstream plan.
+    Keys with more than ``hot_rows`` rows go through a broadcast join, after a
+    count has shown that they are at most ``MAX_HOT_KEYS``; otherwise the
+    threshold is raised tenfold until they are.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    def hot_keys():
+        return stats.where(F.col("n") > hot_rows)
+
+    while (few := hot_keys().limit(MAX_HOT_KEYS + 1).count()) > MAX_HOT_KEYS:
+        hot_rows *= 10
+    if not few:
+        return members.join(stats, on=key, how="inner")
+    hot = F.broadcast(hot_keys())
+    cold_members = members.join(hot.select(key), on=key, how="left_anti").join(
+        stats.where(F.col("n") <= hot_rows), on=key, how="inner")
+    return members.join(hot, on=key, how="inner").unionByName(cold_members)
 
 
-def duplicate_members(members: DataFrame, key: str = "file_hash", label: str = "label",
-                      hot_rows: int | None = None, materialized: bool = False) -> DataFrame:
-    """Long form: every member of a duplicate group with its group size ``n``.
+def duplicate_members(members: DataFrame, key: str = "file_hash", hot_rows: int = HOT_GROUP_ROWS,
+                      materialized: bool = False) -> DataFrame:
+    """Every member of a duplicate group with its group size ``n``.
 
     ``materialized=True`` declares that ``members`` is already cheap to read
-    twice (e.g. a Parquet table); otherwise it is checkpointed first.
+    twice (e.g. a Parquet table); otherwise it is written first.
     """
     if not materialized:
         members = materialize(members)
-    return attach_group_stats(members, duplicate_counts(members, key), key, hot_rows)
+    return attach_group_stats(members, materialize(duplicate_counts(members, key), "sizes"), key, hot_rows)
 
 
-def part_of(label: Column, n: Column, max_files_per_row: int) -> Column:
-    """Part number in ``[0, ceil(n / max))`` from the first 32 bits of md5(label)."""
-    n_parts = F.ceil(n / F.lit(max_files_per_row)).cast("bigint")
-    bucket = F.conv(F.substring(F.md5(label), 1, 8), 16, 10).cast("bigint")
-    return F.pmod(bucket, n_parts)
+def duplicate_groups(members: DataFrame, key: str = "file_hash", label: str = "label") -> DataFrame:
+    """``(key, n, first_file)`` of every duplicate group; ``first_file`` is its smallest label."""
+    return hash_counts(members, key, label).where(F.col("n") > 1)
 
 
 def duplicate_files(members: DataFrame, key: str = "file_hash", label: str = "label",
-                    max_files_per_row: int = DEFAULT_MAX_FILES_PER_ROW,
-                    hot_rows: int | None = None, materialized: bool = False) -> DataFrame:
-    """List form ``(key, n, part, files)``; ``files`` are sorted labels.
-
-    Groups larger than ``max_files_per_row`` come as several parts.
-    """
-    if max_files_per_row < 1:
-        raise ValueError("max_files_per_row must be positive")
-    long = duplicate_members(members.select(key, label), key, label, hot_rows, materialized)
-    long = long.withColumn("part", part_of(F.col(label), F.col("n"), max_files_per_row))
-    return (long.repartition(key, "part")
-            .groupBy(key, "n", "part")
-            .agg(F.array_sort(F.collect_list(label)).alias("files")))
-
-
-def render_files(files: Column | str, sep: str = ";") -> Column:
-    """Render the member array as text (``;`` in the list form, newline in reports)."""
-    c = F.col(files) if isinstance(files, str) else files
-    return F.array_join(c, sep)
-
+                    hot_rows: int = HOT_GROUP_ROWS, materialized: bool = False) -> DataFrame:
+    """``duplicate_members`` plus ``first_file``, which names the group without its digest."""
+    if not materialized:
+        members = materialize(members)
+    return attach_group_stats(members, materialize(duplicate_groups(members, key, label), "groups"), key, hot_rows)
 
-def duplicate_preview(dups: DataFrame, n: int = 20) -> DataFrame:
-    """Top ``n`` rows of the list form, largest groups first (a top-k report).
 
-    Ties are broken by the part's first label, which is unique to the part.
-    """
-    return dups.orderBy(F.desc("n"), F.asc(F.element_at("files", 1))).limit(n)
+def duplicate_preview(members: DataFrame, n: int = 20, key: str = "file_hash", label: str = "label",
+                      materialized: bool = False) -> DataFrame:
+    """All files of the ``n`` largest groups (a top-k report; ties go by the smallest label)."""
+    if not materialized:
+        members = materialize(members)
+    top = duplicate_groups(members, key, label).orderBy(F.desc("n"), F.asc("first_file")).limit(n)
+    return members.join(F.broadcast(top), on=key, how="inner")  # n rows

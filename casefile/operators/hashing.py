@@ -1,30 +1,34 @@
 """Content hashing of inline and externally stored files.
 
-Bytes are reduced to a small summary ``(path, length, file_hash, head)`` in
-the first projection over the content; nothing downstream (joins, shuffles,
-media-type rules) ever sees the full bytes.  ``head`` is the first
-``HEAD_BYTES`` bytes, which is all the media-type rules look at.
+Bytes are reduced to a small summary ``(path, length, file_hash,
+content_type)`` in the first projection over the content; nothing downstream
+(joins, shuffles, name refinement) ever sees the bytes.
 
-Files above the binary reader's size limit are hashed by a chunked reader
+Files above the binary reader's size limit are read in chunks
 (``mapInPandas`` over paths, constant memory per file); Spark partitions that
-work by file length like any other scan.
+work by file length like any other scan.  Both routes give equal summaries.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from casefile.functions.columns import base_name, nonempty
 from casefile.functions.digest import DEFAULT_BITS, check_bits, digest, empty_digest
-from casefile.functions.mediatype import HEAD_BYTES
+from casefile.functions.mediatype import (CONTROL_BYTES, HEAD_BYTES, OCTET_STREAM, with_content_type,
+                                          with_head_type)
 from casefile.sources.files import binary_files, max_binary_length, split_by_length
 from casefile.sources.inventory import zero_length_files
 
-SUMMARY_SCHEMA = T.StructType([
+# What the chunked reader returns; the rules then run as column expressions.
+_READ_SCHEMA = T.StructType([
     T.StructField("path", T.StringType()),
     T.StructField("length", T.LongType()),
     T.StructField("file_hash", T.StringType()),
     T.StructField("head", T.BinaryType()),
+    T.StructField("is_binary", T.BooleanType()),
 ])
 
 CHUNK_BYTES = 1 << 20
@@ -34,62 +38,82 @@ STREAM_ABOVE_BYTES = 64 << 20
 
 
 def summarize_content(files: DataFrame, bits: int = DEFAULT_BITS) -> DataFrame:
-    """``(path, length, file_hash, head)`` from a frame that carries ``content``."""
-    return files.select(
-        "path", F.col("length").cast("bigint").alias("length"),
-        digest("content", bits).alias("file_hash"),
-        F.substring("content", 1, HEAD_BYTES).alias("head"),
-    )
+    """``(path, length, file_hash, content_type)`` from a frame that carries ``content``."""
+    rows = files.select("path", F.col("length").cast("bigint").alias("length"),
+                        digest("content", bits).alias("file_hash"), "content")
+    return with_content_type(rows, "content").drop("content")
+
+
+_FILE_SYSTEMS: dict[tuple[str, str], object] = {}
+_URI = re.compile(r"([A-Za-z][A-Za-z0-9+.-]*)://([^/]*)(/.*)", re.S)
+
+
+def split_uri(path: str) -> tuple[str, str, str]:
+    """Scheme, authority and plain path of a listed path; nothing in it is decoded."""
+    found = _URI.fullmatch(path)
+    if found is None:
+        local = path[len("file:"):] if path.startswith("file:") else path
+        return "file", "", "/" + local.lstrip("/")
+    scheme, authority, plain = found.groups()
+    return ("s3" if scheme in ("s3a", "s3n") else scheme), authority, plain
 
 
 def _open_path(path: str):
-    """Open a listed path (``file:`` URI or any URI pyarrow understands)."""
-    if path.startswith("file:"):
-        local = path[5:]
-        while local.startswith("//"):
-            local = local[1:]
-        return open(local, "rb")
-    if path.startswith(("s3a://", "s3n://")):
-        path = "s3://" + path[6:]
+    """Open a listed path through one file system per (scheme, authority) and worker."""
+    scheme, authority, plain = split_uri(path)
+    if scheme == "file":
+        return open(plain, "rb")
     from pyarrow import fs as pafs
-    filesystem, inner = pafs.FileSystem.from_uri(path)
-    return filesystem.open_input_stream(inner)
 
+    key = (scheme, authority)
+    if key not in _FILE_SYSTEMS:
+        _FILE_SYSTEMS[key] = pafs.FileSystem.from_uri(f"{scheme}://{authority}/")[0]
+    return _FILE_SYSTEMS[key].open_input_stream(authority + plain if scheme == "s3" else plain)
+
+
+def _chunked_reader(bits: int | None, head_bytes: int, chunk_bytes: int):
+    """Digest (unless ``bits`` is None), head, and whether any byte is a control byte.
+
+    Without a digest, reading stops at the first control byte after the head.
+    """
+    control = bytes(b for low, high in CONTROL_BYTES for b in range(low, high + 1))
 
-def _chunked_digest(bits: int, head_bytes: int, chunk_bytes: int):
     def run(batches):
         import hashlib
 
         import pandas as pd
 
         for pdf in batches:
-            hashes, heads = [], []
+            hashes, heads, binary = [], [], []
             for path in pdf["path"]:
-                h = hashlib.new(f"sha{bits}")
-                head = b""
+                h = hashlib.new(f"sha{bits}") if bits else None
+                head, found = b"", False
                 with _open_path(path) as fh:
-                    while True:
-                        chunk = fh.read(chunk_bytes)
-                        if not chunk:
-                            break
+                    while chunk := fh.read(chunk_bytes):
                         if len(head) < head_bytes:
                             head += chunk[: head_bytes - len(head)]
-                        h.update(chunk)
-                hashes.append(h.hexdigest())
+                        found = found or len(chunk.translate(None, control)) < len(chunk)
+                        if h:
+                            h.update(chunk)
+                        elif found and len(head) == head_bytes:
+                            break
+                hashes.append(h.hexdigest() if h else None)
                 heads.append(head)
+                binary.append(found)
             yield pd.DataFrame({"path": pdf["path"], "length": pdf["length"].astype("int64"),
-                                "file_hash": hashes, "head": heads})
+                                "file_hash": hashes, "head": heads, "is_binary": binary})
     return run
 
 
-def summarize_paths(listing: DataFrame, bits: int = DEFAULT_BITS,
+def summarize_paths(listing: DataFrame, bits: int | None = DEFAULT_BITS,
                     chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Chunked digest + head for ``(path, length)`` rows, reading each file in
-    constant memory inside the task that holds its row."""
-    check_bits(bits)
-    return listing.select("path", F.col("length").cast("bigint").alias("length")).mapInPandas(
-        _chunked_digest(bits, HEAD_BYTES, chunk_bytes), SUMMARY_SCHEMA)
-
+    """Summaries of ``(path, length)`` rows, each file read in constant memory inside
+    the task that holds its row; without ``bits`` the digest is NULL."""
+    if bits:
+        check_bits(bits)
+    read = listing.select("path", F.col("length").cast("bigint").alias("length")).mapInPandas(
+        _chunked_reader(bits, HEAD_BYTES, chunk_bytes), _READ_SCHEMA)
+    return with_head_type(read, "head", F.col("is_binary")).drop("head", "is_binary")
 
 
 def summarize_files(files: DataFrame, bits: int = DEFAULT_BITS,
@@ -112,7 +136,7 @@ def empty_file_summaries(zero_length: DataFrame, bits: int = DEFAULT_BITS) -> Da
     return zero_length.select(
         "path", F.lit(0).cast("bigint").alias("length"),
         F.lit(empty_digest(bits)).alias("file_hash"),
-        F.lit(b"").cast("binary").alias("head"))
+        F.lit(OCTET_STREAM).alias("content_type"))
 
 
 def inline_hashes(evidence: DataFrame, bits: int = DEFAULT_BITS) -> DataFrame:
@@ -122,40 +146,60 @@ def inline_hashes(evidence: DataFrame, bits: int = DEFAULT_BITS) -> DataFrame:
 
 
 def external_hashes(summaries: DataFrame) -> DataFrame:
-    """``(id, file_hash, path)`` of external files; id = file name."""
-    return summaries.select(base_name("path").alias("id"), "file_hash", "path")
+    """``(id, file_hash)`` of external files, id = file name; of equal names the largest path wins.
+
+    External files are few beside the evidence rows, so this is the only aggregation.
+    """
+    return (summaries.groupBy(base_name("path").alias("id"))
+            .agg(F.max_by("file_hash", "path").alias("file_hash")))
 
 
 def inline_summaries(evidence: DataFrame, bits: int = DEFAULT_BITS) -> DataFrame:
-    """``(id, file_path, file_hash, head)`` of non-empty inline content, one read of the bytes."""
-    return evidence.where(nonempty("file_content")).select(
-        "id", "file_path", digest("file_content", bits).alias("file_hash"),
-        F.substring("file_content", 1, HEAD_BYTES).alias("head"))
+    """``(id, file_path, file_hash, content_type)`` of non-empty inline content, one read of the bytes."""
+    rows = evidence.where(nonempty("file_content")).select(
+        "id", "file_path", digest("file_content", bits).alias("file_hash"), "file_content")
+    return with_content_type(rows, "file_content").drop("file_content")
 
 
 def file_hashes(evidence: DataFrame, external: DataFrame | None = None,
                 bits: int = DEFAULT_BITS) -> DataFrame:
     """Digest of every inline and external file: ``(id, file_hash)``.
 
-    ``external`` is a summary frame (``summarize_files``).  One hash per id:
-    the external copy wins over inline content, and between external files
-    with the same name the largest ``(path)`` wins; that aggregation leaves
-    the result hash-partitioned by ``id``, ready for the merge join.
+    ``external`` is a summary frame (``summarize_files``).  One hash per id
+    (ids are unique in the evidence): the external copy wins over inline
+    content, and of external files with one name the largest path wins.
     """
     return combine_hashes(inline_hashes(evidence, bits), external)
 
 
 def combine_hashes(inline: DataFrame, external: DataFrame | None = None) -> DataFrame:
-    """Merge inline ``(id, file_hash)`` with external summaries (see ``file_hashes``)."""
+    """Merge inline ``(id, file_hash)`` with external summaries (see ``file_hashes``).
+
+    Inline rows are neither aggregated nor sorted: those that an external
+    file replaces are dropped by an anti join, for which Spark broadcasts the
+    external ids if they prove few.
+    """
     inline = inline.select("id", "file_hash")
     if external is None:
         return inline
-    ranked = inline.select("id", "file_hash", F.lit(0).alias("_src"),
-                           F.lit(None).cast("string").alias("_path")).unionByName(
-        external_hashes(external).select("id", "file_hash", F.lit(1).alias("_src"),
-                                         F.col("path").alias("_path")))
-    return ranked.groupBy("id").agg(
-        F.max_by("file_hash", F.struct("_src", "_path")).alias("file_hash"))
+    outside = external_hashes(external)
+    return inline.join(outside.select("id"), "id", "left_anti").unionByName(outside)
+
+
+def hashed_paths(evidence: DataFrame, external: DataFrame | None = None, bits: int = DEFAULT_BITS) -> DataFrame:
+    """``(id, file_path, file_hash)`` of every file with a hash, new or stored.
+
+    Equal to ``hash_and_path`` over the evidence merged with ``file_hashes``,
+    but the path travels with the digest, so the evidence is shuffled once
+    (not at all without external files).
+    """
+    new = F.when(nonempty("file_content"), digest("file_content", bits))
+    rows = evidence.select("id", "file_path", F.coalesce(new, "file_hash").alias("file_hash"))
+    if external is not None:
+        outside = external_hashes(external).withColumnRenamed("file_hash", "new_hash")
+        rows = rows.join(outside, "id", "full_outer").select(
+            "id", "file_path", F.coalesce("new_hash", "file_hash").alias("file_hash"))
+    return rows.where(nonempty("file_hash"))
 
 
 def external_id_collisions(external: DataFrame) -> DataFrame:
@@ -165,10 +209,10 @@ def external_id_collisions(external: DataFrame) -> DataFrame:
     files never becomes one row; such a hot name is joined back through the
     bounded broadcast branch of ``attach_group_stats``.
     """
-    from casefile.operators.duplicates import attach_group_stats
+    from casefile.operators.duplicates import attach_group_stats, materialize
 
-    named = external.select(base_name("path").alias("id"), "path")
-    counts = named.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    named = materialize(external.select(base_name("path").alias("id"), "path"), "names")
+    counts = materialize(named.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), "sizes")
     return attach_group_stats(named, counts, "id").select("id", "path", "n")
 
 
@@ -195,41 +239,31 @@ def summarize_directory(spark: SparkSession, directory: str, bits: int = DEFAULT
     return out
 
 
-def _head_reader(head_bytes: int):
-    def run(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            heads = []
-            for path in pdf["path"]:
-                with _open_path(path) as fh:
-                    heads.append(fh.read(head_bytes))
-            yield pd.DataFrame({"path": pdf["path"], "length": pdf["length"].astype("int64"), "head": heads})
-    return run
-
-
-HEAD_SCHEMA = T.StructType([f for f in SUMMARY_SCHEMA.fields if f.name != "file_hash"])
-
-
+# Files up to this size are typed by the JVM reader, larger ones by the chunked reader.
 SMALL_FILE_BYTES = 64 * 1024
 
 
-def read_heads(spark: SparkSession, directory: str, include_empty: bool = True,
-               small_file_bytes: int = SMALL_FILE_BYTES) -> DataFrame:
-    """``(path, length, head)`` of every file below ``directory``.
+def read_types(spark: SparkSession, directory: str, include_empty: bool = True,
+               small_file_bytes: int = SMALL_FILE_BYTES, listing: str = "index") -> DataFrame:
+    """``(path, length, content_type)`` of every file below ``directory``.
 
-    Media-type detection needs only the first ``HEAD_BYTES`` bytes.  Small
-    files (one read either way) are loaded by the JVM binary reader; larger
-    files are opened by their task, which reads just the head, so big files
-    are never read whole.  Both branches filter the same listing on
-    ``length``, which the reader applies before loading any bytes.
+    Small files (one read either way) are loaded by the JVM binary reader;
+    larger ones are read by their task, only as far as the verdict needs.
+    Both branches filter the same listing on ``length``, which the reader
+    applies before loading any bytes.  ``listing`` as in ``summarize_directory``.
     """
+    columns = ["path", "length", "content_type"]
+    if listing == "inventory":
+        from casefile.sources.inventory import file_inventory
+
+        return summarize_paths(file_inventory(spark, directory).select("path", "length"), None).select(*columns)
     files = binary_files(spark, directory)
     small = files.where(F.col("length") <= small_file_bytes).select(
-        "path", F.col("length").cast("bigint").alias("length"), F.substring("content", 1, HEAD_BYTES).alias("head"))
+        "path", F.col("length").cast("bigint").alias("length"), "content")
     large = files.where(F.col("length") > small_file_bytes).select("path", "length")
-    heads = small.unionByName(large.mapInPandas(_head_reader(HEAD_BYTES), HEAD_SCHEMA))
+    types = with_content_type(small, "content").select(*columns).unionByName(
+        summarize_paths(large, None).select(*columns))
     if include_empty:
-        heads = heads.unionByName(zero_length_files(spark, directory).select(
-            "path", F.lit(0).cast("bigint").alias("length"), F.lit(b"").cast("binary").alias("head")))
-    return heads
+        types = types.unionByName(zero_length_files(spark, directory).select(
+            "path", F.lit(0).cast("bigint").alias("length"), F.lit(OCTET_STREAM).alias("content_type")))
+    return types

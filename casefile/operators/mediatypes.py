@@ -2,8 +2,8 @@
 
 Inline files are classified in the scan projection itself (content and
 path are columns of the same row, no join).  External files are first
-reduced to ``(id, content_type)`` from the summary head, and only that small
-row is joined with the evidence paths, so file bytes never cross a shuffle.
+reduced to ``(id, content_type)`` where their bytes are read, and only that
+small row is joined with the evidence paths, so bytes never cross a shuffle.
 """
 
 from __future__ import annotations
@@ -17,27 +17,32 @@ from casefile.sources.evidence import external_original_paths, inline_content_wi
 
 def inline_media_types(evidence: DataFrame) -> DataFrame:
     """``(id, media_type)`` of non-empty inline content, refined by the path."""
-    return media_types_of(inline_content_with_path(evidence), "file_content")
+    return media_types_of(with_content_type(inline_content_with_path(evidence), "file_content"))
 
 
-def media_types_of(rows: DataFrame, content: str = "head") -> DataFrame:
-    """``(id, media_type)`` for rows ``(id, file_path, <content>)``; a head is enough.
+def media_types_of(rows: DataFrame) -> DataFrame:
+    """``(id, media_type)`` for rows ``(id, file_path, content_type)``.
 
     Non-empty content always gets a verdict, so no NULL filter is needed.
     """
-    typed = with_content_type(rows.select("id", "file_path", content), content)
-    return with_media_type(typed, "content_type", "file_path").select("id", "media_type")
+    return _once(with_media_type(rows, "content_type", "file_path"))
+
+
+def _once(typed: DataFrame) -> DataFrame:
+    """``(id, media_type)`` through a one-row generator: filters on generated columns are
+    not pushed below it, so the rules are evaluated once per row and not again in each filter."""
+    return typed.select("id", F.inline(F.array(F.struct("media_type"))))
 
 
 def external_content_types(summaries: DataFrame) -> DataFrame:
-    """``(id, content_type)`` per external file name from a ``(path, head)`` frame
-    (``summarize_files`` or ``read_heads`` output).
+    """``(id, content_type)`` per external file name from a ``(path, content_type)`` frame
+    (``summarize_files`` or ``read_types`` output).
 
     A name listed twice keeps the verdict of the largest path, matching the
     choice made for hashes; the aggregation leaves the frame partitioned by id.
     """
-    typed = with_content_type(summaries.select(base_name("path").alias("id"), "path", "head"), "head")
-    return typed.groupBy("id").agg(F.max_by("content_type", F.col("path")).alias("content_type"))
+    return (summaries.groupBy(base_name("path").alias("id"))
+            .agg(F.max_by("content_type", F.col("path")).alias("content_type")))
 
 
 def _external_pairs(evidence: DataFrame, summaries: DataFrame) -> DataFrame:
@@ -47,8 +52,8 @@ def _external_pairs(evidence: DataFrame, summaries: DataFrame) -> DataFrame:
 
 def external_media_types(evidence: DataFrame, summaries: DataFrame) -> DataFrame:
     """``(id, media_type)`` of external files that have an evidence row."""
-    return (with_media_type(_external_pairs(evidence, summaries), "content_type", "file_path")
-            .select("id", "media_type").where(F.col("media_type").isNotNull()))
+    return (_once(with_media_type(_external_pairs(evidence, summaries), "content_type", "file_path"))
+            .where(F.col("media_type").isNotNull()))
 
 
 def file_media_types(evidence: DataFrame, summaries: DataFrame | None = None) -> DataFrame:
@@ -60,9 +65,8 @@ def combine_media_types(inline: DataFrame, evidence: DataFrame, summaries: DataF
     """Merge inline ``(id, media_type)`` with the external verdicts (external wins)."""
     if summaries is None:
         return inline
-    ranked = (inline.withColumn("_src", F.lit(0))
-              .unionByName(external_media_types(evidence, summaries).withColumn("_src", F.lit(1))))
-    return ranked.groupBy("id").agg(F.max_by("media_type", F.col("_src")).alias("media_type"))
+    outside = external_media_types(evidence, summaries)
+    return inline.join(outside.select("id"), "id", "left_anti").unionByName(outside)
 
 
 def media_type_counts(typed: DataFrame) -> DataFrame:
@@ -74,9 +78,7 @@ def media_type_counts(typed: DataFrame) -> DataFrame:
 
 def _mismatch(typed: DataFrame, name_path) -> DataFrame:
     out = with_media_type(typed, "content_type", name_path, out="type_with_name")
-    # Emit both verdicts through a one-row generator: a filter on generated
-    # columns is not pushed below it, so the rule expressions are evaluated
-    # once per row instead of being inlined again into the pushed filter.
+    # both verdicts go through a one-row generator, for the reason given in _once
     pair = F.struct(F.col("content_type").alias("type_by_content"), F.col("type_with_name"))
     return (out.select("id", "file_path", F.inline(F.array(pair)))
             .where(~F.col("type_by_content").eqNullSafe(F.col("type_with_name"))))

@@ -1,10 +1,12 @@
 """Human-readable text reports.
 
-Each report record is one multi-line text value; ``write_text_report``
-writes them with Spark's text writer, one part file per partition.  The
-original tool forced a single output file through one task; here the report
-stays partitioned (a reader concatenates the part files), so report size is
-not bounded by one executor.
+The duplicate report is a table of lines: one header per group, one line per
+file, one blank line.  It is range-partitioned and sorted by (digest, line,
+label) before Spark's text writer puts out one part file per partition, so a
+group of any size has one header and spreads over as many tasks as it needs.
+The original tool forced a single output file through one task; here a reader
+concatenates the part files in order.  The attribute report has one record of
+several lines per file.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from casefile.functions.digest import DEFAULT_BITS, report_label
-from casefile.operators.duplicates import render_files
+from casefile.operators import duplicates
 
 # Report line formats, kept as the original tool prints them.
 HASH_HEADER = "{label}-Hash: "
@@ -32,12 +34,33 @@ def _text(c: str):
     return F.coalesce(F.col(c).cast("string"), F.lit("null"))
 
 
-def duplicate_report(dups: DataFrame, key: str = "file_hash", bits: int = DEFAULT_BITS) -> DataFrame:
-    """One ``value`` per duplicate group (part): header, one file per line, blank line."""
-    header = HASH_HEADER.format(label=report_label(bits))
-    return dups.select(F.concat(
-        F.lit(header), F.col(key), F.lit(" \n"),
-        render_files("files", "\n"), F.lit("\n\n")).alias("value"))
+HEADER, MEMBER, BLANK = 0, 1, 2
+
+
+def duplicate_report(members: DataFrame, key: str = "file_hash", label: str = "label",
+                     bits: int = DEFAULT_BITS, materialized: bool = False) -> DataFrame:
+    """``(key, first_file, line, label, value)``: the report's lines, in no order yet.
+
+    ``line`` is HEADER, MEMBER or BLANK; ``write_duplicate_report`` orders them.
+    """
+    if not materialized:
+        members = duplicates.materialize(members)
+    groups = duplicates.materialize(duplicates.duplicate_groups(members, key, label), "groups")
+    header = F.concat(F.lit(HASH_HEADER.format(label=report_label(bits))), F.col(key), F.lit(" "))
+    frame = F.array(F.struct(F.lit(HEADER).alias("line"), header.alias("value")),
+                    F.struct(F.lit(BLANK).alias("line"), F.lit("").alias("value")))
+    around = (groups.select(key, "first_file", F.explode(frame).alias("l"))
+              .select(key, "first_file", "l.line", F.lit("").alias("label"), "l.value"))
+    rows = duplicates.attach_group_stats(members.select(key, F.col(label).alias("label")), groups, key)
+    files = rows.select(key, "first_file", F.lit(MEMBER).alias("line"), "label", F.col("label").alias("value"))
+    return around.unionByName(files)
+
+
+def write_duplicate_report(lines: DataFrame, path: str, key: str = "file_hash",
+                           mode: str = "errorifexists") -> None:
+    """Write the lines in report order: groups by digest, the header first, files by label, a blank line."""
+    order = [key, "line", "label"]
+    lines.repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.mode(mode).text(path)
 
 
 def inventory_report(inventory: DataFrame) -> DataFrame:

@@ -28,30 +28,34 @@ def load_evidence(spark: SparkSession, evidence_path: str, *annotation_paths: st
 
 
 def hash_job(spark: SparkSession, evidence_path: str, external_dir: str | None, out_path: str,
-             bits: int = DEFAULT_BITS, mode: str = "errorifexists") -> None:
-    """Hash inline and external content; write ``(id, file_hash)``."""
+             bits: int = DEFAULT_BITS, mode: str = "errorifexists", listing: str = "index") -> None:
+    """Hash inline and external content; write ``(id, file_hash)``.
+
+    ``listing="inventory"`` lists the external folder on executors (for folders
+    too big to list on the driver); so in the other jobs.
+    """
     table = ev.read_evidence(spark, evidence_path)
-    summaries = hashing.summarize_directory(spark, external_dir, bits) if external_dir else None
+    summaries = hashing.summarize_directory(spark, external_dir, bits, listing=listing) if external_dir else None
     annotate.write_annotation(hashing.file_hashes(table, summaries, bits), out_path, "file_hash", mode)
 
 
 def media_type_job(spark: SparkSession, evidence_path: str, external_dir: str | None, out_path: str,
-                   mode: str = "errorifexists") -> None:
+                   mode: str = "errorifexists", listing: str = "index") -> None:
     """Detect media types of inline and external content; write ``(id, media_type)``.
 
-    External files are read only up to their first bytes (``read_heads``).
+    External files are read only as far as their verdict needs (``read_types``).
     """
     table = ev.read_evidence(spark, evidence_path)
-    heads = hashing.read_heads(spark, external_dir) if external_dir else None
-    annotate.write_annotation(mediatypes.file_media_types(table, heads), out_path, "media_type", mode)
+    types = hashing.read_types(spark, external_dir, listing=listing) if external_dir else None
+    annotate.write_annotation(mediatypes.file_media_types(table, types), out_path, "media_type", mode)
 
 
 def annotate_job(spark: SparkSession, evidence_path: str, external_dir: str | None, out_dir: str,
-                 bits: int = DEFAULT_BITS, mode: str = "errorifexists") -> None:
+                 bits: int = DEFAULT_BITS, mode: str = "errorifexists", listing: str = "index") -> None:
     """Hash and classify with one read of every file's bytes.
 
     Inline content and external files are each reduced once to summaries
-    ``(.., file_hash, head)``, written under ``out_dir/inline_summary`` and
+    ``(.., file_hash, content_type)``, written under ``out_dir/inline_summary`` and
     ``out_dir/external_summary``.  Both annotation tables (``out_dir/file_hash``,
     ``out_dir/media_type``) are derived from those narrow tables.
     """
@@ -62,7 +66,7 @@ def annotate_job(spark: SparkSession, evidence_path: str, external_dir: str | No
     summaries = None
     if external_dir:
         summary_path = f"{out_dir}/external_summary"
-        hashing.summarize_directory(spark, external_dir, bits).write.mode(mode).parquet(summary_path)
+        hashing.summarize_directory(spark, external_dir, bits, listing=listing).write.mode(mode).parquet(summary_path)
         summaries = spark.read.parquet(summary_path)
     annotate.write_annotation(hashing.combine_hashes(inline, summaries), f"{out_dir}/file_hash", "file_hash", mode)
     types = mediatypes.combine_media_types(mediatypes.media_types_of(inline), table, summaries)
@@ -71,7 +75,6 @@ def annotate_job(spark: SparkSession, evidence_path: str, external_dir: str | No
 
 def duplicate_report_job(spark: SparkSession, evidence_path: str, hash_path: str, out_dir: str,
                          bits: int = DEFAULT_BITS, mode: str = "errorifexists",
-                         max_files_per_row: int = duplicates.DEFAULT_MAX_FILES_PER_ROW,
                          members_out: str | None = None) -> None:
     """Group hashed evidence by digest and write the duplicate report.
 
@@ -80,8 +83,7 @@ def duplicate_report_job(spark: SparkSession, evidence_path: str, hash_path: str
     """
     table = load_evidence(spark, evidence_path, hash_path)
     members = duplicates.materialize(duplicates.label_members(ev.hash_and_path(table)))
-    dups = duplicates.duplicate_files(members, max_files_per_row=max_files_per_row, materialized=True)
-    reports.write_text_report(reports.duplicate_report(dups, bits=bits), out_dir, mode)
+    reports.write_duplicate_report(reports.duplicate_report(members, bits=bits, materialized=True), out_dir, mode=mode)
     if members_out:
         duplicates.duplicate_members(members, materialized=True).write.mode(mode).parquet(members_out)
 
@@ -93,23 +95,28 @@ def media_type_histogram(spark: SparkSession, evidence_path: str, media_type_pat
     return mediatypes.media_type_counts(values)
 
 
-def directory_duplicates(spark: SparkSession, directory: str, bits: int = DEFAULT_BITS,
-                         include_empty: bool = True, listing: str = "index") -> DataFrame:
-    """Duplicate groups of a raw directory, keyed by digest, labelled by path.
+def directory_members(spark: SparkSession, directory: str, bits: int = DEFAULT_BITS,
+                      include_empty: bool = True, listing: str = "index") -> DataFrame:
+    """``(file_hash, label)`` of every file of a raw directory, labelled by path.
 
     ``listing="inventory"`` lists on executors (for trees too big to list on the driver).
     """
     summaries = hashing.summarize_directory(spark, directory, bits, include_empty, listing=listing)
-    members = summaries.select("file_hash", summaries["path"].alias("label"))
-    return duplicates.duplicate_files(members, key="file_hash", label="label")
+    return summaries.select("file_hash", summaries["path"].alias("label"))
+
+
+def directory_duplicates(spark: SparkSession, directory: str, bits: int = DEFAULT_BITS,
+                         include_empty: bool = True, listing: str = "index") -> DataFrame:
+    """Files of a raw directory that share their digest, one row per file."""
+    return duplicates.duplicate_files(directory_members(spark, directory, bits, include_empty, listing))
 
 
 def directory_duplicate_report_job(spark: SparkSession, directory: str, out_dir: str,
                                    bits: int = DEFAULT_BITS, mode: str = "errorifexists",
                                    listing: str = "index") -> None:
     """Raw-directory mode: write the duplicate report of ``directory``."""
-    dups = directory_duplicates(spark, directory, bits, listing=listing)
-    reports.write_text_report(reports.duplicate_report(dups, bits=bits), out_dir, mode)
+    members = directory_members(spark, directory, bits, listing=listing)
+    reports.write_duplicate_report(reports.duplicate_report(members, bits=bits), out_dir, mode=mode)
 
 
 def inventory_report_job(spark: SparkSession, directory: str, out_dir: str, mode: str = "errorifexists") -> None:
@@ -120,13 +127,10 @@ def inventory_report_job(spark: SparkSession, directory: str, out_dir: str, mode
 def register_evidence_views(spark: SparkSession, evidence_path: str, *annotation_paths: str,
                             prefix: str = "") -> list[str]:
     """Temporary views for SQL users: ``<prefix>evidence`` (as stored) and
-    ``<prefix>evidence_merged`` (with the given annotation tables laid over it),
-    plus the ``cf_*`` SQL functions."""
-    from casefile.functions.sql import register_sql_functions
-
-    register_sql_functions(spark)
+    ``<prefix>evidence_merged`` (the given annotation tables laid over it, without
+    ``file_content``: no file's bytes take part in the merge join)."""
     ev.read_evidence(spark, evidence_path).createOrReplaceTempView(f"{prefix}evidence")
-    load_evidence(spark, evidence_path, *annotation_paths).createOrReplaceTempView(f"{prefix}evidence_merged")
+    load_evidence(spark, evidence_path, *annotation_paths).drop("file_content").createOrReplaceTempView(f"{prefix}evidence_merged")
     return [f"{prefix}evidence", f"{prefix}evidence_merged"]
 
 

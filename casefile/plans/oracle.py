@@ -12,17 +12,34 @@ generated tables.  It defines:
 DuckDB has no SHA-512, so oracle queries that group by digest group by the
 content text itself (equal bytes <=> equal digest), and queries that print a
 digest use the SHA-256 variant of the same Spark code path.
+
+Nothing is imported from the code under test: layout, signatures, extensions
+and the type hierarchy are written out here by hand.  The tables hold text, so
+only signatures that are valid UTF-8 can occur; the others are in pytest.
 """
 
 from __future__ import annotations
 
-from casefile.functions.mediatype import sql_magic_type, sql_refine
-from casefile.sources.testdata import EXTERNAL_DIR, INLINE_LIMIT
+INLINE_LIMIT = 4096
+EXTERNAL_DIR = "/external/"
+
+# What chat turns 0, 1, 2 ... of every 40 begin with.
+_PREFIX_SQL = """CASE (conv_id + turn) % 40
+  WHEN 0 THEN '%PDF-1.7' || chr(10) WHEN 1 THEN 'GIF89a' WHEN 2 THEN 'PK' || chr(3) || chr(4) WHEN 3 THEN '%!PS-Adobe'
+  WHEN 4 THEN '{' || chr(92) || 'rtf1 ' WHEN 5 THEN 'BZh9' WHEN 6 THEN 'Rar!' || chr(26) || chr(7)
+  WHEN 7 THEN chr(127) || 'ELF' WHEN 8 THEN 'MZ' WHEN 9 THEN 'SQLite format 3' || chr(0) WHEN 10 THEN 'OggS'
+  WHEN 11 THEN 'fLaC' WHEN 12 THEN 'ID3' WHEN 13 THEN 'RIFF0000WEBP' WHEN 14 THEN 'RIFF0000WAVE'
+  WHEN 15 THEN 'RIFF0000AVI ' WHEN 16 THEN '0000ftypqt  ' WHEN 17 THEN '0000ftypheic' WHEN 18 THEN '0000ftypM4A '
+  WHEN 19 THEN '0000ftypisom' WHEN 20 THEN 'II*' || chr(0) WHEN 21 THEN 'BM0000' || repeat(chr(0), 4)
+  WHEN 22 THEN '<?xml version="1.0"?>' WHEN 23 THEN ' ' || chr(10) || '<SVG ' WHEN 24 THEN chr(65279) || '<html>'
+  WHEN 25 THEN chr(65279) WHEN 26 THEN repeat('x', 600) || chr(0) WHEN 27 THEN repeat('y', 257) || 'ustar'
+  ELSE '' END"""
 
 EVIDENCE_CTE = f"""
 WITH f AS (
   SELECT 'doc-' || CAST(doc_id AS VARCHAR) AS id,
-         source || '/' || lang || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS file_path,
+         source || '/' || lang || '/' || CAST(doc_id AS VARCHAR)
+           || CASE doc_id % 7 WHEN 0 THEN '.csv' WHEN 1 THEN '.json' ELSE '.txt' END AS file_path,
          'DATA_FILE' AS file_type, lang AS owner, source AS grp, text AS t
   FROM documents
   UNION ALL
@@ -40,7 +57,7 @@ WITH f AS (
   UNION ALL
   SELECT 'chat-' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR),
          'chat/' || CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) || '.txt',
-         'DATA_FILE', role, 'chat', text
+         'DATA_FILE', role, 'chat', ({_PREFIX_SQL}) || text
   FROM conversations
   UNION ALL
   SELECT 'dir-' || CAST(r_regionkey AS VARCHAR), r_name, 'DIRECTORY', 'root', 'root', CAST(NULL AS VARCHAR)
@@ -62,6 +79,11 @@ ext AS (
   SELECT '{EXTERNAL_DIR}' || id AS path, id, n_bytes AS length, encode(t) AS content, t
   FROM ev WHERE n_bytes > {INLINE_LIMIT}
 ),
+stored AS (
+  SELECT path, id, length, t FROM ext
+  UNION ALL
+  SELECT '{EXTERNAL_DIR}again/' || id, id, length + 1, t || '!' FROM ext WHERE length % 5 = 0
+),
 files AS (
   SELECT id, file_path, inline_text AS t, file_content AS content,
          id || '_' || coalesce(file_path, 'null') AS label
@@ -78,18 +100,55 @@ def with_evidence(body: str) -> str:
     return EVIDENCE_CTE + body
 
 
-def content_type_sql(blob: str, text: str) -> str:
-    return sql_magic_type(blob, text)
+def content_type_sql(t: str) -> str:
+    """Content verdict of a text; markup may follow a byte-order mark and white space."""
+    bare = f"ltrim(ltrim({t}, chr(65279)), ' ' || chr(9) || chr(10) || chr(12) || chr(13))"
+    return f"""CASE WHEN {t} IS NULL THEN NULL
+      WHEN starts_with({t}, '%PDF-') THEN 'application/pdf'
+      WHEN starts_with({t}, 'GIF87a') OR starts_with({t}, 'GIF89a') THEN 'image/gif'
+      WHEN starts_with({t}, 'II*' || chr(0)) OR starts_with({t}, 'MM' || chr(0) || '*') THEN 'image/tiff'
+      WHEN starts_with({t}, '%!PS-') THEN 'application/postscript'
+      WHEN starts_with({t}, '{{' || chr(92) || 'rtf1') THEN 'application/rtf'
+      WHEN left({t}, 4) IN ('PK' || chr(3) || chr(4), 'PK' || chr(5) || chr(6), 'PK' || chr(7) || chr(8))
+        THEN 'application/zip'
+      WHEN starts_with({t}, 'BZh') THEN 'application/x-bzip2'
+      WHEN starts_with({t}, 'Rar!' || chr(26) || chr(7)) THEN 'application/x-rar-compressed'
+      WHEN starts_with({t}, chr(127) || 'ELF') THEN 'application/x-executable'
+      WHEN starts_with({t}, 'MZ') THEN 'application/x-msdownload'
+      WHEN starts_with({t}, 'SQLite format 3' || chr(0)) THEN 'application/x-sqlite3'
+      WHEN starts_with({t}, 'OggS') THEN 'application/ogg'
+      WHEN starts_with({t}, 'fLaC') THEN 'audio/x-flac'
+      WHEN starts_with({t}, 'ID3') THEN 'audio/mpeg'
+      WHEN starts_with({t}, 'BM') AND substr({t}, 7, 4) = repeat(chr(0), 4) THEN 'image/bmp'
+      WHEN starts_with({t}, 'RIFF') AND substr({t}, 9, 4) = 'WEBP' THEN 'image/webp'
+      WHEN starts_with({t}, 'RIFF') AND substr({t}, 9, 4) = 'WAVE' THEN 'audio/vnd.wave'
+      WHEN starts_with({t}, 'RIFF') AND substr({t}, 9, 4) = 'AVI ' THEN 'video/x-msvideo'
+      WHEN substr({t}, 5, 8) = 'ftypqt  ' THEN 'video/quicktime'
+      WHEN substr({t}, 5, 8) IN ('ftypheic', 'ftypheix') THEN 'image/heic'
+      WHEN substr({t}, 5, 8) = 'ftypmif1' THEN 'image/heif'
+      WHEN substr({t}, 5, 8) = 'ftypM4A ' THEN 'audio/mp4'
+      WHEN substr({t}, 5, 4) = 'ftyp' THEN 'video/mp4'
+      WHEN substr({t}, 258, 5) = 'ustar' THEN 'application/x-tar'
+      WHEN regexp_matches(lower(left({bare}, 20)), '^<(!doctype html|html|head|body|title|script)') THEN 'text/html'
+      WHEN starts_with(lower(left({bare}, 20)), '<svg') THEN 'image/svg+xml'
+      WHEN starts_with(lower(left({bare}, 20)), '<?xml') THEN 'application/xml'
+      WHEN starts_with({t}, chr(65279)) THEN 'text/plain'
+      WHEN {t} = '' THEN 'application/octet-stream'
+      WHEN regexp_matches({t}, '[\\x00-\\x08\\x0B\\x0E-\\x1A\\x1C-\\x1F]') THEN 'application/octet-stream'
+      ELSE 'text/plain' END"""
 
 
 def refine_sql(content_type: str, path: str) -> str:
-    return sql_refine(content_type, path)
-
-
-def part_sql(label: str, n: str, max_files_per_row: int) -> str:
-    """DuckDB form of ``casefile.operators.duplicates.part_of``."""
-    return (f"(('0x' || substr(md5({label}), 1, 8))::BIGINT "
-            f"% CAST(ceil({n} / {float(max_files_per_row)}) AS BIGINT))")
+    """The type the extension names, where it is or specialises the content verdict (extensions .txt, .html,
+    .csv and .json occur)."""
+    ext = f"regexp_extract({path}, '[.]([a-z]+)$', 1)"
+    return f"""CASE WHEN {content_type} IS NULL THEN NULL
+      WHEN {ext} = 'txt' AND {content_type} IN ('text/plain', 'application/octet-stream') THEN 'text/plain'
+      WHEN {ext} = 'html' AND {content_type} IN ('text/html', 'text/plain', 'application/octet-stream') THEN 'text/html'
+      WHEN {ext} = 'csv' AND {content_type} IN ('text/csv', 'text/plain', 'application/octet-stream') THEN 'text/csv'
+      WHEN {ext} = 'json' AND {content_type} IN
+        ('application/json', 'application/javascript', 'text/plain', 'application/octet-stream') THEN 'application/json'
+      ELSE {content_type} END"""
 
 
 # --- per-query oracle SQL ------------------------------------------------------
@@ -105,31 +164,33 @@ def _nonempty_text(col: str) -> str:
 _FILE_SIZE = ("CASE WHEN file_size IS NOT NULL AND strlen(file_size) > 0 "
               "THEN CAST(file_size AS BIGINT) ELSE 0 END")
 
-_MAX_FILES_PER_ROW = 1000
-
-_DUP_CTES = f"""
-, g AS (SELECT t, count(*) AS n FROM files GROUP BY t HAVING count(*) > 1),
-m AS (SELECT files.t, g.n, files.id, files.file_path, files.label,
-             {part_sql('files.label', 'g.n', _MAX_FILES_PER_ROW)} AS part
-      FROM files JOIN g ON files.t = g.t),
-d AS (SELECT n, part, min(label) AS first_label, string_agg(label, ';' ORDER BY label) AS file_list
-      FROM m GROUP BY t, n, part)
+_DUP_CTES = """
+, g AS (SELECT t, count(*) AS n, min(label) AS first_file FROM files GROUP BY t HAVING count(*) > 1),
+m AS (SELECT files.t, g.n, g.first_file, files.id, files.file_path, files.label FROM files JOIN g ON files.t = g.t),
+lines AS (SELECT t, first_file, 0 AS line, '' AS label FROM g
+          UNION ALL SELECT t, first_file, 1, label FROM m
+          UNION ALL SELECT t, first_file, 2, '' FROM g)
 """
 
 
 def _inline_type() -> str:
-    return content_type_sql("file_content", "inline_text")
+    return content_type_sql("inline_text")
 
 
 _TYPE_CTES = f"""
 , it AS (SELECT id, file_path, {_inline_type()} AS content_type FROM ev WHERE {_nonempty('file_content')}),
-xt AS (SELECT e.id, e.file_path, {content_type_sql('x.content', 'x.t')} AS content_type
+xt AS (SELECT e.id, e.file_path, {content_type_sql('x.t')} AS content_type
        FROM ext x JOIN ev e ON e.id = x.id),
 types AS (SELECT id, {refine_sql('content_type', 'file_path')} AS media_type FROM it
           UNION ALL
           SELECT id, {refine_sql('content_type', 'file_path')} AS media_type FROM xt)
 """
 
+_RAW_CTE = """
+, raw AS (SELECT '/raw/' || grp || '/' || id AS path, n_bytes AS length, t FROM f2
+          WHERE t IS NOT NULL AND NOT starts_with(id, 'evt-'))
+"""
+
 _HASH_CTES = """
 , hashes AS (SELECT id, sha256(inline_text) AS file_hash FROM ev WHERE file_content IS NOT NULL
                  AND octet_length(file_content) > 0
@@ -142,14 +203,14 @@ ORACLE_SQL: dict[str, str] = {
         "last_modified, last_changed, last_accessed, created FROM ev"),
     "data_file_content": with_evidence(
         "SELECT id, file_path, external_path, "
-        "coalesce(CAST(octet_length(file_content) AS BIGINT), -1) AS content_size "
+        "coalesce(CAST(octet_length(file_content) AS BIGINT), -1) AS content_size, sha256(inline_text) AS content_sha256 "
         "FROM ev WHERE file_type = 'DATA_FILE'"),
     "inline_content": with_evidence(
         "SELECT id, CAST(octet_length(file_content) AS BIGINT) AS content_size, "
-        f"lower(hex(file_content[1:8])) AS content_head FROM ev WHERE {_nonempty('file_content')}"),
+        f"sha256(inline_text) AS content_sha256 FROM ev WHERE {_nonempty('file_content')}"),
     "inline_content_with_path": with_evidence(
         "SELECT id, file_path, CAST(octet_length(file_content) AS BIGINT) AS content_size, "
-        f"lower(hex(file_content[1:8])) AS content_head FROM ev WHERE {_nonempty('file_content')}"),
+        f"sha256(inline_text) AS content_sha256 FROM ev WHERE {_nonempty('file_content')}"),
     "external_paths": with_evidence(
         f"SELECT id, external_path FROM ev WHERE {_nonempty_text('external_path')}"),
     "external_original_paths": with_evidence(
@@ -170,6 +231,8 @@ ORACLE_SQL: dict[str, str] = {
     "evidence_counts": with_evidence(
         "SELECT count(*) AS n_files, "
         f"count(CASE WHEN {_nonempty('file_content')} THEN 1 END) AS n_inline FROM ev"),
+    "file_hashes": with_evidence(
+        "SELECT id, min(id) OVER (PARTITION BY t) AS first_id, count(*) OVER (PARTITION BY t) AS n FROM files"),
     "file_hashes_sha256": with_evidence(_HASH_CTES + "SELECT id, file_hash FROM hashes"),
     "hash_and_path": with_evidence(
         _HASH_CTES + "SELECT e.id, e.file_path, h.file_hash FROM ev e JOIN hashes h ON e.id = h.id"),
@@ -178,19 +241,22 @@ ORACLE_SQL: dict[str, str] = {
         "coalesce(h.file_hash, CAST(NULL AS VARCHAR)) AS file_hash "
         "FROM ev e FULL OUTER JOIN hashes h ON e.id = h.id"),
     "external_id_collisions": with_evidence(
-        ", named AS (SELECT regexp_extract(path, '[^/]*$', 0) AS id, path FROM ext), "
+        ", named AS (SELECT regexp_extract(path, '[^/]*$', 0) AS id, path FROM stored), "
         "c AS (SELECT id, count(*) AS n FROM named GROUP BY id HAVING count(*) > 1) "
         "SELECT named.id, named.path, c.n FROM named JOIN c ON named.id = c.id"),
     "hash_counts": with_evidence(
         "SELECT min(label) AS first_file, count(*) AS n FROM files GROUP BY t"),
-    "duplicate_files": with_evidence(_DUP_CTES + "SELECT n, part, file_list FROM d"),
+    "duplicate_files": with_evidence(_DUP_CTES + "SELECT n, first_file, label FROM m"),
     "duplicate_members": with_evidence(_DUP_CTES + "SELECT n, id, file_path, label FROM m"),
     "duplicate_preview": with_evidence(
-        _DUP_CTES + "SELECT n, part, file_list FROM d ORDER BY n DESC, first_label ASC LIMIT 20"),
+        _DUP_CTES + "SELECT m.n, m.first_file, label FROM m JOIN "
+        "(SELECT t FROM g ORDER BY n DESC, first_file ASC LIMIT 20) k ON m.t = k.t"),
+    "duplicate_report": with_evidence(
+        _DUP_CTES + "SELECT first_file, line, CASE WHEN line = 0 THEN 'SHA512-Hash:  ' ELSE label END AS value "
+        "FROM lines"),
     "duplicate_report_sha256": with_evidence(
-        _DUP_CTES + "SELECT 'SHA256-Hash: ' || sha256(t) || ' ' || chr(10) "
-        "|| string_agg(label, chr(10) ORDER BY label) || chr(10) || chr(10) AS value "
-        "FROM m GROUP BY t, part"),
+        _DUP_CTES + "SELECT sha256(t) AS file_hash, line, "
+        "CASE WHEN line = 0 THEN 'SHA256-Hash: ' || sha256(t) || ' ' ELSE label END AS value FROM lines"),
     "file_media_types": with_evidence(_TYPE_CTES + "SELECT id, media_type FROM types"),
     "media_types": with_evidence(
         _TYPE_CTES + "SELECT id, media_type FROM types WHERE media_type IS NOT NULL AND strlen(media_type) > 0"),
@@ -202,10 +268,17 @@ ORACLE_SQL: dict[str, str] = {
         f"{refine_sql('content_type', 'file_path')} AS type_with_name FROM it) "
         "SELECT * FROM r WHERE type_by_content IS DISTINCT FROM type_with_name"),
     "external_summaries_sha256": with_evidence(
-        "SELECT path, length, sha256(t) AS file_hash, lower(hex(content[1:8])) AS head_hex FROM ext"),
+        f"SELECT path, length, sha256(t) AS file_hash, {content_type_sql('t')} AS content_type FROM stored"),
+    "external_content": with_evidence("SELECT id, path, length FROM stored"),
+    "directory_files": with_evidence(_RAW_CTE + "SELECT path, length FROM raw"),
+    "directory_hashes_sha256": with_evidence(
+        _RAW_CTE + f"SELECT path, length, sha256(t) AS file_hash, {content_type_sql('t')} AS content_type FROM raw"),
+    "directory_duplicates_sha256": with_evidence(
+        _RAW_CTE + ", g AS (SELECT t FROM raw GROUP BY t HAVING count(*) > 1) "
+        "SELECT sha256(t) AS file_hash, 0 AS line, 'SHA256-Hash: ' || sha256(t) || ' ' AS value FROM g "
+        "UNION ALL SELECT sha256(raw.t), 1, path FROM raw JOIN g ON raw.t = g.t "
+        "UNION ALL SELECT sha256(t), 2, '' FROM g"),
     "inline_content_types": with_evidence(_TYPE_CTES + "SELECT id, content_type FROM it"),
-    "inline_media_types_sql": with_evidence(
-        _TYPE_CTES + f"SELECT id, {refine_sql('content_type', 'file_path')} AS media_type FROM it"),
     "external_media_types": with_evidence(
         _TYPE_CTES + f"SELECT id, {refine_sql('content_type', 'file_path')} AS media_type FROM xt"),
     "external_media_type_mismatch": with_evidence(

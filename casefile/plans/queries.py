@@ -2,21 +2,21 @@
 
 Each query takes ``(spark, sf_dir)``, derives the evidence table and the
 external store from the tables in ``sf_dir`` (``casefile.sources.testdata``),
-and returns a lazy DataFrame.  Directory queries treat ``sf_dir`` itself as
-a folder of opaque files.  Binary columns are never returned; sizes and hex
-heads stand in for them.
+and returns a DataFrame.  Directory queries run over the derived store
+``(path, length, content)``, whose content is the tables' text.  Binary columns
+are never returned; sizes and digests of the whole content stand in for them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from casefile.functions.columns import content_size, hex_head
+from casefile.functions.columns import content_size
+from casefile.functions.digest import digest
 from casefile.functions.mediatype import with_content_type
 from casefile.operators import annotate, duplicates, hashing, mediatypes, reports
-from casefile.plans import jobs
 from casefile.sources import evidence as ev
-from casefile.sources import files, inventory, testdata
+from casefile.sources import files, testdata
 
 ORACLE_BITS = 256  # digest width whose text DuckDB can also compute
 
@@ -37,7 +37,11 @@ def _hashed_evidence(spark: SparkSession, sf_dir: str, bits: int) -> DataFrame:
 
 
 def _members(spark: SparkSession, sf_dir: str, bits: int = 512) -> DataFrame:
-    return duplicates.label_members(ev.hash_and_path(_hashed_evidence(spark, sf_dir, bits)))
+    return duplicates.label_members(_hashed_paths(spark, sf_dir, bits))
+
+
+def _hashed_paths(spark: SparkSession, sf_dir: str, bits: int) -> DataFrame:
+    return hashing.hashed_paths(_evidence(spark, sf_dir), _summaries(spark, sf_dir, bits), bits)
 
 
 def _typed_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,21 +60,22 @@ def q_file_metadata(spark, sf_dir):
 def q_data_file_content(spark, sf_dir):
     """Data files with their inline content size (-1 when absent)."""
     return ev.data_file_content(_evidence(spark, sf_dir)).select(
-        "id", "file_path", "external_path", content_size("file_content", missing=-1).alias("content_size"))
+        "id", "file_path", "external_path", content_size("file_content", missing=-1).alias("content_size"),
+        digest("file_content", ORACLE_BITS).alias("content_sha256"))
 
 
 def q_inline_content(spark, sf_dir):
-    """Non-empty inline content (size and hex head)."""
+    """Non-empty inline content (size and digest of the whole)."""
     return ev.inline_content(_evidence(spark, sf_dir)).select(
         "id", content_size("file_content").alias("content_size"),
-        hex_head("file_content").alias("content_head"))
+        digest("file_content", ORACLE_BITS).alias("content_sha256"))
 
 
 def q_inline_content_with_path(spark, sf_dir):
     """Inline content with its path."""
     return ev.inline_content_with_path(_evidence(spark, sf_dir)).select(
         "id", "file_path", content_size("file_content").alias("content_size"),
-        hex_head("file_content").alias("content_head"))
+        digest("file_content", ORACLE_BITS).alias("content_sha256"))
 
 
 def q_external_paths(spark, sf_dir):
@@ -111,9 +116,13 @@ def q_evidence_counts(spark, sf_dir):
 # --- hashing ----------------------------------------------------------------
 
 def q_file_hashes(spark, sf_dir):
-    """SHA-512 of every inline and external file."""
+    """SHA-512 of every inline and external file; the digest itself, which DuckDB lacks, is
+    shown as the smallest id and the number of files that have it."""
     evidence = _evidence(spark, sf_dir)
-    return hashing.file_hashes(evidence, _summaries(spark, sf_dir, 512), 512)
+    hashes = duplicates.materialize(hashing.file_hashes(evidence, _summaries(spark, sf_dir, 512), 512), "hashes")
+    groups = duplicates.materialize(duplicates.hash_counts(hashes, label="id"), "groups")
+    return duplicates.attach_group_stats(hashes, groups, "file_hash").select(
+        "id", F.col("first_file").alias("first_id"), "n")
 
 
 def q_file_hashes_sha256(spark, sf_dir):
@@ -124,7 +133,7 @@ def q_file_hashes_sha256(spark, sf_dir):
 
 def q_hash_and_path(spark, sf_dir):
     """S9 over the evidence merged with fresh hashes."""
-    return ev.hash_and_path(_hashed_evidence(spark, sf_dir, ORACLE_BITS))
+    return _hashed_paths(spark, sf_dir, ORACLE_BITS)
 
 
 def q_merged_hashes(spark, sf_dir):
@@ -133,9 +142,8 @@ def q_merged_hashes(spark, sf_dir):
 
 
 def q_external_summaries_sha256(spark, sf_dir):
-    """One read of each external file: digest and head (shown as hex)."""
-    return _summaries(spark, sf_dir, ORACLE_BITS).select(
-        "path", "length", "file_hash", hex_head("head").alias("head_hex"))
+    """one read of each external file gives its digest and its content verdict."""
+    return _summaries(spark, sf_dir, ORACLE_BITS)
 
 
 def q_external_id_collisions(spark, sf_dir):
@@ -151,31 +159,30 @@ def q_hash_counts(spark, sf_dir):
 
 
 def q_duplicate_files(spark, sf_dir):
-    """Duplicate groups, list form."""
-    return duplicates.duplicate_files(_members(spark, sf_dir)).select(
-        "n", "part", duplicates.render_files("files").alias("file_list"))
+    """Files of duplicate groups; ``first_file`` names the group."""
+    return duplicates.duplicate_files(_members(spark, sf_dir)).select("n", "first_file", "label")
 
 
 def q_duplicate_members(spark, sf_dir):
-    """Duplicate groups, long form (one row per file)."""
+    """Duplicate groups with ids and paths (one row per file)."""
     return duplicates.duplicate_members(_members(spark, sf_dir)).select("n", "id", "file_path", "label")
 
 
 def q_duplicate_preview(spark, sf_dir):
-    """O2: the 20 largest duplicate groups."""
-    return duplicates.duplicate_preview(duplicates.duplicate_files(_members(spark, sf_dir))).select(
-        "n", "part", duplicates.render_files("files").alias("file_list"))
+    """O2: the files of the 20 largest duplicate groups."""
+    return duplicates.duplicate_preview(_members(spark, sf_dir)).select("n", "first_file", "label")
 
 
 def q_duplicate_report(spark, sf_dir):
-    """Duplicate report records (SHA-512)."""
-    return reports.duplicate_report(duplicates.duplicate_files(_members(spark, sf_dir, 512)), bits=512)
+    """Duplicate report lines (SHA-512, with the digest left out for the oracle)."""
+    lines = reports.duplicate_report(_members(spark, sf_dir, 512), bits=512)
+    return lines.select("first_file", "line", F.replace("value", "file_hash", F.lit("")).alias("value"))
 
 
 def q_duplicate_report_sha256(spark, sf_dir):
     """W3 with SHA-256 (oracle-checkable twin)."""
-    return reports.duplicate_report(
-        duplicates.duplicate_files(_members(spark, sf_dir, ORACLE_BITS)), bits=ORACLE_BITS)
+    lines = reports.duplicate_report(_members(spark, sf_dir, ORACLE_BITS), bits=ORACLE_BITS)
+    return lines.select("file_hash", "line", "value")
 
 
 # --- media types --------------------------------------------------------------
@@ -214,15 +221,6 @@ def q_inline_content_types(spark, sf_dir):
     return with_content_type(rows, "file_content").select("id", "content_type")
 
 
-def q_inline_media_types_sql(spark, sf_dir):
-    """The inline detection written in Spark SQL with the registered functions."""
-    from casefile.functions.sql import register_sql_functions
-
-    register_sql_functions(spark)
-    return spark.sql("SELECT id, cf_media_type(file_content, file_path) AS media_type "
-                     "FROM {evidence} WHERE cf_nonempty(file_content)", evidence=_evidence(spark, sf_dir))
-
-
 def q_external_media_types(spark, sf_dir):
     """External files typed by content, refined by the original name."""
     return mediatypes.external_media_types(_evidence(spark, sf_dir), _summaries(spark, sf_dir))
@@ -238,49 +236,28 @@ def q_merged_media_types(spark, sf_dir):
     return _typed_evidence(spark, sf_dir).select("id", "file_path", "media_type")
 
 
-# --- directories of opaque files (sf_dir itself) -----------------------------
+# --- directories of opaque files (the derived store, listed by path) ------------
 
 def q_external_content(spark, sf_dir):
-    """External store keyed by file name (sf_dir as the folder)."""
-    return files.external_content(spark, sf_dir)
+    """External store keyed by file name."""
+    return files.keyed_by_name(testdata.external_store(spark, sf_dir)).select("id", "path", "length")
 
 
 def q_directory_files(spark, sf_dir):
-    """Raw directory listing (recursive)."""
-    return files.directory_files(spark, sf_dir).select("path", "length")
-
-
-def q_directory_hashes(spark, sf_dir):
-    """T6 input: digest of every file of a raw directory."""
-    return hashing.summarize_directory(spark, sf_dir).select("path", "length", "file_hash")
-
-
-def q_directory_duplicates(spark, sf_dir):
-    """T6, T8, B1 fixed: duplicate report of a raw directory."""
-    return reports.duplicate_report(jobs.directory_duplicates(spark, sf_dir))
-
-
-def q_landing_summaries(spark, sf_dir):
-    """Structured Streaming over ``sf_dir`` as a landing folder (availableNow)."""
-    import uuid
-
-    from casefile.session import checkpoint_dir
-    from casefile.streaming import landing
-
-    work = f"{checkpoint_dir(spark).rstrip('/')}/landing-{uuid.uuid4().hex}"
-    query = landing.start_summary_stream(spark, sf_dir, f"{work}/out", f"{work}/state")
-    query.awaitTermination()
-    return landing.read_summaries(spark, f"{work}/out").select("path", "length", "file_hash")
+    """Raw directory listing, all levels."""
+    return testdata.directory_store(spark, sf_dir).select("path", "length")
 
 
-def q_file_inventory(spark, sf_dir):
-    """File attributes."""
-    return inventory.file_inventory(spark, sf_dir).select("path", "length", "permissions", "owner", "group")
+def q_directory_hashes_sha256(spark, sf_dir):
+    """T6 input: digest and verdict of every file of a raw directory."""
+    return hashing.summarize_content(testdata.directory_store(spark, sf_dir), ORACLE_BITS)
 
 
-def q_file_inventory_report(spark, sf_dir):
-    """Attribute report."""
-    return reports.inventory_report(inventory.file_inventory(spark, sf_dir))
+def q_directory_duplicates_sha256(spark, sf_dir):
+    """T6, T8, B1 fixed: duplicate report lines of a raw directory, labelled by path."""
+    summaries = hashing.summarize_content(testdata.directory_store(spark, sf_dir), ORACLE_BITS)
+    members = summaries.select("file_hash", F.col("path").alias("label"))
+    return reports.duplicate_report(members, bits=ORACLE_BITS).select("file_hash", "line", "value")
 
 
 QUERIES = {name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_")}

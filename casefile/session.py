@@ -93,7 +93,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
-_SHIPPED: set[int] = set()
+_SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -108,7 +108,7 @@ def ship_package(spark: SparkSession) -> None:
     import zipfile
 
     sc = spark.sparkContext
-    key = id(sc._jsc)
+    key = sc.applicationId
     if key in _SHIPPED:
         return
     package_dir = os.path.dirname(os.path.abspath(__file__))

@@ -6,6 +6,10 @@ chat turns are data files, regions are directories.  Content longer than
 content NULL) and served by ``external_store`` as a binary-file-like
 DataFrame ``(path, length, content)`` whose file name is the row id.
 
+Some chat turns begin with a file signature (``PREFIXES``), hold a NUL far
+inside, or start with a byte-order mark; document paths vary their extension;
+some external files come twice under one name.
+
 The same derivation is written as DuckDB SQL in ``casefile.plans.oracle`` so
 every query over it can be checked against an independent engine.
 """
@@ -21,7 +25,16 @@ INLINE_LIMIT = 4096
 EXTERNAL_DIR = "/external/"
 
 
-_TABLES: dict[tuple[int, str, str], DataFrame] = {}
+# What the n-th of every 40 chat turns begins with (signatures of public formats that are text).
+PREFIXES = [
+    "%PDF-1.7\n", "GIF89a", "PK\x03\x04", "%!PS-Adobe", "{\\rtf1 ", "BZh9", "Rar!\x1a\x07", "\x7fELF", "MZ",
+    "SQLite format 3\x00", "OggS", "fLaC", "ID3", "RIFF0000WEBP", "RIFF0000WAVE", "RIFF0000AVI ", "0000ftypqt  ",
+    "0000ftypheic", "0000ftypM4A ", "0000ftypisom", "II*\x00", "BM0000" + 4 * "\x00", '<?xml version="1.0"?>',
+    " \n<SVG ", "\ufeff<html>", "\ufeff", 600 * "x" + "\x00", 257 * "y" + "ustar",
+]
+PREFIX_EVERY = 40
+
+_TABLES: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,7 +44,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     generated tables are read-only, so the frame (schema and file listing)
     is built once per session and folder.
     """
-    key = (id(spark), sf_dir, name)
+    key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _TABLES:
         _TABLES[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return _TABLES[key]
@@ -50,7 +63,9 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = lambda t: read_table(spark, sf_dir, t)
     docs = read("documents").select(
         F.concat(F.lit("doc-"), _s("doc_id")).alias("id"),
-        F.concat("source", F.lit("/"), "lang", F.lit("/"), _s("doc_id"), F.lit(".txt")).alias("file_path"),
+        F.concat("source", F.lit("/"), "lang", F.lit("/"), _s("doc_id"),
+                 F.when(F.col("doc_id") % 7 == 0, F.lit(".csv")).when(F.col("doc_id") % 7 == 1, F.lit(".json"))
+                 .otherwise(F.lit(".txt"))).alias("file_path"),
         F.lit(DATA_FILE).alias("file_type"),
         F.col("lang").alias("owner"), F.col("source").alias("group"), F.col("text").alias("t"))
     pages = read("pages").select(
@@ -71,7 +86,10 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("chat-"), _s("conv_id"), F.lit("-"), _s("turn")).alias("id"),
         F.concat(F.lit("chat/"), _s("conv_id"), F.lit("/"), _s("turn"), F.lit(".txt")).alias("file_path"),
         F.lit(DATA_FILE).alias("file_type"),
-        F.col("role").alias("owner"), F.lit("chat").alias("group"), F.col("text").alias("t"))
+        F.col("role").alias("owner"), F.lit("chat").alias("group"),
+        F.concat(F.coalesce(F.get(F.array(*[F.lit(p) for p in PREFIXES]),
+                                  ((F.col("conv_id") + F.col("turn")) % PREFIX_EVERY).cast("int")), F.lit("")),
+                 "text").alias("t"))
     dirs = read("region").select(
         F.concat(F.lit("dir-"), _s("r_regionkey")).alias("id"),
         F.col("r_name").alias("file_path"),
@@ -85,7 +103,7 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _memo(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     """Reuse a derived frame per session and folder (immutable plan; every
     action still scans and computes from the tables)."""
-    key = (id(spark), sf_dir, name)
+    key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _TABLES:
         _TABLES[key] = build()
     return _TABLES[key]
@@ -113,8 +131,18 @@ def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _external(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _files(spark, sf_dir)
-    return (f.where(F.col("n_bytes") > INLINE_LIMIT)
-            .select(F.concat(F.lit(EXTERNAL_DIR), "id").alias("path"),
-                    F.col("n_bytes").alias("length"),
-                    F.col("t").cast("binary").alias("content")))
+    f = _files(spark, sf_dir).where(F.col("n_bytes") > INLINE_LIMIT)
+    stored = f.select(F.concat(F.lit(EXTERNAL_DIR), "id").alias("path"), F.col("n_bytes").alias("length"),
+                      F.col("t").cast("binary").alias("content"))
+    # every fifth is stored a second time, with one more byte, in a folder that sorts before the first
+    again = f.where(F.col("n_bytes") % 5 == 0).select(
+        F.concat(F.lit(EXTERNAL_DIR + "again/"), "id").alias("path"), (F.col("n_bytes") + 1).alias("length"),
+        F.concat("t", F.lit("!")).cast("binary").alias("content"))
+    return stored.unionByName(again)
+
+
+def directory_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, pages and chat turns as a raw directory ``(path, length, content)``; path = folder and id."""
+    f = _files(spark, sf_dir).where("t is not null and id not like 'evt-%'")
+    return f.select(F.concat(F.lit("/raw/"), "group", F.lit("/"), "id").alias("path"), F.col("n_bytes").alias("length"),
+                    F.col("t").cast("binary").alias("content"))

@@ -1,49 +1,47 @@
-"""Rows-only queries (SHA-512, directories) against brute force in pandas/hashlib at sf0.001."""
+"""SHA-512 and raw directories against brute force in pandas/hashlib at sf0.001."""
 
 import hashlib
 import os
 
-import pandas as pd
 import pytest
 
-import __spark_entry__ as entry
+from casefile.operators import hashing, reports
+from casefile.plans import jobs
+from casefile.plans.queries import _evidence, _members, _summaries
+from casefile.sources import files, inventory
 
 SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="module")
-def files_pdf():
-    """Every content-bearing file of the derived evidence: (id, file_path, bytes)."""
-    rd = lambda t: pd.read_parquet(f"{SF}/{t}.parquet")
-    rows = []
-    for r in rd("documents").itertuples():
-        rows.append((f"doc-{r.doc_id}", f"{r.source}/{r.lang}/{r.doc_id}.txt", r.text))
-    for r in rd("pages").itertuples():
-        rows.append((f"page-{r.page_id}", f"web/{r.page_id}{'.txt' if r.page_id % 10 == 0 else '.html'}", r.html))
-    for r in rd("events").itertuples():
-        path = None if r.event_id % 50 == 0 else f"events/{r.event_type}/{r.event_id}.json"
-        rows.append((f"evt-{r.event_id}", path, "" if r.event_id % 97 == 0 else r.props))
-    for r in rd("conversations").itertuples():
-        rows.append((f"chat-{r.conv_id}-{r.turn}", f"chat/{r.conv_id}/{r.turn}.txt", r.text))
-    out = pd.DataFrame(rows, columns=["id", "file_path", "text"])
-    out = out[out.text.notna()]
-    out["content"] = out.text.map(lambda t: t.encode("utf-8"))
-    return out[out.content.map(len) > 0]
+def hashed(spark):
+    """Every content-bearing file of the derived evidence with its SHA-512 by hashlib: (id, file_path, h)."""
+    rows = _evidence(spark, SF).select("id", "file_path", "file_content").toPandas()
+    stored = {}
+    from casefile.sources.testdata import external_store
 
+    for r in external_store(spark, SF).orderBy("path").collect():
+        stored[r.path.rsplit("/", 1)[-1]] = bytes(r.content)
+    rows["content"] = [stored.get(i) if i in stored else (bytes(c) if c is not None else b"") for i, c in
+                       zip(rows.id, rows.file_content)]
+    rows = rows[rows.content.map(len) > 0]
+    return rows.assign(h=rows.content.map(lambda c: hashlib.sha512(c).hexdigest()))
 
-def test_file_hashes_sha512(spark, files_pdf):
-    got = {r.id: r.file_hash for r in entry.queries()["file_hashes"](spark, SF).collect()}
-    want = {i: hashlib.sha512(c).hexdigest() for i, c in zip(files_pdf.id, files_pdf.content)}
-    assert got == want
+
+def test_file_hashes_sha512(spark, hashed):
+    got = {r.id: r.file_hash for r in hashing.file_hashes(_evidence(spark, SF), _summaries(spark, SF)).collect()}
+    assert got == dict(zip(hashed.id, hashed.h))
 
 
-def test_duplicate_report_sha512(spark, files_pdf):
-    df = files_pdf.assign(h=files_pdf.content.map(lambda c: hashlib.sha512(c).hexdigest()),
-                          label=files_pdf.id + "_" + files_pdf.file_path.fillna("null"))
+def test_duplicate_report_sha512(spark, hashed, tmp_path):
+    df = hashed.assign(label=hashed.id + "_" + hashed.file_path.fillna("null"))
     want = sorted(f"SHA512-Hash: {h} \n" + "\n".join(sorted(g.label)) + "\n\n"
                   for h, g in df.groupby("h") if len(g) > 1)
-    got = sorted(r.value for r in entry.queries()["duplicate_report"](spark, SF).collect())
-    assert got == want
+    out = str(tmp_path / "report")
+    reports.write_duplicate_report(reports.duplicate_report(_members(spark, SF)), out)
+    parts = sorted(p for p in os.listdir(out) if p.startswith("part-"))
+    text = "".join(open(os.path.join(out, p), encoding="utf-8").read() for p in parts)
+    assert text == "".join(want)
 
 
 def test_directory_hashes_and_listing(spark):
@@ -51,19 +49,9 @@ def test_directory_hashes_and_listing(spark):
     for name in os.listdir(SF):
         with open(os.path.join(SF, name), "rb") as fh:
             want[name] = hashlib.sha512(fh.read()).hexdigest()
-    got = {r.path.rsplit("/", 1)[-1]: r.file_hash for r in entry.queries()["directory_hashes"](spark, SF).collect()}
+    got = {r.path.rsplit("/", 1)[-1]: r.file_hash for r in hashing.summarize_directory(spark, SF).collect()}
     assert got == want
-    ids = sorted(r.id for r in entry.queries()["external_content"](spark, SF).collect())
-    assert ids == sorted(want)
-    inv = {r.path.rsplit("/", 1)[-1]: r.length for r in entry.queries()["file_inventory"](spark, SF).collect()}
+    assert sorted(r.id for r in files.external_content(spark, SF).collect()) == sorted(want)
+    inv = {r.path.rsplit("/", 1)[-1]: r.length for r in inventory.file_inventory(spark, SF).collect()}
     assert inv == {n: os.path.getsize(os.path.join(SF, n)) for n in want}
-    assert entry.queries()["directory_duplicates"](spark, SF).count() == 0
-
-
-def test_landing_summaries_match_hashlib(spark):
-    got = {r.path.rsplit("/", 1)[-1]: r.file_hash for r in entry.queries()["landing_summaries"](spark, SF).collect()}
-    want = {}
-    for name in os.listdir(SF):
-        with open(os.path.join(SF, name), "rb") as fh:
-            want[name] = hashlib.sha512(fh.read()).hexdigest()
-    assert got == want
+    assert jobs.directory_duplicates(spark, SF).count() == 0

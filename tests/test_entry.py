@@ -12,8 +12,20 @@ SF = "/root/testdata/sf0.001"
 def test_entry_runs(spark):
     df = entry.entry(spark)
     rows = df.collect()
-    assert len(rows) == 110  # duplicate groups at sf0.001
-    assert df.columns == ["n", "part", "file_list"]
+    assert df.columns == ["n", "first_file", "label"]
+    groups = {}
+    for r in rows:
+        groups.setdefault((r.first_file, r.n), []).append(r.label)
+    assert len(groups) > 90 and all(len(labels) == n and min(labels) == first for (first, n), labels in groups.items())
+
+
+def test_greens_are_not_vacuous(spark):
+    queries = entry.queries()
+    assert queries["external_media_type_mismatch"](spark, SF).count() > 0
+    assert queries["external_id_collisions"](spark, SF).count() > 0
+    assert queries["directory_duplicates_sha256"](spark, SF).count() > 0
+    assert queries["media_type_counts"](spark, SF).count() >= 20
+    assert len({r.first_file for r in queries["duplicate_preview"](spark, SF).collect()}) == 20
 
 
 def test_every_oracle_has_a_query():

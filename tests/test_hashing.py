@@ -59,7 +59,7 @@ def test_chunked_route_matches_hashlib(spark, tmp_path):
     files = binary_files(spark, str(tmp_path))
     out = {r.path.rsplit("/", 1)[-1]: r for r in hashing.summarize_files(files, max_length=1000).collect()}
     assert out["big"].file_hash == hashlib.sha512(big).hexdigest()
-    assert bytes(out["big"].head) == big[:512]
+    assert out["big"].content_type == "application/octet-stream" and out["small"].content_type == "text/plain"
     assert out["small"].file_hash == hashlib.sha512(b"tiny").hexdigest()
 
 
@@ -81,16 +81,39 @@ def test_inventory_listing_route_and_heads(spark, tmp_path):
     via_inv = {r.path: r.file_hash for r in
                hashing.summarize_directory(spark, str(tmp_path), listing="inventory").collect()}
     assert via_index == via_inv and len(via_inv) == 3
-    heads = {r.path.rsplit("/", 1)[-1]: bytes(r.head) for r in
-             hashing.read_heads(spark, str(tmp_path), small_file_bytes=100).collect()}
-    assert heads == {"big": big[:512], "small": b"tiny", "empty": b""}
+    types = {r.path.rsplit("/", 1)[-1]: r.content_type for r in
+             hashing.read_types(spark, str(tmp_path), small_file_bytes=100).collect()}
+    assert types == {"big": "application/pdf", "small": "text/plain", "empty": "application/octet-stream"}
 
 
 def test_chunked_route_opens_names_with_spaces_and_percent(spark, tmp_path):
     from casefile.sources.files import binary_files
 
-    (tmp_path / "a b%20.bin").write_bytes(b"odd name")
-    out = hashing.summarize_files(binary_files(spark, str(tmp_path)), max_length=1).collect()
-    assert [r.file_hash for r in out] == [hashlib.sha512(b"odd name").hexdigest()]
-    heads = hashing.read_heads(spark, str(tmp_path), small_file_bytes=1).collect()
-    assert [bytes(r.head) for r in heads] == [b"odd name"]
+    for name in ("a b%20.bin", "a#b?.bin", "a%b"):
+        (tmp_path / name).write_bytes(b"odd name")
+    for limit in (1, None):
+        out = hashing.summarize_files(binary_files(spark, str(tmp_path)), max_length=limit).collect()
+        assert [r.file_hash for r in out] == [hashlib.sha512(b"odd name").hexdigest()] * 3
+    for limit in (1, 1000):
+        types = hashing.read_types(spark, str(tmp_path), small_file_bytes=limit).collect()
+        assert [r.content_type for r in types] == ["text/plain"] * 3
+
+
+def test_listed_paths_are_not_decoded():
+    assert hashing.split_uri("s3a://bucket/a b%20#c") == ("s3", "bucket", "/a b%20#c")
+    assert hashing.split_uri("hdfs://nn:8020/x/%41?y") == ("hdfs", "nn:8020", "/x/%41?y")
+    assert hashing.split_uri("file:/x/a b") == hashing.split_uri("file:///x/a b") == ("file", "", "/x/a b")
+
+
+def test_both_routes_judge_the_whole_content(spark, tmp_path):
+    cases = {"late": b"x" * 3_000_000 + b"\x00", "text": b"x" * 3_000_000, "pdf": b"%PDF-" + b"\x00" * 2_000_000,
+             "page": b"\xef\xbb\xbf <html>" + b"y" * 70_000 + b"\x00"}
+    for name, data in cases.items():
+        (tmp_path / name).write_bytes(data)
+    from casefile.sources.files import binary_files
+
+    want = {"late": "application/octet-stream", "text": "text/plain", "pdf": "application/pdf", "page": "text/html"}
+    files = binary_files(spark, str(tmp_path))
+    for frame in (hashing.summarize_files(files), hashing.summarize_files(files, max_length=10),
+                  hashing.read_types(spark, str(tmp_path)), hashing.read_types(spark, str(tmp_path), listing="inventory")):
+        assert {r.path.rsplit("/", 1)[-1]: r.content_type for r in frame.collect()} == want

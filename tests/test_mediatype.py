@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from casefile.functions.mediatype import (MAGIC_RULES, OCTET_STREAM, ancestors, detect, magic_type,
+from casefile.functions.mediatype import (SIGNATURES, OCTET_STREAM, ancestors, detect, magic_type,
                                           with_content_type, with_media_type)
 from casefile.operators import mediatypes
 from tests.conftest import make_evidence
@@ -35,6 +35,13 @@ CASES = [
     (b"", "a.txt", OCTET_STREAM, "text/plain"),
     ("hi there".encode("utf-16-le").join([b"\xff\xfe", b""]), "u.csv", "text/plain", "text/csv"),
     (b"\xef\xbb\xbfplain", None, "text/plain", "text/plain"),
+    (b"\xef\xbb\xbf\n<HTML>", "a.txt", "text/html", "text/html"),
+    (b"t" * 600 + b"\x00", "a.bin", OCTET_STREAM, OCTET_STREAM),
+    (b"t" * 5000, "a.bin", "text/plain", "text/plain"),
+    (b"\x00\x00\x00\x18ftypqt  ", None, "video/quicktime", "video/quicktime"),
+    (b"\x00\x00\x00\x18ftypheic", None, "image/heic", "image/heic"),
+    (b"\x00\x00\x00\x18ftypM4A ", None, "audio/mp4", "audio/mp4"),
+    (b"\x00\x00\x00\x18ftypisom", None, "video/mp4", "video/mp4"),
 ]
 
 
@@ -64,7 +71,7 @@ def test_null_content_gives_null(spark):
 def test_hierarchy():
     assert ancestors("application/json") == ["application/json", "application/javascript", "text/plain",
                                              OCTET_STREAM]
-    assert all(r[0] for r in MAGIC_RULES)
+    assert all(r[0] for r in SIGNATURES)
 
 
 def test_inline_mismatch_and_counts(spark):

@@ -37,14 +37,49 @@ def test_inline_media_types_need_no_shuffle(spark):
     assert inspect.exchanges(df) == []
 
 
-def test_duplicate_list_form_shuffles_on_key_and_part(spark):
-    df = QUERIES["duplicate_files"](spark, SF)
-    parts = [e["partitioning"] for e in inspect.exchanges(df)]
-    assert any("part" in p and "file_hash" in p for p in parts)
+def test_duplicates_shuffle_little(spark):
+    for name in ("duplicate_files", "duplicate_members", "duplicate_preview"):
+        assert len(inspect.exchanges(QUERIES[name](spark, SF))) <= 3, name
     counts = duplicates.hash_counts(spark.createDataFrame([("h", "l")], "file_hash string, label string"))
     assert len(inspect.exchanges(counts)) == 1
 
 
+def _aggregates(df):
+    return [n.nodeName() for n in inspect.plan_nodes(df) if "Aggregate" in n.nodeName()]
+
+
+def test_hashes_and_types_do_not_aggregate_inline_rows(spark, tmp_path):
+    from tests.conftest import make_evidence
+
+    make_evidence(spark, [{"id": "a", "file_path": "p", "file_content": b"x"}]).write.parquet(str(tmp_path / "e"))
+    table = ev.read_evidence(spark, str(tmp_path / "e"))
+    assert _aggregates(hashing.file_hashes(table)) == [] and inspect.exchanges(hashing.file_hashes(table)) == []
+    spark.createDataFrame([("/x/a", "h", "t")], "path string, file_hash string, content_type string") \
+        .write.parquet(str(tmp_path / "s"))
+    outside = spark.read.parquet(str(tmp_path / "s"))
+    # only the external files are aggregated: once for the anti join, once for the rows
+    for df in (hashing.file_hashes(table, outside), mediatypes.file_media_types(table, outside)):
+        assert len(_aggregates(df)) <= 4
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = hashing.hashed_paths(table, outside)
+        assert len([e for e in inspect.exchanges(df) if "file_path" in dict(e["columns"])]) == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_merged_view_moves_no_bytes(spark, tmp_path):
+    from casefile.plans import jobs
+    from tests.conftest import make_evidence
+
+    make_evidence(spark, [{"id": "a", "file_path": "p", "file_content": b"x"}]).write.parquet(str(tmp_path / "e"))
+    spark.createDataFrame([("a", "h")], "id string, file_hash string").write.parquet(str(tmp_path / "h"))
+    jobs.register_evidence_views(spark, str(tmp_path / "e"), str(tmp_path / "h"), prefix="mv_")
+    merged = spark.table("mv_evidence_merged")
+    assert "file_content" not in merged.columns and inspect.binary_in_shuffles(merged) == []
+    assert merged.collect()[0].file_hash == "h"
+
+
 def test_external_summary_drops_content_before_join(spark):
     from casefile.sources import testdata
 
@@ -58,7 +93,7 @@ def test_media_type_stages_compile(spark):
     spark.conf.set("spark.sql.codegen.fallback", "false")
     try:
         for name in ["inline_media_type_mismatch", "file_media_types", "external_media_type_mismatch",
-                     "media_type_counts", "merged_media_types", "inline_media_types_sql"]:
+                     "media_type_counts", "merged_media_types"]:
             QUERIES[name](spark, SF).write.format("noop").mode("overwrite").save()
     finally:
         spark.conf.unset("spark.sql.codegen.fallback")

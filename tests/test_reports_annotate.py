@@ -11,8 +11,8 @@ from tests.conftest import make_evidence
 def test_duplicate_report_layout(spark):
     m = duplicates.label_members(spark.createDataFrame(
         [("e1", "a", "h"), ("e2", "b", "h")], "id string, file_path string, file_hash string"))
-    value = reports.duplicate_report(duplicates.duplicate_files(m)).first().value
-    assert value == "SHA512-Hash: h \ne1_a\ne2_b\n\n"
+    lines = reports.duplicate_report(m).orderBy("file_hash", "line", "label").collect()
+    assert [r.value for r in lines] == ["SHA512-Hash: h ", "e1_a", "e2_b", ""]
 
 
 def test_inventory_report_layout(spark):
@@ -95,8 +95,10 @@ def test_annotate_job_single_pass_and_heads(spark, tmp_path):
     ext.mkdir()
     (ext / "x1").write_bytes(b"%PDF-1.5" + b"\x00" * 5000)
     (ext / "x2").write_bytes(b"")
-    heads = {r.path.rsplit("/", 1)[-1]: r for r in hashing.read_heads(spark, str(ext)).collect()}
-    assert bytes(heads["x1"].head) == (b"%PDF-1.5" + b"\x00" * 5000)[:512] and bytes(heads["x2"].head) == b""
+    for listing in ("index", "inventory"):
+        types = {r.path.rsplit("/", 1)[-1]: r.content_type for r in
+                 hashing.read_types(spark, str(ext), listing=listing).collect()}
+        assert types == {"x1": "application/pdf", "x2": "application/octet-stream"}
     jobs.annotate_job(spark, str(tmp_path / "evidence"), str(ext), str(tmp_path / "out"))
     merged = {r.id: r for r in jobs.load_evidence(spark, str(tmp_path / "evidence"), str(tmp_path / "out/file_hash"),
                                                    str(tmp_path / "out/media_type")).collect()}
@@ -105,7 +107,7 @@ def test_annotate_job_single_pass_and_heads(spark, tmp_path):
     assert merged["x2"].media_type == "application/octet-stream"
     assert merged["e1"].media_type == "text/plain"
     typed = {r.id: r.media_type for r in mediatypes.file_media_types(
-        ev.read_evidence(spark, str(tmp_path / "evidence")), hashing.read_heads(spark, str(ext))).collect()}
+        ev.read_evidence(spark, str(tmp_path / "evidence")), hashing.read_types(spark, str(ext))).collect()}
     assert typed == {"e1": "text/plain", "x1": "application/pdf", "x2": "application/octet-stream"}
 
 
