@@ -1,19 +1,28 @@
 """File-attribute inventory of a directory tree as a Spark data source.
 
 ``spark.read.format("file_inventory").load(dir)`` lists every file with its
-POSIX attributes.  Unlike the binary-file reader it keeps zero-length files.
+attributes.  Unlike the binary-file reader it keeps zero-length files.
 Names starting with ``.`` or ``_`` are skipped (files and directories) unless
 ``includeHidden`` is set, the same rule the binary-file reader applies.
 
+Local folders (mounted at the same path on every worker) give POSIX
+attributes.  Other URIs are listed through the pyarrow file system of their
+scheme: path, length and modification time, the rest NULL.  HDFS-only fields
+(block size, replication, checksum) are NULL.
+
+Nothing is lost silently.  A root that does not exist, or a scheme without a
+file system, raises.  An entry whose attributes cannot be read, and a folder
+that cannot be listed, is a row with its path and the reason in ``error``.
+Bytes of a name that are not UTF-8 are percent-encoded, as is ``%`` in such
+names, so every name is distinct.
+
 Partitioning: the driver expands the tree breadth-first only until it has
-``targetPartitions`` directories (or the tree ends), counting the files of
-each expanded directory without keeping their names.  A directory with many
-files becomes several work units, each taking the names whose CRC32 falls in
-its slice, so no file list passes through the driver and a huge flat
-directory is spread over many tasks.  Each remaining subtree is walked by an
-executor task.  The attribute lookups (``stat``, extended attributes) all run
-in executor tasks.  The storage must be mounted at the same path on every
-worker.  HDFS-only fields (block size, replication, checksum) are NULL.
+``targetPartitions`` directories (or the tree ends).  A directory is listed
+once, by one process; of a directory with many files the names go to
+``filesPerSlice`` at a time as work units, so that the attribute lookups
+(``stat``, extended attributes), which are the slow part, spread over tasks.
+Each remaining subtree is walked by an executor task.  With ``sizeOnly`` no
+attributes but the size are looked up.
 """
 
 from __future__ import annotations
@@ -28,13 +37,13 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 INVENTORY_DDL = (
     "path string, owner string, group string, permissions string, length bigint, "
     "block_size bigint, replication int, access_time bigint, modification_time bigint, "
-    "checksum string, checksum_algorithm string, xattrs map<string,string>"
+    "checksum string, checksum_algorithm string, xattrs map<string,string>, error string"
 )
 
 FILES_PER_SLICE = 20000
 ROWS_PER_BATCH = 8192
 _FIELDS = ["path", "owner", "group", "permissions", "length", "block_size", "replication",
-           "access_time", "modification_time", "checksum", "checksum_algorithm", "xattrs"]
+           "access_time", "modification_time", "checksum", "checksum_algorithm", "xattrs", "error"]
 
 
 def _arrow_schema():
@@ -44,7 +53,7 @@ def _arrow_schema():
     return pa.schema([("path", s), ("owner", s), ("group", s), ("permissions", s), ("length", i64),
                       ("block_size", i64), ("replication", pa.int32()), ("access_time", i64),
                       ("modification_time", i64), ("checksum", s), ("checksum_algorithm", s),
-                      ("xattrs", pa.map_(s, s))])
+                      ("xattrs", pa.map_(s, s)), ("error", s)])
 
 
 def _hidden(name: str) -> bool:
@@ -59,78 +68,44 @@ def _local(path: str) -> str:
     return path
 
 
+def _readable(path: str) -> str:
+    """The path as valid text: undecodable bytes, and ``%`` beside them, are percent-encoded."""
+    try:
+        path.encode("utf-8")
+        return path
+    except UnicodeEncodeError:
+        return "".join(f"%{ord(c) - 0xDC00:02X}" if 0xDC80 <= ord(c) <= 0xDCFF else "%25" if c == "%" else c
+                       for c in path)
+
+
 def _uri(path: str) -> str:
-    return "file:" + os.path.abspath(path)
+    return "file:" + _readable(os.path.abspath(path))
 
 
-def _slice_unit(directory: str, k: int, n_slices: int) -> InputPartition:
-    """Files of ``directory`` (not below it) whose name hashes to slice ``k``."""
-    return InputPartition(("slice", directory, k, n_slices))
+def _names_unit(directory: str, names: list[str]) -> InputPartition:
+    """Files of ``directory`` by name."""
+    return InputPartition(("names", directory, names))
 
 
 def _tree_unit(directories: list[str]) -> InputPartition:
     """Whole subtrees, walked by the task."""
-    return InputPartition(("trees", list(directories), 0, 1))
-
-
-def _in_slice(name: str, k: int, n_slices: int) -> bool:
-    import zlib
-
-    return n_slices == 1 or zlib.crc32(name.encode("utf-8", "surrogateescape")) % n_slices == k
-
-
-def _count_and_dirs(directory: str, include_hidden: bool):
-    """Number of files in ``directory`` and its subdirectories (names not kept)."""
-    n_files, dirs = 0, []
-    try:
-        with os.scandir(directory) as it:
-            for entry in it:
-                if not include_hidden and _hidden(entry.name):
-                    continue
-                try:
-                    if entry.is_dir(follow_symlinks=False):
-                        dirs.append(entry.path)
-                    elif entry.is_file():
-                        n_files += 1
-                except OSError:
-                    continue
-    except (FileNotFoundError, NotADirectoryError, PermissionError):
-        pass
-    return n_files, dirs
-
-
-def _iter_slice(directory: str, k: int, n_slices: int, include_hidden: bool):
-    """Stream the files of one directory that fall in slice ``k`` (no full listing kept)."""
-    try:
-        with os.scandir(directory) as it:
-            for entry in it:
-                if (include_hidden or not _hidden(entry.name)) and _in_slice(entry.name, k, n_slices):
-                    try:
-                        if entry.is_file() and not entry.is_dir(follow_symlinks=False):
-                            yield entry.path
-                    except OSError:
-                        continue
-    except (FileNotFoundError, NotADirectoryError, PermissionError):
-        return
+    return InputPartition(("trees", list(directories), None))
 
 
 def _scan(directory: str, include_hidden: bool):
-    """``(files, subdirectories)`` of one directory."""
+    """``(files, subdirectories)`` of one directory; an entry that cannot be judged counts as a file."""
     files, dirs = [], []
-    try:
-        with os.scandir(directory) as it:
-            for entry in it:
-                if not include_hidden and _hidden(entry.name):
-                    continue
-                try:
-                    if entry.is_dir(follow_symlinks=False):
-                        dirs.append(entry.path)
-                    elif entry.is_file():
-                        files.append(entry.path)
-                except OSError:
-                    continue
-    except (FileNotFoundError, NotADirectoryError, PermissionError):
-        pass
+    with os.scandir(directory) as it:
+        for entry in it:
+            if not include_hidden and _hidden(entry.name):
+                continue
+            try:
+                is_dir = entry.is_dir(follow_symlinks=False)
+                if not is_dir and not entry.is_file() and entry.is_dir():
+                    continue  # a link to a folder
+            except OSError:
+                is_dir = False
+            (dirs if is_dir else files).append(entry.path)
     return files, dirs
 
 
@@ -154,8 +129,10 @@ def _group_name(gid: int) -> str:
         return str(gid)
 
 
-def _attributes(path: str):
+def _attributes(path: str, size_only: bool = False):
     st = os.stat(path)
+    if size_only:
+        return (_uri(path), None, None, None, int(st.st_size), *[None] * 8)
     xattrs = {}
     try:
         for key in os.listxattr(path):
@@ -172,68 +149,132 @@ def _attributes(path: str):
         pystat.filemode(st.st_mode)[1:],
         int(st.st_size), None, None,
         int(st.st_atime_ns // 1_000_000), int(st.st_mtime_ns // 1_000_000),
-        None, None, list(xattrs.items()),
+        None, None, list(xattrs.items()), None,
     )
 
 
+def _failed(path: str, error: Exception):
+    return (_uri(path), *[None] * 11, f"{type(error).__name__}: {os.strerror(error.errno) if error.errno else error}")
+
+
 class FileInventoryReader(DataSourceReader):
     def __init__(self, options):
-        self.root = _local(options.get("path", ""))
+        self.given = options.get("path", "")
+        self.remote = "://" in self.given and not self.given.startswith("file:")
+        self.root = self.given if self.remote else _local(self.given)
         self.recursive = str(options.get("recursive", "true")).lower() == "true"
         self.include_hidden = str(options.get("includeHidden", "false")).lower() == "true"
+        self.size_only = str(options.get("sizeOnly", "false")).lower() == "true"
         self.target = max(1, int(options.get("targetPartitions", "64")))
         self.files_per_slice = max(1, int(options.get("filesPerSlice", str(FILES_PER_SLICE))))
 
     def partitions(self):
+        if self.remote:
+            system, root = _remote(self.root)
+            from pyarrow import fs
+
+            if system.get_file_info(root).type == fs.FileType.NotFound:
+                raise FileNotFoundError(self.given)
+            return [InputPartition(("remote", self.root, None))]
         if os.path.isfile(self.root):
-            return [InputPartition(("file", self.root, 0, 1))]
+            return [InputPartition(("file", self.root, None))]
+        if not os.path.isdir(self.root):
+            raise FileNotFoundError(self.given)
         units, frontier = [], [self.root]
         while frontier and len(frontier) < self.target:
             next_frontier = []
             for directory in frontier:
-                n_files, dirs = _count_and_dirs(directory, self.include_hidden)
-                n_slices = max(1, -(-n_files // self.files_per_slice))
-                if n_files:
-                    units.extend(_slice_unit(directory, k, n_slices) for k in range(n_slices))
-                next_frontier.extend(dirs)
+                try:
+                    files, dirs = _scan(directory, self.include_hidden)
+                except OSError:
+                    units.append(_tree_unit([directory]))  # its task reports why
+                    continue
+                names = sorted(os.path.basename(f) for f in files)
+                units += [_names_unit(directory, names[k:k + self.files_per_slice])
+                          for k in range(0, len(names), self.files_per_slice)]
+                next_frontier += dirs
             frontier = next_frontier if self.recursive else []
         n_tree_units = min(len(frontier), self.target)
         units.extend(_tree_unit(frontier[k::n_tree_units]) for k in range(n_tree_units))
         return units or [_tree_unit([])]
 
-    def _files_of(self, unit):
-        kind, where, k, n_slices = unit
-        if kind == "file":
-            yield where
-        elif kind == "slice":
-            yield from _iter_slice(where, k, n_slices, self.include_hidden)
-        else:
-            for top in where:
-                stack = [top]
-                while stack:
-                    files, dirs = _scan(stack.pop(), self.include_hidden)
-                    yield from sorted(files)
-                    stack.extend(dirs)
+    def _rows(self, unit):
+        kind, where, names = unit
+        if kind == "remote":
+            yield from _remote_rows(where, self.recursive, self.include_hidden)
+            return
+        if kind in ("file", "names"):
+            for path in [where] if kind == "file" else (os.path.join(where, n) for n in names):
+                yield self._row(path)
+            return
+        for top in where:
+            stack = [top]
+            while stack:
+                directory = stack.pop()
+                try:
+                    files, dirs = _scan(directory, self.include_hidden)
+                except OSError as error:
+                    yield _failed(directory, error)
+                    continue
+                for path in sorted(files):
+                    yield self._row(path)
+                stack.extend(dirs)
+
+    def _row(self, path):
+        try:
+            return _attributes(path, self.size_only)
+        except OSError as error:
+            return _failed(path, error)
 
     def read(self, partition):
         """Yield Arrow record batches of ``ROWS_PER_BATCH`` files (no per-row conversion)."""
         import pyarrow as pa
 
         schema = _arrow_schema()
-        columns = [[] for _ in _FIELDS]
-        for path in self._files_of(partition.value):
-            try:
-                row = _attributes(path)
-            except OSError:
+
+        def batch(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)],
+                                              schema=schema)
+
+        rows = []
+        for row in self._rows(partition.value):
+            rows.append(row)
+            if len(rows) >= ROWS_PER_BATCH:
+                yield batch(rows)
+                rows = []
+        if rows:
+            yield batch(rows)
+
+
+def _remote(uri: str):
+    """The file system of a URI's scheme and the path in it; an unknown scheme raises."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+
+
+def _remote_rows(uri: str, recursive: bool, include_hidden: bool):
+    """Rows of a folder listed by a pyarrow file system, one folder at a time."""
+    from pyarrow import fs
+
+    system, root = _remote(uri)
+    prefix = uri.split("://", 1)[0] + "://"
+    authority = "" if not root.startswith("/") else uri.split("://", 1)[1].split("/", 1)[0]
+    stack = [root]
+    while stack:
+        here = stack.pop()
+        info = system.get_file_info(here)
+        entries = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(here))
+        for entry in entries:
+            if entry.path != root and not include_hidden and _hidden(entry.base_name):
+                continue
+            if entry.type == fs.FileType.Directory:
+                if recursive:
+                    stack.append(entry.path)
                 continue
-            for col, value in zip(columns, row):
-                col.append(value)
-            if len(columns[0]) >= ROWS_PER_BATCH:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
-                columns = [[] for _ in _FIELDS]
-        if columns[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
+            modified = entry.mtime_ns // 1_000_000 if entry.mtime_ns else None
+            yield (prefix + authority + entry.path, None, None, None, entry.size, None, None, None, modified, None, None,
+                   None, None)
 
 
 class FileInventoryDataSource(DataSource):
@@ -254,7 +295,7 @@ def register(spark: SparkSession) -> None:
 
 def file_inventory(spark: SparkSession, directory: str, recursive: bool = True,
                    include_hidden: bool = False, target_partitions: int | None = None,
-                   files_per_slice: int = FILES_PER_SLICE) -> DataFrame:
+                   files_per_slice: int = FILES_PER_SLICE, size_only: bool = False) -> DataFrame:
     """Attributes of every file below ``directory`` (zero-length files included)."""
     register(spark)
     target = target_partitions or spark.sparkContext.defaultParallelism * 4
@@ -263,9 +304,10 @@ def file_inventory(spark: SparkSession, directory: str, recursive: bool = True,
             .option("includeHidden", str(include_hidden).lower())
             .option("targetPartitions", str(target))
             .option("filesPerSlice", str(files_per_slice))
+            .option("sizeOnly", str(size_only).lower())
             .load(directory))
 
 
 def zero_length_files(spark: SparkSession, directory: str, recursive: bool = True) -> DataFrame:
     """``(path)`` of zero-length files, which the binary-file reader skips."""
-    return file_inventory(spark, directory, recursive).where("length = 0").select("path")
+    return file_inventory(spark, directory, recursive, size_only=True).where("length = 0").select("path")

@@ -73,7 +73,10 @@ def test_directory_hashes_include_empty_files(spark, tree):
 
 
 def test_directory_duplicates_group_by_digest(spark, tree):
-    groups = sorted(sorted(_names(r.files)) for r in jobs.directory_duplicates(spark, tree).collect())
+    found = {}
+    for r in jobs.directory_duplicates(spark, tree).collect():
+        found.setdefault(r.file_hash, []).append(r.label)
+    groups = sorted(sorted(_names(v)) for v in found.values())
     assert groups == [["a b%20.txt", "r6"], ["zero", "zero2"]]
 
 
@@ -113,3 +116,39 @@ def test_inventory_reads_extended_attributes(spark, tmp_path):
     from casefile.operators import reports
 
     assert "XAttr user.case =A-17\n" in reports.inventory_report(inventory.file_inventory(spark, str(target.parent))).first().value
+
+
+def test_inventory_raises_on_a_missing_root_or_scheme(spark, tmp_path):
+    for where in (str(tmp_path / "nowhere"), "nosuchscheme://host/x"):
+        with pytest.raises(Exception):  # noqa: B017 - the reason differs, the point is that it is not empty
+            inventory.file_inventory(spark, where).count()
+
+
+def test_inventory_keeps_names_that_are_not_utf8(spark, tmp_path):
+    folder = os.fsencode(str(tmp_path / "odd"))
+    os.mkdir(folder)
+    for name in (b"a\xff%.bin", b"plain%20", "gr\u00fc\u00df".encode()):
+        with open(os.path.join(folder, name), "wb") as fh:
+            fh.write(b"x")
+    rows = inventory.file_inventory(spark, str(tmp_path / "odd")).collect()
+    assert sorted(_names(r.path for r in rows)) == sorted(["a%FF%25.bin", "plain%20", "gr\u00fc\u00df"])
+    assert all(r.length == 1 and r.error is None for r in rows)
+
+
+def test_inventory_reports_entries_it_cannot_read(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    os.symlink(tmp_path / "gone", tmp_path / "t" / "broken")
+    (tmp_path / "t" / "fine").write_bytes(b"ab")
+    rows = {r.path.rsplit("/", 1)[-1]: r for r in inventory.file_inventory(spark, str(tmp_path / "t")).collect()}
+    assert rows["fine"].length == 2 and rows["fine"].error is None
+    assert rows["broken"].length is None and "FileNotFoundError" in rows["broken"].error
+
+
+def test_inventory_lists_other_file_systems_like_local_ones(tree):
+    rows = list(inventory._remote_rows("file://" + tree, True, False))
+    assert sorted(r[0].rsplit("/", 1)[-1] for r in rows) == ["a b%20.txt", "dup", "dup", "r1", "r2", "r6", "zero", "zero2"]
+    assert all(r[4] is not None and r[8] is not None for r in rows)
+
+
+def test_size_only_listing(spark, tree):
+    assert _names(r.path for r in inventory.zero_length_files(spark, tree).collect()) == ["zero", "zero2"]
