@@ -33,8 +33,8 @@ from casefile.llm.tokens import encoder, with_end
 #: Three-length patterns tried for each shortest length.
 TRIPLES_PER_LENGTH = 8
 FIT_ROUNDS = 400
-#: Pieces ranked in one group; a length with more is salted.
-RANK_GROUP = 50_000
+#: Pieces ranked in one group, about; a length with more is salted.
+RANK_GROUP = 1000
 
 Pattern = tuple[tuple[int, int], ...]  # runs: (length, how many)
 
@@ -152,7 +152,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
 
 
 def _slots(spark, plan: list[tuple[Pattern, int]]) -> DataFrame:
-    """Per length, its slots in rank order: (first rank, slots a sequence, first sequence, offset there)."""
+    """Per length, into how many groups its pieces are salted, and its slots in rank order: (first rank, slots a
+    sequence, first sequence, offset there)."""
     slots = defaultdict(list)
     used: dict[int, int] = defaultdict(int)
     sequence = 0
@@ -164,8 +165,8 @@ def _slots(spark, plan: list[tuple[Pattern, int]]) -> DataFrame:
             offset += length * many
         sequence += times
     return spark.createDataFrame(
-        sorted(slots.items()),
-        "length long, slots array<struct<first: long, many: long, sequence: long, offset: long>>")
+        [(length, -(-used[length] // RANK_GROUP), places) for length, places in sorted(slots.items())],
+        "length long, salts long, slots array<struct<first: long, many: long, sequence: long, offset: long>>")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id",
@@ -177,21 +178,20 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     histogram = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         histogram[length] = n
-    slots = _slots(spark, plan_patterns(histogram, capacity))
+    slots = F.broadcast(_slots(spark, plan_patterns(histogram, capacity)))  # at most ``capacity`` rows
 
-    salts = max(1, -(-int(histogram.max()) // RANK_GROUP))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    salted = pieces.join(slots.select("length", "salts"), "length").withColumn(
+        "salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.col("salts")))
     earlier = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     firsts = (salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
               .withColumn("first", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n"))
-    if salts > 1:
-        firsts = broadcast_if_few(materialize(firsts, "piece-ranks"))
+    firsts = broadcast_if_few(materialize(firsts, "piece-ranks"))
     within = Window.partitionBy("length", "salt").orderBy("id", "piece", "ids_crc32")
     ranked = (salted.withColumn("nth", F.row_number().over(within) - 1)
               .join(firsts, ["length", "salt"])
               .withColumn("rank", F.col("first") + F.col("nth")))
     place = F.filter("slots", lambda s: s["first"] <= F.col("rank"))
-    put = (ranked.join(F.broadcast(slots), "length")  # at most ``capacity`` rows
+    put = (ranked.join(slots.drop("salts"), "length")
            .withColumn("slot", F.element_at(place, -1))
            .withColumn("turn", F.col("rank") - F.col("slot.first")))
     sequence = F.col("slot.sequence") + F.floor(F.col("turn") / F.col("slot.many")).cast("long")
