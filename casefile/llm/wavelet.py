@@ -193,7 +193,14 @@ def _store(folder: str, name: str, data: bytes) -> str:
     draft = f"{root}/_{name}.{uuid.uuid4().hex}"
     with system.open_output_stream(draft) as out:
         out.write(data)
-    system.move(draft, f"{root}/{name}")
+    try:
+        system.move(draft, f"{root}/{name}")
+    except OSError:  # some stores do not move onto a file: a first attempt has left the same one
+        from pyarrow import fs
+
+        if system.get_file_info(f"{root}/{name}").type == fs.FileType.NotFound:
+            raise
+        system.delete_file(draft)
     return f"{folder}/{name}"
 
 
