@@ -4,7 +4,8 @@
 beside the measurements the rules compare.  A policy is a versioned mask: ``verdicts``
 applies any policy to a stored ledger without reading a text again, and ``ablations``
 counts, by bitwise aggregation, what each rule of a policy rejects alone and what the
-policy would keep without it.
+policy would keep without it.  Write the ledger before filtering on a verdict: a filter
+on one that is still to be computed makes Spark compute the measurements twice.
 
 Everything is a DataFrame expression: no Python runs on the executors.
 

@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 
 from casefile.llm import rule_ledger, url_automaton
+from casefile.llm.common import materialize
 from casefile.llm.oracle import ORACLE_SQL
 from casefile.llm.queries import QUERIES, URL_RULES
 from tests.llm.conftest import SF, odd_rows
@@ -93,7 +94,7 @@ def test_repeated_windows(spark):
 
 def test_policies_and_ablations(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    rows = rule_ledger.ledger(docs)
+    rows = materialize(rule_ledger.ledger(docs), "ledger")  # policies are applied to a stored ledger
     ledger = rows.collect()
     masks = [r.failures for r in ledger]
     for policy in rule_ledger.POLICIES:
