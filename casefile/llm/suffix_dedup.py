@@ -33,7 +33,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
@@ -218,8 +218,11 @@ def repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     if large.head(1):
         windows = taken.where("data is null")
         again = windows.groupBy("code").agg(F.count("*").alias("n"), F.max("many").alias("any")).where("n > 1 or any")
-        runs = runs.unionByName(windows.where("not many").join(again.select("code"), "code")
-                                .select("whole", F.col("at").alias("from"), F.col("at").alias("to")))
+        hits = windows.where("not many").join(again.select("code"), "code")
+        # neighbouring windows of a row (a few hundred at most) become one run again
+        island = F.col("at") - F.row_number().over(Window.partitionBy("whole").orderBy("at"))
+        runs = runs.unionByName(hits.withColumn("island", island).groupBy("whole", "island")
+                                .agg(F.min("at").alias("from"), F.max("at").alias("to")).drop("island"))
     runs = materialize(runs, "runs")
     every = open_rows.join(kinds.where("many").select("whole"), "whole", "left_semi").select("id", "mark", "lo", "hi")
     some = open_rows.join(runs, "whole").select("id", "mark", (F.col("lo") + F.col("from")).alias("lo"),
