@@ -7,7 +7,7 @@ so each block is judged main text or not in the context of the entire page.
 
 The model is trained here, on the driver, on ``TRAINING_PAGES`` pages from a generator
 of page layouts (``html_layouts``) whose blocks are labelled by construction; random
-seeds are fixed.  It has a constant size (about 0.1 MB) and travels with the tasks.
+seeds are fixed.  It has a constant size (about 0.2 MB) and travels with the tasks.
 
 Defined results: a null or empty page, or one without main text, has the empty text;
 every page is judged by itself, so repeated rows get equal results; an empty table gives

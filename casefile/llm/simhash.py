@@ -165,7 +165,7 @@ def _groups(points: DataFrame, radius: int) -> DataFrame:
     tiles = (per_count.groupBy("grp").agg(F.sum("n").alias("total"), F.collect_list(F.struct(
         "ones", F.ceil(F.col("n") / (TILE_GROUP // 2)).cast("int").alias("parts"))).alias("tiles"))
         .where(F.col("total") > TILE_GROUP))  # at most 65 population counts a group
-    tiles = broadcast_if_few(materialize(tiles, "tiles"))
+    tiles = broadcast_if_few(materialize(tiles, "tiles"), 10_000)
     mid = level2.join(tiles.select("grp"), "grp", "left_anti").select("grp", F.lit(0).alias("side"), "fp")
     hot = level2.join(tiles, "grp")
     parts = F.filter("tiles", lambda t: t["ones"] == F.col("ones"))[0]["parts"]
