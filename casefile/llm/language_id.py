@@ -18,6 +18,7 @@ predictions; an empty table gives an empty result; extra columns are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -187,18 +188,18 @@ def fit(docs: DataFrame, max_rows: int = 2400, label_col: str = "lang", id_col:
         for batch in batches_by_bytes(batches, "text", BATCH_BYTES):
             buckets, owners, _ = subwords(batch.column("text").to_pylist())
             keys, times = np.unique(owners * BUCKETS + buckets, return_counts=True)
-            cuts = np.searchsorted(keys, np.arange(batch.num_rows + 1) * BUCKETS).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("label"),
-                 pa.ListArray.from_arrays(pa.array(cuts), pa.array((keys % BUCKETS).astype(np.int32))),
-                 pa.ListArray.from_arrays(pa.array(cuts), pa.array(times.astype(np.int32)))],
-                names=["label", "buckets", "counts"])
-
-    found = picked.mapInArrow(count, "label string, buckets array<int>, counts array<int>") \
-        .limit(max_rows + len(counts) * 200).toArrow()
-    features = list(zip((np.array(b) for b in found["buckets"].to_pylist()),
-                        (np.array(c, np.float32) for c in found["counts"].to_pylist())))
-    labels = found["label"].to_pylist()
+            cuts = np.searchsorted(keys, np.arange(batch.num_rows + 1) * BUCKETS).tolist()
+            # buckets ascend: their gaps and the counts are small numbers, which compress well
+            packed = [zlib.compress(np.stack([np.diff(keys[b:e] % BUCKETS, prepend=0), times[b:e]])
+                                    .astype("<i4").tobytes(), 1) for b, e in zip(cuts, cuts[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(packed, pa.binary())],
+                                             names=["label", "packed"])
+
+    found = picked.mapInArrow(count, "label string, packed binary").limit(max_rows + len(counts) * 200).toArrow()
+    labels, features = found["label"].to_pylist(), []
+    for packed in found["packed"]:
+        gaps, times = np.frombuffer(zlib.decompress(packed.as_buffer()), "<i4").reshape(2, -1)
+        features.append((np.cumsum(gaps, dtype=np.int32), times.astype(np.float32)))
     # rows come in any order: a fixed one makes the fit the same each time
     order = sorted(range(len(labels)), key=lambda k: (labels[k], len(features[k][0]), features[k][0].tobytes(),
                                                       features[k][1].tobytes()))
