@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from casefile.llm.common import BATCH_BYTES, batches_by_bytes, broadcast_if_few, materialize
-from casefile.llm.tokens import encoder, with_end
+from casefile.llm.common import batches_by_bytes, broadcast_if_few, materialize
+from casefile.llm.tokens import TOKEN_BYTES, encoder, with_end
 
 #: Three-length patterns tried for each shortest length.
 TRIPLES_PER_LENGTH = 8
@@ -126,7 +126,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: in
     """Return (id, piece, start, length, ids_crc32[, ids]): the pieces of every document."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path).encode
-        for batch in batches_by_bytes(batches, "text", BATCH_BYTES):
+        for batch in batches_by_bytes(batches, "text", TOKEN_BYTES):
             ids, stops = with_end(*encode(batch.column(1).cast(pa.binary()).to_pylist()), end_id)
             begins = np.concatenate([[0], stops])[:-1]
             pieces = -(-(stops - begins) // capacity)

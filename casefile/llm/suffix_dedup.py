@@ -45,8 +45,8 @@ GRAM = 32
 #: Different rows of one bucket that are refined in one task.
 WHOLE_BUCKET = 20_000
 #: Bytes of text, or of rows to refine, that numpy works on at once.
-WORK_BYTES = 1 << 19
-REFINE_BYTES = 1 << 21
+WORK_BYTES = 1 << 18
+REFINE_BYTES = 1 << 19
 _NO_ID = -(1 << 63)
 
 _SEGMENT = "id long, mark int, lo long, hi long, at long, gram long, whole long"

@@ -16,6 +16,8 @@ from collections.abc import Sequence
 import numpy as np
 
 MEMO_CHUNKS = 250_000
+#: Bytes of text encoded at once; the tables for hashing chunks are as long.
+TOKEN_BYTES = 1 << 18
 #: Chunks given to the library in one string.
 CALL_WORDS = 256
 

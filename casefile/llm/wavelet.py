@@ -28,9 +28,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
-from casefile.llm.common import (BATCH_BYTES, batches_by_bytes, broadcast_if_few, id_bounds, materialize, new_folder,
+from casefile.llm.common import (batches_by_bytes, broadcast_if_few, id_bounds, materialize, new_folder,
                                  partitions, with_range_bucket)
-from casefile.llm.tokens import encoder, with_end
+from casefile.llm.tokens import TOKEN_BYTES, encoder, with_end
 
 MAGIC = b"WMTOK01\n"
 BLOCK = 512  # bits between two entries of the rank directory
@@ -225,7 +225,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, shards
             return pa.RecordBatch.from_pylist([{"shard": shard, "part": part, "path": path, "n_docs": len(ids),
                                                 "n_tokens": len(tokens)}], schema=arrow)
 
-        for batch in batches_by_bytes(batches, "text", BATCH_BYTES):
+        for batch in batches_by_bytes(batches, "text", TOKEN_BYTES):
             tokens, stops = with_end(*encode(batch.column("text").cast(pa.binary()).to_pylist()), end_id)
             keys = batch.column("shard").to_numpy()
             edges = np.flatnonzero(np.diff(keys)) + 1
