@@ -191,6 +191,10 @@ _RAW_CTE = """
           WHERE t IS NOT NULL AND NOT starts_with(id, 'evt-'))
 """
 
+_WHOLE_RAW_CTE = """
+, raw AS (SELECT '/raw/' || grp || '/' || id AS path, n_bytes AS length, t FROM f2 WHERE t IS NOT NULL)
+"""
+
 _HASH_CTES = """
 , hashes AS (SELECT id, sha256(inline_text) AS file_hash FROM ev WHERE file_content IS NOT NULL
                  AND octet_length(file_content) > 0
@@ -278,6 +282,14 @@ ORACLE_SQL: dict[str, str] = {
         "SELECT sha256(t) AS file_hash, 0 AS line, 'SHA256-Hash: ' || sha256(t) || ' ' AS value FROM g "
         "UNION ALL SELECT sha256(raw.t), 1, path FROM raw JOIN g ON raw.t = g.t "
         "UNION ALL SELECT sha256(t), 2, '' FROM g"),
+    "whole_directory_files": with_evidence(_WHOLE_RAW_CTE + "SELECT path, length FROM raw"),
+    "whole_directory_hashes_sha256": with_evidence(
+        _WHOLE_RAW_CTE + f"SELECT path, length, sha256(t) AS file_hash, {content_type_sql('t')} AS content_type FROM raw"),
+    "whole_directory_duplicates_sha256": with_evidence(
+        _WHOLE_RAW_CTE + ", g AS (SELECT t FROM raw GROUP BY t HAVING count(*) > 1) "
+        "SELECT sha256(t) AS file_hash, 0 AS line, 'SHA256-Hash: ' || sha256(t) || ' ' AS value FROM g "
+        "UNION ALL SELECT sha256(raw.t), 1, path FROM raw JOIN g ON raw.t = g.t "
+        "UNION ALL SELECT sha256(t), 2, '' FROM g"),
     "inline_content_types": with_evidence(_TYPE_CTES + "SELECT id, content_type FROM it"),
     "external_media_types": with_evidence(
         _TYPE_CTES + f"SELECT id, {refine_sql('content_type', 'file_path')} AS media_type FROM xt"),

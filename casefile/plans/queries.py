@@ -260,4 +260,21 @@ def q_directory_duplicates_sha256(spark, sf_dir):
     return reports.duplicate_report(members, bits=ORACLE_BITS).select("file_hash", "line", "value")
 
 
+def q_whole_directory_files(spark, sf_dir):
+    """Raw directory listing with all events and zero-length files."""
+    return testdata.whole_directory_store(spark, sf_dir).select("path", "length")
+
+
+def q_whole_directory_hashes_sha256(spark, sf_dir):
+    """T6 input, B10: digest and verdict of every file, events and zero-length files included."""
+    return hashing.summarize_content(testdata.whole_directory_store(spark, sf_dir), ORACLE_BITS)
+
+
+def q_whole_directory_duplicates_sha256(spark, sf_dir):
+    """Duplicate report lines with the hot digests of the events and of the zero-length files."""
+    summaries = hashing.summarize_content(testdata.whole_directory_store(spark, sf_dir), ORACLE_BITS)
+    members = summaries.select("file_hash", F.col("path").alias("label"))
+    return reports.duplicate_report(members, bits=ORACLE_BITS).select("file_hash", "line", "value")
+
+
 QUERIES = {name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_")}

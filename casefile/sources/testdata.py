@@ -141,8 +141,19 @@ def _external(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.unionByName(again)
 
 
+def _raw(files: DataFrame) -> DataFrame:
+    return files.select(F.concat(F.lit("/raw/"), "group", F.lit("/"), "id").alias("path"),
+                        F.col("n_bytes").alias("length"), F.col("t").cast("binary").alias("content"))
+
+
 def directory_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, pages and chat turns as a raw directory ``(path, length, content)``; path = folder and id."""
-    f = _files(spark, sf_dir).where("t is not null and id not like 'evt-%'")
-    return f.select(F.concat(F.lit("/raw/"), "group", F.lit("/"), "id").alias("path"), F.col("n_bytes").alias("length"),
-                    F.col("t").cast("binary").alias("content"))
+    """All documents, pages and chat turns as a raw directory ``(path, length, content)``; path = folder and id.
+
+    Events are not in it; ``whole_directory_store`` holds them too.
+    """
+    return _raw(_files(spark, sf_dir).where("t is not null and id not like 'evt-%'"))
+
+
+def whole_directory_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row with text, events and zero-length files included, as a raw directory ``(path, length, content)``."""
+    return _raw(_files(spark, sf_dir).where("t is not null"))
