@@ -116,6 +116,14 @@ def summarize_paths(listing: DataFrame, bits: int | None = DEFAULT_BITS,
     return with_head_type(read, "head", F.col("is_binary")).drop("head", "is_binary")
 
 
+def _inventory_paths(spark: SparkSession, directory: str) -> DataFrame:
+    """``(path, length)`` of every file, dealt out by path so that reading spreads however the listing was split."""
+    from casefile.sources.inventory import file_inventory
+
+    tasks = max(spark.sparkContext.defaultParallelism * 4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return file_inventory(spark, directory).select("path", "length").repartition(tasks, "path")
+
+
 def summarize_files(files: DataFrame, bits: int = DEFAULT_BITS,
                     max_length: int | None = None) -> DataFrame:
     """Summaries for a binary-file frame ``(path, length, content)`` read from
@@ -225,12 +233,10 @@ def summarize_directory(spark: SparkSession, directory: str, bits: int = DEFAULT
     zero-length files, which that reader skips, are added from the file
     inventory when ``include_empty`` is set.  ``listing="inventory"`` lists
     with the executor-side inventory source (no file list on the driver, for
-    very large trees) and hashes every file with the chunked reader.
+    very large trees), deals the paths out and hashes every file with the chunked reader.
     """
     if listing == "inventory":
-        from casefile.sources.inventory import file_inventory
-
-        return summarize_paths(file_inventory(spark, directory).select("path", "length"), bits)
+        return summarize_paths(_inventory_paths(spark, directory), bits)
     if listing != "index":
         raise ValueError("listing must be 'index' or 'inventory'")
     out = summarize_files(binary_files(spark, directory), bits, max_length)
@@ -254,9 +260,7 @@ def read_types(spark: SparkSession, directory: str, include_empty: bool = True,
     """
     columns = ["path", "length", "content_type"]
     if listing == "inventory":
-        from casefile.sources.inventory import file_inventory
-
-        return summarize_paths(file_inventory(spark, directory).select("path", "length"), None).select(*columns)
+        return summarize_paths(_inventory_paths(spark, directory), None).select(*columns)
     files = binary_files(spark, directory)
     small = files.where(F.col("length") <= small_file_bytes).select(
         "path", F.col("length").cast("bigint").alias("length"), "content")

@@ -22,7 +22,9 @@ once, by one process; of a directory with many files the names go to
 ``filesPerSlice`` at a time as work units, so that the attribute lookups
 (``stat``, extended attributes), which are the slow part, spread over tasks.
 Each remaining subtree is walked by an executor task.  With ``sizeOnly`` no
-attributes but the size are looked up.
+attributes but the size are looked up.  Remote folders are expanded likewise; as
+a remote listing brings the attributes, a task lists the files of an expanded
+folder again instead of getting their names.
 """
 
 from __future__ import annotations
@@ -170,12 +172,7 @@ class FileInventoryReader(DataSourceReader):
 
     def partitions(self):
         if self.remote:
-            system, root = _remote(self.root)
-            from pyarrow import fs
-
-            if system.get_file_info(root).type == fs.FileType.NotFound:
-                raise FileNotFoundError(self.given)
-            return [InputPartition(("remote", self.root, None))]
+            return self._remote_partitions()
         if os.path.isfile(self.root):
             return [InputPartition(("file", self.root, None))]
         if not os.path.isdir(self.root):
@@ -198,10 +195,39 @@ class FileInventoryReader(DataSourceReader):
         units.extend(_tree_unit(frontier[k::n_tree_units]) for k in range(n_tree_units))
         return units or [_tree_unit([])]
 
+    def _remote_partitions(self):
+        """One unit for a file or a flat listing; else folders whose files are listed, and subtrees that are walked."""
+        from pyarrow import fs
+
+        system, root = _remote(self.root)
+        kind = system.get_file_info(root).type
+        if kind == fs.FileType.NotFound:
+            raise FileNotFoundError(self.given)
+        if kind == fs.FileType.File or not self.recursive:
+            return [InputPartition(("remote", [root], False))]
+        flat, trees, frontier = [], [], [root]
+        while frontier and len(frontier) < self.target:
+            next_frontier = []
+            for directory in frontier:
+                try:
+                    entries = system.get_file_info(fs.FileSelector(directory))
+                except OSError:
+                    trees.append(directory)  # its task raises
+                    continue
+                if any(entry.type != fs.FileType.Directory for entry in entries):
+                    flat.append(directory)
+                next_frontier += [entry.path for entry in entries if entry.type == fs.FileType.Directory
+                                  and (self.include_hidden or not _hidden(entry.base_name))]
+            frontier = next_frontier
+        trees += frontier
+        units = [InputPartition(("remote", dirs[k::self.target], walked))
+                 for dirs, walked in ((flat, False), (trees, True)) for k in range(min(len(dirs), self.target))]
+        return units or [_tree_unit([])]
+
     def _rows(self, unit):
         kind, where, names = unit
         if kind == "remote":
-            yield from _remote_rows(where, self.recursive, self.include_hidden)
+            yield from _remote_rows(self.root, names, self.include_hidden, where)
             return
         if kind in ("file", "names"):
             for path in [where] if kind == "file" else (os.path.join(where, n) for n in names):
@@ -253,14 +279,14 @@ def _remote(uri: str):
     return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
 
 
-def _remote_rows(uri: str, recursive: bool, include_hidden: bool):
-    """Rows of a folder listed by a pyarrow file system, one folder at a time."""
+def _remote_rows(uri: str, recursive: bool, include_hidden: bool, tops: list[str] | None = None):
+    """Rows of a folder, or of the folders ``tops`` in it, listed by a pyarrow file system, one folder at a time."""
     from pyarrow import fs
 
     system, root = _remote(uri)
     prefix = uri.split("://", 1)[0] + "://"
     authority = "" if not root.startswith("/") else uri.split("://", 1)[1].split("/", 1)[0]
-    stack = [root]
+    stack = [root] if tops is None else list(tops)
     while stack:
         here = stack.pop()
         info = system.get_file_info(here)
