@@ -11,9 +11,11 @@ BLOCK_TAGS = frozenset(
     "figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre search "
     "section select summary table tbody td tfoot th thead tr ul".split())
 #: Elements whose content is no text of the page.
-SKIPPED = frozenset("script style noscript template title svg iframe object textarea head math canvas".split())
+SKIPPED = frozenset("script style noscript template title svg iframe object textarea head canvas".split())
 #: Elements that hold raw text up to their own end tag.
 RAW = frozenset("script style title textarea iframe noscript".split())
+#: Skipped elements that lose no text behind them if they are never closed.
+UNCLOSED = frozenset("template svg object canvas".split())
 VOID = frozenset("hr".split())
 #: An open element of the key's kind ends where one of the same group begins.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
@@ -25,6 +27,7 @@ _TAG = re.compile(
     r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>|<[!?/][^>]*+(?:>|\Z)""", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORDS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
+_BREAKOUT = re.compile(rf"</?(?:{'|'.join(sorted(BLOCK_TAGS))})(?=[\s/>])", re.I)
 _HIDDEN = re.compile(r"""\bhidden\b|display\s*:\s*none""", re.I)
 #: Block ancestors, from the leaf up, that a path names.
 PATH_DEPTH = 16
@@ -59,6 +62,7 @@ def blocks(page: str) -> list[tuple[tuple[tuple[str, ...], ...], str, int]]:
     in_link = False
     at, end = 0, len(page)
     known: dict[tuple[str, str], tuple[str, ...]] = {}
+    ends: dict[str, dict[int, int]] = {}
 
     def flush():
         nonlocal linked
@@ -86,7 +90,12 @@ def blocks(page: str) -> list[tuple[tuple[tuple[str, ...], ...], str, int]]:
         closing = found[1] or found[4]
         if tag in SKIPPED:
             if not closing and not (found[0].endswith("/>") and tag not in RAW):
-                at = _past(page, at, tag)
+                if tag in UNCLOSED:
+                    if tag not in ends:
+                        ends[tag] = _pairs(page, tag)
+                    at = ends[tag].get(found.start()) or _unclosed(page, at, tag)
+                else:
+                    at = _past(page, at, tag)
             continue
         if tag not in BLOCK_TAGS:
             if tag == "a":
@@ -122,6 +131,24 @@ def blocks(page: str) -> list[tuple[tuple[tuple[str, ...], ...], str, int]]:
     return out
 
 
+def _pairs(page: str, tag: str) -> dict[int, int]:
+    """Where each element of a kind that is closed begins, and where it ends."""
+    out, opened = {}, []
+    for found in re.compile(rf"<(/?){tag}\b[^>]*>", re.I).finditer(page):
+        if not found[1]:
+            if not found[0].endswith("/>"):
+                opened.append(found.start())
+        elif opened:
+            out[opened.pop()] = found.end()
+    return out
+
+
+def _unclosed(page: str, at: int, tag: str) -> int:
+    """Where to go on after a start tag without an end tag: an svg ends at the next block tag, others at once."""
+    block = _BREAKOUT.search(page, at) if tag == "svg" else None
+    return block.start() if block else at
+
+
 def _past(page: str, at: int, tag: str) -> int:
     """Where a skipped element ends; nested ones of its own kind are counted, except where text is raw."""
     depth = 1
