@@ -29,7 +29,7 @@ _NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)
 _WORDS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 _BREAKOUT = re.compile(rf"</?(?:{'|'.join(sorted(BLOCK_TAGS))})(?=[\s/>])", re.I)
 _HIDDEN = re.compile(r"""\bhidden\b|display\s*:\s*none""", re.I)
-#: Block ancestors, from the leaf up, that a path names.
+#: Block ancestors, from the leaf up, that a path names one by one; the names of those above come together, first.
 PATH_DEPTH = 16
 
 
@@ -56,7 +56,7 @@ def decode(text: str) -> str:
 def blocks(page: str) -> list[tuple[tuple[tuple[str, ...], ...], str, int]]:
     """(path, text, characters inside links) of every leaf block with text, in page order."""
     out = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, tuple[str, ...], tuple[str, ...]]] = []  # tag, its names, all names down to it
     parts: list[str] = []
     linked = 0
     in_link = False
@@ -68,7 +68,8 @@ def blocks(page: str) -> list[tuple[tuple[tuple[str, ...], ...], str, int]]:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            out.append((tuple(n for _, n in stack[-PATH_DEPTH:]), text, linked))
+            above = (stack[-PATH_DEPTH - 1][2],) if len(stack) > PATH_DEPTH else ()
+            out.append((above + tuple(n for _, n, _ in stack[-PATH_DEPTH:]), text, linked))
         parts.clear()
         linked = 0
 
@@ -126,7 +127,8 @@ def blocks(page: str) -> list[tuple[tuple[tuple[str, ...], ...], str, int]]:
         names = known.get(key)
         if names is None:
             names = known[key] = _names(*key)
-        stack.append((tag, names))
+        above = stack[-1][2] if stack else ()
+        stack.append((tag, names, above + tuple(n for n in names if n not in above)))
     flush()
     return out
 

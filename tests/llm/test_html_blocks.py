@@ -16,3 +16,14 @@ def test_an_element_without_an_end_tag_takes_no_article_text(tag):
     assert [b[1] for b in blocks(page)] == ["one", "two", "three four"]
     assert [b[1] for b in blocks(f"<p>a</p><{tag}><p>b</p>" * 300)] == ["a", "b"] * 300
     assert [b[1] for b in blocks(f"<p>a <{tag}>x<{tag}>y</{tag}>z</{tag}> b</p>")] == ["a b"]
+
+
+@pytest.mark.parametrize("depth", [0, 15, 16, 17, 400])
+def test_a_path_names_every_ancestor(depth):
+    page = '<article class="story"><section id="comments">' + "<div class=wrap>" * depth + "text"
+    (path, text, _), = blocks(page)
+    assert text == "text" and {n for names in path for n in names} == {
+        "article", ".story", "section", ".comments"} | ({"div", ".wrap"} if depth else set())
+    assert len(path) <= 17 and path[-1][0] == ("div" if depth else "section")
+    after = blocks(page + "</div>" * depth + "</section></article><p>end")[-1]
+    assert after[:2] == ((("p",),), "end")
