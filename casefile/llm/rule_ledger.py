@@ -60,8 +60,10 @@ def _repeat_words(words: Column) -> Column:
 
     Each window becomes one number, a hash followed by its place.  Sorting brings equal
     windows together; neighbours with equal hashes and equal words are repeated, and
-    their sorted places give the words covered (overlaps once).  ``words`` must be a
-    column or a bound variable, as it is read many times.
+    their sorted places give the words covered (overlaps once).  Neighbours with equal
+    hashes and other words show that the hash does not tell the text's windows apart;
+    only then are they sorted by their words.  ``words`` must be a column or a bound
+    variable, as it is read many times.
     """
     long = "long"
     span = F.size(words).cast(long)
@@ -74,25 +76,39 @@ def _repeat_words(words: Column) -> Column:
     def place(code: Column) -> Column:
         return (code % span).cast("int")
 
-    def same(a: Column, b: Column) -> Column:
-        out = (a - a % span) == (b - b % span)
+    def neighbours(items: Column, each) -> Column:
+        return F.zip_with(F.slice(items, 1, F.size(items) - 1), F.slice(items, 2, F.size(items) - 1), each)
+
+    def equal_hash(a: Column, b: Column) -> Column:
+        return (a - a % span) == (b - b % span)
+
+    def equal_words(a: Column, b: Column) -> Column:
+        out = F.lit(True)
         for k in range(3):
             out = out & (F.get(words, place(a) + k) == F.get(words, place(b) + k))
         return out
 
-    def pairs(codes: Column) -> Column:
-        return F.zip_with(F.slice(codes, 1, F.size(codes) - 1), F.slice(codes, 2, F.size(codes) - 1),
-                          lambda a, b: F.when(same(a, b), F.array(place(a), place(b))))
+    def by_hash(codes: Column) -> Column:
+        # a pair of places, or -1 for two windows of one hash; null for all others
+        pairs = neighbours(codes, lambda a, b: F.when(equal_hash(a, b), F.when(
+            equal_words(a, b), F.array(place(a), place(b))).otherwise(F.array(F.lit(-1)))))
+        return F.flatten(F.filter(pairs, lambda pair: pair.isNotNull()))
+
+    def by_words() -> Column:
+        rows = F.sort_array(F.transform(F.slice(words, 1, F.size(words) - 2), lambda word, at: F.struct(
+            word.alias("a"), F.get(words, at + 1).alias("b"), F.get(words, at + 2).alias("c"), at.alias("at"))))
+        pairs = neighbours(rows, lambda x, y: F.when((x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]),
+                                                     F.array(x["at"], y["at"])))
+        return F.flatten(F.filter(pairs, lambda pair: pair.isNotNull()))
 
     def covered(places: Column) -> Column:
-        gaps = F.zip_with(F.slice(places, 1, F.size(places) - 1), F.slice(places, 2, F.size(places) - 1),
-                          lambda a, b: F.least(b - a, F.lit(3)))
+        gaps = neighbours(places, lambda a, b: F.least(b - a, F.lit(3)))
         return F.when(F.size(places) > 0, F.aggregate(gaps, F.lit(3).cast(long), lambda t, g: t + g)) \
             .otherwise(F.lit(0).cast(long))
 
     codes = F.sort_array(F.transform(F.slice(words, 1, F.size(words) - 2), window))
-    hits = let(codes, lambda c: F.filter(pairs(c), lambda pair: pair.isNotNull()))
-    places = let(hits, lambda h: F.sort_array(F.array_distinct(F.flatten(h))))
+    hits = let(let(codes, by_hash), lambda h: F.when(F.array_contains(h, -1), by_words()).otherwise(h))
+    places = let(hits, lambda h: F.sort_array(F.array_distinct(h)))
     return F.when(F.size(words) > 3, let(places, covered)).otherwise(F.lit(0).cast(long))
 
 
