@@ -7,7 +7,9 @@ it, documents are ranked by random odds divided by inclusion odds,
 while the sample is nearer to the words still due with them than without.
 
 Whole documents are taken, so a source's words miss the target by at most half of one
-document.  ``u`` is the MD5 of seed and document id, so reruns agree.  The cut in each
+document, the one that crosses the words due.  The order ends there, whether that document
+is taken or not: if it is long and left out, later ones that would fit are left out too.
+``u`` is the MD5 of seed and document id, so reruns agree.  The cut in each
 source's order is found from histograms of the rank (``BINS`` bins, twice); only the
 rows of one bin of one bin are ever put in order, so a source of any size spreads over
 all tasks.
