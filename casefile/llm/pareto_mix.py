@@ -4,7 +4,9 @@ A source whose target is ``f`` times its size gives every document floor(f) cert
 whole copies; the rest of the target is filled by a sample without replacement.  For
 it, documents are ranked by random odds divided by inclusion odds,
 ``(u / (1 - u)) / (p / (1 - p))`` with ``p = f - floor(f)``, and taken in this order
-while the sample is nearer to the words still due with them than without.
+while the sample is nearer to the words still due with them than without.  ``p`` is one
+number per source, so inclusion odds differ between sources only; within one they are
+equal, the order is that of ``u``, and the size is fixed in words, not in documents.
 
 Whole documents are taken, so a source's words miss the target by at most half of one
 document, the one that crosses the words due.  The order ends there, whether that document
