@@ -4,11 +4,14 @@ A shard holds the documents of an id range.  Its token sequence is stored as bit
 planes, most significant bit first; each plane is the bits of the sequence as ordered
 by the planes above it (zeros first, both halves in order).  Counts of ones every 512
 bits make rank a lookup.  The file gives back any token, how often a token occurs
-before a place, and where it occurs, without decoding the rest.
+before a place, and where it occurs, without decoding the rest: per plane a lookup
+decompresses the rank directory and one or two chunks of words, and keeps them.
 
-File: 8 bytes magic, then a zstd frame of: header (tokens, levels, documents; unsigned
-64-bit), document starts, zeros per plane, and per plane its packed words (64-bit,
-lowest bit first) and its rank directory (32-bit).
+File: 8 bytes magic, the length of the head (unsigned 64-bit), then zstd frames.  The
+head: tokens, levels, documents, length of the ids (unsigned 64-bit), ids as JSON,
+document starts, zeros per plane, and where each later frame begins, counted from the
+end of the head, and where the last ends.  Then per plane a frame with its rank
+directory (32-bit) and frames of ``CHUNK`` packed words each (64-bit, lowest bit first).
 
 Defined results: a null or empty text is the end id alone; documents are in ascending
 id order (null first, equal ids by text); an empty table writes no file and gives an
@@ -32,8 +35,9 @@ from casefile.llm.common import (batches_by_bytes, broadcast_if_few, id_bounds,
                                  partitions, with_range_bucket)
 from casefile.llm.tokens import TOKEN_BYTES, encoder, with_end
 
-MAGIC = b"WMTOK01\n"
+MAGIC = b"WMTOK02\n"
 BLOCK = 512  # bits between two entries of the rank directory
+CHUNK = 1 << 13  # words of a frame, a multiple of those of a block
 #: Tokens after which a shard goes on in another file (a document is never split).
 FILE_TOKENS = 1 << 22
 
@@ -65,11 +69,16 @@ def build(tokens: np.ndarray, starts: np.ndarray, ids: list) -> bytes:
         zeros.append(len(low))
         rest = np.concatenate([low, rest[mask]])
     names = json.dumps(ids).encode()
-    body = [np.array([len(tokens), levels, len(starts), len(names)], "<u8").tobytes(), names,
-            np.asarray(starts, "<u8").tobytes(), np.array(zeros, "<u8").tobytes()]
+    pack = zstandard.ZstdCompressor(level=1).compress
+    frames = []
     for words in planes:
-        body += [words.tobytes(), _directory(words).astype("<u4").tobytes()]
-    return MAGIC + zstandard.ZstdCompressor(level=1).compress(b"".join(body))
+        frames.append(pack(_directory(words).astype("<u4").tobytes()))
+        frames += [pack(words[at:at + CHUNK].tobytes()) for at in range(0, len(words), CHUNK)]
+    places = np.cumsum([0, *map(len, frames)])
+    head = pack(b"".join([np.array([len(tokens), levels, len(starts), len(names)], "<u8").tobytes(), names,
+                          np.asarray(starts, "<u8").tobytes(), np.array(zeros, "<u8").tobytes(),
+                          places.astype("<u8").tobytes()]))
+    return b"".join([MAGIC, np.array([len(head)], "<u8").tobytes(), head, *frames])
 
 
 class WaveletFile:
@@ -80,7 +89,11 @@ class WaveletFile:
 
         if data[:len(MAGIC)] != MAGIC:
             raise ValueError("not a wavelet matrix file")
-        body = zstandard.ZstdDecompressor().decompress(data[len(MAGIC):])
+        self._unpack = zstandard.ZstdDecompressor().decompress
+        first = len(MAGIC) + 8
+        self._data = memoryview(data)
+        self._base = first + int(np.frombuffer(data, "<u8", 1, len(MAGIC))[0])
+        body = self._unpack(self._data[first:self._base])
         self.n, self.levels, docs, names = np.frombuffer(body, "<u8", 4).astype(int).tolist()
         at = 32
         self.ids = json.loads(body[at:at + names])
@@ -89,31 +102,54 @@ class WaveletFile:
         at += 8 * docs
         self.zeros = np.frombuffer(body, "<u8", self.levels, at).astype(np.int64)
         at += 8 * self.levels
-        blocks = -(-self.n // BLOCK)
-        self.words, self.ranks = [], []
-        for _ in range(self.levels):
-            self.words.append(np.frombuffer(body, "<u8", blocks * BLOCK // 64, at))
-            at += blocks * BLOCK // 8
-            self.ranks.append(np.frombuffer(body, "<u4", blocks + 1, at))
-            at += 4 * (blocks + 1)
+        self.chunks = -(-(-(-self.n // BLOCK) * (BLOCK // 64)) // CHUNK)
+        self._places = np.frombuffer(body, "<u8", self.levels * (1 + self.chunks) + 1, at).astype(np.int64)
+        self._held: dict[int, np.ndarray] = {}
+
+    def _frame(self, number: int, kind: str, keep: bool = True) -> np.ndarray:
+        found = self._held.get(number)
+        if found is None:
+            begin, end = (self._places[number:number + 2] + self._base).tolist()
+            found = np.frombuffer(self._unpack(self._data[begin:end]), kind)
+            if keep:
+                self._held[number] = found
+        return found
+
+    def _ranks(self, level: int) -> np.ndarray:
+        """Rank directory of a plane."""
+        return self._frame(level * (1 + self.chunks), "<u4")
+
+    def _words(self, level: int, begin: int, end: int) -> np.ndarray:
+        """Words of one block of a plane."""
+        if begin == end:
+            return np.zeros(0, "<u8")
+        chunk = self._frame(level * (1 + self.chunks) + 1 + begin // CHUNK, "<u8")
+        return chunk[begin % CHUNK:begin % CHUNK + end - begin]
+
+    def _plane(self, level: int) -> np.ndarray:
+        """All bits of a plane; its frames are not kept."""
+        first = level * (1 + self.chunks) + 1
+        words = [self._frame(first + k, "<u8", keep=False) for k in range(self.chunks)]
+        packed = np.concatenate([np.zeros(0, "<u8"), *words]).view(np.uint8)
+        return np.unpackbits(packed, count=self.n, bitorder="little").view(bool)
 
     def _rank1(self, level: int, at: int) -> int:
         """Ones before place ``at`` of a plane."""
-        block, words = at // BLOCK, self.words[level]
-        out, first = int(self.ranks[level][block]), block * BLOCK // 64
-        whole = at // 64
-        out += int(np.bitwise_count(words[first:whole]).sum())
+        block, whole = at // BLOCK, at // 64
+        out, first = int(self._ranks(level)[block]), block * BLOCK // 64
+        words = self._words(level, first, -(-at // 64))
+        out += int(np.bitwise_count(words[:whole - first]).sum())
         if at % 64:
-            out += (int(words[whole]) & ((1 << (at % 64)) - 1)).bit_count()
+            out += (int(words[whole - first]) & ((1 << (at % 64)) - 1)).bit_count()
         return out
 
     def _select(self, level: int, one: bool, nth: int) -> int:
         """Place of the ``nth`` (from 0) one or zero of a plane."""
-        ranks = self.ranks[level].astype(np.int64)
+        ranks = self._ranks(level).astype(np.int64)
         if not one:
             ranks = np.arange(len(ranks)) * BLOCK - ranks
         block = int(np.searchsorted(ranks, nth, side="right")) - 1
-        words = self.words[level][block * BLOCK // 64:(block + 1) * BLOCK // 64]
+        words = self._words(level, block * BLOCK // 64, (block + 1) * BLOCK // 64)
         bits = np.unpackbits(words.view(np.uint8), bitorder="little")
         return block * BLOCK + int(np.flatnonzero(bits == one)[nth - int(ranks[block])])
 
@@ -123,7 +159,7 @@ class WaveletFile:
             raise IndexError(at)
         token = 0
         for level in range(self.levels):
-            one = int(self.words[level][at // 64]) >> (at % 64) & 1
+            one = int(self._words(level, at // 64, at // 64 + 1)[0]) >> (at % 64) & 1
             ones = self._rank1(level, at)
             at = int(self.zeros[level]) + ones if one else at - ones
             token = token << 1 | one
@@ -164,7 +200,7 @@ class WaveletFile:
         kind = np.uint16 if self.levels <= 16 else np.uint32
         values = np.zeros(self.n, kind)
         for level in range(self.levels - 1, -1, -1):
-            mask = np.unpackbits(self.words[level].view(np.uint8), count=self.n, bitorder="little").view(bool)
+            mask = self._plane(level)
             zeros = int(self.zeros[level])
             back = np.empty(self.n, kind)
             back[~mask] = values[:zeros]
