@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casefile.llm import html_lstm, language_id, pareto_mix, parsing, pattern_packing, rule_ledger, simhash, suffix_dedup, url_automaton, wavelet
+from casefile.llm import concat_packing, html_lstm, language_id, pareto_mix, parsing, pattern_packing, rule_ledger, simhash, suffix_dedup, url_automaton, wavelet
 from casefile.llm.common import short_batches, table
 from casefile.llm.tokens import public_tokenizer
 
@@ -92,5 +92,13 @@ def op10_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_parsing, op2_simhash, op3_html_lstm, op4_pareto_mix, op5_suffix_dedup, op6_pattern_packing, op7_url_rules, op8_language_id, op9_rule_ledger,
-                                   op10_wavelet_shards)}
+def op13_concat_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """13: concatenate all documents' tokens and cut them into windows of 2048."""
+    short_batches(spark)
+    return concat_packing.pack(table(spark, sf_dir, "documents"), public_tokenizer("byte_bpe_50k.json"), 2048, 1) \
+        .withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_parsing, op2_simhash, op3_html_lstm, op4_pareto_mix, op5_suffix_dedup,
+                                   op6_pattern_packing, op7_url_rules, op8_language_id, op9_rule_ledger,
+                                   op10_wavelet_shards, op13_concat_cut)}
