@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casefile.llm import concat_packing, html_lstm, language_id, pareto_mix, parsing, pattern_packing, rule_ledger, simhash, suffix_dedup, url_automaton, wavelet
-from casefile.llm.common import short_batches, table
+from casefile.llm import concat_packing, html_lstm, language_id, pareto_mix, parsing, pattern_packing, rule_ledger, simhash, suffix_dedup, url_automaton, wavelet, word_runs
+from casefile.llm.common import SPACE_CLASS, let, short_batches, table
 from casefile.llm.tokens import public_tokenizer
 
 #: The URL rules of the contract.
@@ -92,6 +92,41 @@ def op10_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumnRenamed("id", "doc_id")
 
 
+def planted_runs(doc_id: Column, text: Column) -> Column:
+    """The contract's edit: every tenth text (by its id's hash) repeats its words from some place on.
+
+    A null id has no hash; its text stays as it is.
+    """
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / F.lit(10))
+
+    def edited(words: Column) -> Column:
+        n = F.size(words)
+        a = (g % n).cast("int")
+        p = (F.floor((n - a) / (g % 8 + 3)) + 1).cast("int")
+        return F.array_join(F.transform(words, lambda w, i: F.when(i < a, w).otherwise(
+            F.get(words, a + (i - a) % p))), " ")
+
+    words = F.filter(F.split(text, f"[{SPACE_CLASS}]+"), lambda w: w != "")
+    return F.when(h % 10 == 0, let(words, lambda ws: F.when(F.size(ws) > 0, edited(ws)).otherwise(text))).otherwise(text)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """12: the periodic runs of every text, after the contract's edit, and the text without them."""
+    short_batches(spark)
+    docs = table(spark, sf_dir, "documents")
+    found = word_runs.periodic_runs(docs.select("doc_id", planted_runs(F.col("doc_id"), F.col("text")).alias("text")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"], (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return (found.withColumn("best", longest).select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.floor(F.col("best.length") * 1000 / -F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")))
+
+
 def op13_concat_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """13: concatenate all documents' tokens and cut them into windows of 2048."""
     short_batches(spark)
@@ -101,4 +136,4 @@ def op13_concat_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_parsing, op2_simhash, op3_html_lstm, op4_pareto_mix, op5_suffix_dedup,
                                    op6_pattern_packing, op7_url_rules, op8_language_id, op9_rule_ledger,
-                                   op10_wavelet_shards, op13_concat_cut)}
+                                   op10_wavelet_shards, op12_periodic_runs, op13_concat_cut)}
