@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casefile.llm import concat_packing, html_lstm, language_id, pareto_mix, parsing, pattern_packing, rule_ledger, simhash, suffix_dedup, url_automaton, wavelet, word_runs
+from casefile.llm import concat_packing, html_lstm, language_id, pareto_mix, parsing, pattern_packing, rule_ledger, simhash, suffix_dedup, turn_trie, url_automaton, wavelet, word_runs
 from casefile.llm.common import SPACE_CLASS, let, short_batches, table
 from casefile.llm.tokens import public_tokenizer
 
@@ -92,6 +92,11 @@ def op10_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumnRenamed("id", "doc_id")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """11: every node of the trie of all conversations, rebuilt with up to five turns of their block's first."""
+    return turn_trie.prefix_trie(table(spark, sf_dir, "conversations"), heads=6, block=100)
+
+
 def planted_runs(doc_id: Column, text: Column) -> Column:
     """The contract's edit: every tenth text (by its id's hash) repeats its words from some place on.
 
@@ -136,4 +141,4 @@ def op13_concat_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_parsing, op2_simhash, op3_html_lstm, op4_pareto_mix, op5_suffix_dedup,
                                    op6_pattern_packing, op7_url_rules, op8_language_id, op9_rule_ledger,
-                                   op10_wavelet_shards, op12_periodic_runs, op13_concat_cut)}
+                                   op10_wavelet_shards, op11_prefix_trie, op12_periodic_runs, op13_concat_cut)}
