@@ -66,4 +66,32 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed, failures = 0 kept, failures from f
 """
 
-ORACLE_SQL = {"op4_pareto_mix": OP4, "op7_url_rules": OP7, "op9_rule_ledger": OP9}
+#: Crc-32 of a decimal id, one bit at a time.
+_CRC = """xor(4294967295::bigint, list_reduce(
+    list_transform(string_split(conv_id::varchar, ''), lambda x: ascii(x)::bigint),
+    lambda c, x: list_reduce(range(8), lambda r, i: case when r % 2 = 1 then xor(r >> 1, 3988292384::bigint) else r >> 1 end,
+                             xor(c, x)), 4294967295::bigint))"""
+
+OP11 = f"""
+with t as (select conv_id, turn, coalesce(role, '') r, coalesce(text, '') x from conversations where conv_id is not null),
+c as (select conv_id, list({{'k': md5(r) || md5(x), 'n': length(x)::bigint}} order by turn nulls first) ts from t group by 1),
+h as (select *, {_CRC} % 6 h from c),
+m as (select h.conv_id, coalesce(b.ts[1:h.h], []) || h.ts[h.h + 1:] ts
+      from h left join c b on b.conv_id = h.conv_id - (h.conv_id % 100 + 100) % 100),
+p as (select conv_id, ts, unnest(range(len(ts) + 1)) d from m),
+q as (select conv_id, d, d = len(ts) ends, case when d > 0 then ts[d].n else 0 end n,
+        md5(list_aggregate(list_transform(ts[1:d], lambda z: z.k), 'string_agg', ',')) k,
+        case when d > 0 then md5(list_aggregate(list_transform(ts[1:d - 1], lambda z: z.k), 'string_agg', ',')) end pk from p),
+v as (select d, coalesce(k, '') k, case when d > 1 then pk when d = 1 then '' end pk, any_value(n) n, min(conv_id) conv_id,
+        count(*) n_convs, sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (ends), '')) ends_sha256
+      from q group by all),
+f as (select pk k, count(*) n_children from v where pk is not null group by 1),
+w as (select v.*, coalesce(f.n_children, 0) n_children from v left join f using (k)),
+u as (select distinct q.k, q.d, coalesce(a.k, '') up from q join q a on a.conv_id = q.conv_id and a.d <= q.d),
+s as (select up k, count(*) filter (w.n_children = 0) n_leaves, sum((w.n_convs - 1) * w.n)::bigint saved_tokens
+      from u join w on w.k = coalesce(u.k, '') group by 1)
+select w.conv_id, w.d::bigint depth, pa.conv_id parent_conv_id, w.n_convs, w.n_children, s.n_leaves, s.saved_tokens, w.ends_sha256
+from w join s using (k) left join v pa on pa.k = w.pk
+"""
+
+ORACLE_SQL = {"op4_pareto_mix": OP4, "op7_url_rules": OP7, "op9_rule_ledger": OP9, "op11_prefix_trie": OP11}
