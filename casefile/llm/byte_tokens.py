@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MEMO_CHUNKS = 600_000
+MEMO_CHUNKS = 1_000_000
 #: Chunks given to the library in one string.
 CALL_CHUNKS = 512
 #: Fixed value: the byte-level alphabet's letter for a blank.
@@ -79,15 +79,16 @@ class ByteEncoder:
 
     def _learn(self, keys: list[str]) -> None:
         """Add chunks to the memo.  A key with a blank in front is the beginning of a text, without that blank."""
-        plain = []
-        for key in keys:
-            if key[:1] == " ":
-                ids = self.whole(key[1:])
-                self._keep([key], ids, np.array([len(ids)]))
-            elif _whole_only(key):
-                self.memo[key] = _WHOLE
-            else:
-                plain.append(key)
+        plain = [k for k in keys if k[:1].isalnum()]
+        if len(plain) < len(keys):
+            for key in itertools.filterfalse(lambda k: k[:1].isalnum(), keys):
+                if key[:1] == " ":
+                    ids = self.whole(key[1:])
+                    self._keep([key], ids, np.array([len(ids)]))
+                elif _whole_only(key):
+                    self.memo[key] = _WHOLE
+                else:
+                    plain.append(key)
         calls = [plain[n:n + CALL_CHUNKS] for n in range(0, len(plain), CALL_CHUNKS)]
         for call, made in zip(calls, self.library.encode_batch_fast(
                 [" " + " ".join(c) for c in calls], add_special_tokens=False)):
@@ -99,6 +100,17 @@ class ByteEncoder:
                 begins = np.cumsum([0] + [len(p) for p in parts[:-1]])
             self._keep(call, ids, np.diff(begins, append=len(ids)))
 
+    def _look_up(self, keys: list[str]) -> np.ndarray:
+        """Memo entries of chunks; those not known are learned."""
+        look, unknown = self.memo.get, itertools.repeat(-1)
+        at = np.fromiter(map(look, keys, unknown), np.int64, len(keys))
+        new = np.flatnonzero(at == -1)
+        if len(new):
+            chosen = [keys[n] for n in new.tolist()]
+            self._learn(list(dict.fromkeys(chosen)))
+            at[new] = np.fromiter(map(look, chosen, unknown), np.int64, len(chosen))
+        return at
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Texts (null: empty) -> all ids, and where each text's ids end."""
         texts = pc.fill_null(texts, "")
@@ -115,12 +127,8 @@ class ByteEncoder:
         openings = [" " + t for t in chunks.take(pa.array(firsts)).to_pylist()]
         if len(self.memo) >= MEMO_CHUNKS:
             self._forget()
-        new = [k for k in itertools.chain(keys, dict.fromkeys(openings)) if k not in self.memo]
-        if new:
-            self._learn(new)
-        look = self.memo.__getitem__
-        at = np.fromiter(map(look, keys), np.int64, len(keys))[coded.indices.to_numpy()]
-        at[firsts] = np.fromiter(map(look, openings), np.int64, len(openings))
+        at = self._look_up(keys)[coded.indices.to_numpy()]
+        at[firsts] = self._look_up(openings)
         given = {n: self.whole(texts[n].as_py())
                  for n in np.unique(np.searchsorted(ends, np.flatnonzero(at == _WHOLE), side="right")).tolist()}
         if given:

@@ -37,9 +37,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from casefile.llm.byte_tokens import byte_encoder
-from casefile.llm.common import BATCH_BYTES, batches_by_bytes, broadcast_if_few, materialize
+from casefile.llm.common import batches_by_bytes, broadcast_if_few, materialize
 from casefile.llm.tokens import with_end
 
+#: Bytes of text encoded at once; the more, the more of its chunks are equal.
+ENCODE_BYTES = 1 << 21
 #: Bytes of written ids cut at once.
 CUT_BYTES = 1 << 20
 
@@ -87,6 +89,19 @@ def cut_points(starts: np.ndarray, lengths: np.ndarray, total: int, window: int,
     return tuple(x[order] for x in found)
 
 
+def _filled(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Join short record batches until the bytes of ``column`` reach ``limit``; slice long ones."""
+    held, size = [], 0
+    for batch in batches_by_bytes(batches, column, limit):
+        held.append(batch)
+        size += batch.column(column).nbytes
+        if size >= limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def token_stream(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
     """Return (part, place, id, n_tokens, ids): each document's ids and its place in its part of the stream."""
@@ -94,7 +109,7 @@ def token_stream(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str
         part, place = TaskContext.get().partitionId(), 0
         coder = byte_encoder(tokenizer_path)
         kind = np.dtype("<u2" if max(coder.highest, end_id) < 1 << 16 else "<u4")
-        for batch in batches_by_bytes(batches, "text", BATCH_BYTES):
+        for batch in _filled(batches, "text", ENCODE_BYTES):
             ids, stops = with_end(*coder.encode(batch.column(1)), end_id)
             sizes = np.diff(stops, prepend=0)
             raw = ids.astype(kind).tobytes()
