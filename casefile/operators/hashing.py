@@ -58,7 +58,7 @@ def split_uri(path: str) -> tuple[str, str, str]:
     return ("s3" if scheme in ("s3a", "s3n") else scheme), authority, plain
 
 
-def _open_path(path: str):
+def open_path(path: str):
     """Open a listed path through one file system per (scheme, authority) and worker."""
     scheme, authority, plain = split_uri(path)
     if scheme == "file":
@@ -88,7 +88,7 @@ def _chunked_reader(bits: int | None, head_bytes: int, chunk_bytes: int):
             for path in pdf["path"]:
                 h = hashlib.new(f"sha{bits}") if bits else None
                 head, found = b"", False
-                with _open_path(path) as fh:
+                with open_path(path) as fh:
                     while chunk := fh.read(chunk_bytes):
                         if len(head) < head_bytes:
                             head += chunk[: head_bytes - len(head)]

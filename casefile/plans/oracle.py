@@ -33,6 +33,7 @@ _PREFIX_SQL = """CASE (conv_id + turn) % 40
   WHEN 19 THEN '0000ftypisom' WHEN 20 THEN 'II*' || chr(0) WHEN 21 THEN 'BM0000' || repeat(chr(0), 4)
   WHEN 22 THEN '<?xml version="1.0"?>' WHEN 23 THEN ' ' || chr(10) || '<SVG ' WHEN 24 THEN chr(65279) || '<html>'
   WHEN 25 THEN chr(65279) WHEN 26 THEN repeat('x', 600) || chr(0) WHEN 27 THEN repeat('y', 257) || 'ustar'
+  WHEN 28 THEN regexp_replace('Secret wide text ', '(.)', chr(92) || '1' || chr(0), 'g')
   ELSE '' END"""
 
 EVIDENCE_CTE = f"""
@@ -201,7 +202,66 @@ _HASH_CTES = """
              UNION ALL SELECT id, sha256(t) AS file_hash FROM ext)
 """
 
+
+def _runs_sql(name: str, pattern: str) -> str:
+    """CTE of the runs of ``pattern`` in every file's text, with byte offsets from the pieces between them."""
+    return f"""
+, {name}_cut AS (SELECT id, regexp_extract_all(t, '{pattern}') AS found, string_split_regex(t, '{pattern}') AS gaps
+                 FROM files),
+{name}_each AS (SELECT id, unnest(range(len(found))) AS k, unnest(found) AS run, unnest(gaps[1:len(found)]) AS gap
+                FROM {name}_cut),
+{name} AS (SELECT id, k, run, CAST(sum(octet_length(encode(gap)) + strlen(run)) OVER (PARTITION BY id ORDER BY k)
+                                   - strlen(run) AS BIGINT) AS "offset" FROM {name}_each)"""
+
+
+_STRING_CTES = _runs_sql("plain", "[\\x20-\\x7E\\t]{4,}") + _runs_sql("wide", "([\\x20-\\x7E\\t]\\x00){4,}") + """,
+strings AS (SELECT id, "offset", 'ascii' AS encoding, run AS text FROM plain
+            UNION ALL SELECT id, "offset", 'utf-16le', replace(run, chr(0), '') FROM wide)
+"""
+
+_WORD_CTES = _STRING_CTES + """,
+numbered AS (SELECT id, text, row_number() OVER (PARTITION BY id ORDER BY encoding, "offset") - 1 AS s FROM strings),
+split AS (SELECT id, s, regexp_extract_all(lower(text), '[0-9a-z]+') AS ws FROM numbered),
+each_word AS (SELECT id, s, unnest(range(len(ws))) AS i, unnest(ws) AS w FROM split),
+words AS (SELECT id, w, s + row_number() OVER (PARTITION BY id ORDER BY s, i) - 1 AS p FROM each_word)
+"""
+
+# What the search queries ask for, as in the queries.
+_SEARCHES = ["the of and", "en on", "from was by", "der und", "les de la", "secret wide text", "the nosuchword"]
+_PHRASES = ["of the", "the of", "in the on", "de la", "a secret", "secret wide text", "the the", "nosuchword the"]
+_RANKED = ["the", "of and", "en in on", "der die und", "les de la", "secret wide text", "tion from", "is are be was",
+           "nosuchword", "the nosuchword k"]
+
+
+def _asked(texts: list[str]) -> str:
+    rows = [f"({n}, {i}, '{w}')" for n, text in enumerate(texts) for i, w in enumerate(text.split())]
+    return f", asked(query, i, w) AS (VALUES {', '.join(rows)})"
+
+
 ORACLE_SQL: dict[str, str] = {
+    "content_strings": with_evidence(_STRING_CTES + 'SELECT id, "offset", encoding, text FROM strings'),
+    "keyword_index": with_evidence(
+        _WORD_CTES + "SELECT w AS term, id, count(*) AS n, min(p) AS first_position, max(p) AS last_position, "
+        "CAST(sum(p) AS BIGINT) AS sum_positions FROM words GROUP BY w, id"),
+    "keyword_search": with_evidence(
+        _WORD_CTES + _asked(_SEARCHES) + ", need AS (SELECT query, count(DISTINCT w) AS n FROM asked GROUP BY query) "
+        "SELECT query, id FROM asked JOIN (SELECT DISTINCT id, w FROM words) USING (w) JOIN need USING (query) "
+        "GROUP BY query, id, need.n HAVING count(DISTINCT w) = need.n"),
+    "phrase_search": with_evidence(
+        _WORD_CTES + _asked(_PHRASES) + ", need AS (SELECT query, count(*) AS n FROM asked GROUP BY query), "
+        "hits AS (SELECT query, id, p - i AS start FROM asked JOIN words USING (w) JOIN need USING (query) "
+        "GROUP BY query, id, p - i, need.n HAVING count(DISTINCT i) = need.n) "
+        "SELECT query, id, count(*) AS n_hits FROM hits GROUP BY query, id"),
+    "ranked_search": with_evidence(
+        _WORD_CTES + _asked(_RANKED) + ", lens AS (SELECT files.id, count(w) AS len FROM files LEFT JOIN words USING (id) "
+        "GROUP BY files.id), total AS (SELECT count(*) AS n, avg(len) AS length FROM lens), "
+        "tf AS (SELECT id, w, count(*) AS tf FROM words GROUP BY id, w), df AS (SELECT w, count(*) AS df FROM tf GROUP BY w), "
+        "s AS (SELECT query, id, round(sum(ln(1 + (total.n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE "
+        "/ (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / total.length))), 6) AS score "
+        "FROM (SELECT DISTINCT query, w FROM asked) JOIN tf USING (w) JOIN df USING (w) JOIN lens USING (id), total "
+        "GROUP BY query, id), "
+        "ranked AS (SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank, id, score FROM s) "
+        "SELECT query, CAST(rank AS INTEGER) AS rank, id, score FROM ranked WHERE rank <= 10"),
     "file_metadata": with_evidence(
         f"SELECT id, file_path, file_type, {_FILE_SIZE} AS file_size, owner, \"group\", permissions, "
         "last_modified, last_changed, last_accessed, created FROM ev"),

@@ -9,12 +9,16 @@ are never returned; sizes and digests of the whole content stand in for them.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from casefile.functions.columns import content_size
 from casefile.functions.digest import digest
 from casefile.functions.mediatype import with_content_type
 from casefile.operators import annotate, duplicates, hashing, mediatypes, reports
+from casefile.search import contents, index, lookup
+from casefile.session import new_folder
 from casefile.sources import evidence as ev
 from casefile.sources import files, testdata
 
@@ -277,4 +281,56 @@ def q_whole_directory_duplicates_sha256(spark, sf_dir):
     return reports.duplicate_report(members, bits=ORACLE_BITS).select("file_hash", "line", "value")
 
 
+# --- strings and keyword search -----------------------------------------------------
+
+SEARCHES = ["the of and", "en on", "from was by", "der und", "les de la", "secret wide text", "the nosuchword"]
+PHRASES = ["of the", "the of", "in the on", "de la", "a secret", "secret wide text", "the the", "nosuchword the"]
+RANKED = ["the", "of and", "en in on", "der die und", "les de la", "secret wide text", "tion from", "is are be was",
+          "nosuchword", "the nosuchword k"]
+
+
+def _index(spark: SparkSession, sf_dir: str) -> index.Index:
+    """The keyword index over all files, written anew."""
+    terms = contents.from_sources(_evidence(spark, sf_dir), testdata.external_store(spark, sf_dir),
+                                  lambda rows, source: index.file_terms(rows, source=source, sources=2))
+    return index.write_index(terms, new_folder(spark, "keyword-index"))
+
+
+def _each(texts: list[str], search) -> DataFrame:
+    """The results of several searches, with the number of each."""
+    found = [search(text).withColumn("query", F.lit(n)) for n, text in enumerate(texts)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def q_content_strings(spark, sf_dir):
+    """Strings (ASCII and UTF-16LE) of every inline and external file, with byte offsets."""
+    return contents.content_strings(_evidence(spark, sf_dir), testdata.external_store(spark, sf_dir))
+
+
+def q_keyword_index(spark, sf_dir):
+    """The stored posting blocks, decoded: each term's files, counts and positions."""
+    made = _index(spark, sf_dir)
+    rows = index.decode(made.blocks()).join(made.documents(), "doc_no")
+    return rows.select("term", "id", F.col("count").alias("n"), F.array_min("positions").alias("first_position"),
+                       F.array_max("positions").alias("last_position"),
+                       F.aggregate("positions", F.lit(0).cast("long"), lambda a, p: a + p).alias("sum_positions"))
+
+
+def q_keyword_search(spark, sf_dir):
+    """Files that hold all words, for each search."""
+    made = _index(spark, sf_dir)
+    return _each(SEARCHES, lambda text: lookup.search_all(made, text))
+
+
+def q_phrase_search(spark, sf_dir):
+    """Files that hold a phrase within one string, for each search."""
+    made = _index(spark, sf_dir)
+    return _each(PHRASES, lambda text: lookup.search_phrase(made, text))
+
+
+def q_ranked_search(spark, sf_dir):
+    """The ten best files of each of ten searches, by BM25."""
+    return lookup.search_ranked(_index(spark, sf_dir), RANKED, 10)
+
+
 QUERIES = {name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_")}

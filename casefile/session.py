@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -93,6 +94,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
+def new_folder(spark: SparkSession, label: str) -> str:
+    """The path of a fresh folder below the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/casefile/{label}-{uuid.uuid4().hex}"
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -31,6 +31,7 @@ PREFIXES = [
     "SQLite format 3\x00", "OggS", "fLaC", "ID3", "RIFF0000WEBP", "RIFF0000WAVE", "RIFF0000AVI ", "0000ftypqt  ",
     "0000ftypheic", "0000ftypM4A ", "0000ftypisom", "II*\x00", "BM0000" + 4 * "\x00", '<?xml version="1.0"?>',
     " \n<SVG ", "\ufeff<html>", "\ufeff", 600 * "x" + "\x00", 257 * "y" + "ustar",
+    "".join(c + "\x00" for c in "Secret wide text "),
 ]
 PREFIX_EVERY = 40
 
