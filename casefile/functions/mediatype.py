@@ -190,6 +190,13 @@ def ancestors(media_type: str) -> list[str]:
     return chain
 
 
+def known_types() -> list[str]:
+    """Every type that a rule, an extension or the hierarchy names."""
+    named = {t for t, _ in SIGNATURES} | {t for t, _ in TEXT_MAGIC_RULES} | set(EXTENSION_TYPES.values())
+    named |= {t for *_, brands, other in CONTAINERS for t in (*brands.values(), other) if t}
+    return sorted(named | set(PARENT_TYPES) | set(PARENT_TYPES.values()) | {TEXT_PLAIN, OCTET_STREAM})
+
+
 def _ancestor_text(media_type: str) -> str:
     return "|" + "|".join(ancestors(media_type)) + "|"
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from casefile.functions.columns import parse_file_size
 from casefile.functions.digest import DEFAULT_BITS, report_label
 from casefile.operators import duplicates
 
@@ -78,6 +79,37 @@ def inventory_report(inventory: DataFrame) -> DataFrame:
     return inventory.select(F.concat(*lines).alias("value"))
 
 
+#: What the attribute report shows of an evidence row; the evidence has no block size, replication or checksum.
+EVIDENCE_FIELDS = [
+    ("Owner =", "owner"),
+    ("Group =", "group"),
+    ("Permissions =", "permissions"),
+    ("File Length =", "file_size"),
+    ("Access Time =", "last_accessed"),
+    ("Modification Time =", "last_modified"),
+    ("Change Time =", "last_changed"),
+    ("Creation Time =", "created"),
+]
+
+
+def evidence_report(evidence: DataFrame) -> DataFrame:
+    """``(id, file_path, line, value)``: the attribute report's lines of every evidence row, from its own columns.
+
+    Line 0 is the path, a blank line ends a file; a missing attribute reads ``null``, a missing size 0.
+    ``write_evidence_report`` orders them.
+    """
+    rows = evidence.withColumn("file_size", parse_file_size("file_size"))
+    lines = [F.concat(F.lit("File Path ="), _text("file_path"))]
+    lines += [F.concat(F.lit(title), _text(column)) for title, column in EVIDENCE_FIELDS] + [F.lit("")]
+    return rows.select("id", "file_path", F.posexplode(F.array(*lines)).alias("line", "value"))
+
+
+def write_evidence_report(lines: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Write the lines by path, then id: part files in order, however many files there are."""
+    order = ["file_path", "id", "line"]
+    lines.repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.mode(mode).text(path)
+
+
 def write_text_report(lines: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Write report records as text part files under ``path``."""
     lines.select("value").write.mode(mode).text(path)

@@ -238,7 +238,43 @@ def _asked(texts: list[str]) -> str:
     return f", asked(query, i, w) AS (VALUES {', '.join(rows)})"
 
 
+# What each media-type search means, of the types that the tables' content can have.
+_TYPE_SEARCHES = {
+    "text/*": "starts_with(media_type, 'text/') OR media_type IN ('application/json', 'application/javascript', "
+              "'application/xml', 'image/svg+xml', 'application/xhtml+xml', 'application/rss+xml', "
+              "'application/postscript', 'application/x-sh')",
+    "application/xml": "media_type IN ('application/xml', 'image/svg+xml', 'application/xhtml+xml', 'application/rss+xml')",
+    "archive": "media_type IN ('application/zip', 'application/x-bzip2', 'application/x-rar-compressed', "
+               "'application/x-tar')",
+    "image/*": "starts_with(media_type, 'image/')",
+    "application/ogg": "media_type = 'application/ogg'",
+    "program": "media_type IN ('application/x-executable', 'application/x-msdownload')",
+    "text/html": "media_type = 'text/html'",
+}
+
+_PAGES = _DUP_CTES + """, placed AS (SELECT t, n, first_file, sha256(t) AS file_hash,
+  row_number() OVER (ORDER BY n DESC, sha256(t)) - 1 AS place FROM g),
+paged AS (SELECT *, place // 20 AS page FROM placed)
+"""
+
+_REPORT_LINES = ["'File Path =' || coalesce(file_path, 'null')", "'Owner =' || coalesce(owner, 'null')",
+                 "'Group =' || coalesce(\"group\", 'null')", "'Permissions =' || coalesce(permissions, 'null')",
+                 f"'File Length =' || CAST({_FILE_SIZE} AS VARCHAR)",
+                 "'Access Time =' || coalesce(last_accessed, 'null')",
+                 "'Modification Time =' || coalesce(last_modified, 'null')",
+                 "'Change Time =' || coalesce(last_changed, 'null')", "'Creation Time =' || coalesce(created, 'null')", "''"]
+
 ORACLE_SQL: dict[str, str] = {
+    "media_type_search": with_evidence(_TYPE_CTES + " UNION ALL ".join(
+        f"SELECT '{name}' AS query, id, media_type FROM types WHERE {condition}"
+        for name, condition in _TYPE_SEARCHES.items())),
+    "duplicate_pages": with_evidence(_PAGES + "SELECT page, place, n, file_hash, first_file FROM paged"),
+    "duplicate_page": with_evidence(
+        _PAGES + "SELECT page, place, paged.n, file_hash, paged.first_file, label FROM paged JOIN m ON m.t = paged.t "
+        "WHERE page = 3"),
+    "upserted_media_types": with_evidence(_TYPE_CTES + "SELECT id, media_type FROM types"),
+    "attribute_report": with_evidence(" UNION ALL ".join(
+        f"SELECT id, {n} AS line, {value} AS value FROM ev" for n, value in enumerate(_REPORT_LINES))),
     "content_strings": with_evidence(_STRING_CTES + 'SELECT id, "offset", encoding, text FROM strings'),
     "keyword_index": with_evidence(
         _WORD_CTES + "SELECT w AS term, id, count(*) AS n, min(p) AS first_position, max(p) AS last_position, "

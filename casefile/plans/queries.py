@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from casefile.functions.columns import content_size
 from casefile.functions.digest import digest
 from casefile.functions.mediatype import with_content_type
-from casefile.operators import annotate, duplicates, hashing, mediatypes, reports
-from casefile.search import contents, index, lookup
+from casefile.operators import annotate, browse, duplicates, hashing, mediatypes, reports, upsert
+from casefile.search import contents, index, lookup, types
 from casefile.session import new_folder
 from casefile.sources import evidence as ev
 from casefile.sources import files, testdata
@@ -333,4 +333,57 @@ def q_ranked_search(spark, sf_dir):
     return lookup.search_ranked(_index(spark, sf_dir), RANKED, 10)
 
 
+# --- media-type search, duplicate pages, repeated upsert -------------------------------
+
+TYPE_SEARCHES = ["text/*", "application/xml", "archive", "image/*", "application/ogg", "program", "text/html",
+                 "application/x-nosuch"]
+PAGE_SIZE = 20
+PAGE = 3
+
+
+def q_media_type_search(spark, sf_dir):
+    """Files by media type, specialisations included, from a table clustered by type."""
+    evidence = _evidence(spark, sf_dir)
+    found = mediatypes.file_media_types(evidence, _summaries(spark, sf_dir))
+    path = new_folder(spark, "typed-files")
+    types.write_typed(found.select("id", "media_type"), path)
+    return types.search_types(types.read_typed(spark, path, "id string, media_type string, type_no int"), TYPE_SEARCHES)
+
+
+def _groups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    members = duplicates.materialize(_members(spark, sf_dir, ORACLE_BITS))
+    return members, duplicates.materialize(duplicates.duplicate_groups(members), "groups")
+
+
+def q_duplicate_pages(spark, sf_dir):
+    """All pages of duplicate groups, largest groups first."""
+    return browse.numbered_groups(_groups(spark, sf_dir)[1], PAGE_SIZE).select(
+        "page", "place", "n", "file_hash", "first_file")
+
+
+def q_duplicate_page(spark, sf_dir):
+    """One page of duplicate groups, with their files."""
+    members, groups = _groups(spark, sf_dir)
+    page = browse.page_of_groups(groups, PAGE, PAGE_SIZE)
+    return browse.page_members(members.select("file_hash", "label"), page).select(
+        "page", "place", "n", "file_hash", "first_file", "label")
+
+
+def q_upserted_media_types(spark, sf_dir):
+    """W2, three batches one after the other: types by content, types of inline files by name, external files."""
+    evidence, summaries = _evidence(spark, sf_dir), _summaries(spark, sf_dir)
+    path = new_folder(spark, "media-types")
+    upsert.create(spark, path, "media_type")
+    by_content = with_content_type(ev.inline_content(evidence), "file_content", "media_type")
+    upsert.upsert(by_content.select("id", "media_type"), path, "media_type", buckets=16)
+    upsert.upsert(mediatypes.inline_media_types(evidence), path, "media_type", buckets=16)
+    upsert.upsert(mediatypes.external_media_types(evidence, summaries), path, "media_type", buckets=16)
+    return upsert.read(spark, path, "media_type")
+
+
+def q_attribute_report(spark, sf_dir):
+    """The attribute report of every evidence row, as numbered lines."""
+    return reports.evidence_report(_evidence(spark, sf_dir)).select("id", "line", "value")
+
+
 QUERIES = {name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_")}
