@@ -5,25 +5,32 @@ Python):
 
 1. *Magic*: ordered signature rules at fixed offsets in the first
    ``HEAD_BYTES`` bytes; a rule is a list of ``(offset, bytes)`` conditions
-   that must all hold, or a case-insensitive text pattern anchored at the
-   start (after an optional UTF-8 byte-order mark and whitespace) for markup.
-2. *Text fallback*: no magic hit -> ``text/plain`` if the whole content holds
-   no control byte (0x00-0x08, 0x0B, 0x0E-0x1A, 0x1C-0x1F), else
-   ``application/octet-stream``.  Empty content -> octet-stream.  The content
-   is only searched where no rule of step 1 holds.
+   that must all hold.  Markup is told by its root element's name and namespace;
+   a byte-order mark, blanks, comments, instructions and a doctype before it may
+   have any length.
+2. *Text fallback*: no magic hit -> ``text/plain`` if the whole content is text,
+   else ``application/octet-stream``.  Text is UTF-8 without control bytes
+   (0x00-0x08, 0x0B, 0x0E-0x1A, 0x1C-0x1F); other bytes without control bytes
+   that are mostly ASCII; UTF-16 or UTF-32 that is valid throughout and either
+   has its mark or is at least half ASCII.  A UTF-8 mark makes text.  Empty
+   content -> octet-stream.  The content is only searched where no rule of step 1 holds.
 3. *Name refinement*: the extension of the last path segment names a
    candidate type; it replaces the content verdict only when it is the same
    type or a declared specialisation of it (``.docx`` refines a zip,
    ``.json`` refines plain text).  A contradicting name keeps the content
    verdict; anything specialises ``application/octet-stream``.
 
+``functions.contentscan`` has the same rules for contents that come in chunks.
 The signatures come from the public format specifications of each format.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from casefile.functions import contentscan
 from casefile.functions.columns import extension
 
 HEAD_BYTES = 512
@@ -62,8 +69,6 @@ SIGNATURES: list[tuple[str, str]] = [
     ("audio/mpeg", "494433"),
     ("video/mpeg", "000001BA"),
     ("video/mpeg", "000001B3"),
-    ("text/plain", "FEFF"),
-    ("text/plain", "FFFE"),
 ]
 
 # Containers, tested after SIGNATURES: a signature at an offset, and the brand in four bytes
@@ -76,28 +81,13 @@ CONTAINERS: list[tuple[int, str, int, dict[str, str], str | None]] = [
     (257, "7573746172", 0, {}, "application/x-tar"),
 ]
 
-# Fixed value: a UTF-8 byte-order mark makes text, unless a tag follows it.
-BYTE_ORDER_MARK = "EFBBBF"
-
-# Markup recognised by a leading tag (case-insensitive, after
-# optional whitespace), checked after the byte signatures.
-TEXT_MAGIC_RULES: list[tuple[str, str]] = [
-    ("text/html", "<!doctype html"),
-    ("text/html", "<html"),
-    ("text/html", "<head"),
-    ("text/html", "<body"),
-    ("text/html", "<title"),
-    ("text/html", "<script"),
-    ("image/svg+xml", "<svg"),
-    ("application/xml", "<?xml"),
-]
-
 # File-name extension -> media type.
 EXTENSION_TYPES: dict[str, str] = {
     "txt": "text/plain", "text": "text/plain", "log": "text/x-log", "csv": "text/csv",
     "tsv": "text/tab-separated-values", "md": "text/x-web-markdown", "css": "text/css",
     "htm": "text/html", "html": "text/html", "xhtml": "application/xhtml+xml",
     "xml": "application/xml", "svg": "image/svg+xml", "rss": "application/rss+xml",
+    "atom": "application/atom+xml",
     "json": "application/json", "js": "application/javascript", "sh": "application/x-sh",
     "py": "text/x-python", "java": "text/x-java-source", "c": "text/x-csrc", "h": "text/x-chdr",
     "sql": "text/x-sql", "ini": "text/x-ini", "yaml": "text/x-yaml", "yml": "text/x-yaml",
@@ -139,7 +129,8 @@ PARENT_TYPES: dict[str, str] = {
     "application/javascript": "text/plain", "application/json": "application/javascript",
     "application/x-sh": "text/plain", "application/xml": "text/plain",
     "image/svg+xml": "application/xml", "application/xhtml+xml": "application/xml",
-    "application/rss+xml": "application/xml", "application/postscript": "text/plain",
+    "application/rss+xml": "application/xml", "application/atom+xml": "application/xml",
+    "application/postscript": "text/plain",
     "application/x-tika-ooxml": "application/zip",
     "application/vnd.openxmlformats-officedocument.wordprocessingml.document": "application/x-tika-ooxml",
     "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet": "application/x-tika-ooxml",
@@ -165,18 +156,13 @@ def _check_prefix_free() -> None:
         for j, y in enumerate(sigs):
             if i != j and y.startswith(x):
                 raise ValueError(f"signature {x} is a prefix of {y}")
-    tags = [t for _, t in TEXT_MAGIC_RULES]
-    for i, x in enumerate(tags):
-        for j, y in enumerate(tags):
-            if i != j and y.startswith(x):
-                raise ValueError(f"tag {x} is a prefix of {y}")
 
 
 _check_prefix_free()
 
 # Bytes counted as "control" by the text fallback.
 CONTROL_BYTES = [(0x00, 0x08), (0x0B, 0x0B), (0x0E, 0x1A), (0x1C, 0x1F)]
-WHITESPACE = "\t\n\r\f "
+BLANKS = r"\t\n\r\f "
 
 
 def ancestors(media_type: str) -> list[str]:
@@ -192,7 +178,7 @@ def ancestors(media_type: str) -> list[str]:
 
 def known_types() -> list[str]:
     """Every type that a rule, an extension or the hierarchy names."""
-    named = {t for t, _ in SIGNATURES} | {t for t, _ in TEXT_MAGIC_RULES} | set(EXTENSION_TYPES.values())
+    named = {t for t, _ in SIGNATURES} | {t for t in MARKUP_TYPES} | set(EXTENSION_TYPES.values())
     named |= {t for *_, brands, other in CONTAINERS for t in (*brands.values(), other) if t}
     return sorted(named | set(PARENT_TYPES) | set(PARENT_TYPES.values()) | {TEXT_PLAIN, OCTET_STREAM})
 
@@ -201,30 +187,6 @@ def _ancestor_text(media_type: str) -> str:
     return "|" + "|".join(ancestors(media_type)) + "|"
 
 
-def _java_regex_literal(text: str) -> str:
-    out = []
-    for ch in text:
-        out.append("\\" + ch if not ch.isalnum() and ch not in " -" else ch)
-    return "".join(out)
-
-
-def _control_class() -> str:
-    return "[" + "".join(f"\\x{lo:02X}-\\x{hi:02X}" if lo != hi else f"\\x{lo:02X}"
-                         for lo, hi in CONTROL_BYTES) + "]"
-
-
-def _ws_class() -> str:
-    return "[" + "".join({"\t": "\\t", "\n": "\\n", "\r": "\\r", "\f": "\\f", " ": " "}[c]
-                         for c in WHITESPACE) + "]"
-
-
-def _tag_pattern() -> str:
-    """One anchored, case-insensitive alternation over all markup tags."""
-    alts = "|".join(_java_regex_literal(tag[1:]) for _, tag in TEXT_MAGIC_RULES)
-    mark = "".join(f"\\x{b:02X}" for b in bytes.fromhex(BYTE_ORDER_MARK))
-    return f"(?i)^(?:{mark})?{_ws_class()}*<({alts})"
-
-
 def _bytes_at(head: Column, offset: int, hex_bytes: str) -> Column:
     raw = bytes.fromhex(hex_bytes)
     if offset == 0:
@@ -285,35 +247,116 @@ def _container_type(head: Column) -> Column:
     return F.coalesce(*verdicts)
 
 
-def _tag_type(head_text: Column) -> Column:
-    table = _literal("tags", lambda: F.create_map(
-        *[F.lit(x) for t, tag in sorted(TEXT_MAGIC_RULES, key=lambda r: r[1]) for x in (tag[1:], t)]))
-    return F.element_at(table, F.lower(F.regexp_extract(head_text, _tag_pattern(), 1)))
-
-
-def holds_control(content: Column) -> Column:
-    """Whether any byte of the whole content is a control byte."""
-    return F.decode(content, "ISO-8859-1").rlike(_control_class())
-
-
-def type_of_head(head: Column, head_text: Column, is_binary: Column, head_hex: Column | None = None) -> Column:
-    """Content verdict (steps 1, 2) from the projected head, its ISO-8859-1 text,
-    whether the whole content holds a control byte (evaluated only where no
-    rule holds) and (optionally) the head's upper-case hex."""
+# Patterns over content as ISO-8859-1 text.  ``SKIPPED`` is one item before a root element; ``\G`` takes
+# item after item from the beginning, however many there are.
+MARK = r"\A\xEF\xBB\xBF"
+MAY_BE_MARKUP = rf"\A(?:\xEF\xBB\xBF)?[{BLANKS}]*+(?:<|\z)"
+DECLARATION = rf"(?i)\A(?:\xEF\xBB\xBF)?[{BLANKS}]*+<\?xml(?![\w.:-])"
+SKIPPED = (rf"(?is)\G(?:{MARK}|[{BLANKS}]++|<!--.*?-->|<\?.*?\?>|<!doctype[^>\[]*+(?:>|\[.*?\].*?>))")
+COMMENTS = r"(?s)<!--.*?-->|<\?.*?\?>"
+PAGE = rf"(?i)<!doctype[{BLANKS}]+html(?![\w.:-])"
+ROOT = r"(?s)\A<(?:[A-Za-z_][\w.-]*+:)?+([A-Za-z_][\w.-]*+)([^>]*+)"
+MARKUP_TYPES = ("image/svg+xml", "application/xhtml+xml", "application/rss+xml", "application/atom+xml",
+                "application/xml", "text/html")
+
+
+def iso_text(content: Column) -> Column:
+    return F.decode(content, "ISO-8859-1")
+
+
+def markup_text(content: Column, head_text: Column) -> Column:
+    """The whole content as text where its head may begin markup, else NULL."""
+    return F.when(head_text.rlike(MAY_BE_MARKUP), iso_text(content))
+
+
+def markup_type(text: Column, rest: Column) -> Column:
+    """The markup type of a content's ``text``, of which ``rest`` is left after the items before the root; or NULL."""
+    before = F.regexp_replace(F.substr(text, F.lit(1), F.length(text) - F.length(rest)), COMMENTS, "")
+    tag = F.substring(rest, 1, contentscan.TAG_BYTES)
+    root, attributes = F.lower(F.regexp_extract(tag, ROOT, 1)), F.regexp_extract(tag, ROOT, 2)
+    declared = text.rlike(DECLARATION)
+    page = before.rlike(PAGE) | rest.rlike(r"\A" + PAGE)
+    return (F.when((root == "svg") & (F.contains(attributes, F.lit(contentscan.SVG)) | ~declared), "image/svg+xml")
+            .when((root == "html") & F.contains(attributes, F.lit(contentscan.XHTML)), "application/xhtml+xml")
+            .when(root == "rss", "application/rss+xml")
+            .when((root == "feed") & F.contains(attributes, F.lit(contentscan.ATOM)), "application/atom+xml")
+            .when(declared, "application/xml")
+            .when(page | root.isin(*contentscan.PAGE_ROOTS), "text/html")
+            .when((root != "") & F.contains(attributes, F.lit("xmlns")), "application/xml"))
+
+
+def _without_items(text: Column) -> Column:
+    return F.regexp_replace(text, SKIPPED, "")
+
+
+# What a unit of text may be, as ISO-8859-1 patterns: an ASCII character that is no control byte, any
+# byte, and the second byte of any other character but a surrogate.
+_ASCII = r"[\x09\x0A\x0C\x0D\x1B\x20-\x7F]"
+_ANY, _HIGH = r"[\x00-\xFF]", r"[\x01-\xD7\xE0-\xFF]"
+
+
+def _unit_patterns(width: int, big: bool) -> tuple[str, str]:
+    """Patterns of an ASCII unit, and of any other valid unit (or pair), in one byte order."""
+    def unit(*high_to_low: str) -> str:
+        zeros = [r"\x00"] * (width - len(high_to_low))
+        order = [*zeros, *high_to_low]
+        return "".join(order if big else reversed(order))
+
+    others = [unit(r"[\x80-\xFF]"), unit(_HIGH, _ANY)]
+    if width == 2:
+        others.append(unit(r"[\xD8-\xDB]", _ANY) + unit(r"[\xDC-\xDF]", _ANY))
+    else:
+        others.append(unit(r"[\x01-\x10]", _ANY, _ANY))
+    return unit(f"({_ASCII})"), "|".join(others)
+
+
+def _valid_units(text: Column, width: int, big: bool, marked: bool) -> Column:
+    """Whether all of ``text`` is valid UTF-16 or UTF-32 without control characters; unmarked, half of it ASCII."""
+    ascii_unit, other = _unit_patterns(width, big)
+    # each step of ``\G`` takes one unit, up to the first that is not valid
+    each = rf"(?s)\G(?:{ascii_unit}|{other})"
+    valid = F.regexp_replace(text, each, "") == ""
+    if marked:
+        return valid
+    n_ascii = F.length(F.regexp_replace(text, each, "$1"))  # of a valid text, the ASCII characters are left
+    return valid & (F.length(text) > 0) & (2 * width * n_ascii >= F.length(text))
+
+
+def _holds_control(content: Column) -> Column:
+    found = [F.contains(content, F.lit(bytes([b]))) for low, high in CONTROL_BYTES for b in range(low, high + 1)]
+    return reduce(Column.__or__, found)
+
+
+def is_text(content: Column, text: Column | None = None) -> Column:
+    """Whether the whole content is text (step 2); costly tests run only where cheap ones leave it open."""
+    text = iso_text(content) if text is None else text
+    verdict = F.when(F.octet_length(content) == 0, False).when(content.startswith(F.lit(b"\xef\xbb\xbf")), True)
+    wide = F.lit(False)
+    for mark, name in contentscan.MARKS:
+        wide = wide | (content.startswith(F.lit(mark)) & _valid_units(text, int(name[1]), name[0] == ">", True))
+    for _, name in contentscan.MARKS:
+        wide = wide | ((F.octet_length(content) % int(name[1]) == 0) & _valid_units(text, int(name[1]), name[0] == ">", False))
+    mostly = 100 * F.length(F.regexp_replace(text, r"[\x80-\xFF]+", "")) >= contentscan.ASCII_PERCENT * F.length(text)
+    marked = content.startswith(F.lit(b"\xff\xfe")) | content.startswith(F.lit(b"\xfe\xff"))
+    return (verdict.when(_holds_control(content), wide)
+            .when(F.is_valid_utf8(content.cast("string")), True)
+            .when(marked, mostly | wide).otherwise(mostly))
+
+
+def type_of_head(head: Column, markup: Column, text_like: Column, head_hex: Column | None = None) -> Column:
+    """Content verdict (steps 1, 2) from the projected head, the markup type, whether the whole content is text
+    (evaluated only where no rule holds) and (optionally) the head's upper-case hex."""
     if head_hex is None:
         head_hex = F.hex(F.substring(head, 1, SIGNATURE_HEX_CHARS // 2))
-    mark = F.when(_bytes_at(head, 0, BYTE_ORDER_MARK), F.lit(TEXT_PLAIN))
-    fallback = (F.when(F.octet_length(head) == 0, F.lit(OCTET_STREAM))
-                .when(is_binary, F.lit(OCTET_STREAM))
-                .otherwise(F.lit(TEXT_PLAIN)))
-    return F.when(head.isNotNull(), F.coalesce(
-        _signature_type(head_hex), _container_type(head), _tag_type(head_text), mark, fallback))
+    fallback = F.when(text_like, F.lit(TEXT_PLAIN)).otherwise(F.lit(OCTET_STREAM))
+    return F.when(head.isNotNull(), F.coalesce(_signature_type(head_hex), _container_type(head), markup, fallback))
 
 
 def magic_type(content: Column) -> Column:
     """Content-only verdict as one expression (see ``with_content_type``)."""
     head = head_of(content)
-    return type_of_head(head, F.decode(head, "ISO-8859-1"), holds_control(content))
+    text = markup_text(content, iso_text(head))
+    return type_of_head(head, markup_type(text, _without_items(text)), is_text(content))
 
 
 def name_type(path: Column) -> Column:
@@ -361,24 +404,25 @@ def _columns_except(df: DataFrame, name: str) -> list[Column]:
 def with_content_type(df: DataFrame, content: str, out: str = "content_type") -> DataFrame:
     """Add the content-only verdict of binary column ``content`` as ``out``.
 
-    The head and its text are projected first; the rule CASE then reads
+    The head, and the text of what may be markup, are projected first; the rule CASE then reads
     those columns once each instead of re-slicing the content per rule.
     """
-    whole = _TMP + "whole"
+    whole, head, text, rest = (_TMP + n for n in ("whole", "head", "text", "rest"))
     keep = _columns_except(df, out)
-    staged = df.select(*keep, F.col(content).alias(whole))
-    return with_head_type(staged.withColumn(_TMP + "head", head_of(F.col(whole))), _TMP + "head",
-                          holds_control(F.col(whole)), out).drop(whole, _TMP + "head")
+    staged = df.select(*keep, F.col(content).alias(whole), head_of(F.col(content)).alias(head))
+    staged = staged.withColumn(text, markup_text(F.col(whole), iso_text(F.col(head))))
+    staged = staged.withColumn(rest, _without_items(F.col(text)))
+    return with_head_type(staged, head, markup_type(F.col(text), F.col(rest)), is_text(F.col(whole)), out) \
+        .drop(whole, head, text, rest)
 
 
-def with_head_type(df: DataFrame, head: str, is_binary: Column, out: str = "content_type") -> DataFrame:
-    """Add ``out``: the verdict from a column with the first ``HEAD_BYTES`` bytes, and from whether the
-    whole content holds a control byte."""
-    text, hexed = _TMP + "text", _TMP + "hex"
+def with_head_type(df: DataFrame, head: str, markup: Column, text_like: Column, out: str = "content_type") -> DataFrame:
+    """Add ``out``: the verdict from a column with the first ``HEAD_BYTES`` bytes, from the markup type, and from
+    whether the whole content is text."""
+    hexed = _TMP + "hex"
     keep = _columns_except(df, out)
-    staged = df.select(*keep, F.decode(F.col(head), "ISO-8859-1").alias(text),
-                       F.hex(F.substring(F.col(head), 1, SIGNATURE_HEX_CHARS // 2)).alias(hexed))
-    return staged.select(*keep, type_of_head(F.col(head), F.col(text), is_binary, F.col(hexed)).alias(out))
+    staged = df.select(*keep, F.hex(F.substring(F.col(head), 1, SIGNATURE_HEX_CHARS // 2)).alias(hexed))
+    return staged.select(*keep, type_of_head(F.col(head), markup, text_like, F.col(hexed)).alias(out))
 
 
 def with_media_type(df: DataFrame, content_type: str, path: Column | str,

@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from casefile.functions.columns import base_name, nonempty
 from casefile.functions.digest import DEFAULT_BITS, check_bits, digest, empty_digest
-from casefile.functions.mediatype import (CONTROL_BYTES, HEAD_BYTES, OCTET_STREAM, with_content_type,
-                                          with_head_type)
+from casefile.functions.contentscan import PrologScanner, TextScanner
+from casefile.functions.mediatype import HEAD_BYTES, OCTET_STREAM, with_content_type, with_head_type
 from casefile.sources.files import binary_files, max_binary_length, split_by_length
 from casefile.sources.inventory import zero_length_files
 
@@ -28,7 +28,8 @@ _READ_SCHEMA = T.StructType([
     T.StructField("length", T.LongType()),
     T.StructField("file_hash", T.StringType()),
     T.StructField("head", T.BinaryType()),
-    T.StructField("is_binary", T.BooleanType()),
+    T.StructField("markup", T.StringType()),
+    T.StructField("is_text", T.BooleanType()),
 ])
 
 CHUNK_BYTES = 1 << 20
@@ -72,36 +73,29 @@ def open_path(path: str):
 
 
 def _chunked_reader(bits: int | None, head_bytes: int, chunk_bytes: int):
-    """Digest (unless ``bits`` is None), head, and whether any byte is a control byte.
-
-    Without a digest, reading stops at the first control byte after the head.
-    """
-    control = bytes(b for low, high in CONTROL_BYTES for b in range(low, high + 1))
-
+    """Digest (unless ``bits`` is None), head, markup type, and whether the content is text."""
     def run(batches):
         import hashlib
 
         import pandas as pd
 
         for pdf in batches:
-            hashes, heads, binary = [], [], []
+            rows = []
             for path in pdf["path"]:
                 h = hashlib.new(f"sha{bits}") if bits else None
-                head, found = b"", False
+                head, text, prolog = b"", TextScanner(), PrologScanner()
                 with open_path(path) as fh:
                     while chunk := fh.read(chunk_bytes):
                         if len(head) < head_bytes:
                             head += chunk[: head_bytes - len(head)]
-                        found = found or len(chunk.translate(None, control)) < len(chunk)
+                        text.feed(chunk)
+                        prolog.feed(chunk)
                         if h:
                             h.update(chunk)
-                        elif found and len(head) == head_bytes:
-                            break
-                hashes.append(h.hexdigest() if h else None)
-                heads.append(head)
-                binary.append(found)
-            yield pd.DataFrame({"path": pdf["path"], "length": pdf["length"].astype("int64"),
-                                "file_hash": hashes, "head": heads, "is_binary": binary})
+                rows.append((h.hexdigest() if h else None, head, prolog.verdict(), text.is_text()))
+            found = pd.DataFrame(rows, columns=["file_hash", "head", "markup", "is_text"])
+            yield pd.DataFrame({"path": pdf["path"].to_numpy(), "length": pdf["length"].astype("int64").to_numpy(),
+                                **{c: found[c] for c in found}})
     return run
 
 
@@ -113,7 +107,7 @@ def summarize_paths(listing: DataFrame, bits: int | None = DEFAULT_BITS,
         check_bits(bits)
     read = listing.select("path", F.col("length").cast("bigint").alias("length")).mapInPandas(
         _chunked_reader(bits, HEAD_BYTES, chunk_bytes), _READ_SCHEMA)
-    return with_head_type(read, "head", F.col("is_binary")).drop("head", "is_binary")
+    return with_head_type(read, "head", F.col("markup"), F.col("is_text")).drop("head", "markup", "is_text")
 
 
 def _inventory_paths(spark: SparkSession, directory: str) -> DataFrame:

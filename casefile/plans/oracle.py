@@ -33,7 +33,10 @@ _PREFIX_SQL = """CASE (conv_id + turn) % 40
   WHEN 19 THEN '0000ftypisom' WHEN 20 THEN 'II*' || chr(0) WHEN 21 THEN 'BM0000' || repeat(chr(0), 4)
   WHEN 22 THEN '<?xml version="1.0"?>' WHEN 23 THEN ' ' || chr(10) || '<SVG ' WHEN 24 THEN chr(65279) || '<html>'
   WHEN 25 THEN chr(65279) WHEN 26 THEN repeat('x', 600) || chr(0) WHEN 27 THEN repeat('y', 257) || 'ustar'
-  WHEN 28 THEN regexp_replace('Secret wide text ', '(.)', chr(92) || '1' || chr(0), 'g')
+  WHEN 28 THEN regexp_replace('Secret wide text ', '(.)', chr(92) || '1' || chr(0), 'g') || chr(0) || chr(0)
+  WHEN 29 THEN repeat(' ', 600) || '<html>' WHEN 30 THEN '<!-- ' || repeat('c', 2000) || ' -->' || chr(10) || '<svg '
+  WHEN 31 THEN '<?xml version="1.0"?><!-- a --><rss version="2.0">'
+  WHEN 32 THEN '<html xmlns="http://www.w3.org/1999/xhtml">' WHEN 33 THEN '<feed xmlns="http://www.w3.org/2005/Atom">'
   ELSE '' END"""
 
 EVIDENCE_CTE = f"""
@@ -58,7 +61,9 @@ WITH f AS (
   UNION ALL
   SELECT 'chat-' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR),
          'chat/' || CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) || '.txt',
-         'DATA_FILE', role, 'chat', ({_PREFIX_SQL}) || text
+         'DATA_FILE', role, 'chat',
+         CASE WHEN (conv_id + turn) % 40 = 34 AND regexp_matches(text, '^[\\x00-\\x7F]*$')
+              THEN regexp_replace(text, '(.)', chr(92) || '1' || chr(0), 'gs') ELSE ({_PREFIX_SQL}) || text END
   FROM conversations
   UNION ALL
   SELECT 'dir-' || CAST(r_regionkey AS VARCHAR), r_name, 'DIRECTORY', 'root', 'root', CAST(NULL AS VARCHAR)
@@ -102,8 +107,15 @@ def with_evidence(body: str) -> str:
 
 
 def content_type_sql(t: str) -> str:
-    """Content verdict of a text; markup may follow a byte-order mark and white space."""
-    bare = f"ltrim(ltrim({t}, chr(65279)), ' ' || chr(9) || chr(10) || chr(12) || chr(13))"
+    """Content verdict of a text.  Markup is told by its root element, after a byte-order mark, white space, comments,
+    instructions and a doctype; RE2's ``^`` and ``$`` are the text's ends."""
+    blank = r"[\t\n\r\f ]"
+    item = rf"(?:{blank}+|<!--.*?-->|<\?.*?\?>)"
+    bare = f"ltrim({t}, chr(65279))"
+    rest = f"regexp_replace({bare}, '^(?:{item}|<!doctype[^>]*>)*', '', 'is')"
+    root = f"lower(regexp_extract({rest}, '^<([A-Za-z_][A-Za-z_0-9.-]*)', 1))"
+    tag = f"regexp_extract({rest}, '^<[^>]*', 0)"
+    declared = f"regexp_matches({bare}, '^{blank}*<\\?xml[ ?]')"
     return f"""CASE WHEN {t} IS NULL THEN NULL
       WHEN starts_with({t}, '%PDF-') THEN 'application/pdf'
       WHEN starts_with({t}, 'GIF87a') OR starts_with({t}, 'GIF89a') THEN 'image/gif'
@@ -130,11 +142,17 @@ def content_type_sql(t: str) -> str:
       WHEN substr({t}, 5, 8) = 'ftypM4A ' THEN 'audio/mp4'
       WHEN substr({t}, 5, 4) = 'ftyp' THEN 'video/mp4'
       WHEN substr({t}, 258, 5) = 'ustar' THEN 'application/x-tar'
-      WHEN regexp_matches(lower(left({bare}, 20)), '^<(!doctype html|html|head|body|title|script)') THEN 'text/html'
-      WHEN starts_with(lower(left({bare}, 20)), '<svg') THEN 'image/svg+xml'
-      WHEN starts_with(lower(left({bare}, 20)), '<?xml') THEN 'application/xml'
+      WHEN {root} = 'svg' AND (NOT {declared} OR contains({tag}, 'http://www.w3.org/2000/svg')) THEN 'image/svg+xml'
+      WHEN {root} = 'html' AND contains({tag}, 'http://www.w3.org/1999/xhtml') THEN 'application/xhtml+xml'
+      WHEN {root} = 'rss' THEN 'application/rss+xml'
+      WHEN {root} = 'feed' AND contains({tag}, 'http://www.w3.org/2005/Atom') THEN 'application/atom+xml'
+      WHEN {declared} THEN 'application/xml'
+      WHEN regexp_matches({bare}, '^{item}*<!doctype{blank}+html', 'is') THEN 'text/html'
+      WHEN {root} IN ('html', 'head', 'body', 'title', 'script') THEN 'text/html'
+      WHEN {root} <> '' AND contains({tag}, 'xmlns') THEN 'application/xml'
       WHEN starts_with({t}, chr(65279)) THEN 'text/plain'
       WHEN {t} = '' THEN 'application/octet-stream'
+      WHEN regexp_matches({t}, '^([\\x09\\x0A\\x0C\\x0D\\x1B\\x20-\\x7F]\\x00)+$') THEN 'text/plain'
       WHEN regexp_matches({t}, '[\\x00-\\x08\\x0B\\x0E-\\x1A\\x1C-\\x1F]') THEN 'application/octet-stream'
       ELSE 'text/plain' END"""
 
@@ -188,11 +206,6 @@ types AS (SELECT id, {refine_sql('content_type', 'file_path')} AS media_type FRO
 """
 
 _RAW_CTE = """
-, raw AS (SELECT '/raw/' || grp || '/' || id AS path, n_bytes AS length, t FROM f2
-          WHERE t IS NOT NULL AND NOT starts_with(id, 'evt-'))
-"""
-
-_WHOLE_RAW_CTE = """
 , raw AS (SELECT '/raw/' || grp || '/' || id AS path, n_bytes AS length, t FROM f2 WHERE t IS NOT NULL)
 """
 
@@ -242,8 +255,9 @@ def _asked(texts: list[str]) -> str:
 _TYPE_SEARCHES = {
     "text/*": "starts_with(media_type, 'text/') OR media_type IN ('application/json', 'application/javascript', "
               "'application/xml', 'image/svg+xml', 'application/xhtml+xml', 'application/rss+xml', "
-              "'application/postscript', 'application/x-sh')",
-    "application/xml": "media_type IN ('application/xml', 'image/svg+xml', 'application/xhtml+xml', 'application/rss+xml')",
+              "'application/atom+xml', 'application/postscript', 'application/x-sh')",
+    "application/xml": "media_type IN ('application/xml', 'image/svg+xml', 'application/xhtml+xml', 'application/rss+xml', "
+                       "'application/atom+xml')",
     "archive": "media_type IN ('application/zip', 'application/x-bzip2', 'application/x-rar-compressed', "
                "'application/x-tar')",
     "image/*": "starts_with(media_type, 'image/')",
@@ -378,11 +392,11 @@ ORACLE_SQL: dict[str, str] = {
         "SELECT sha256(t) AS file_hash, 0 AS line, 'SHA256-Hash: ' || sha256(t) || ' ' AS value FROM g "
         "UNION ALL SELECT sha256(raw.t), 1, path FROM raw JOIN g ON raw.t = g.t "
         "UNION ALL SELECT sha256(t), 2, '' FROM g"),
-    "whole_directory_files": with_evidence(_WHOLE_RAW_CTE + "SELECT path, length FROM raw"),
+    "whole_directory_files": with_evidence(_RAW_CTE + "SELECT path, length FROM raw"),
     "whole_directory_hashes_sha256": with_evidence(
-        _WHOLE_RAW_CTE + f"SELECT path, length, sha256(t) AS file_hash, {content_type_sql('t')} AS content_type FROM raw"),
+        _RAW_CTE + f"SELECT path, length, sha256(t) AS file_hash, {content_type_sql('t')} AS content_type FROM raw"),
     "whole_directory_duplicates_sha256": with_evidence(
-        _WHOLE_RAW_CTE + ", g AS (SELECT t FROM raw GROUP BY t HAVING count(*) > 1) "
+        _RAW_CTE + ", g AS (SELECT t FROM raw GROUP BY t HAVING count(*) > 1) "
         "SELECT sha256(t) AS file_hash, 0 AS line, 'SHA256-Hash: ' || sha256(t) || ' ' AS value FROM g "
         "UNION ALL SELECT sha256(raw.t), 1, path FROM raw JOIN g ON raw.t = g.t "
         "UNION ALL SELECT sha256(t), 2, '' FROM g"),

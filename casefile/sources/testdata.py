@@ -31,8 +31,12 @@ PREFIXES = [
     "SQLite format 3\x00", "OggS", "fLaC", "ID3", "RIFF0000WEBP", "RIFF0000WAVE", "RIFF0000AVI ", "0000ftypqt  ",
     "0000ftypheic", "0000ftypM4A ", "0000ftypisom", "II*\x00", "BM0000" + 4 * "\x00", '<?xml version="1.0"?>',
     " \n<SVG ", "\ufeff<html>", "\ufeff", 600 * "x" + "\x00", 257 * "y" + "ustar",
-    "".join(c + "\x00" for c in "Secret wide text "),
+    "".join(c + "\x00" for c in "Secret wide text ") + "\x00\x00",
+    600 * " " + "<html>", "<!-- " + 2000 * "c" + " -->\n<svg ", '<?xml version="1.0"?><!-- a --><rss version="2.0">',
+    '<html xmlns="http://www.w3.org/1999/xhtml">', '<feed xmlns="http://www.w3.org/2005/Atom">',
 ]
+# Fixed value: which of every 40 chat turns is UTF-16LE throughout (if it is ASCII).
+WIDE_TURN = 34
 PREFIX_EVERY = 40
 
 _TABLES: dict[tuple[str, str, str], DataFrame] = {}
@@ -83,14 +87,15 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(DATA_FILE).alias("file_type"),
         _s("user_id").alias("owner"), F.col("event_type").alias("group"),
         F.when(F.col("event_id") % 97 == 0, F.lit("")).otherwise(F.col("props")).alias("t"))
+    nth = ((F.col("conv_id") + F.col("turn")) % PREFIX_EVERY).cast("int")
     chats = read("conversations").select(
         F.concat(F.lit("chat-"), _s("conv_id"), F.lit("-"), _s("turn")).alias("id"),
         F.concat(F.lit("chat/"), _s("conv_id"), F.lit("/"), _s("turn"), F.lit(".txt")).alias("file_path"),
         F.lit(DATA_FILE).alias("file_type"),
         F.col("role").alias("owner"), F.lit("chat").alias("group"),
-        F.concat(F.coalesce(F.get(F.array(*[F.lit(p) for p in PREFIXES]),
-                                  ((F.col("conv_id") + F.col("turn")) % PREFIX_EVERY).cast("int")), F.lit("")),
-                 "text").alias("t"))
+        F.when((nth == WIDE_TURN) & F.col("text").rlike(r"\A[\x00-\x7F]*\z"),
+               F.regexp_replace("text", "(?s)(.)", "$1\x00"))
+        .otherwise(F.concat(F.coalesce(F.get(F.array(*[F.lit(p) for p in PREFIXES]), nth), F.lit("")), "text")).alias("t"))
     dirs = read("region").select(
         F.concat(F.lit("dir-"), _s("r_regionkey")).alias("id"),
         F.col("r_name").alias("file_path"),
@@ -148,13 +153,5 @@ def _raw(files: DataFrame) -> DataFrame:
 
 
 def directory_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, pages and chat turns as a raw directory ``(path, length, content)``; path = folder and id.
-
-    Events are not in it; ``whole_directory_store`` holds them too.
-    """
-    return _raw(_files(spark, sf_dir).where("t is not null and id not like 'evt-%'"))
-
-
-def whole_directory_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row with text, events and zero-length files included, as a raw directory ``(path, length, content)``."""
     return _raw(_files(spark, sf_dir).where("t is not null"))
