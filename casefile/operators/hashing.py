@@ -19,6 +19,7 @@ from casefile.functions.columns import base_name, nonempty
 from casefile.functions.digest import DEFAULT_BITS, check_bits, digest, empty_digest
 from casefile.functions.contentscan import PrologScanner, TextScanner
 from casefile.functions.mediatype import HEAD_BYTES, OCTET_STREAM, with_content_type, with_head_type
+from casefile.operators.duplicates import materialize
 from casefile.sources.files import binary_files, max_binary_length, split_by_length
 from casefile.sources.inventory import zero_length_files
 
@@ -184,7 +185,7 @@ def combine_hashes(inline: DataFrame, external: DataFrame | None = None) -> Data
     inline = inline.select("id", "file_hash")
     if external is None:
         return inline
-    outside = external_hashes(external)
+    outside = materialize(external_hashes(external), "external-hashes")  # used twice
     return inline.join(outside.select("id"), "id", "left_anti").unionByName(outside)
 
 
@@ -211,7 +212,7 @@ def external_id_collisions(external: DataFrame) -> DataFrame:
     files never becomes one row; such a hot name is joined back through the
     bounded broadcast branch of ``attach_group_stats``.
     """
-    from casefile.operators.duplicates import attach_group_stats, materialize
+    from casefile.operators.duplicates import attach_group_stats
 
     named = materialize(external.select(base_name("path").alias("id"), "path"), "names")
     counts = materialize(named.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), "sizes")

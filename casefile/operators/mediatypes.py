@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from casefile.functions.columns import base_name
 from casefile.functions.mediatype import with_content_type, with_media_type
+from casefile.operators.duplicates import materialize
 from casefile.sources.evidence import external_original_paths, inline_content_with_path
 
 
@@ -62,10 +63,13 @@ def file_media_types(evidence: DataFrame, summaries: DataFrame | None = None) ->
 
 
 def combine_media_types(inline: DataFrame, evidence: DataFrame, summaries: DataFrame | None = None) -> DataFrame:
-    """Merge inline ``(id, media_type)`` with the external verdicts (external wins)."""
+    """Merge inline ``(id, media_type)`` with the external verdicts (external wins).
+
+    The external verdicts are used twice, so they are written once, when this is called.
+    """
     if summaries is None:
         return inline
-    outside = external_media_types(evidence, summaries)
+    outside = materialize(external_media_types(evidence, summaries), "external-types")
     return inline.join(outside.select("id"), "id", "left_anti").unionByName(outside)
 
 
