@@ -15,9 +15,9 @@ from collections.abc import Sequence
 
 import numpy as np
 
-MEMO_CHUNKS = 250_000
+MEMO_CHUNKS = 500_000
 #: Bytes of text encoded at once; the tables for hashing chunks are as long.
-TOKEN_BYTES = 1 << 18
+TOKEN_BYTES = 1 << 19
 #: Chunks given to the library in one string.
 CALL_WORDS = 256
 
