@@ -49,15 +49,15 @@ WORK_BYTES = 1 << 18
 REFINE_BYTES = 1 << 19
 _NO_ID = -(1 << 63)
 
-_SEGMENT = "id long, mark int, lo long, hi long, at long, gram long, whole long"
+_SEGMENT = "id long, mark binary, lo long, hi long, at long, gram long, whole long"
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str]) -> DataFrame:
-    """(id, text, carried, mark): rows that share an id are told apart by a hash of their text."""
+    """(id, text, carried, mark): rows that share an id are told apart by 128 bits of hash of their text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     carried = F.struct(*carry) if carry else F.lit(None).cast("struct<none: int>")
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), text.alias("text"),
-                       carried.alias("carried")).withColumn("mark", F.hash("text"))
+                       carried.alias("carried")).withColumn("mark", F.unhex(F.md5(F.col("text").cast("binary"))))
 
 
 def _segments(docs: DataFrame, length: int) -> DataFrame:
@@ -126,15 +126,15 @@ def repeated(data: np.ndarray, stops: np.ndarray, length: int) -> np.ndarray:
 
 
 def _refine(rows: DataFrame, length: int) -> DataFrame:
-    """(gram, whole, many, data) -> (whole, runs): runs of repeated windows of rows that are not repeated whole."""
+    """(gram, whole, many, data) -> (gram, whole, runs): runs of repeated windows of rows that are not repeated whole."""
     spark = rows.sparkSession
     dealt = rows.repartition(partitions(spark), "gram").sortWithinPartitions("gram")
 
-    def solve(whole: list, many: list, data: list[bytes]) -> pa.RecordBatch:
+    def solve(gram: list, whole: list, many: list, data: list[bytes]) -> pa.RecordBatch:
         stops = np.cumsum([len(d) for d in data])
         found = repeated(np.frombuffer(b"".join(data), np.uint8), stops, length)
         names, runs = [], []
-        for name, repeats, stop, size in zip(whole, many, stops.tolist(), np.diff(stops, prepend=0).tolist()):
+        for *name, repeats, stop, size in zip(gram, whole, many, stops.tolist(), np.diff(stops, prepend=0).tolist()):
             if repeats:
                 continue
             turns = np.diff(found[stop - size:stop].astype(np.int8), prepend=0, append=0)
@@ -142,25 +142,25 @@ def _refine(rows: DataFrame, length: int) -> DataFrame:
                 names.append(name)
                 runs.append([{"from": int(a), "to": int(b) - 1} for a, b in
                              zip(np.flatnonzero(turns == 1), np.flatnonzero(turns == -1))])
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(runs, kind)],
-                                          names=["whole", "runs"])
+        return pa.RecordBatch.from_arrays([*(pa.array([n[k] for n in names], pa.int64()) for k in (0, 1)),
+                                           pa.array(runs, kind)], names=["gram", "whole", "runs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held, weight = None, ([], [], []), 0
+        last, held, weight = None, ([], [], [], []), 0
         for batch in batches:
-            for gram, *row in zip(*(batch.column(c).to_pylist() for c in ("gram", "whole", "many", "data"))):
-                if gram != last and weight >= REFINE_BYTES:  # whole buckets only
+            for row in zip(*(batch.column(c).to_pylist() for c in ("gram", "whole", "many", "data"))):
+                if row[0] != last and weight >= REFINE_BYTES:  # whole buckets only
                     yield solve(*held)
-                    held, weight = ([], [], []), 0
-                last = gram
+                    held, weight = ([], [], [], []), 0
+                last = row[0]
                 for column, value in zip(held, row):
                     column.append(value)
-                weight += len(row[2])
+                weight += len(row[3])
         if weight:
             yield solve(*held)
 
     kind = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
-    return dealt.mapInArrow(run, "whole long, runs array<struct<from: long, to: long>>")
+    return dealt.mapInArrow(run, "gram long, whole long, runs array<struct<from: long, to: long>>")
 
 
 def _taken(docs: DataFrame, picked: DataFrame, length: int) -> DataFrame:
@@ -214,18 +214,18 @@ def repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     picked = kinds.join(broadcast_if_few(large), "gram", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     taken = materialize(_taken(docs, picked, length), "taken")
     runs = _refine(taken.where("data is not null").select("gram", "whole", "many", "data"), length) \
-        .select("whole", F.explode("runs").alias("run")).select("whole", "run.from", "run.to")
+        .select("gram", "whole", F.explode("runs").alias("run")).select("gram", "whole", "run.from", "run.to")
     if large.head(1):
         windows = taken.where("data is null")
         again = windows.groupBy("code").agg(F.count("*").alias("n"), F.max("many").alias("any")).where("n > 1 or any")
         hits = windows.where("not many").join(again.select("code"), "code")
         # neighbouring windows of a row (a few hundred at most) become one run again
-        island = F.col("at") - F.row_number().over(Window.partitionBy("whole").orderBy("at"))
-        runs = runs.unionByName(hits.withColumn("island", island).groupBy("whole", "island")
+        island = F.col("at") - F.row_number().over(Window.partitionBy("gram", "whole").orderBy("at"))
+        runs = runs.unionByName(hits.withColumn("island", island).groupBy("gram", "whole", "island")
                                 .agg(F.min("at").alias("from"), F.max("at").alias("to")).drop("island"))
     runs = materialize(runs, "runs")
-    every = open_rows.join(kinds.where("many").select("whole"), "whole", "left_semi").select("id", "mark", "lo", "hi")
-    some = open_rows.join(runs, "whole").select("id", "mark", (F.col("lo") + F.col("from")).alias("lo"),
+    every = open_rows.join(kinds.where("many").select("gram", "whole"), ["gram", "whole"], "left_semi").select("id", "mark", "lo", "hi")
+    some = open_rows.join(runs, ["gram", "whole"]).select("id", "mark", (F.col("lo") + F.col("from")).alias("lo"),
                                                 (F.col("lo") + F.col("to")).alias("hi"))
     return alike.unionByName(every).unionByName(some)
 

@@ -51,6 +51,40 @@ def test_odd_rows(spark, odd, empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("whole", [suffix_dedup.WHOLE_BUCKET, 2])
+def test_rows_of_equal_hash_in_two_buckets(spark, monkeypatch, whole):
+    """``whole`` tells rows apart within a bucket only: one value for all rows that differ there changes nothing."""
+    monkeypatch.setattr(suffix_dedup, "WHOLE_BUCKET", whole)
+    texts = [("ab" * 110 + f"{n % 3} " * 80 + "xyz" * 90)[n % 5:] for n in range(12)]
+    docs = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "doc_id long, text string")
+    rows = suffix_dedup._segments(suffix_dedup._keyed(docs, "doc_id", "text", ()), 200)
+    assert rows.groupBy("whole").agg({"gram": "count"}).count() > 1
+    real = suffix_dedup._segments
+
+    def equal_hashes(keyed, length):
+        # the n-th different row of each bucket gets n, in every bucket
+        from pyspark.sql import Window
+        from pyspark.sql import functions as F
+        return real(keyed, length).withColumn("whole", F.dense_rank().over(Window.partitionBy("gram").orderBy("whole")).cast("long"))
+
+    monkeypatch.setattr(suffix_dedup, "_segments", equal_hashes)
+    found = suffix_dedup.remove_repeats(docs, 200).collect()
+    check([(str(r.id), r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in found],
+          list(range(12)), [t.encode() for t in texts], 200)
+
+
+def test_many_texts_under_one_id(spark):
+    """Rows without an id, or of one id, are told apart by 128 bits of their text."""
+    passage = "a passage that some of them share, word for word, and that is long enough to be taken " * 3
+    texts = [f"text {n} " * 20 + (passage if n % 4 == 0 else f"{n}" * 300) for n in range(60)]
+    docs = spark.createDataFrame([(None if n % 2 else 7, t) for n, t in enumerate(texts)], "doc_id long, text string")
+    keyed = suffix_dedup._keyed(docs, "doc_id", "text", ())
+    assert {len(r.mark) for r in keyed.collect()} == {16} and keyed.select("mark").distinct().count() == 60
+    found = suffix_dedup.remove_repeats(docs, 200).collect()
+    check([(str(r.id), r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in found],
+          [None if n % 2 else 7 for n in range(60)], [t.encode() for t in texts], 200)
+
+
 def test_whole_characters():
     text = "aéß".encode()
     assert suffix_dedup.cut(text, [(2, 4)], False) == b"a\xc3\x9f"
