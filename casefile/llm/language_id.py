@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
@@ -34,6 +34,8 @@ BUCKETS = 1 << 16
 WINDOWS = (2, 3, 4)
 DIMENSIONS = 16
 UNKNOWN = "und"
+#: Rows of a label that may be drawn beyond its share (the number drawn varies).
+SPARE_ROWS = 200
 _SPREAD = np.uint32(2654435761)
 
 
@@ -171,18 +173,26 @@ def train(rows: Sequence[tuple[np.ndarray, np.ndarray]], labels: Sequence[str],
 
 def fit(docs: DataFrame, max_rows: int = 2400, label_col: str = "lang", id_col: str = "doc_id",
         text_col: str = "text", may_train: Column | None = None) -> Model | None:
-    """Fit on at most ``max_rows`` labelled rows (those with ``may_train``), in equal shares for each label."""
+    """Fit on about ``max_rows`` labelled rows (those with ``may_train``), in equal shares for each label.
+
+    Rows are drawn by a hash of id and text, so rows that share an id, or have none, are drawn one by one; each
+    label gives at least its first row by that hash.  Of equal rows, drawn together, a label gives no more than
+    its share and ``SPARE_ROWS``.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
                        F.col(label_col).cast("string").alias("label"),
                        (F.lit(True) if may_train is None else may_train).alias("may")) \
         .where("may and label is not null and text is not null")
-    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}  # one row per language
+    draw = F.pmod(F.xxhash64(F.lit("language sample"), F.col("id").cast("string"), F.col("text")), F.lit(1 << 30))
+    drawn = rows.withColumn("draw", draw)
+    counts = {r["label"]: r for r in drawn.groupBy("label").agg(  # one row per language
+        F.count("*").alias("n"), F.min("draw").alias("first")).collect()}
     if not counts:
         return None
     share = -(-max_rows // len(counts))
-    draw = F.pmod(F.xxhash64(F.col("id"), F.lit("language sample")), F.lit(1 << 30))
-    bounds = F.create_map(*[F.lit(v) for y, n in counts.items() for v in (y, min(1 << 30, (share << 30) // n))])
-    picked = rows.where(draw < bounds[F.col("label")]).select("text", "label")
+    bounds = F.create_map(*[F.lit(v) for y, r in counts.items()
+                            for v in (y, max(r.first + 1, min(1 << 30, (share << 30) // r.n)))])
+    picked = drawn.where(F.col("draw") < bounds[F.col("label")]).select("text", "label", "draw")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_by_bytes(batches, "text", BATCH_BYTES):
@@ -192,10 +202,13 @@ def fit(docs: DataFrame, max_rows: int = 2400, label_col: str = "lang", id_col:
             # buckets ascend: their gaps and the counts are small numbers, which compress well
             packed = [zlib.compress(np.stack([np.diff(keys[b:e] % BUCKETS, prepend=0), times[b:e]])
                                     .astype("<i4").tobytes(), 1) for b, e in zip(cuts, cuts[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(packed, pa.binary())],
-                                             names=["label", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("draw"), pa.array(packed, pa.binary())],
+                                             names=["label", "draw", "packed"])
 
-    found = picked.mapInArrow(count, "label string, packed binary").limit(max_rows + len(counts) * 200).toArrow()
+    order = Window.partitionBy("label").orderBy("draw", "packed")
+    found = (picked.mapInArrow(count, "label string, draw long, packed binary")
+             .withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= share + SPARE_ROWS)
+             .select("label", "packed").toArrow())
     labels, features = found["label"].to_pylist(), []
     for packed in found["packed"]:
         gaps, times = np.frombuffer(zlib.decompress(packed.as_buffer()), "<i4").reshape(2, -1)
