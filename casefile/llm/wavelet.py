@@ -63,11 +63,11 @@ def build(tokens: np.ndarray, starts: np.ndarray, ids: list) -> bytes:
     rest = tokens.astype(np.uint16 if levels <= 16 else np.uint32)
     zeros, planes = [], []
     for level in range(levels - 1, -1, -1):
-        mask = ((rest >> level) & 1).astype(bool)
+        mask = (rest & rest.dtype.type(1 << level)) != 0
         planes.append(_pack(mask))
-        low = rest[~mask]
+        low = np.compress(~mask, rest)  # faster than a mask as index
         zeros.append(len(low))
-        rest = np.concatenate([low, rest[mask]])
+        rest = np.concatenate([low, np.compress(mask, rest)])
     names = json.dumps(ids).encode()
     pack = zstandard.ZstdCompressor(level=1).compress
     frames = []
@@ -203,8 +203,8 @@ class WaveletFile:
             mask = self._plane(level)
             zeros = int(self.zeros[level])
             back = np.empty(self.n, kind)
-            back[~mask] = values[:zeros]
-            back[mask] = values[zeros:] | kind(1 << (self.levels - 1 - level))
+            back[np.flatnonzero(~mask)] = values[:zeros]
+            back[np.flatnonzero(mask)] = values[zeros:] | kind(1 << (self.levels - 1 - level))
             values = back
         return values
 
