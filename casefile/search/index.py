@@ -10,7 +10,8 @@
 Postings are sorted by (bucket, term, document) over all tasks, so a frequent term is
 split over as many tasks as its postings fill, and blocks are cut inside a task.  Document
 numbers come from two passes of prefix sums over the parts in which contents were read.
-The contents move nowhere; postings are shuffled once.
+The contents move nowhere; postings, with
+their positions packed already, are shuffled once.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from casefile.search.contents import broadcast_if_few, by_bytes
 BUCKETS = 64
 BLOCK = 128
 
-_FILE = "part int, row long, id string, n_terms long, terms array<struct<term: string, positions: array<long>>>"
+_FILE = "part int, row long, id string, n_terms long, terms array<struct<term: string, count: long, positions: binary>>"
 _BLOCK = ("bucket int, term string, first_doc long, last_doc long, n_postings long, n_terms long, docs binary, "
           "counts binary, positions binary")
 
@@ -76,8 +77,11 @@ def file_terms(contents: DataFrame, least: int = strings.LEAST, source: int = 0,
             begins = np.flatnonzero(fresh)
             entry_file = file[begins]
             names = pa.array(words, pa.string()).take(pa.array(code[begins]))
-            where = pa.ListArray.from_arrays(pa.array(np.append(begins, len(file)), pa.int32()), pa.array(position))
-            entries = pa.StructArray.from_arrays([names, where], ["term", "positions"])
+            packed, stops = postings.pack_positions(position, begins) if len(begins) else (b"", begins)
+            where = pa.BinaryArray.from_buffers(pa.binary(), len(begins), [
+                None, pa.py_buffer(np.append(0, stops).astype(np.int32).tobytes()), pa.py_buffer(packed)])
+            counts = pa.array(np.diff(begins, append=len(file)))
+            entries = pa.StructArray.from_arrays([names, counts, where], ["term", "count", "positions"])
             cuts = np.searchsorted(entry_file, np.arange(batch.num_rows + 1))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(batch.num_rows, part, np.int32)), pa.array(row + np.arange(batch.num_rows)),
@@ -90,7 +94,7 @@ def file_terms(contents: DataFrame, least: int = strings.LEAST, source: int = 0,
 
 
 def _cut_blocks(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
-    """Cut sorted postings (bucket, term, doc_no, positions) into blocks; a block may span record batches."""
+    """Cut sorted postings (bucket, term, doc_no, count, positions) into blocks; a block may span record batches."""
     held: pa.RecordBatch | None = None
 
     def blocks(rows: pa.RecordBatch, last: bool) -> tuple[pa.RecordBatch, int]:
@@ -109,9 +113,8 @@ def _cut_blocks(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.Re
         done = int(ends[-1])
         rows = rows.slice(0, done)
         docs = rows.column("doc_no").to_numpy()
-        where = rows.column("positions")
-        counts = pa.compute.list_value_length(where).to_numpy().astype(np.int64)
-        coded = postings.encode_blocks(docs, counts, where.flatten().to_numpy(), begins)
+        counts = rows.column("count").to_numpy()
+        coded = postings.encode_blocks(docs, counts, rows.column("positions").to_pylist(), begins)
         total = np.add.reduceat(counts, begins)
         picked = pa.array(begins)
         return pa.RecordBatch.from_arrays(
@@ -147,7 +150,8 @@ def write_index(contents_by_file: DataFrame, path: str, buckets: int = BUCKETS,
 
     each = numbered.select("doc_no", F.explode("terms").alias("t"))
     rows = each.select((F.crc32(F.col("t.term").cast("binary")) % buckets).cast("int").alias("bucket"),
-                       F.col("t.term").alias("term"), "doc_no", F.col("t.positions").alias("positions"))
+                       F.col("t.term").alias("term"), "doc_no", F.col("t.count").alias("count"),
+                       F.col("t.positions").alias("positions"))
     order = ["bucket", "term", "doc_no"]
     dealt = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order)
     (dealt.sortWithinPartitions(*order).mapInArrow(lambda batches: _cut_blocks(batches, block), _BLOCK)

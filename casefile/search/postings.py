@@ -107,19 +107,25 @@ def terms_of(contents: Sequence[bytes], least: int = strings.LEAST):
     return file[order], code[order], position[order], [w.decode() for w in known], n_terms
 
 
-def encode_blocks(docs: np.ndarray, counts: np.ndarray, positions: np.ndarray, begins: np.ndarray):
-    """Blocks of postings: per block the three byte strings.  ``begins`` are the blocks' first postings."""
+def pack_positions(positions: np.ndarray, begins: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Postings' positions as gaps, one posting after the other, and where each posting's bytes end."""
+    raw, stop = pack_numbers(gaps(positions, begins))
+    ends = np.append(begins[1:], len(positions))
+    return raw.tobytes(), stop[ends - 1]
+
+
+def encode_blocks(docs: np.ndarray, counts: np.ndarray, positions: list[bytes], begins: np.ndarray):
+    """Blocks of postings: per block the three byte strings.  ``begins`` are the blocks' first postings, ``positions``
+    is packed by posting, so that a block's are its postings' one after the other."""
     ends = np.append(begins[1:], len(docs))
-    place = np.cumsum(counts)
-    coded = []
     relative = gaps(docs, begins)
     relative[begins] = 0  # the first document is a column of its own
-    for values, cut in ((relative, ends), (counts, ends),
-                        (gaps(positions, place - counts), place[ends - 1])):
+    coded = []
+    for values in (relative, counts):
         raw, stop = pack_numbers(values)
-        raw, stop = raw.tobytes(), stop[cut - 1].tolist()
+        raw, stop = raw.tobytes(), stop[ends - 1].tolist()
         coded.append([raw[b:e] for b, e in zip([0, *stop[:-1]], stop)])
-    return coded
+    return [*coded, [b"".join(positions[b:e]) for b, e in zip(begins.tolist(), ends.tolist())]]
 
 
 def decode_block(first_doc: int, docs: bytes, counts: bytes, positions: bytes | None = None):
