@@ -66,4 +66,4 @@ def test_run_is_registered(spark):
     import __spark_entry__
 
     assert "pipeline" in __spark_entry__.queries()
-    assert sum(name.startswith("op") for name in __spark_entry__.queries()) == 10
+    assert sum(name.startswith("op") for name in __spark_entry__.queries()) == 13
