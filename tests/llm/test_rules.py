@@ -17,11 +17,11 @@ from tests.llm.conftest import SF, odd_rows
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_queries_match_duckdb(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "conversations"):
         con.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
     want = con.execute(ORACLE_SQL[name]).fetchdf()
     found = QUERIES[name](spark, SF).toPandas()
-    key = found.columns[0]
+    key = list(found.columns[:2])  # a node is told by conversation and depth
     columns = sorted(found.columns)
     assert columns == sorted(want.columns)
     pd.testing.assert_frame_equal(found.sort_values(key)[columns].reset_index(drop=True),
