@@ -292,7 +292,7 @@ RANKED = ["the", "of and", "en in on", "der die und", "les de la", "secret wide
 def _index(spark: SparkSession, sf_dir: str) -> index.Index:
     """The keyword index over all files, written anew."""
     terms = contents.from_sources(_evidence(spark, sf_dir), testdata.external_store(spark, sf_dir),
-                                  lambda rows, source: index.file_terms(rows, source=source, sources=2))
+                                  index.file_terms)
     return index.write_index(terms, new_folder(spark, "keyword-index"))
 
 
@@ -310,10 +310,11 @@ def q_content_strings(spark, sf_dir):
 def q_keyword_index(spark, sf_dir):
     """The stored posting blocks, decoded: each term's files, counts and positions."""
     made = _index(spark, sf_dir)
-    rows = index.decode(made.blocks()).join(made.documents(), "doc_no")
-    return rows.select("term", "id", F.col("count").alias("n"), F.array_min("positions").alias("first_position"),
-                       F.array_max("positions").alias("last_position"),
-                       F.aggregate("positions", F.lit(0).cast("long"), lambda a, p: a + p).alias("sum_positions"))
+    rows = index.decode(made.blocks()).select(  # numbers, not arrays, meet the documents
+        "doc_no", "term", F.col("count").alias("n"), F.array_min("positions").alias("first_position"),
+        F.array_max("positions").alias("last_position"),
+        F.aggregate("positions", F.lit(0).cast("long"), lambda a, p: a + p).alias("sum_positions"))
+    return rows.join(made.documents().select("doc_no", "id"), "doc_no").drop("doc_no")
 
 
 def q_keyword_search(spark, sf_dir):

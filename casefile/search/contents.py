@@ -48,16 +48,16 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_
 def from_sources(evidence: DataFrame, store: DataFrame | None, derive) -> DataFrame:
     """``derive(frame)`` over both sources: inline content first, then ``store`` ``(path, length, content)``.
 
-    ``derive`` gets (id, content) and the number of the source, 0 or 1, and keeps the ``id``; ids that the store replaces are dropped from the inline
+    ``derive`` gets (id, content) and keeps the ``id``; ids that the store replaces are dropped from the inline
     result, and names listed twice keep their largest path.  These joins see ``derive``'s rows, never the content.
     """
-    inline = derive(evidence.where(nonempty("file_content")).select("id", F.col("file_content").alias("content")), 0)
+    inline = derive(evidence.where(nonempty("file_content")).select("id", F.col("file_content").alias("content")))
     if store is None:
         return inline
     listed = materialize(store.select(base_name("path").alias("id"), "path"), "store-names")
     best = listed.groupBy("id").agg(F.max("path").alias("best"))
     lost = materialize(listed.join(best, "id").where("path < best").select("path"), "store-lost")
-    outside = derive(store.where(F.col("length") > 0).select(F.col("path").alias("id"), "content"), 1)
+    outside = derive(store.where(F.col("length") > 0).select(F.col("path").alias("id"), "content"))
     kept = outside.join(broadcast_if_few(lost), outside["id"] == lost["path"], "left_anti").withColumn("id", base_name("id"))
     names = materialize(best.select("id"), "store-ids")
     return inline.join(broadcast_if_few(names), "id", "left_anti").unionByName(kept)
@@ -110,4 +110,4 @@ def content_strings(evidence: DataFrame, store: DataFrame | None = None, least:
     Files without a string have no row.  ``store`` carries its content; for files too large to load,
     use ``strings_of_files``.
     """
-    return from_sources(evidence, store, lambda contents, _: strings_of_contents(contents, least))
+    return from_sources(evidence, store, lambda contents: strings_of_contents(contents, least))

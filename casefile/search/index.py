@@ -2,16 +2,17 @@
 
 ``write_index`` lays out two tables below a folder:
 
-* ``documents``: (doc_no, id, n_terms), one row a file, numbers from 0 with few gaps;
+* ``documents``: (doc_no, id, n_terms), one row a file, numbers from 0;
 * ``blocks``: (term, first_doc, last_doc, n_postings, n_terms, docs, counts, positions), in
   one folder for each ``bucket`` of the term's CRC-32.  A look-up lists its terms' buckets
   only, and within their files the row groups whose terms can match.
 
-Postings are sorted by (bucket, term, document) over all tasks, so a frequent term is
-split over as many tasks as its postings fill, and blocks are cut inside a task.  Document
-numbers come from two passes of prefix sums over the parts in which contents were read.
-The contents move nowhere; postings, with
-their positions packed already, are shuffled once.
+Contents move nowhere: a file's terms are one narrow row, written in the file's place.
+Document numbers are places in these written rows: two passes of prefix sums over the parts.
+The files that a task holds are then turned into chunks, one row for each of their terms, so
+that what is shuffled grows with the bytes of the postings and not with their number.
+Chunks are sorted by (bucket, term, document) over all tasks, so a frequent term is split over
+as many tasks as its postings fill, and cut into blocks inside a task.
 """
 
 from __future__ import annotations
@@ -22,17 +23,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from casefile.functions import strings
+from casefile.operators.duplicates import materialize
 from casefile.search import postings
 from casefile.search.contents import broadcast_if_few, by_bytes
 
 BUCKETS = 64
 BLOCK = 128
 
-_FILE = "part int, row long, id string, n_terms long, terms array<struct<term: string, count: long, positions: binary>>"
+_FILE = "id string, n_terms long, names string, counts binary, positions binary"
+_CHUNK = ("part string, first_row long, n_postings long, term string, docs binary, counts binary, positions binary")
 _BLOCK = ("bucket int, term string, first_doc long, last_doc long, n_postings long, n_terms long, docs binary, "
           "counts binary, positions binary")
 
@@ -62,98 +65,129 @@ class Index:
                            & F.col("term").isin(wanted))
 
 
-def file_terms(contents: DataFrame, least: int = strings.LEAST, source: int = 0, sources: int = 1) -> DataFrame:
-    """(part, row, id, n_terms, terms): each file's terms with their positions; files without a term as well.
+def file_terms(contents: DataFrame, least: int = strings.LEAST) -> DataFrame:
+    """(id, n_terms, names, counts, positions): one row a file, also for a file without a term.
 
-    (part, row) is unique also in the union of results for different ``source`` numbers below ``sources``.
+    ``names`` are its different terms between blanks, the other two their packed counts and positions.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, row = TaskContext.get().partitionId() * sources + source, 0
         for batch in by_bytes(batches, "content"):
             file, code, position, words, n_terms = postings.terms_of(
                 [c or b"" for c in batch.column("content").to_pylist()], least)
-            fresh = np.diff(file, prepend=-1) != 0
-            fresh |= np.diff(code, prepend=-1) != 0
+            fresh = (np.diff(file, prepend=-1) != 0) | (np.diff(code, prepend=-1) != 0)
             begins = np.flatnonzero(fresh)
-            entry_file = file[begins]
+            cuts = np.searchsorted(file[begins], np.arange(batch.num_rows + 1))
             names = pa.array(words, pa.string()).take(pa.array(code[begins]))
-            packed, stops = postings.pack_positions(position, begins) if len(begins) else (b"", begins)
-            where = pa.BinaryArray.from_buffers(pa.binary(), len(begins), [
-                None, pa.py_buffer(np.append(0, stops).astype(np.int32).tobytes()), pa.py_buffer(packed)])
-            counts = pa.array(np.diff(begins, append=len(file)))
-            entries = pa.StructArray.from_arrays([names, counts, where], ["term", "count", "positions"])
-            cuts = np.searchsorted(entry_file, np.arange(batch.num_rows + 1))
+            coded = [postings.pack_numbers(np.diff(begins, append=len(file))),
+                     postings.pack_numbers(postings.gaps(position, begins))]
+            places = [cuts, np.append(begins, len(file))[cuts]]  # of postings, and of positions
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(batch.num_rows, part, np.int32)), pa.array(row + np.arange(batch.num_rows)),
-                 batch.column("id").cast(pa.string()), pa.array(n_terms.astype(np.int64)),
-                 pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), entries)],
-                names=["part", "row", "id", "n_terms", "terms"])
-            row += batch.num_rows
+                [batch.column("id").cast(pa.string()), pa.array(n_terms.astype(np.int64)),
+                 pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), names), " "),
+                 *(postings.slices(raw, np.append(0, ends)[at]) for (raw, ends), at in zip(coded, places))],
+                names=["id", "n_terms", "names", "counts", "positions"])
 
     return contents.select("id", "content").mapInArrow(run, _FILE)
 
 
+def _term_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks of (part, row, names, counts, positions) rows: each term's postings in consecutive files of one part."""
+    for batch in by_bytes(batches, "names"):
+        parts = batch.column("part").dictionary_encode().indices.to_numpy()
+        begins = np.flatnonzero(np.diff(parts, prepend=-1))
+        for begin, end in zip(begins.tolist(), [*begins[1:].tolist(), len(parts)]):
+            yield _chunks_of(batch.slice(begin, end - begin))
+
+
+def _chunks_of(files: pa.RecordBatch) -> pa.RecordBatch:
+    listed = pc.split_pattern(files.column("names"), " ")
+    names = listed.flatten().dictionary_encode()
+    code = names.indices.to_numpy()
+    row = np.repeat(files.column("row").to_numpy(), pc.list_value_length(listed).to_numpy())
+    counts = postings.unpack_numbers(b"".join(files.column("counts").to_pylist()))
+    raw, cuts = postings.posting_cuts(files.column("positions").to_pylist(), counts)
+    order = np.argsort(code, kind="stable")  # rows ascend, so each term's do
+    begins = np.flatnonzero(np.diff(code[order], prepend=-1))
+    picked = pa.array(order)
+    placed = postings.slices(raw, cuts).take(picked)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([files.column("part")[0].as_py()] * len(begins), pa.string()), pa.array(row[order][begins]),
+         pa.array(np.diff(begins, append=len(order))), names.dictionary.take(pa.array(code[order][begins])),
+         *postings.encode(row[order], counts[order], *postings.joined(placed), begins)],
+        names=["part", "first_row", "n_postings", "term", "docs", "counts", "positions"])
+
+
 def _cut_blocks(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
-    """Cut sorted postings (bucket, term, doc_no, count, positions) into blocks; a block may span record batches."""
-    held: pa.RecordBatch | None = None
-
-    def blocks(rows: pa.RecordBatch, last: bool) -> tuple[pa.RecordBatch, int]:
-        """The blocks that cannot grow, and how many rows they hold."""
-        names = rows.column("term").dictionary_encode().indices.to_numpy()
-        change = np.flatnonzero(np.diff(names)) + 1
-        first = np.concatenate([[0], change])
-        size = np.diff(first, append=len(names))
+    """Cut sorted chunks (bucket, term, first_doc, n_postings, docs, counts, positions) into blocks.
+
+    A block may span chunks and record batches; of the last term, less than a block is held back.
+    """
+    held = None  # bucket, term, documents, counts, positions, and where each posting's positions end
+    for batch in by_bytes(batches, "positions"):
+        if not batch.num_rows:
+            continue
+        sizes = batch.column("n_postings").to_numpy()
+        relative = postings.unpack_numbers(b"".join(batch.column("docs").to_pylist()))
+        docs = postings.sums(relative, sizes) + np.repeat(batch.column("first_doc").to_numpy(), sizes)
+        counts = postings.unpack_numbers(b"".join(batch.column("counts").to_pylist()))
+        raw, cuts = postings.posting_cuts(batch.column("positions").to_pylist(), counts)
+        buckets, terms = batch.column("bucket"), batch.column("term")
+        if held is not None:
+            buckets = pa.concat_arrays([held[0], buckets])
+            terms = pa.concat_arrays([held[1], terms])
+            sizes = np.append(len(held[2]), sizes)
+            docs, counts = np.append(held[2], docs), np.append(held[3], counts)
+            raw, cuts = np.append(held[4], raw), np.append(held[5], held[5][-1] + cuts[1:])
+        code = np.repeat(terms.dictionary_encode().indices.to_numpy(), sizes)
+        chunk = np.repeat(np.arange(len(sizes)), sizes)
+        first = np.flatnonzero(np.diff(code, prepend=-1))
+        size = np.diff(first, append=len(code))
         many = -(-size // block)
         begins = np.repeat(first, many) + block * (np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many))
-        ends = np.append(begins[1:], len(names))
-        if not last and ends[-1] - begins[-1] < block:  # the last block may go on
-            begins, ends = begins[:-1], ends[:-1]
-        if not len(begins):
-            return pa.RecordBatch.from_pylist([], schema=arrow), 0
-        done = int(ends[-1])
-        rows = rows.slice(0, done)
-        docs = rows.column("doc_no").to_numpy()
-        counts = rows.column("count").to_numpy()
-        coded = postings.encode_blocks(docs, counts, rows.column("positions").to_pylist(), begins)
-        total = np.add.reduceat(counts, begins)
-        picked = pa.array(begins)
-        return pa.RecordBatch.from_arrays(
-            [rows.column("bucket").take(picked), rows.column("term").take(picked), pa.array(docs[begins]),
-             pa.array(docs[ends - 1]), pa.array(ends - begins), pa.array(total),
-             *(pa.array(c, pa.binary()) for c in coded)], schema=arrow), done
-
-    arrow = pa.schema([("bucket", pa.int32()), ("term", pa.string())]
-                      + [(n, pa.int64()) for n in ("first_doc", "last_doc", "n_postings", "n_terms")]
-                      + [(n, pa.binary()) for n in ("docs", "counts", "positions")])
-    for batch in batches:
-        rows = batch if held is None else pa.concat_batches([held, batch])
-        if not rows.num_rows:
-            continue
-        made, done = blocks(rows, False)
-        held = rows.slice(done)
-        yield made
-    if held is not None and held.num_rows:
-        yield blocks(held, True)[0]
+        stop = len(code) if len(code) - begins[-1] == block else int(begins[-1])  # the last block may go on
+        held = None
+        if stop < len(code):
+            of = int(chunk[stop])
+            held = (buckets.slice(of, 1), terms.slice(of, 1), docs[stop:], counts[stop:], raw[cuts[stop]:],
+                    cuts[stop:] - cuts[stop])
+            begins = begins[:-1]
+        if stop:
+            yield _blocks(buckets, terms, chunk, docs[:stop], counts[:stop], raw, cuts[:stop + 1], begins)
+    if held is not None:
+        buckets, terms, docs, counts, raw, cuts = held
+        yield _blocks(buckets, terms, np.zeros(len(docs), np.int64), docs, counts, raw, cuts, np.zeros(1, np.int64))
+
+
+def _blocks(buckets, terms, chunk, docs, counts, raw, cuts, begins) -> pa.RecordBatch:
+    ends = np.append(begins[1:], len(docs))
+    of = pa.array(chunk[begins])
+    return pa.RecordBatch.from_arrays(
+        [buckets.take(of), terms.take(of), pa.array(docs[begins]), pa.array(docs[ends - 1]), pa.array(ends - begins),
+         pa.array(np.add.reduceat(counts, begins)), *postings.encode(docs, counts, raw, cuts, begins)],
+        names=["bucket", "term", "first_doc", "last_doc", "n_postings", "n_terms", "docs", "counts", "positions"])
 
 
 def write_index(contents_by_file: DataFrame, path: str, buckets: int = BUCKETS, block: int = BLOCK) -> Index:
     """Write the index of ``file_terms`` rows below ``path`` (which must not exist)."""
     spark = contents_by_file.sparkSession
-    contents_by_file.write.parquet(f"{path}/terms")
+    contents_by_file.write.option("compression", "zstd").parquet(f"{path}/terms")
     files = spark.read.schema(_FILE).parquet(f"{path}/terms")
+    place = [F.col("_metadata.file_name").alias("part"), F.col("_metadata.row_index").alias("row")]
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    # one row a part; files dropped after they were numbered leave numbers unused
-    counts = files.groupBy("part").agg((F.max("row") + 1).alias("n"))
-    bases = broadcast_if_few(counts.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base")))
-    numbered = files.join(bases, "part").withColumn("doc_no", F.col("base") + F.col("row"))
-    numbered.select("doc_no", "id", "n_terms").write.parquet(f"{path}/documents")
-
-    each = numbered.select("doc_no", F.explode("terms").alias("t"))
-    rows = each.select((F.crc32(F.col("t.term").cast("binary")) % buckets).cast("int").alias("bucket"),
-                       F.col("t.term").alias("term"), "doc_no", F.col("t.count").alias("count"),
-                       F.col("t.positions").alias("positions"))
-    order = ["bucket", "term", "doc_no"]
-    dealt = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order)
+    counts = files.select(place[0]).groupBy("part").agg(F.count("*").alias("n"))  # one row a written file
+    bases = materialize(counts.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base")), "index-parts")
+    bases = broadcast_if_few(bases)
+    (files.select(*place, "id", "n_terms").join(bases, "part")
+     .select((F.col("base") + F.col("row")).alias("doc_no"), "id", "n_terms").write.parquet(f"{path}/documents"))
+
+    made = (files.where("names <> ''").select(*place, "names", "counts", "positions")
+            .mapInArrow(_term_chunks, _CHUNK))
+    made.write.option("compression", "zstd").parquet(f"{path}/chunks")  # the range partitioning reads them twice
+    chunks = spark.read.schema(_CHUNK).parquet(f"{path}/chunks").join(bases, "part").select(
+        (F.crc32(F.col("term").cast("binary")) % buckets).cast("int").alias("bucket"), "term",
+        (F.col("base") + F.col("first_row")).alias("first_doc"), "n_postings", "docs", "counts", "positions")
+    order = ["bucket", "term", "first_doc"]
+    dealt = chunks.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order)
     (dealt.sortWithinPartitions(*order).mapInArrow(lambda batches: _cut_blocks(batches, block), _BLOCK)
      .write.partitionBy("bucket").parquet(f"{path}/blocks"))
     return Index(spark, path, buckets)

@@ -16,6 +16,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from casefile.functions import strings
 
@@ -107,25 +109,40 @@ def terms_of(contents: Sequence[bytes], least: int = strings.LEAST):
     return file[order], code[order], position[order], [w.decode() for w in known], n_terms
 
 
-def pack_positions(positions: np.ndarray, begins: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """Postings' positions as gaps, one posting after the other, and where each posting's bytes end."""
-    raw, stop = pack_numbers(gaps(positions, begins))
-    ends = np.append(begins[1:], len(positions))
-    return raw.tobytes(), stop[ends - 1]
+def slices(raw: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The byte strings between neighbouring ``cuts`` of ``raw``."""
+    if len(raw) >= 1 << 31:
+        raise ValueError("postings of one batch exceed 2 GiB")
+    cuts = cuts.astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(cuts) - 1,
+                                       [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(raw.tobytes())])
 
 
-def encode_blocks(docs: np.ndarray, counts: np.ndarray, positions: list[bytes], begins: np.ndarray):
-    """Blocks of postings: per block the three byte strings.  ``begins`` are the blocks' first postings, ``positions``
-    is packed by posting, so that a block's are its postings' one after the other."""
-    ends = np.append(begins[1:], len(docs))
+def joined(strings_: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Byte strings one after the other, and the cuts between them: undoes ``slices``."""
+    cuts = np.append(0, np.cumsum(pc.binary_length(strings_).to_numpy().astype(np.int64)))
+    return np.frombuffer(b"".join(strings_.to_pylist()), np.uint8), cuts
+
+
+def posting_cuts(packed: Sequence[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Packed positions one after the other, and the cuts between postings with ``counts`` positions each."""
+    raw = np.frombuffer(b"".join(packed), np.uint8)
+    return raw, np.append(0, np.append(0, np.flatnonzero(raw < 0x80) + 1)[np.cumsum(counts)])
+
+
+def encode(docs: np.ndarray, counts: np.ndarray, raw: np.ndarray, cuts: np.ndarray, begins: np.ndarray) -> list[pa.Array]:
+    """Groups of postings as three byte strings each: documents, counts, positions.
+
+    ``begins`` are the groups' first postings; ``raw`` holds packed positions, cut by posting.
+    """
     relative = gaps(docs, begins)
     relative[begins] = 0  # the first document is a column of its own
+    places = np.append(begins, len(docs))
     coded = []
     for values in (relative, counts):
-        raw, stop = pack_numbers(values)
-        raw, stop = raw.tobytes(), stop[ends - 1].tolist()
-        coded.append([raw[b:e] for b, e in zip([0, *stop[:-1]], stop)])
-    return [*coded, [b"".join(positions[b:e]) for b, e in zip(begins.tolist(), ends.tolist())]]
+        packed, ends = pack_numbers(values)
+        coded.append(slices(packed, np.append(0, ends)[places]))
+    return [*coded, slices(raw[:cuts[-1]], cuts[places])]
 
 
 def decode_block(first_doc: int, docs: bytes, counts: bytes, positions: bytes | None = None):
