@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -35,14 +36,13 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_
     import pyarrow.compute as pc
 
     for batch in batches:
-        start = held = 0
-        for row, size in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
-            if held and held + size > limit:
-                yield batch.slice(start, row - start)
-                start, held = row, 0
-            held += size
-        if start < batch.num_rows:
-            yield batch.slice(start)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(), dtype=np.int64)
+        start = 0
+        while start < batch.num_rows:
+            held = int(ends[start - 1]) if start else 0
+            stop = max(int(np.searchsorted(ends, held + limit, side="right")), start + 1)
+            yield batch.slice(start, stop - start)
+            start = stop
 
 
 def from_sources(evidence: DataFrame, store: DataFrame | None, derive) -> DataFrame:

@@ -35,7 +35,7 @@ BUCKETS = 64
 BLOCK = 128
 
 _FILE = "id string, n_terms long, names string, counts binary, positions binary"
-_CHUNK = ("part string, first_row long, n_postings long, term string, docs binary, counts binary, positions binary")
+_CHUNK = "part string, first_row long, n_postings long, term string, postings binary"
 _BLOCK = ("bucket int, term string, first_doc long, last_doc long, n_postings long, n_terms long, docs binary, "
           "counts binary, positions binary")
 
@@ -104,33 +104,32 @@ def _chunks_of(files: pa.RecordBatch) -> pa.RecordBatch:
     names = listed.flatten().dictionary_encode()
     code = names.indices.to_numpy()
     row = np.repeat(files.column("row").to_numpy(), pc.list_value_length(listed).to_numpy())
-    counts = postings.unpack_numbers(b"".join(files.column("counts").to_pylist()))
-    raw, cuts = postings.posting_cuts(files.column("positions").to_pylist(), counts)
+    counts = postings.unpack_numbers(postings.joined(files.column("counts"))[0])
+    raw = postings.joined(files.column("positions"))[0]
     order = np.argsort(code, kind="stable")  # rows ascend, so each term's do
     begins = np.flatnonzero(np.diff(code[order], prepend=-1))
-    picked = pa.array(order)
-    placed = postings.slices(raw, cuts).take(picked)
+    placed = postings.slices(raw, postings.posting_cuts(raw, counts)).take(pa.array(order))
+    coded = postings.encode(row[order], counts[order], *postings.joined(placed), begins)
     return pa.RecordBatch.from_arrays(
         [pa.array([files.column("part")[0].as_py()] * len(begins), pa.string()), pa.array(row[order][begins]),
          pa.array(np.diff(begins, append=len(order))), names.dictionary.take(pa.array(code[order][begins])),
-         *postings.encode(row[order], counts[order], *postings.joined(placed), begins)],
-        names=["part", "first_row", "n_postings", "term", "docs", "counts", "positions"])
+         pc.binary_join_element_wise(*coded, pa.scalar(b"", pa.binary()))],
+        names=["part", "first_row", "n_postings", "term", "postings"])
 
 
 def _cut_blocks(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
-    """Cut sorted chunks (bucket, term, first_doc, n_postings, docs, counts, positions) into blocks.
+    """Cut sorted chunks (bucket, term, first_doc, n_postings, postings) into blocks.
 
     A block may span chunks and record batches; of the last term, less than a block is held back.
     """
     held = None  # bucket, term, documents, counts, positions, and where each posting's positions end
-    for batch in by_bytes(batches, "positions"):
+    for batch in by_bytes(batches, "postings"):
         if not batch.num_rows:
             continue
         sizes = batch.column("n_postings").to_numpy()
-        relative = postings.unpack_numbers(b"".join(batch.column("docs").to_pylist()))
+        relative, counts, raw = postings.part_chunks(batch.column("postings"), sizes)
         docs = postings.sums(relative, sizes) + np.repeat(batch.column("first_doc").to_numpy(), sizes)
-        counts = postings.unpack_numbers(b"".join(batch.column("counts").to_pylist()))
-        raw, cuts = postings.posting_cuts(batch.column("positions").to_pylist(), counts)
+        cuts = postings.posting_cuts(raw, counts)
         buckets, terms = batch.column("bucket"), batch.column("term")
         if held is not None:
             buckets = pa.concat_arrays([held[0], buckets])
@@ -180,37 +179,37 @@ def write_index(contents_by_file: DataFrame, path: str, buckets: int = BUCKETS,
     (files.select(*place, "id", "n_terms").join(bases, "part")
      .select((F.col("base") + F.col("row")).alias("doc_no"), "id", "n_terms").write.parquet(f"{path}/documents"))
 
-    made = (files.where("names <> ''").select(*place, "names", "counts", "positions")
-            .mapInArrow(_term_chunks, _CHUNK))
+    made = files.where("names <> ''").select(*place, "names", "counts", "positions").mapInArrow(_term_chunks, _CHUNK)
     made.write.option("compression", "zstd").parquet(f"{path}/chunks")  # the range partitioning reads them twice
     chunks = spark.read.schema(_CHUNK).parquet(f"{path}/chunks").join(bases, "part").select(
         (F.crc32(F.col("term").cast("binary")) % buckets).cast("int").alias("bucket"), "term",
-        (F.col("base") + F.col("first_row")).alias("first_doc"), "n_postings", "docs", "counts", "positions")
+        (F.col("base") + F.col("first_row")).alias("first_doc"), "n_postings", "postings")
     order = ["bucket", "term", "first_doc"]
     dealt = chunks.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order)
     (dealt.sortWithinPartitions(*order).mapInArrow(lambda batches: _cut_blocks(batches, block), _BLOCK)
-     .write.partitionBy("bucket").parquet(f"{path}/blocks"))
+     .write.partitionBy("bucket").option("compression", "zstd").parquet(f"{path}/blocks"))
     return Index(spark, path, buckets)
 
 
 def decode(blocks: DataFrame, positions: bool = True) -> DataFrame:
     """(term, doc_no, count[, positions]) of every posting in blocks; without positions, these are not read."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [postings.decode_block(*row) for row in zip(*(batch.column(n).to_pylist() for n in names))]
-            if not found:
+        for batch in by_bytes(batches, names[-1]):
+            if not batch.num_rows:
                 continue
-            of = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
-            many = np.concatenate([f[1] for f in found])
-            columns = [batch.column("term").take(pa.array(of)), pa.array(np.concatenate([f[0] for f in found])),
-                       pa.array(many)]
+            sizes = batch.column("n_postings").to_numpy()
+            docs = postings.sums(postings.unpack_numbers(postings.joined(batch.column("docs"))[0]), sizes)
+            many = postings.unpack_numbers(postings.joined(batch.column("counts"))[0])
+            of = np.repeat(np.arange(len(sizes)), sizes)
+            columns = [batch.column("term").take(pa.array(of)),
+                       pa.array(docs + batch.column("first_doc").to_numpy()[of]), pa.array(many)]
             if positions:
-                ends = np.concatenate([[0], np.cumsum(many)])
-                columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()),
-                                                        pa.array(np.concatenate([f[2] for f in found]))))
+                at = postings.sums(postings.unpack_numbers(postings.joined(batch.column("positions"))[0]), many)
+                ends = np.append(0, np.cumsum(many))
+                columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at)))
             yield pa.RecordBatch.from_arrays(columns, names=schema)
 
-    names = ["first_doc", "docs", "counts"] + (["positions"] if positions else [])
+    names = ["first_doc", "n_postings", "docs", "counts"] + (["positions"] if positions else [])
     schema = ["term", "doc_no", "count"] + (["positions"] if positions else [])
     kinds = "term string, doc_no long, count long" + (", positions array<long>" if positions else "")
     return blocks.select("term", *names).mapInArrow(run, kinds)

@@ -44,7 +44,7 @@ def pack_numbers(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, ends
 
 
-def unpack_numbers(data: bytes) -> np.ndarray:
+def unpack_numbers(data: bytes | np.ndarray) -> np.ndarray:
     raw = np.frombuffer(data, np.uint8)
     if not len(raw):
         return np.zeros(0, np.int64)
@@ -119,15 +119,30 @@ def slices(raw: np.ndarray, cuts: np.ndarray) -> pa.Array:
 
 
 def joined(strings_: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Byte strings one after the other, and the cuts between them: undoes ``slices``."""
-    cuts = np.append(0, np.cumsum(pc.binary_length(strings_).to_numpy().astype(np.int64)))
-    return np.frombuffer(b"".join(strings_.to_pylist()), np.uint8), cuts
+    """Byte strings one after the other, and the cuts between them: undoes ``slices``.  Without a copy."""
+    _, offsets, data = strings_.buffers()
+    cuts = np.frombuffer(offsets, np.int32)[strings_.offset:strings_.offset + len(strings_) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return raw[cuts[0]:cuts[-1]], cuts - cuts[0]
 
 
-def posting_cuts(packed: Sequence[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Packed positions one after the other, and the cuts between postings with ``counts`` positions each."""
-    raw = np.frombuffer(b"".join(packed), np.uint8)
-    return raw, np.append(0, np.append(0, np.flatnonzero(raw < 0x80) + 1)[np.cumsum(counts)])
+def posting_cuts(raw: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The cuts between postings in packed positions, for postings with ``counts`` positions each."""
+    return np.append(0, np.append(0, np.flatnonzero(raw < 0x80) + 1)[np.cumsum(counts)])
+
+
+def part_chunks(chunks: pa.Array, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document gaps, counts and packed positions of chunks, each the three strings of ``encode`` in one.
+
+    A chunk of n postings begins with n gaps and n counts; what is left are positions.
+    """
+    raw, cuts = joined(chunks)
+    last = np.flatnonzero(raw < 0x80)
+    starts = last[np.searchsorted(last, cuts[:-1]) + 2 * sizes - 1] + 1
+    is_position = np.arange(len(raw)) >= np.repeat(starts, np.diff(cuts))
+    numbers = unpack_numbers(raw[~is_position])
+    is_gap = np.repeat(np.tile([True, False], len(sizes)), np.repeat(sizes, 2))
+    return numbers[is_gap], numbers[~is_gap], raw[is_position]
 
 
 def encode(docs: np.ndarray, counts: np.ndarray, raw: np.ndarray, cuts: np.ndarray, begins: np.ndarray) -> list[pa.Array]:
@@ -143,10 +158,3 @@ def encode(docs: np.ndarray, counts: np.ndarray, raw: np.ndarray, cuts: np.ndarr
         packed, ends = pack_numbers(values)
         coded.append(slices(packed, np.append(0, ends)[places]))
     return [*coded, slices(raw[:cuts[-1]], cuts[places])]
-
-
-def decode_block(first_doc: int, docs: bytes, counts: bytes, positions: bytes | None = None):
-    """(document numbers, counts, positions or None) of one block."""
-    numbers = np.cumsum(unpack_numbers(docs)) + first_doc
-    many = unpack_numbers(counts)
-    return numbers, many, None if positions is None else sums(unpack_numbers(positions), many)
