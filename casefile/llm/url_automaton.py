@@ -8,7 +8,8 @@ for themselves.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path, fits
 no rule and gets the default verdict.  Repeated rows are judged alike, an empty table
-gives an empty result, and columns beside the id and the URL are not read.
+gives an empty result, and columns beside the id and the URL are not read.  A URL of any length is judged whole;
+one with a very long path costs little, as its state soon settles.
 """
 
 from __future__ import annotations
@@ -22,6 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from casefile.llm.common import BATCH_BYTES, batches_by_bytes
+
+#: Bytes after which texts whose state can no longer change are put aside.
+SETTLE = 16
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -47,6 +53,7 @@ class Automaton:
     loop: np.ndarray
     start: np.ndarray
     accepting: list[tuple[int, int]]  # (word, bit) of each pattern's last state
+    settled: np.ndarray  # the last states that loop on any byte: nothing changes them
 
 
 def compile_globs(globs: Sequence[str]) -> Automaton:
@@ -83,11 +90,18 @@ def compile_globs(globs: Sequence[str]) -> Automaton:
                 loop[ord("/"), n // 64] &= ~bit
     for n in starts:
         start[n // 64] |= np.uint64(1 << (n % 64))
-    return Automaton(step, loop, start, [(n // 64, n % 64) for n in accepting])
+    settled = np.zeros(words, np.uint64)
+    for n in accepting:
+        if states[n][1] == 2:
+            settled[n // 64] |= np.uint64(1 << (n % 64))
+    return Automaton(step, loop, start, [(n // 64, n % 64) for n in accepting], settled)
 
 
 def run(automaton: Automaton, texts: Sequence[bytes]) -> np.ndarray:
-    """For every text and pattern, whether the pattern fits the whole text (``len(texts) x patterns``)."""
+    """For every text and pattern, whether the pattern fits the whole text (``len(texts) x patterns``).
+
+    A text is read to its end, or until only states are live that no byte changes.
+    """
     n = len(texts)
     sizes = np.fromiter(map(len, texts), np.int64, n)
     order = np.argsort(-sizes, kind="stable")
@@ -96,13 +110,23 @@ def run(automaton: Automaton, texts: Sequence[bytes]) -> np.ndarray:
     begins = np.cumsum(sizes) - sizes
     state = np.repeat(automaton.start[None, :], n, axis=0)
     one, top = np.uint64(1), np.uint64(63)
-    for at in range(int(sizes[0]) if n else 0):
-        live = int(np.searchsorted(-sizes, -at, side="left"))  # texts longer than ``at`` come first
-        byte = flat[begins[:live] + at]
-        now = state[:live]
+    may_change = ~automaton.settled
+    rows, now, at = np.arange(n), state, 0  # texts that are still read, longest first
+    while True:
+        live = int(np.searchsorted(-sizes[rows], -at, side="left"))
+        reading = np.arange(len(rows)) < live
+        if at % SETTLE == 0:
+            reading &= (now & may_change).any(axis=1)
+        if not reading.all():
+            state[rows[~reading]] = now[~reading]
+            rows, now = rows[reading], now[reading]
+        if not len(rows):
+            break
+        byte = flat[begins[rows] + at]
         moved = now << one
         moved[:, 1:] |= now[:, :-1] >> top
-        state[:live] = (moved & automaton.step[byte]) | (now & automaton.loop[byte])
+        now = (moved & automaton.step[byte]) | (now & automaton.loop[byte])
+        at += 1
     fits = np.zeros((n, len(automaton.accepting)), bool)
     for k, (word, bit) in enumerate(automaton.accepting):
         fits[order, k] = (state[:, word] >> np.uint64(bit)) & one != 0
@@ -131,7 +155,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], default: str = "allow",
     texts, verdicts = [r.text for r in ranked], [r.verdict for r in ranked]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in batches_by_bytes(batches_by_bytes(batches, "path", BATCH_BYTES), "host", BATCH_BYTES):
             urls = [(h + p).encode() for h, p in zip(batch.column("host").to_pylist(),
                                                      batch.column("path").to_pylist())]
             fits = run(automaton, urls).reshape(len(urls), len(texts), 2).any(axis=2)

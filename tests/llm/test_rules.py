@@ -1,6 +1,7 @@
 """Operators 7 (URL automaton) and 9 (rule ledger); the DuckDB SQL of 4, 7 and 9."""
 
 import re
+import time
 from collections import Counter
 
 import duckdb
@@ -45,6 +46,19 @@ def test_automaton_equals_regular_expressions():
     assert url_automaton.run(url_automaton.compile_globs(globs), []).shape == (0, len(globs))
 
 
+def test_long_texts_settle_early():
+    automaton = url_automaton.compile_globs([g for r in URL_RULES for g in r.globs()] + ["**z", "a*b"])
+    tail = "x/y.org/fr" * 40
+    texts = ["org/" + tail, "a.example.org/es/" + tail, "b.com/de/z" + tail + "z", "acom/" + tail, "", "a" + "c" * 99 + "b"]
+    globs = [g for r in URL_RULES for g in r.globs()] + ["**z", "a*b"]
+    for t, row in zip(texts, url_automaton.run(automaton, [t.encode() for t in texts]).tolist()):
+        assert row == [bool(glob_regex(g).fullmatch(t)) for g in globs], t
+    plain = url_automaton.compile_globs([g for r in URL_RULES for g in r.globs()])
+    begun = time.monotonic()
+    fits = url_automaton.run(plain, [b"org/" + b"p/" * 500_000, b"nowhere.net/" + b"p" * 1_000_000])
+    assert fits.any(axis=1).tolist() == [True, False] and time.monotonic() - begun < 2
+
+
 def test_urls_of_all_kinds(spark):
     urls = [None, "", "no scheme.org/", "http://ORG", "http://org/", "HTTP://A.Example.ORG/es/x?q=/fr/", "x://example.org/en/12",
             "x://example.org/en/2#/", "http://a.com/fr/", "http://com/de/", "http://acom/de/", "http://a.com?/fr/",
