@@ -112,11 +112,15 @@ def summarize_paths(listing: DataFrame, bits: int | None = DEFAULT_BITS,
 
 
 def _inventory_paths(spark: SparkSession, directory: str) -> DataFrame:
-    """``(path, length)`` of every file, dealt out by path so that reading spreads however the listing was split."""
+    """``(path, length)`` of every file, dealt out by path so that reading spreads however the listing was split.
+
+    Entries that could not be listed have no content; ``inventory.unreadable_files`` gives them with their reason.
+    """
     from casefile.sources.inventory import file_inventory
 
     tasks = max(spark.sparkContext.defaultParallelism * 4, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return file_inventory(spark, directory).select("path", "length").repartition(tasks, "path")
+    files = file_inventory(spark, directory).where("error is null")
+    return files.select("path", "length").repartition(tasks, "path")
 
 
 def summarize_files(files: DataFrame, bits: int = DEFAULT_BITS,
@@ -229,6 +233,9 @@ def summarize_directory(spark: SparkSession, directory: str, bits: int = DEFAULT
     inventory when ``include_empty`` is set.  ``listing="inventory"`` lists
     with the executor-side inventory source (no file list on the driver, for
     very large trees), deals the paths out and hashes every file with the chunked reader.
+
+    On both routes, an entry that cannot be listed (a dangling link) has no row; ``inventory.unreadable_files``
+    reports it.  A file that fails while it is read fails its task.
     """
     if listing == "inventory":
         return summarize_paths(_inventory_paths(spark, directory), bits)

@@ -155,8 +155,12 @@ def _attributes(path: str, size_only: bool = False):
     )
 
 
-def _failed(path: str, error: Exception):
-    return (_uri(path), *[None] * 11, f"{type(error).__name__}: {os.strerror(error.errno) if error.errno else error}")
+def _reason(error: OSError) -> str:
+    return f"{type(error).__name__}: {os.strerror(error.errno) if error.errno else error}"
+
+
+def _failed(path: str, error: OSError):
+    return (_uri(path), *[None] * 11, _reason(error))
 
 
 class FileInventoryReader(DataSourceReader):
@@ -212,7 +216,7 @@ class FileInventoryReader(DataSourceReader):
                 try:
                     entries = system.get_file_info(fs.FileSelector(directory))
                 except OSError:
-                    trees.append(directory)  # its task raises
+                    trees.append(directory)  # its task gives the reason
                     continue
                 if any(entry.type != fs.FileType.Directory for entry in entries):
                     flat.append(directory)
@@ -289,8 +293,14 @@ def _remote_rows(uri: str, recursive: bool, include_hidden: bool, tops: list[str
     stack = [root] if tops is None else list(tops)
     while stack:
         here = stack.pop()
-        info = system.get_file_info(here)
-        entries = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(here))
+        try:
+            info = system.get_file_info(here)
+            entries = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(here))
+        except OSError as error:
+            if here == root:
+                raise
+            yield (prefix + authority + here, *[None] * 11, _reason(error))
+            continue
         for entry in entries:
             if entry.path != root and not include_hidden and _hidden(entry.base_name):
                 continue
@@ -334,6 +344,11 @@ def file_inventory(spark: SparkSession, directory: str, recursive: bool = True,
             .load(directory))
 
 
+def unreadable_files(spark: SparkSession, directory: str, recursive: bool = True) -> DataFrame:
+    """(path, error) of the entries below ``directory`` that could not be listed: dangling links, closed folders."""
+    return file_inventory(spark, directory, recursive).where("error is not null").select("path", "error")
+
+
 def zero_length_files(spark: SparkSession, directory: str, recursive: bool = True) -> DataFrame:
     """``(path)`` of zero-length files, which the binary-file reader skips."""
     return file_inventory(spark, directory, recursive, size_only=True).where("length = 0").select("path")
