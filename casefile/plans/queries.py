@@ -310,10 +310,7 @@ def q_content_strings(spark, sf_dir):
 def q_keyword_index(spark, sf_dir):
     """The stored posting blocks, decoded: each term's files, counts and positions."""
     made = _index(spark, sf_dir)
-    rows = index.decode(made.blocks()).select(  # numbers, not arrays, meet the documents
-        "doc_no", "term", F.col("count").alias("n"), F.array_min("positions").alias("first_position"),
-        F.array_max("positions").alias("last_position"),
-        F.aggregate("positions", F.lit(0).cast("long"), lambda a, p: a + p).alias("sum_positions"))
+    rows = index.summaries(made.blocks()).withColumnRenamed("count", "n")  # numbers, not arrays, meet the documents
     return rows.join(made.documents().select("doc_no", "id"), "doc_no").drop("doc_no")
 
 

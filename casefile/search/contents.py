@@ -31,12 +31,13 @@ def broadcast_if_few(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def by_bytes(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slice record batches so that the bytes of a column stay near ``limit`` (one row may exceed it)."""
+def by_bytes(batches: Iterator[pa.RecordBatch], *columns: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slice record batches so that the bytes of some columns stay near ``limit`` (one row may exceed it)."""
     import pyarrow.compute as pc
 
     for batch in batches:
-        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(), dtype=np.int64)
+        ends = np.cumsum(sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy().astype(np.int64)
+                             for c in columns))
         start = 0
         while start < batch.num_rows:
             held = int(ends[start - 1]) if start else 0

@@ -33,9 +33,15 @@ from casefile.search.contents import broadcast_if_few, by_bytes
 
 BUCKETS = 64
 BLOCK = 128
+#: Bytes of content whose terms are found at once: the arrays made of them take some 100 times as much.
+SCAN_BYTES = 1 << 20
+#: Bytes of packed terms that a task turns into chunks at once: the more, the fewer chunks a term has.
+TERMS_BYTES = 1 << 24
+#: Bytes of a term that are compared as a number before the term itself is.
+LEAD = 5
 
 _FILE = "id string, n_terms long, names string, counts binary, positions binary"
-_CHUNK = "part string, first_row long, n_postings long, term string, postings binary"
+_CHUNK = "part string, first_row long, n_postings long, term string, lead long, postings binary"
 _BLOCK = ("bucket int, term string, first_doc long, last_doc long, n_postings long, n_terms long, docs binary, "
           "counts binary, positions binary")
 
@@ -71,13 +77,13 @@ def file_terms(contents: DataFrame, least: int = strings.LEAST) -> DataFrame:
     ``names`` are its different terms between blanks, the other two their packed counts and positions.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "content"):
-            file, code, position, words, n_terms = postings.terms_of(
+        for batch in by_bytes(batches, "content", limit=SCAN_BYTES):
+            file, code, position, words, n_terms = postings.coded_terms(
                 [c or b"" for c in batch.column("content").to_pylist()], least)
             fresh = (np.diff(file, prepend=-1) != 0) | (np.diff(code, prepend=-1) != 0)
             begins = np.flatnonzero(fresh)
             cuts = np.searchsorted(file[begins], np.arange(batch.num_rows + 1))
-            names = pa.array(words, pa.string()).take(pa.array(code[begins]))
+            names = words.take(pa.array(code[begins]))
             coded = [postings.pack_numbers(np.diff(begins, append=len(file))),
                      postings.pack_numbers(postings.gaps(position, begins))]
             places = [cuts, np.append(begins, len(file))[cuts]]  # of postings, and of positions
@@ -92,7 +98,7 @@ def file_terms(contents: DataFrame, least: int = strings.LEAST) -> DataFrame:
 
 def _term_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chunks of (part, row, names, counts, positions) rows: each term's postings in consecutive files of one part."""
-    for batch in by_bytes(batches, "names"):
+    for batch in by_bytes(batches, "names", "counts", "positions", limit=TERMS_BYTES):
         parts = batch.column("part").dictionary_encode().indices.to_numpy()
         begins = np.flatnonzero(np.diff(parts, prepend=-1))
         for begin, end in zip(begins.tolist(), [*begins[1:].tolist(), len(parts)]):
@@ -106,15 +112,16 @@ def _chunks_of(files: pa.RecordBatch) -> pa.RecordBatch:
     row = np.repeat(files.column("row").to_numpy(), pc.list_value_length(listed).to_numpy())
     counts = postings.unpack_numbers(postings.joined(files.column("counts"))[0])
     raw = postings.joined(files.column("positions"))[0]
-    order = np.argsort(code, kind="stable")  # rows ascend, so each term's do
+    order = postings.grouped(code, len(names.dictionary))  # rows ascend, so each term's do
     begins = np.flatnonzero(np.diff(code[order], prepend=-1))
     placed = postings.slices(raw, postings.posting_cuts(raw, counts)).take(pa.array(order))
     coded = postings.encode(row[order], counts[order], *postings.joined(placed), begins)
+    terms = names.dictionary.take(pa.array(code[order][begins]))
     return pa.RecordBatch.from_arrays(
         [pa.array([files.column("part")[0].as_py()] * len(begins), pa.string()), pa.array(row[order][begins]),
-         pa.array(np.diff(begins, append=len(order))), names.dictionary.take(pa.array(code[order][begins])),
+         pa.array(np.diff(begins, append=len(order))), terms, pa.array(postings.leads(terms, LEAD)),
          pc.binary_join_element_wise(*coded, pa.scalar(b"", pa.binary()))],
-        names=["part", "first_row", "n_postings", "term", "postings"])
+        names=["part", "first_row", "n_postings", "term", "lead", "postings"])
 
 
 def _cut_blocks(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
@@ -181,20 +188,40 @@ def write_index(contents_by_file: DataFrame, path: str, buckets: int = BUCKETS,
 
     made = files.where("names <> ''").select(*place, "names", "counts", "positions").mapInArrow(_term_chunks, _CHUNK)
     made.write.option("compression", "zstd").parquet(f"{path}/chunks")  # the range partitioning reads them twice
+    bucket = F.crc32(F.col("term").cast("binary")) % buckets
     chunks = spark.read.schema(_CHUNK).parquet(f"{path}/chunks").join(bases, "part").select(
-        (F.crc32(F.col("term").cast("binary")) % buckets).cast("int").alias("bucket"), "term",
+        (F.shiftleft(bucket, 8 * LEAD) + F.col("lead")).alias("place"), "term",
         (F.col("base") + F.col("first_row")).alias("first_doc"), "n_postings", "postings")
-    order = ["bucket", "term", "first_doc"]
+    order = ["place", "term", "first_doc"]  # by bucket and term; one number settles most comparisons
     dealt = chunks.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order)
-    (dealt.sortWithinPartitions(*order).mapInArrow(lambda batches: _cut_blocks(batches, block), _BLOCK)
+    (dealt.sortWithinPartitions(*order)
+     .select(F.shiftright("place", 8 * LEAD).cast("int").alias("bucket"), "term", "first_doc", "n_postings", "postings")
+     .mapInArrow(lambda batches: _cut_blocks(batches, block), _BLOCK)
      .write.partitionBy("bucket").option("compression", "zstd").parquet(f"{path}/blocks"))
     return Index(spark, path, buckets)
 
 
 def decode(blocks: DataFrame, positions: bool = True) -> DataFrame:
     """(term, doc_no, count[, positions]) of every posting in blocks; without positions, these are not read."""
+    def give(at: np.ndarray, many: np.ndarray) -> list[pa.Array]:
+        return [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(many)), pa.int32()), pa.array(at))]
+
+    return _decoded(blocks, "positions array<long>", give) if positions else _decoded(blocks)
+
+
+def summaries(blocks: DataFrame) -> DataFrame:
+    """(term, doc_no, count, first_position, last_position, sum_positions) of every posting in blocks."""
+    def give(at: np.ndarray, many: np.ndarray) -> list[pa.Array]:
+        ends = np.cumsum(many)  # positions ascend
+        return [pa.array(at[ends - many]), pa.array(at[ends - 1]), pa.array(np.add.reduceat(at, ends - many))]
+
+    return _decoded(blocks, "first_position long, last_position long, sum_positions long", give)
+
+
+def _decoded(blocks: DataFrame, more: str = "", give=None) -> DataFrame:
+    """(term, doc_no, count) of every posting in blocks, and the columns ``more`` by ``give(positions, counts)``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, names[-1]):
+        for batch in by_bytes(batches, *names[2:]):
             if not batch.num_rows:
                 continue
             sizes = batch.column("n_postings").to_numpy()
@@ -203,13 +230,12 @@ def decode(blocks: DataFrame, positions: bool = True) -> DataFrame:
             of = np.repeat(np.arange(len(sizes)), sizes)
             columns = [batch.column("term").take(pa.array(of)),
                        pa.array(docs + batch.column("first_doc").to_numpy()[of]), pa.array(many)]
-            if positions:
+            if give:
                 at = postings.sums(postings.unpack_numbers(postings.joined(batch.column("positions"))[0]), many)
-                ends = np.append(0, np.cumsum(many))
-                columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at)))
+                columns += give(at, many)
             yield pa.RecordBatch.from_arrays(columns, names=schema)
 
-    names = ["first_doc", "n_postings", "docs", "counts"] + (["positions"] if positions else [])
-    schema = ["term", "doc_no", "count"] + (["positions"] if positions else [])
-    kinds = "term string, doc_no long, count long" + (", positions array<long>" if positions else "")
+    names = ["first_doc", "n_postings", "docs", "counts"] + (["positions"] if give else [])
+    kinds = "term string, doc_no long, count long" + (f", {more}" if more else "")
+    schema = [kind.split()[0] for kind in kinds.split(", ")]
     return blocks.select("term", *names).mapInArrow(run, kinds)

@@ -30,17 +30,16 @@ TERM_BYTE[0x41:0x5B] = np.arange(0x61, 0x7B)
 
 def pack_numbers(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Variable-length bytes of non-negative numbers, and where each number ends."""
-    values = values.astype(np.uint64)
-    size = np.ones(len(values), np.int64)
-    rest = values >> np.uint64(7)
-    while rest.any():
-        size += rest > 0
-        rest >>= np.uint64(7)
+    size, most = np.ones(len(values), np.int64), int(values.max(initial=0))
+    for bits in range(7, most.bit_length(), 7):
+        size += values >= 1 << bits
     ends = np.cumsum(size)
-    of = np.repeat(np.arange(len(values)), size)
-    nth = np.arange(len(of)) - np.repeat(ends - size, size)
-    out = (values[of] >> (nth * 7).astype(np.uint64)).astype(np.uint8) & np.uint8(0x7F)
-    out[nth < size[of] - 1] |= 0x80
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    at, rest = ends - size, values
+    while len(rest):  # each number's next seven bits, of those that have any left
+        more = rest > 0x7F
+        out[at] = (rest & 0x7F) | (more.astype(np.int64) << 7)
+        at, rest = at[more] + 1, rest[more] >> 7
     return out, ends
 
 
@@ -50,8 +49,14 @@ def unpack_numbers(data: bytes | np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     last = np.flatnonzero(raw < 0x80)
     first = np.concatenate([[0], last[:-1] + 1])
-    nth = np.arange(len(raw)) - np.repeat(first, last - first + 1)
-    return np.add.reduceat((raw & 0x7F).astype(np.int64) << (7 * nth), first)
+    out = (raw[first] & 0x7F).astype(np.int64)
+    size, nth = last - first, 1
+    of = np.flatnonzero(size > 0)
+    while len(of):  # the numbers that have an nth byte
+        out[of] |= (raw[first[of] + nth] & 0x7F).astype(np.int64) << 7 * nth
+        nth += 1
+        of = of[size[of] >= nth]
+    return out
 
 
 def gaps(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
@@ -72,6 +77,12 @@ def sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def terms_of(contents: Sequence[bytes], least: int = strings.LEAST):
     """Terms of many contents: (file, term code, position) arrays in order of (file, code, position), the
     terms by code, and each file's number of terms."""
+    file, code, position, words, n_terms = coded_terms(contents, least)
+    return file, code, position, words.to_pylist(), n_terms
+
+
+def coded_terms(contents: Sequence[bytes], least: int = strings.LEAST):
+    """``terms_of`` with the terms as an Arrow array."""
     joined = b"\n".join(contents)  # a line feed ends any string
     data = np.frombuffer(joined, np.uint8)
     starts = np.cumsum([0] + [len(c) + 1 for c in contents], dtype=np.int64)[:-1]
@@ -80,17 +91,14 @@ def terms_of(contents: Sequence[bytes], least: int = strings.LEAST):
     change = np.zeros(len(data) + 1, np.int8)
     change[plain_at] += 1
     change[plain_at + plain_size] -= 1
-    letters = np.where(np.cumsum(change[:-1]) > 0, TERM_BYTE[data], 0).astype(np.uint8)
-    begin = np.flatnonzero(np.diff((letters > 0).astype(np.int8), prepend=0) == 1)
-    words = letters.tobytes().replace(b"\0", b" ").split()
-    file = np.searchsorted(starts, begin, side="right") - 1
-    of_run = np.searchsorted(plain_at, begin, side="right") - 1
-    run_file = np.searchsorted(starts, plain_at, side="right") - 1
-    first_run = np.searchsorted(run_file, np.arange(len(contents)))
-    first_term = np.searchsorted(file, np.arange(len(contents)))
-    position = np.arange(len(begin)) - first_term[file] + of_run - first_run[file]
-    n_terms = np.bincount(file, minlength=len(contents))
-    n_runs = np.bincount(run_file, minlength=len(contents))
+    letters = TERM_BYTE[data]
+    letters[np.cumsum(change[:-1], dtype=np.int8) == 0] = 0
+    begin, words = _words(letters)
+    first_term, first_run = np.searchsorted(begin, starts), np.searchsorted(plain_at, starts)
+    n_terms, n_runs = np.diff(first_term, append=len(begin)), np.diff(first_run, append=len(plain_at))
+    file = np.repeat(np.arange(len(contents)), n_terms)
+    of_run = np.repeat(np.arange(len(plain_at)), np.diff(np.searchsorted(begin, plain_at), append=len(begin)))
+    position = np.arange(len(begin)) + of_run - (first_term + first_run)[file]
     more_words, more_file, more_position = [], [], []
     for a, n in zip(at[wide].tolist(), size[wide].tolist()):  # few files have any
         f = int(np.searchsorted(starts, a, side="right")) - 1
@@ -100,13 +108,30 @@ def terms_of(contents: Sequence[bytes], least: int = strings.LEAST):
             more_position.append(int(n_terms[f] + n_runs[f]))
             n_terms[f] += 1
         n_runs[f] += 1
-    known: dict[bytes, int] = {}
-    words += more_words
-    code = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
-    file = np.concatenate([file, np.array(more_file, np.int64)])
-    position = np.concatenate([position, np.array(more_position, np.int64)])
-    order = np.lexsort((position, code, file))
-    return file[order], code[order], position[order], [w.decode() for w in known], n_terms
+    if more_words:
+        words = pa.concat_arrays([words, pa.array(more_words, pa.binary())])
+        file = np.concatenate([file, np.array(more_file, np.int64)])
+        position = np.concatenate([position, np.array(more_position, np.int64)])
+    coded = words.dictionary_encode()
+    code = coded.indices.to_numpy().astype(np.int64)
+    order = grouped(file * len(coded.dictionary) + code, len(contents) * len(coded.dictionary))
+    return file[order], code[order], position[order], coded.dictionary.cast(pa.string()), n_terms
+
+
+def _words(letters: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Begins of the stretches of letters (other bytes are 0), and the stretches."""
+    inside = letters > 0
+    turns = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    begin, end = turns[::2], turns[1::2]
+    return begin, slices(letters[inside], np.append(0, np.cumsum(end - begin)))
+
+
+def grouped(keys: np.ndarray, n_keys: int) -> np.ndarray:
+    """The order of ``keys`` (from 0, below ``n_keys``); equal ones stay as they are."""
+    if n_keys * len(keys) >= 1 << 62:
+        return np.argsort(keys, kind="stable")
+    places = np.sort(keys.astype(np.int64) * len(keys) + np.arange(len(keys)))  # faster than a stable sort
+    return places % max(len(keys), 1)
 
 
 def slices(raw: np.ndarray, cuts: np.ndarray) -> pa.Array:
@@ -126,6 +151,14 @@ def joined(strings_: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[cuts[0]:cuts[-1]], cuts - cuts[0]
 
 
+def leads(terms: pa.Array, size: int) -> np.ndarray:
+    """The first ``size`` bytes of terms as numbers that order like the terms (a missing byte is 0)."""
+    raw, cuts = joined(terms)
+    at = cuts[:-1, None] + np.arange(size)
+    held = np.where(at < cuts[1:, None], np.append(raw, np.uint8(0))[np.minimum(at, len(raw))], 0).astype(np.int64)
+    return held @ (1 << 8 * np.arange(size - 1, -1, -1, dtype=np.int64))
+
+
 def posting_cuts(raw: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The cuts between postings in packed positions, for postings with ``counts`` positions each."""
     return np.append(0, np.append(0, np.flatnonzero(raw < 0x80) + 1)[np.cumsum(counts)])
@@ -139,7 +172,10 @@ def part_chunks(chunks: pa.Array, sizes: np.ndarray) -> tuple[np.ndarray, np.nda
     raw, cuts = joined(chunks)
     last = np.flatnonzero(raw < 0x80)
     starts = last[np.searchsorted(last, cuts[:-1]) + 2 * sizes - 1] + 1
-    is_position = np.arange(len(raw)) >= np.repeat(starts, np.diff(cuts))
+    change = np.zeros(len(raw) + 1, np.int8)
+    change[starts] += 1
+    change[cuts[1:]] -= 1
+    is_position = np.cumsum(change[:-1], dtype=np.int8) > 0
     numbers = unpack_numbers(raw[~is_position])
     is_gap = np.repeat(np.tile([True, False], len(sizes)), np.repeat(sizes, 2))
     return numbers[is_gap], numbers[~is_gap], raw[is_position]

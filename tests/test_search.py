@@ -226,3 +226,40 @@ def test_an_index_of_nothing(spark, tmp_path):
     assert made.documents().count() == 0 and made.blocks().count() == 0
     assert lookup.search_all(made, "the").count() == 0 and lookup.search_phrase(made, "a b").count() == 0
     assert lookup.search_ranked(made, ["the"]).count() == 0
+
+def test_summaries_of_postings(made_index, files):
+    rows = index.summaries(made_index.blocks()).join(made_index.documents(), "doc_no").collect()
+    want = {}
+    for name, data in files.items():
+        for w, p in words_of(data):
+            want.setdefault((w, name), []).append(p)
+    found = {(r.term, r.id): (r["count"], r.first_position, r.last_position, r.sum_positions) for r in rows}
+    assert found == {k: (len(ps), min(ps), max(ps), sum(ps)) for k, ps in want.items()}
+    nodes = [n.nodeName() for n in inspect.plan_nodes(index.summaries(made_index.blocks()))]
+    assert not any("ExistingRDD" in n for n in nodes)
+
+
+def test_batches_are_bounded_by_all_their_columns():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["a"] * 10), pa.array([b"x" * 100] * 10)], names=["names", "positions"])
+    parts = list(contents.by_bytes(iter([batch]), "names", "positions", limit=250))
+    assert [p.num_rows for p in parts] == [2] * 5
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text("0z9a", max_size=8), max_size=12))
+def test_leads_order_like_terms(terms):
+    import pyarrow as pa
+
+    lead = postings.leads(pa.array(terms, pa.string()), 5).tolist()
+    assert sorted(terms) == [t for _, t in sorted(zip(lead, terms))]
+    assert all(x < 1 << 40 for x in lead)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 6), max_size=30))
+def test_grouped_is_a_stable_order(keys):
+    want = sorted(range(len(keys)), key=lambda n: keys[n])
+    for n_keys in (7, 1 << 61):
+        assert postings.grouped(np.array(keys, np.int64), n_keys).tolist() == want
