@@ -20,6 +20,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -52,18 +53,26 @@ def bucket_of(term: str, buckets: int) -> int:
 
 @dataclass(frozen=True)
 class Index:
-    """An index on shared storage."""
+    """An index on shared storage.  Its tables' files are listed once."""
 
     spark: SparkSession
     path: str
     buckets: int
 
-    def documents(self) -> DataFrame:
+    @cached_property
+    def _documents(self) -> DataFrame:
         return self.spark.read.schema("doc_no long, id string, n_terms long").parquet(f"{self.path}/documents")
 
+    @cached_property
+    def _blocks(self) -> DataFrame:
+        return self.spark.read.schema(_BLOCK).parquet(f"{self.path}/blocks")
+
+    def documents(self) -> DataFrame:
+        return self._documents.select("*")
+
     def blocks(self, terms: Sequence[str] | None = None) -> DataFrame:
         """All blocks, or those of some terms: only these terms' buckets are listed and read."""
-        every = self.spark.read.schema(_BLOCK).parquet(f"{self.path}/blocks")
+        every = self._blocks.select("*")
         if terms is None:
             return every
         wanted = sorted(set(terms))

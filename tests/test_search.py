@@ -239,6 +239,17 @@ def test_summaries_of_postings(made_index, files):
     assert not any("ExistingRDD" in n for n in nodes)
 
 
+def test_tables_are_listed_once(made_index):
+    made = index.Index(made_index.spark, made_index.path, made_index.buckets)
+    made.blocks(["the"]).count()
+    jobs = made_index.spark.sparkContext.statusTracker()
+    made_index.spark.sparkContext.setJobGroup("listed-once", "")
+    made.blocks(["needle"])  # planned anew: no job that lists the buckets
+    made.documents()
+    made_index.spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert not jobs.getJobIdsForGroup("listed-once") and made._blocks is made._blocks
+
+
 def test_batches_are_bounded_by_all_their_columns():
     import pyarrow as pa
 
