@@ -104,7 +104,9 @@ def search_ranked(index: Index, texts: Sequence[str], k: int = 10) -> DataFrame:
     documents = index.documents()
     total = documents.agg(F.count("*").alias("n"), F.avg("n_terms").alias("length")).first()
     weights = [(n, t, math.log(1 + (total.n - found[t].n + 0.5) / (found[t].n + 0.5))) for n, t in asked if t in found]
-    wanted = F.broadcast(spark.createDataFrame(weights, "query int, term string, weight double"))  # the queries' words
+    words = [F.struct(F.lit(n).alias("query"), F.lit(t).alias("term"), F.lit(w).alias("weight")) for n, t, w in weights]
+    none = "array<struct<query: int, term: string, weight: double>>"
+    wanted = F.broadcast(spark.range(1).select(F.inline(F.array(*words).cast(none) if words else F.array().cast(none))))
     hits = decode(index.blocks([t for _, t, _ in weights]), positions=False).join(documents, "doc_no")
     count = F.col("count").cast("double")
     length = F.col("n_terms") / F.lit(total.length if total.length else 1.0)

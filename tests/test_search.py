@@ -250,6 +250,13 @@ def test_tables_are_listed_once(made_index):
     assert not jobs.getJobIdsForGroup("listed-once") and made._blocks is made._blocks
 
 
+def test_ranked_search_starts_no_workers_for_its_words(made_index):
+    for texts in (["the", "needle"], ["absent"]):
+        found = lookup.search_ranked(made_index, texts, 3)
+        found.collect()
+        assert not any("ExistingRDD" in n.nodeName() for n in inspect.plan_nodes(found))
+
+
 def test_batches_are_bounded_by_all_their_columns():
     import pyarrow as pa
 
