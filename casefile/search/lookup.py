@@ -59,8 +59,8 @@ def matches(index: Index, words: Sequence[str], positions: bool = False) -> Data
     found = _statistics(index, terms)
     columns = [f"p{n}" for n in range(len(terms))] if positions else []
     if len(found) < len(terms):
-        kinds = ", ".join(["doc_no long", *(f"{c} array<long>" for c in columns)])
-        return index.spark.createDataFrame([], kinds)
+        return index.spark.range(0).select(  # no rows from Python: a list would start workers of its own
+            F.col("id").alias("doc_no"), *(F.lit(None).cast("array<long>").alias(c) for c in columns))
     out = None
     for term in sorted(terms, key=lambda t: (found[t].n, t)):
         blocks = index.blocks([term]) if out is None else blocks_of_candidates(index, term, found[term], out)

@@ -257,6 +257,13 @@ def test_ranked_search_starts_no_workers_for_its_words(made_index):
         assert not any("ExistingRDD" in n.nodeName() for n in inspect.plan_nodes(found))
 
 
+@pytest.mark.parametrize("search", [lookup.search_all, lookup.search_phrase])
+def test_an_absent_word_starts_no_workers(made_index, search):
+    found = search(made_index, "the absent")
+    assert found.collect() == []
+    assert not any("ExistingRDD" in n.nodeName() for n in inspect.plan_nodes(found))
+
+
 def test_batches_are_bounded_by_all_their_columns():
     import pyarrow as pa
 
