@@ -10,12 +10,13 @@ apart by 128 bits of hash.  A tokenizer of another kind gets whole texts.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Sequence
 
 import numpy as np
 
 MEMO_CHUNKS = 500_000
+#: Slots of the memo's table, a power of two; it doubles where one batch needs more.
+MEMO_SLOTS = 1 << 20
 #: Bytes of text encoded at once; the tables for hashing chunks are as long.
 TOKEN_BYTES = 1 << 19
 #: Chunks given to the library in one string.
@@ -65,13 +66,46 @@ class Encoder:
             self.direct = False
 
     def _forget(self) -> None:
-        self.memo: dict[int, int] = {}
+        self.known = 0
+        self.slot_key = np.zeros(MEMO_SLOTS, np.uint64)
+        self.slot_entry = np.full(MEMO_SLOTS, -1, np.int32)
         self.check = np.zeros(0, np.uint64)
         self.size = np.zeros(0, np.int64)
         self.place = np.zeros(0, np.int64)
         self.flat = np.zeros(4096, np.uint32)
         self.used = 0
 
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        bits = len(self.slot_key).bit_length() - 1
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def _entries(self, keys: np.ndarray) -> np.ndarray:
+        """Memo entries of chunks, -1 for those not known: whole arrays are looked up at once."""
+        out, left, slot = np.full(len(keys), -1, np.int64), np.arange(len(keys)), self._slots(keys)
+        while len(left):
+            entry = self.slot_entry[slot]
+            hit = (self.slot_key[slot] == keys[left]) & (entry >= 0)
+            out[left[hit]] = entry[hit]
+            more = (entry >= 0) & ~hit
+            left, slot = left[more], (slot[more] + 1) % len(self.slot_key)
+        return out
+
+    def _remember(self, keys: np.ndarray, entries: np.ndarray) -> None:
+        """Give new, different keys a slot; the table stays at most half full."""
+        if 2 * (self.known + len(keys)) > len(self.slot_key):
+            held = self.slot_entry >= 0
+            keys = np.concatenate([self.slot_key[held], keys])
+            entries = np.concatenate([self.slot_entry[held], entries])
+            size = 1 << int(2 * len(keys)).bit_length()
+            self.slot_key, self.slot_entry = np.zeros(size, np.uint64), np.full(size, -1, np.int32)
+        slot = self._slots(keys)
+        while len(keys):
+            free = self.slot_entry[slot] < 0
+            self.slot_entry[slot[free]] = entries[free]  # of several that want one slot, one gets it
+            got = self.slot_entry[slot] == entries
+            self.slot_key[slot[got]] = keys[got]
+            keys, entries, slot = keys[~got], entries[~got], (slot[~got] + 1) % len(self.slot_key)
+
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
@@ -115,7 +149,7 @@ class Encoder:
             raise ValueError("a word did not end where a token ends it")
         return ids, ends[np.cumsum(words) - 1]
 
-    def _learn(self, keys: list[int], checks: np.ndarray, raw: np.ndarray, sizes: np.ndarray) -> None:
+    def _learn(self, keys: np.ndarray, checks: np.ndarray, raw: np.ndarray, sizes: np.ndarray) -> None:
         """Add chunks to the memo, in the order given."""
         plain, kind = self._plain(raw, sizes)
         of_plain = np.repeat(plain, sizes)
@@ -138,8 +172,9 @@ class Encoder:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used:self.used + len(flat)] = flat
         self.used += len(flat)
-        known = len(self.memo)
-        self.memo.update(zip(keys, range(known, known + len(keys))))
+        known = self.known
+        self._remember(keys, known + np.arange(len(keys)))
+        self.known += len(keys)
         self.check = np.concatenate([self.check[:known], checks])
         self.size = np.concatenate([self.size[:known], count])
         self.place = np.concatenate([self.place[:known], place])
@@ -176,24 +211,22 @@ class Encoder:
         if not len(begins):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
         keys, checks = self._hashes(raw, begins, ends)
-        unique, first, back = np.unique(keys, return_index=True, return_inverse=True)
-        if not np.array_equal(checks[first][back], checks):
-            return self._apart(texts)
-        if len(self.memo) >= MEMO_CHUNKS:
+        if self.known >= MEMO_CHUNKS:
             self._forget()
-        names = unique.tolist()
-        at = np.fromiter(map(self.memo.get, names, itertools.repeat(-1)), np.int64, len(names))
-        new = np.flatnonzero(at < 0)
+        entry = self._entries(keys)
+        new = np.flatnonzero(entry < 0)
         if len(new):
-            known = len(self.memo)
-            picked = first[new]
+            known = self.known
+            unique, first, back = np.unique(keys[new], return_index=True, return_inverse=True)
+            picked = new[first]
+            if not np.array_equal(checks[picked][back], checks[new]):
+                return self._apart(texts)
             sizes = ends[picked] - begins[picked]
             chosen = np.repeat(begins[picked] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-            self._learn([names[i] for i in new], checks[picked], raw[chosen], sizes)
-            at[new] = known + np.arange(len(new))
-        if not np.array_equal(self.check[at], checks[first]):
+            self._learn(unique, checks[picked], raw[chosen], sizes)
+            entry[new] = known + back
+        if not np.array_equal(self.check[entry], checks):
             return self._apart(texts)
-        entry = at[back]
         size = self.size[entry]
         stop = np.cumsum(size)
         ids = self.flat[np.repeat(self.place[entry] - (stop - size), size) + np.arange(int(stop[-1]))]

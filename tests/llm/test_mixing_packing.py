@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from casefile.llm import pareto_mix, pattern_packing, wavelet
+from casefile.llm import pareto_mix, pattern_packing, tokens, wavelet
 from casefile.llm.queries import QUERIES
 from casefile.llm.tokens import Encoder, public_tokenizer
 from tests.llm.conftest import SF, odd_rows, utf8
@@ -31,6 +31,18 @@ def test_memo_equals_the_library(coder, documents):
     assert coder.encode([None, b""])[1].tolist() == [0, 0] and coder.encode([])[1].tolist() == []
 
 
+def test_memo_table_grows_and_tells_keys_apart(monkeypatch, coder):
+    monkeypatch.setattr(tokens, "MEMO_SLOTS", 8)
+    small = Encoder(public_tokenizer())
+    texts = [f"word{n} w{n % 7}, and{n}".encode() for n in range(300)]
+    for part in (texts[:2], texts[:40], texts, texts[::-1]):
+        assert [x.tolist() for x in small.encode(part)] == [x.tolist() for x in coder.encode(part)]
+    assert len(small.slot_key) >= 2 * small.known > 600 and (small.slot_entry >= 0).sum() == small.known
+    keys = small.slot_key[small.slot_entry >= 0]
+    assert small._entries(keys).tolist() == small.slot_entry[small.slot_entry >= 0].tolist()
+    assert (small._entries(keys + np.uint64(1)) < 0).all()
+
+
 def water(sizes, weights, most):
     total, full, target = sum(sizes), set(), {}
     while True:
