@@ -34,7 +34,7 @@ from casefile.search.contents import broadcast_if_few, by_bytes
 
 BUCKETS = 64
 BLOCK = 128
-#: Bytes of content whose terms are found at once: the arrays made of them take some 100 times as much.
+#: Bytes of content whose terms are found at once: the arrays made of them take many times as much.
 SCAN_BYTES = 1 << 20
 #: Bytes of packed terms that a task turns into chunks at once: the more, the fewer chunks a term has.
 TERMS_BYTES = 1 << 24
